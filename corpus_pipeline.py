@@ -1,10 +1,58 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+Toxic documents go, then poor ones, then all but one of each group of near copies; the rest is mixed to
+target weights (once each, so that documents stay single) and packed into sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspark.llm import common, jaccard_join, mixing, packing, quality, toxicity
+
+#: Share of the remaining tokens that the mixture takes.
+MIX_SHARE = 0.9
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean_documents(docs, common.read(spark, sf_dir, "labels"))
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.good_documents(docs, common.read(spark, sf_dir, "labels"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each component stays (all rows of an id are one document; one of them stays)."""
+    kept = jaccard_join.jaccard_components(docs).filter("component_id = doc_id or component_id is null").select("doc_id").distinct()
+    gone = docs.select(F.col("doc_id")).distinct().join(kept, "doc_id", "left_anti").filter("doc_id is not null")
+    n = gone.count()
+    return docs.join(F.broadcast(gone) if n <= jaccard_join.BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs, budget_share=MIX_SHARE, epochs=1).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", toxic), ("quality", good), ("jaccard_join", deduplicate), ("mixing", mixture), ("packing", packed)]
+
+#: None: SQL can express neither the fitted models nor the tokenizer; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over documents, each through a Parquet table in the shared folder."""
+    common.ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = common.read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
+        docs = spark.read.parquet(f"{base}/{k}-{name}")
+    return docs

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.llm import fingerprints, jaccard_join, token_counts
+from loomspark.llm import conversations, fingerprints, jaccard_join, mixing, packing, quality, token_counts, topk, toxicity, url_filters
 
-_MODULES = (fingerprints, jaccard_join, token_counts)
+_MODULES = (fingerprints, conversations, url_filters, jaccard_join, packing, toxicity, token_counts, mixing, topk, quality)
 
 
 def queries() -> dict:
