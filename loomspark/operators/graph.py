@@ -172,10 +172,10 @@ def strong_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
             if still:
                 break
         inner = live.join(colour.withColumnsRenamed({"node": "src", "colour": "a"}), "src").join(colour.withColumnsRenamed({"node": "dst", "colour": "b"}), "dst").filter("a = b")
-        inner = checkpoint(inner.select("src", "dst", F.col("a").alias("colour")))
+        inner = checkpoint(inner.select(F.col("src").alias("before"), F.col("dst").alias("node"), F.col("a").alias("colour")))
         back = frontier = checkpoint(colour.filter("node = colour"))
         while not frontier.isEmpty():
-            step = frontier.join(inner, (F.col("node") == F.col("dst")) & (frontier["colour"] == inner["colour"])).select(F.col("src").alias("node"), inner["colour"]).distinct()
+            step = frontier.join(inner, ["node", "colour"]).select(F.col("before").alias("node"), "colour").distinct()
             frontier = checkpoint(step.join(back, ["node", "colour"], "left_anti"))
             back = back.unionByName(frontier)
         back = checkpoint(back.select("node", F.col("colour").alias("component")))
