@@ -1,0 +1,259 @@
+"""Per-file extractors: symbols, imports, COBOL and JCL facts, Markdown reports, chunks.
+
+Each is a small function from (path, text) to rows, run by ``extract`` over a table of files in Arrow batches; what
+follows (indexes, joins, deduplication, resolution) is left to DataFrame operators.
+"""
+
+from __future__ import annotations
+
+import ast
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+SYMBOLS = "rel_path string, name string, kind string, line_start int, line_end int, signature string, parent_name string"
+FACTS = "rel_path string, fact_type string, semantic_key string, parent_key string, name string, value string, line_start int, line_end int"
+IMPORTS = "rel_path string, target string, line int"
+SECTIONS = "rel_path string, kind string, section_id string, title string, line_start int, headers array<string>, cells array<array<string>>"
+
+
+def extract(files: DataFrame, f: Callable[[str, str], Iterable[tuple]], schema: str) -> DataFrame:
+    """Rows of f(path, text) for every file (rel_path, text); a file that fails to parse gives none."""
+    kind = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in f(path, text or "")]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    return files.select("rel_path", "text").mapInArrow(run, kind)
+
+
+def python_symbols(path: str, text: str) -> Iterator[tuple]:
+    """Classes, functions and methods of a Python file."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError):
+        return
+    stack: list[tuple[ast.AST, str | None]] = [(tree, None)]
+    while stack:
+        node, parent = stack.pop()
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, ast.ClassDef):
+                yield path, child.name, "class", child.lineno, child.end_lineno, f"class {child.name}", parent
+                stack.append((child, child.name))
+            elif isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
+                args = ", ".join(a.arg for a in child.args.args)
+                yield path, child.name, "method" if parent else "function", child.lineno, child.end_lineno, f"def {child.name}({args})", parent
+            else:
+                stack.append((child, parent))
+
+
+def python_imports(path: str, text: str) -> Iterator[tuple]:
+    """Modules that a Python file imports; relative ones keep their dots."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError):
+        return
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Import):
+            yield from ((path, a.name, node.lineno) for a in node.names)
+        elif isinstance(node, ast.ImportFrom):
+            yield path, "." * node.level + (node.module or ""), node.lineno
+
+
+_SCRIPT_IMPORT = re.compile(r"""(?:import\s[^'"]*?from\s*|import\s*|require\(\s*|export\s[^'"]*?from\s*)['"]([^'"]+)['"]""")
+
+
+def script_imports(path: str, text: str) -> Iterator[tuple]:
+    """Modules that a JavaScript or TypeScript file imports, requires or re-exports."""
+    for m in _SCRIPT_IMPORT.finditer(text):
+        yield path, m[1], text.count("\n", 0, m.start()) + 1
+
+
+# One pattern and kind for each way a language declares a symbol; the name is the first group.
+LEXICAL: dict[str, list[tuple[str, str]]] = {
+    "javascript": [(r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)", "class"), (r"^\s*(?:export\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", "function"), (r"^\s*(?:export\s+)?(?:const|let)\s+(\w+)\s*=\s*(?:async\s*)?\(", "function")],
+    "java": [(r"^\s*(?:\w+\s+)*class\s+(\w+)", "class"), (r"^\s*(?:\w+\s+)*interface\s+(\w+)", "interface"), (r"^\s*(?:\w+\s+)*enum\s+(\w+)", "enum")],
+    "go": [(r"^func\s+\([^)]*\)\s*(\w+)", "method"), (r"^func\s+(\w+)", "function"), (r"^type\s+(\w+)", "type")],
+    "rust": [(r"^\s*(?:pub\s+)?fn\s+(\w+)", "function"), (r"^\s*(?:pub\s+)?struct\s+(\w+)", "class"), (r"^\s*(?:pub\s+)?enum\s+(\w+)", "enum"), (r"^\s*(?:pub\s+)?trait\s+(\w+)", "interface")],
+    "c": [(r"^\s*(?:struct|union)\s+(\w+)", "class"), (r"^[A-Za-z_][\w\s*]*?\b(\w+)\s*\([^;]*$", "function")],
+    "ruby": [(r"^\s*class\s+(\w+)", "class"), (r"^\s*module\s+(\w+)", "module"), (r"^\s*def\s+(?:self\.)?(\w+[?!]?)", "method")],
+    "php": [(r"^\s*(?:\w+\s+)*class\s+(\w+)", "class"), (r"^\s*(?:\w+\s+)*function\s+(\w+)", "function")],
+    "bash": [(r"^\s*(?:function\s+)?(\w+)\s*\(\)", "function")],
+    "sql": [(r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?([\w.]+)", "class"), (r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:function|procedure)\s+([\w.]+)", "function")],
+    "markdown": [(r"^#{1,6}\s+(.+?)\s*#*$", "module")],
+    "toml": [(r"^\[+([^\]]+)\]+", "module")],
+    "yaml": [(r"^([A-Za-z_][\w-]*):", "variable")],
+    "css": [(r"^\s*([.#][\w-]+)[^{]*\{", "class")],
+}
+LEXICAL["typescript"] = [*LEXICAL["javascript"], (r"^\s*(?:export\s+)?interface\s+(\w+)", "interface"), (r"^\s*(?:export\s+)?enum\s+(\w+)", "enum"), (r"^\s*(?:export\s+)?type\s+(\w+)\s*=", "type")]
+LEXICAL["cpp"] = [(r"^\s*class\s+(\w+)", "class"), *LEXICAL["c"]]
+LEXICAL["csharp"] = LEXICAL["kotlin"] = LEXICAL["scala"] = LEXICAL["groovy"] = LEXICAL["java"]
+GENERIC = [(r"^\s*(?:class|struct|interface)\s+(\w+)", "class"), (r"^\s*(?:def|fn|func|function|sub|proc)\s+(\w+)", "function")]
+
+
+def lexical_symbols(language: str) -> Callable[[str, str], Iterator[tuple]]:
+    """Symbols of a language by its patterns, line by line; unknown languages use general ones."""
+    patterns = [(re.compile(p), kind) for p, kind in LEXICAL.get(language, GENERIC)]
+
+    def f(path: str, text: str) -> Iterator[tuple]:
+        for n, line in enumerate(text.splitlines(), 1):
+            for pattern, kind in patterns:
+                if m := pattern.search(line):
+                    yield path, m[1], kind, n, n, line.strip(), None
+                    break
+
+    return f
+
+
+def normalize_cobol(text: str) -> str:
+    """Fixed format to plain statements, line for line: columns 8 to 72, comments blank, continuations joined upward."""
+    out: list[str] = []
+    for line in text.splitlines():
+        indicator, body = line[6:7], line[7:72]
+        if indicator in ("*", "/", "D", "d"):
+            out.append("")
+        elif indicator == "-" and any(out):
+            k = max(i for i, x in enumerate(out) if x)
+            out[k] = out[k].rstrip() + body.strip().lstrip("'\"")
+            out.append("")
+        else:
+            out.append(body.rstrip())
+    return "\n".join(out)
+
+
+_COBOL = [
+    ("program", re.compile(r"(?i)\bPROGRAM-ID\.\s*([A-Z0-9-]+)")), ("call", re.compile(r"(?i)\bCALL\s+(['\"]?)([A-Z0-9-]+)\1")), ("copy", re.compile(r"(?i)\bCOPY\s+['\"]?([A-Z0-9-]+)")),
+    ("include", re.compile(r"(?i)EXEC\s+SQL\s+INCLUDE\s+([A-Z0-9-]+)")), ("performs", re.compile(r"(?i)\bPERFORM\s+([A-Z0-9][A-Z0-9-]*)")), ("goto", re.compile(r"(?i)\bGO\s+TO\s+([A-Z0-9-]+)")),
+    ("file_def", re.compile(r"(?i)\bSELECT\s+([A-Z0-9-]+)\s+ASSIGN")), ("fd", re.compile(r"(?i)^\s*FD\s+([A-Z0-9-]+)")), ("record", re.compile(r"(?i)^\s*01\s+([A-Z0-9-]+)")), ("field", re.compile(r"(?i)^\s*(?:0[2-9]|[1-4][0-9])\s+([A-Z0-9-]+).*?\bPIC\s+(\S+)")),
+]
+
+
+def cobol_facts(path: str, text: str) -> Iterator[tuple]:
+    """Programs, sections, paragraphs, calls, copies, files, records, fields, branches, loops; keys hold no line numbers."""
+    program, paragraph, count, procedure = "UNKNOWN", "", {}, False
+
+    def numbered(kind: str) -> str:
+        count[kind, paragraph] = count.get((kind, paragraph), 0) + 1
+        return f"{kind}/{program}.{paragraph}#{count[kind, paragraph]}"
+
+    for n, line in enumerate(normalize_cobol(text).split("\n"), 1):
+        procedure = procedure or bool(re.search(r"(?i)\bPROCEDURE\s+DIVISION", line))
+        if procedure and (m := re.match(r"(?i)^([A-Z0-9][A-Z0-9-]*)(\s+SECTION)?\.\s*$", line)):
+            kind, paragraph = ("section" if m[2] else "paragraph"), m[1].upper()
+            yield path, kind, f"{kind}/{program}.{paragraph}", f"program/{program}", paragraph, None, n, n
+            continue
+        parent = f"paragraph/{program}.{paragraph}" if paragraph else f"program/{program}"
+        for kind, pattern in _COBOL:
+            for m in pattern.finditer(line):
+                name = m[2 if kind == "call" else 1].upper()
+                if kind == "program":
+                    program = name
+                    yield path, kind, f"program/{name}", None, name, None, n, n
+                elif kind == "call":
+                    yield path, kind, f"call/{program}.{paragraph}.{name}", parent, name, "literal" if m[1] else "dynamic", n, n
+                elif kind == "performs" and name in ("UNTIL", "VARYING"):
+                    yield path, "loop", numbered("loop"), parent, name, line.strip(), n, n
+                elif kind in ("record", "field", "file_def", "fd"):
+                    key = {"file_def": "file", "fd": "fd"}.get(kind, kind)
+                    yield path, kind, f"{key}/{program}.{name}", f"program/{program}", name, m[2].rstrip(".") if kind == "field" else None, n, n
+                else:
+                    yield path, kind, f"{kind}/{program}.{paragraph}.{name}", parent, name, None, n, n
+        if procedure and re.match(r"(?i)^\s*(IF|EVALUATE)\b", line):
+            yield path, "branch", numbered("branch"), parent, line.split()[0].upper(), line.strip(), n, n
+        if m := re.search(r"(?i)\bEXEC\s+(SQL|CICS)\b", line):
+            yield path, "exec_block", f"exec_block/{program}.{paragraph}.{m[1].lower()}", parent, m[1].upper(), None, n, n
+
+
+def _jcl_statements(text: str) -> Iterator[tuple[int, str]]:
+    """Statements with their first line: continuations joined, comments and in-stream data left out."""
+    held, start, instream = "", 0, False
+    for n, line in enumerate(text.splitlines(), 1):
+        if instream:
+            instream = not (line.startswith("/*") or line.startswith("//"))
+            if instream or line.startswith("/*"):
+                continue
+        if not line.startswith("//") or line.startswith("//*"):
+            continue
+        body = line[2:72].rstrip()
+        if held:
+            held += body.strip()
+        else:
+            held, start = body, n
+        if not held.endswith(","):
+            yield start, held
+            instream = bool(re.search(r"\bDD\s+(\*|DATA)", held))
+            held = ""
+    if held:
+        yield start, held
+
+
+def jcl_facts(path: str, text: str) -> Iterator[tuple]:
+    """Jobs, procedures, steps, DD statements, data sets, conditions and symbols."""
+    job = step = ""
+    for n, s in _jcl_statements(text):
+        m = re.match(r"(\S*)\s+(JOB|EXEC|DD|PROC|PEND|SET|IF|ELSE|ENDIF|INCLUDE|JCLLIB)\b\s*(.*)", s)
+        if not m:
+            continue
+        label, verb, rest = m[1].upper(), m[2], m[3]
+        if verb == "JOB":
+            job = label
+            yield path, "job", f"job/{job}", None, job, None, n, n
+        elif verb == "PROC":
+            job = label or job
+            yield path, "proc_def", f"proc/{label}", None, label, None, n, n
+        elif verb == "EXEC":
+            step = label
+            program = re.search(r"PGM=([^,\s]+)", rest)
+            yield path, "step", f"step/{job}.{step}", f"job/{job}", step, program[1] if program else rest.split(",")[0].removeprefix("PROC="), n, n
+            if cond := re.search(r"COND=(\([^)]*\)|[^,\s]+)", rest):
+                yield path, "cond_gate", f"cond/{job}.{step}", f"step/{job}.{step}", step, cond[1], n, n
+        elif verb == "DD":
+            parent, key = f"step/{job}.{step}", f"dd/{job}.{step}.{label}"
+            disp = re.search(r"DISP=(\([^)]*\)|[^,\s]+)", rest)
+            yield path, "dd", key, parent, label, disp[1] if disp else None, n, n
+            if dsn := re.search(r"DSN(?:AME)?=([^,\s]+)", rest):
+                yield path, "dataset", f"dataset/{dsn[1].upper()}", key, dsn[1].upper(), None, n, n
+            if re.match(r"(\*|DATA)", rest):
+                yield path, "instream", f"instream/{job}.{step}.{label}", key, label, None, n, n
+        elif verb == "SET":
+            for name, value in re.findall(r"(\w+)=([^,\s]+)", rest):
+                yield path, "set", f"set/{job}.{name}", f"job/{job}", name, value, n, n
+        elif verb == "IF":
+            yield path, "if_gate", f"if/{job}.{label or n}", f"job/{job}", label, rest, n, n
+
+
+def document_kind(path: str) -> str:
+    """bd, dd_cobol or dd_jcl by file name."""
+    name = path.rsplit("/", 1)[-1].upper()
+    for mark, kind in (("DD.COBOL", "dd_cobol"), ("DD.JCL", "dd_jcl"), ("BD-", "bd")):
+        if mark in name:
+            return kind
+    raise ValueError(f"not a design document: {path}")
+
+
+def markdown_sections(path: str, text: str) -> Iterator[tuple]:
+    """Headings and tables: (kind, section_id, title, line, headers, cells)."""
+    section, title, lines = "", "", text.splitlines()
+    cells = lambda s: [c.strip() for c in s.strip().strip("|").split("|")]
+    k = 0
+    while k < len(lines):
+        if m := re.match(r"^#{1,6}\s+(?:(\d+(?:\.\d+)*)\.?\s+)?(.+?)\s*#*$", lines[k]):
+            section, title = m[1] or re.sub(r"[^\w]+", "-", m[2].lower()).strip("-"), m[2]
+            yield path, "heading", section, title, k + 1, [], []
+        elif lines[k].lstrip().startswith("|") and k + 1 < len(lines) and re.fullmatch(r"[\s|:-]*-[\s|:-]*", lines[k + 1]):
+            headers, body, start = cells(lines[k]), [], k
+            k += 2
+            while k < len(lines) and lines[k].lstrip().startswith("|"):
+                body.append(cells(lines[k]))
+                k += 1
+            yield path, "table", section, title, start + 1, headers, body
+            continue
+        k += 1

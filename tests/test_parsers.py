@@ -1,0 +1,76 @@
+"""Extractors on small sources."""
+
+from loomspark.sources import parsers as X
+
+COBOL = """\
+000100 IDENTIFICATION DIVISION.
+000200 PROGRAM-ID. ORDPROG.
+000300* a comment
+000400 FD  ORDER-FILE.
+000500 01  ORDER-REC.
+000600     05  ORDER-ID PIC 9(6).
+000700 PROCEDURE DIVISION.
+000800 1000-FIRST-PARA.
+000900     IF ORDER-ID > 0
+001000     CALL 'SUBPROG'
+001100     CALL 'SUBPROG'
+001200     COPY ORDCOPY.
+001300 2000-SECOND-PARA.
+001400     IF ORDER-ID = 0
+001500     PERFORM UNTIL DONE
+001600     CALL WS-PROG.
+"""
+JCL = """\
+//CREASTMT JOB (ACCT),'X'
+//* comment
+//STEP010 EXEC PGM=IDCAMS,COND=(0,NE)
+//SYSIN    DD *
+  DELETE //NOT A CARD
+/*
+//STEP020 EXEC PGM=SORT
+//SORTIN   DD DSN=A.B.C,
+//            DISP=SHR
+//SORTOUT  DD DSN=A.B.OUT,DISP=(NEW,CATLG)
+"""
+
+
+def test_cobol_facts_have_stable_keys():
+    facts = list(X.cobol_facts("p.cbl", COBOL))
+    keys = [f[2] for f in facts]
+    assert "program/ORDPROG" in keys and "field/ORDPROG.ORDER-ID" in keys and "record/ORDPROG.ORDER-REC" in keys
+    assert keys.count("call/ORDPROG.1000-FIRST-PARA.SUBPROG") == 2
+    assert "branch/ORDPROG.1000-FIRST-PARA#1" in keys and "branch/ORDPROG.2000-SECOND-PARA#1" in keys
+    assert any(f[1] == "loop" for f in facts)
+    assert {f[5] for f in facts if f[1] == "call"} == {"literal", "dynamic"}
+
+
+def test_cobol_normalizer_keeps_lines():
+    text = "000100 MOVE 'AB\n000200-    'CD' TO X.\n000300/ page\n000400D debug\n000500 STOP RUN."
+    lines = X.normalize_cobol(text).split("\n")
+    assert len(lines) == 5 and lines[1:4] == ["", "", ""] and lines[0] == "MOVE 'ABCD' TO X."
+
+
+def test_jcl_facts():
+    facts = list(X.jcl_facts("j.jcl", JCL))
+    assert [(f[4], f[5]) for f in facts if f[1] == "step"] == [("STEP010", "IDCAMS"), ("STEP020", "SORT")]
+    assert [f[2] for f in facts if f[1] == "dataset"] == ["dataset/A.B.C", "dataset/A.B.OUT"]
+    assert [f[2] for f in facts if f[1] == "dd"] == ["dd/CREASTMT.STEP010.SYSIN", "dd/CREASTMT.STEP020.SORTIN", "dd/CREASTMT.STEP020.SORTOUT"]
+    assert [f[5] for f in facts if f[1] == "dd"] == [None, "SHR", "(NEW,CATLG)"]
+
+
+def test_markdown_tables():
+    text = "# 4.2 Calls\n\n| Called program | Call sites |\n|---|---|\n| `A` | L9, L12 |\n\n## Notes\ntext"
+    rows = list(X.markdown_sections("d.md", text))
+    assert [(r[1], r[2]) for r in rows] == [("heading", "4.2"), ("table", "4.2"), ("heading", "notes")]
+    assert rows[1][5] == ["Called program", "Call sites"] and rows[1][6] == [["`A`", "L9, L12"]]
+    assert X.document_kind("GEN.BD-X.report.md") == "bd" and X.document_kind("GEN.DD.COBOL-P.report.md") == "dd_cobol" and X.document_kind("GEN.DD.JCL-J.report.md") == "dd_jcl"
+
+
+def test_symbols_and_imports(spark):
+    source = "import os\nfrom . import x\nclass A:\n    def f(self, a):\n        pass\ndef g():\n    pass\n"
+    files = spark.createDataFrame([("a.py", source), ("b.py", "def broken(:"), ("c.py", None)], "rel_path string, text string")
+    got = {(r.name, r.kind, r.parent_name, r.line_start) for r in X.extract(files, X.python_symbols, X.SYMBOLS).collect()}
+    assert got == {("A", "class", None, 3), ("f", "method", "A", 4), ("g", "function", None, 6)}
+    assert {r.target for r in X.extract(files, X.python_imports, X.IMPORTS).collect()} == {"os", "."}
+    assert [t for _, t, _ in X.script_imports("a.ts", "import a from 'x'\nconst b = require('./y')\nexport * from \"z\"")] == ["x", "./y", "z"]
+    assert [(s[1], s[2]) for s in X.lexical_symbols("go")("a.go", "func (r *T) Run() {\nfunc main() {\ntype T struct {")] == [("Run", "method"), ("main", "function"), ("T", "type")]
