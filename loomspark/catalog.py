@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import graphs, reconciliation, retrieval, tables
+from loomspark.plans import graphs, reconciliation, retrieval, tables, validation
 
-_MODULES = (retrieval, graphs, reconciliation, tables)
+_MODULES = (retrieval, graphs, reconciliation, tables, validation)
 
 
 def queries() -> dict:
