@@ -21,6 +21,7 @@ library's default.
 from __future__ import annotations
 
 import json
+import re
 import sys
 from collections.abc import Iterator
 
@@ -196,6 +197,7 @@ class Splitter:
 
     def __init__(self, bpe: ByteBPE) -> None:
         self.bpe, self.kinds = bpe, character_classes()
+        self.special = re.compile("|".join(map(re.escape, bpe.specials))) if bpe.specials else None
 
     def starts(self, text: str) -> np.ndarray:
         """Positions where a pre-token begins; the text is taken as a whole one."""
@@ -228,12 +230,10 @@ class Splitter:
 
     def closed(self, text: str) -> int:
         """Tokens of a text between cuts that hold in any state."""
-        total = 0
-        for special in self.bpe.specials:
-            if special in text:
-                head, _, tail = text.partition(special)
-                return total + self.closed(head) + 1 + self.closed(tail)
-        return total + self.plain(text)
+        if self.special is None or not self.special.search(text):
+            return self.plain(text)
+        parts = self.special.split(text)
+        return len(parts) - 1 + sum(map(self.plain, parts))
 
     def cuts(self, text: str) -> tuple[int, int]:
         """The first and last place where white space follows anything else; (-1, -1) if there is none."""

@@ -17,6 +17,11 @@ def test_counts_equal_the_library_at_any_chunk_size():
         assert {machine.count(text, c) for c in (1, 3, 7, 16, 10**9)} == {want}, text
 
 
+def test_many_special_strings():
+    machine = tc.machine(tc.default_vocabulary())
+    assert machine.count("<|endoftext|>a" * 5000) == 10000 == machine.count("<|endoftext|>a" * 5000, 1000)
+
+
 def test_maps_compose_in_any_grouping():
     machine, rng = tc.machine(tc.default_vocabulary()), random.Random(3)
     for _ in range(200):
