@@ -86,23 +86,29 @@ def set_keys(docs: DataFrame, n_words: int = WORDS_PER_SHINGLE) -> DataFrame:
     return common.map_batches(docs.select("doc_id", "text"), keys, "doc_id long, n long, key binary", _SETS)
 
 
-def _flat_tokens(rows: DataFrame, first: bool, n_words: int, percent: int) -> DataFrame:
-    """(token, doc_id, n), a row for each token of each (doc_id, text); with first, of order A's prefix."""
-    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32())])
+def _first_tokens(rows: DataFrame, shift: int, n_words: int, percent: int) -> DataFrame:
+    """(token, doc_id), a row for each token of order A's prefix of each (doc_id, text), less its low bits."""
+    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = part.column(0).to_pylist()
                 sets = [shingle_set(x, n_words) for x in part.column(1).to_pylist()]
-                sizes = [len(s) for s in sets]
-                if first:
-                    sets = [s[: len(s) - need(len(s), percent) + margin(len(s))] for s in sets]
-                lengths = [len(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)), pa.array(np.repeat(np.array(ids, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], schema=schema)
+                sets = [s[: len(s) - need(len(s), percent) + margin(len(s))] for s in sets]
+                tokens = (np.concatenate(sets) if sets else np.empty(0, np.uint64)) >> np.uint64(shift)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets]), pa.int64())], schema=schema)
 
-    return rows.select("doc_id", "text").mapInArrow(run, "token long, doc_id long, n int")
+    return rows.select("doc_id", "text").mapInArrow(run, "token long, doc_id long")
+
+
+def _spare_bits(n_sets: int) -> int:
+    """Low bits of a token that an index over so many sets can do without.
+
+    Tokens that become equal only let more sets pass a filter, so the join stays exact; with 14 bits beyond the
+    number of tokens such cases are rare.
+    """
+    return max(0, 64 - 14 - (256 * max(1, n_sets)).bit_length())
 
 
 def _need(n: Column, percent: int) -> Column:
@@ -202,10 +208,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, n_words: int = W
     wanted = docs.dropna(subset=["doc_id"]) if n_reps else docs.limit(0)
 
     # order A
-    first = _flat_tokens(_semi(wanted, rep_ids, n_reps), True, n_words, percent).withColumn("token", F.shiftright("token", 16))
-    k = _margin(_need(F.col("n"), percent))
-    alive = _shared(first, "doc_id").groupBy("doc_id").agg(F.count("*").alias("m"), F.first("n").alias("n")).filter(F.col("m") >= k).select("doc_id")
-    alive = common.checkpoint(alive)
+    shift = _spare_bits(n_reps)
+    first = _first_tokens(_semi(wanted, rep_ids, n_reps), shift, n_words, percent)
+    often = first.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token")
+    shared = first.join(often, "token").groupBy("doc_id").agg(F.count("*").alias("m"))
+    sizes = keyed.groupBy("doc_id").agg(F.min("n").alias("n"))
+    alive = common.checkpoint(shared.join(sizes, "doc_id").filter(F.col("m") >= _margin(_need(F.col("n"), percent))).select("doc_id"))
     n_alive = alive.count()
 
     # order B
@@ -213,41 +221,41 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, n_words: int = W
         made = [shingle_set(x, n_words) for x in part["text"]]
         return {"doc_id": part["doc_id"], "n": [len(s) for s in made], "tokens": [s.tobytes() for s in made]}
 
-    sets = common.checkpoint(
-        common.map_batches(_semi(wanted, alive, n_alive), whole, "doc_id long, n long, tokens binary", pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])).dropDuplicates(["doc_id", "tokens"])
-    )
-    postings = _prefixes(sets, None, percent)
+    sets = common.map_batches(_semi(wanted, alive, n_alive), whole, "doc_id long, n long, tokens binary", pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())]))
+    sets = common.checkpoint(sets.filter("n > 0"))
+    postings = common.checkpoint(_prefixes(sets, None, shift, percent).select("doc_id", "hub"))
+    live = common.checkpoint(sets.join(postings.select("doc_id").distinct(), "doc_id", "left_semi"))
     hub_of = postings.filter("hub <> doc_id").groupBy("doc_id", "hub").agg(F.count("*").alias("lists"))
     best = W.partitionBy("doc_id").orderBy(F.desc("lists"), "hub")
     hubs = hub_of.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= HUBS).select(F.col("hub").alias("src"), F.col("doc_id").alias("dst"))
-    links = common.checkpoint(_verify(hubs, sets, percent))
+    links = common.checkpoint(_verify(hubs, live, percent))
     labels = common.components(links)
 
     # between components
-    rest = common.checkpoint(_prefixes(sets, labels, percent).select("token", "doc_id", "n", "component", "df"))
+    rest = common.checkpoint(_prefixes(live, labels, shift, percent).select("token", "doc_id", "n", "component"))
     lists = rest.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token", "members")
     open_ = rest.join(lists, "token")
     short, long_ = open_.filter(F.col("members") <= SHORT_LIST), open_.filter(F.col("members") > SHORT_LIST)
     a = short.select("token", F.col("doc_id").alias("src"), F.col("n").alias("sn"), F.col("component").alias("sc"))
     b = short.select("token", F.col("doc_id").alias("dst"), F.col("n").alias("dn"), F.col("component").alias("dc"))
     pairs = a.join(b, "token").filter(f"src < dst and sc <> dc and 100 * least(sn, dn) >= {percent} * greatest(sn, dn)").select("src", "dst").distinct()
-    late = common.checkpoint(_verify(pairs, sets, percent).union(_block_links(long_, sets, percent)))
+    late = common.checkpoint(_verify(pairs, live, percent).union(_block_links(long_, live, percent)))
     labels = common.components(links.union(late))
     of_key = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     return keyed.join(of_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _prefixes(sets: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+def _prefixes(sets: DataFrame, labels: DataFrame | None, shift: int, percent: int) -> DataFrame:
     """Order B's postings; with labels, only what several components share counts."""
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                own = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
+                own = [np.frombuffer(x, np.uint64) for x in part.column(2).to_pylist()]
                 lengths = [len(s) for s in own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(own) if own else np.empty(0, np.int64)), *(pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), lengths)) for c in (0, 1, 3))], names=["token", "doc_id", "n", "component"]
+                    [pa.array(((np.concatenate(own) if own else np.empty(0, np.uint64)) >> np.uint64(shift)).view(np.int64)), *(pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), lengths)) for c in (0, 1, 3))], names=["token", "doc_id", "n", "component"]
                 )
 
     if labels is None:
