@@ -17,6 +17,8 @@ one piece; repeated rows are packed each; an empty table gives an empty result;
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,13 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import common
+from loomspark.llm.token_counts import byte_symbols
 
 WINDOW = 2048
 END_ID = 1
-#: White-space separated chunks whose ids a worker remembers; bounds memory, never the result.
-MEMO_CHUNKS = 1_000_000
-#: A special token of the vocabulary file.
-SEPARATOR = "<|endoftext|>"
+#: Chunks, and parts of chunks, whose ids a worker remembers; bounds memory, never the result.
+MEMO_CHUNKS = 600_000
 
 
 def default_vocabulary() -> str:
@@ -41,42 +42,57 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Ids:
-    """Token ids of texts.  The vocabulary drops white space and never joins across it, so that the ids of a
-    text are those of its white-space separated chunks in a row; chunks are encoded once and remembered."""
+#: What a chunk may hold to be cut by rule: printable ASCII but the apostrophe, and the composed letters of Latin-1.
+_PLAIN = re.compile(r"[!-&(-~\u00e0-\u00f6\u00f8-\u00ff]+")
+#: Pre-tokens of such a chunk in lower case: runs of letters, single digits, runs of anything else.
+_PARTS = re.compile(r"[a-z\u00e0-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00e0-\u00f6\u00f8-\u00ff]+")
+
+
+class Ids(dict):
+    """Token ids of texts, and a memo of the ids of chunks.
+
+    The vocabulary drops white space and never joins across it, so that the ids of a text are those of its
+    white-space separated chunks in a row.  A chunk of plain letters, digits and signs is cut into pre-tokens
+    here and each is looked up or handed to the library's merge model; any other goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator = self.tokenizer.token_to_id(SEPARATOR)
-        self.memo: dict[bytes, bytes] = {}
-
-    def of(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        # the vocabulary lower-cases; doing so first for A-Z makes chunks more alike, but special strings need their case
-        split = [(x.encode("utf-8") if "<|" in x else x.encode("utf-8").lower()).split() if x else [] for x in texts]
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo.clear()
-        new = list({w for words in split for w in words} - self.memo.keys())
-        plain = [w for w in new if b"<|" not in w]
-        # many chunks in one call, kept apart by a special token that none of them holds
-        calls = [plain[k : k + 512] for k in range(0, len(plain), 512)]
-        for chunks, e in zip(calls, self._encode([SEPARATOR.join(w.decode("utf-8") for w in c) for c in calls]), strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            at = [-1, *(ids == self.separator).nonzero()[0].tolist(), len(ids)]
-            whole = ids.tobytes()
-            for w, a, b in zip(chunks, at[:-1], at[1:], strict=True):
-                self.memo[w] = whole[4 * a + 4 : 4 * b]
-        odd = [w for w in new if b"<|" in w]
-        for w, e in zip(odd, self._encode([w.decode("utf-8") for w in odd]), strict=True):
-            self.memo[w] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.memo.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-    def _encode(self, texts: list[str]) -> list:
-        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        self.model = self.tokenizer.model
+        self.parts: dict[str, bytes] = {}
+        self.symbols = {b: c for c, b in byte_symbols().items()}
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8")
+        low = text.lower()
+        if _PLAIN.fullmatch(low) and "<|" not in text and len(low) == len(text):
+            ids = b"".join([self.parts.get(p) or self._part(p) for p in _PARTS.findall(low)])
+        else:
+            ids = _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if len(self) >= MEMO_CHUNKS:
+            self.clear()
+        self[chunk] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        units = part if part.isascii() else "".join(map(self.symbols.__getitem__, part.encode("utf-8")))
+        ids = _bytes([t.id for t in self.model.tokenize(units)])
+        if len(self.parts) >= MEMO_CHUNKS:
+            self.parts.clear()
+        self.parts[part] = ids
+        return ids
+
+    def of(self, text: str | None) -> bytes:
+        """Little-endian 32-bit ids of a whole text."""
+        return b"".join(map(self.__getitem__, text.encode("utf-8").split())) if text else b""
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Packer:
@@ -184,8 +200,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows: list[tuple] = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), ids_of.of(part.column(1).to_pylist()), strict=True):
-                    rows += packer.add(doc_id, ids + end)
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    rows += packer.add(doc_id, ids_of.of(text) + end)
                 if rows:
                     yield batch_of(rows)
         if rows := packer.close():
