@@ -122,6 +122,16 @@ def budget_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.budget(rows.select("query_id", "rank", "chunk_id", "tokens"), 7000, [F.col("rank")])
 
 
+_BUDGET = _TOP + """,
+x AS (SELECT t.query_id, t.rank, t.chunk_id, CAST(greatest(1, length(t.content) // 4) AS BIGINT) AS tokens FROM t WHERE rank <= 100),
+f(query_id, rank, chunk_id, tokens, used, kept) AS (
+  SELECT DISTINCT query_id, 0, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), false FROM x
+  UNION ALL SELECT f.query_id, x.rank, x.chunk_id, x.tokens, CASE WHEN f.used + x.tokens <= 7000 THEN f.used + x.tokens ELSE f.used END, f.used + x.tokens <= 7000 FROM f JOIN x ON f.query_id = x.query_id AND x.rank = f.rank + 1
+)
+SELECT query_id, rank, chunk_id, tokens FROM f WHERE kept
+"""
+
+
 def capped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 100 best chunks of each query, no more of a file than its cap allows."""
     scored, c, _ = _scored(spark, sf_dir)
@@ -207,8 +217,9 @@ ORACLES = {
     "term_statistics": f"WITH {_CHUNKS} SELECT term, df, round(idf, 6) AS idf FROM s",
     "chunk_table": f"WITH {_CHUNKS} SELECT chunk_id, rel_path, CAST(length(content) AS INTEGER) AS n_chars, CAST(greatest(1, length(content) // 4) AS INTEGER) AS token_estimate, md5(content) AS content_md5, CASE WHEN regexp_matches(content, '[0-9]{{3}}') THEN 'function' ELSE 'block' END AS chunk_type FROM c",
     "rrf_fusion": f"WITH {_RRF}",
+    "budget_packing": f"WITH RECURSIVE {_BUDGET}",
     "capped_files": f"WITH {_CAPPED}",
     "retrieval_quality": f"WITH {_QUALITY}",
-    "boundary_expansion": f"WITH {_EXPAND}".replace("AS n_chars FROM x", "AS n_chars FROM x"),
+    "boundary_expansion": f"WITH {_EXPAND}",
     "mode_comparison": f"WITH {_MODES}",
 }
