@@ -147,7 +147,23 @@ lb AS (SELECT CAST(n_nationkey AS VARCHAR) AS node, r_name AS community FROM nat
 pl AS (SELECT src, dst, a.community AS ca, b.community AS cb FROM tr JOIN lb a ON src = a.node JOIN lb b ON dst = b.node)
 """
 
+
+def _level(k: int) -> str:
+    """Files that are first reached at step k, from those of step k - 1, for seeds that hold at most 30 files by then."""
+    before = " UNION ALL ".join(f"SELECT seed, file FROM l{i}" for i in range(k))
+    return (
+        f"s{k} AS ({before}), l{k} AS (SELECT l.seed, e.b AS file, {k} AS step, max(e.c) AS best, count(DISTINCT e.symbol) AS n_symbols FROM l{k - 1} l JOIN ce e ON l.file = e.a "
+        f"WHERE l.seed IN (SELECT seed FROM s{k} GROUP BY seed HAVING count(*) <= 30) AND NOT EXISTS (SELECT 1 FROM s{k} x WHERE x.seed = l.seed AND x.file = e.b) GROUP BY l.seed, e.b)"
+    )
+
+
+_CHAIN = f"""WITH {_E}, c0 AS (SELECT split_part(src, '::', 1) AS a, split_part(dst, '::', 1) AS b, dst AS symbol, confidence AS c FROM se), ce AS (SELECT * FROM c0 WHERE a <> b),
+l0 AS (SELECT DISTINCT node AS seed, node AS file, 0 AS step, 1.0 AS best, 0 AS n_symbols FROM sd), {_level(1)}, {_level(2)}, {_level(3)},
+every AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)
+SELECT seed, file, CAST(step AS INTEGER) AS step, CAST(n_symbols AS INTEGER) AS n_symbols, round(product(CAST(best AS DOUBLE)) OVER (PARTITION BY seed ORDER BY step, file ROWS UNBOUNDED PRECEDING), 6) AS path_confidence FROM every"""
+
 ORACLES = {
+    "call_chain": _CHAIN,
     "degree_centrality": f"WITH {_E}, d AS (SELECT src AS node, 0 AS i, 1 AS o FROM fe UNION ALL SELECT dst, 1, 0 FROM fe) SELECT node, CAST(sum(i) AS BIGINT) AS indegree, CAST(sum(o) AS BIGINT) AS outdegree, CAST(3 * sum(i) + sum(o) AS BIGINT) AS score FROM d GROUP BY node",
     "central_files": f"WITH {_E}, d AS (SELECT src AS node, 0 AS i, 1 AS o FROM fe UNION ALL SELECT dst, 1, 0 FROM fe), g AS (SELECT node, CAST(sum(i) AS BIGINT) AS indegree, CAST(3 * sum(i) + sum(o) AS BIGINT) AS score FROM d GROUP BY node) SELECT node, CAST(row_number() OVER (ORDER BY score DESC, indegree DESC, node) - 1 AS INTEGER) AS rank, score, indegree FROM g QUALIFY row_number() OVER (ORDER BY score DESC, indegree DESC, node) <= 30",
     "neighbourhood_2hop": f"WITH RECURSIVE {_E}, r AS (SELECT node AS seed, node, 0 AS hop FROM sd UNION SELECT r.seed, un.dst, r.hop + 1 FROM r JOIN un ON r.node = un.src WHERE r.hop < 2), m AS (SELECT seed, node, min(hop) AS hop FROM r GROUP BY ALL) SELECT seed, node, CAST(hop AS INTEGER) AS hop FROM m QUALIFY row_number() OVER (PARTITION BY seed ORDER BY hop, node) <= 300",
