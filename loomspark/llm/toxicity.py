@@ -36,7 +36,7 @@ FOLDS = 4
 #: Lengths of the beginnings of words, in letters.
 BEGINNINGS = range(3, 11)
 #: Words whose features a worker remembers.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 RIDGE = 0.3
 CATEGORIES = ("toxic_junk", "toxic_prose", "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -137,8 +137,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, features: int
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic, rows_ = batch.column(0).to_pylist(), [sorted({f for w in set(words(x)) for f in word_features(w)}) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([w for r in rows_ for w in r], pa.string()), pa.array(np.repeat(np.array(toxic, np.int64), [len(r) for r in rows_]))], names=["word", "toxic"])
+            for at in range(0, batch.num_rows, 64):  # a text has many features; few texts at a time bound the memory
+                part = batch.slice(at, 64)
+                toxic, rows_ = part.column(0).to_pylist(), [list({f for w in set(words(x)) for f in word_features(w)}) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([w for r in rows_ for w in r], pa.string()), pa.array(np.repeat(np.array(toxic, np.int64), [len(r) for r in rows_]))], names=["word", "toxic"])
 
     joined = texts.join(F.broadcast(sample), "doc_id")
     totals = joined.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
