@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that a task handles at once; bounds the memory of one step.
-STEP_ROWS = 1024
+STEP_ROWS = 256
+#: Rows of an Arrow batch that Spark hands to a task.
+BATCH_ROWS = 512
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,9 +23,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches to Python hold at most BATCH_ROWS rows: texts may be long, and a batch is held whole in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_batches(df: DataFrame, f: Callable[[dict], dict | None], schema: str, types: pa.Schema) -> DataFrame:
     """Apply f to slices of at most STEP_ROWS rows: from a dict of Python lists to a dict of columns."""
 
+    bound_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, STEP_ROWS):

@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
             made = [base64.b64encode(fingerprint(signature(x))).decode() for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, type=pa.string())], names=[*batch.schema.names, "fingerprint"])
 
+    common.bound_batches(docs.sparkSession)
     kept = docs.drop("fingerprint")
     return kept.mapInArrow(run, kept.schema.add("fingerprint", "string"))
 
@@ -86,6 +87,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     it, which is all that crosses a border.  Only as many borders as there are ranges pass the driver.
     """
     spark = docs.sparkSession
+    common.bound_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = common.partitions(spark)
     pieces = 4 * n

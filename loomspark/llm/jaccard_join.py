@@ -99,6 +99,7 @@ def _first_tokens(rows: DataFrame, shift: int, n_words: int, percent: int) -> Da
                 tokens = (np.concatenate(sets) if sets else np.empty(0, np.uint64)) >> np.uint64(shift)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets]), pa.int64())], schema=schema)
 
+    common.bound_batches(rows.sparkSession)
     return rows.select("doc_id", "text").mapInArrow(run, "token long, doc_id long")
 
 

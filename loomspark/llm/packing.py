@@ -207,6 +207,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
         if rows := packer.close():
             yield batch_of(rows)
 
+    common.bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

@@ -169,6 +169,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs, unchanged, that score at least so high under a model learnt from their own labels."""
+    common.bound_batches(docs.sparkSession)
     known = learnable(labels)
     ids = known.select("doc_id").distinct()
     labelled = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")

@@ -298,6 +298,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
             sizes = [len(x.encode("utf-8", "surrogatepass")) if x else 0 for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    common.bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 

@@ -129,6 +129,7 @@ def fit_chain(x: np.ndarray, targets: np.ndarray, fold: np.ndarray) -> list[np.n
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, features: int = WORD_FEATURES) -> Chain:
     """Learn the chain; at most `rows` label rows and `features` words reach the driver."""
+    common.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     known = labels.filter("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", F.coalesce("quality", F.lit(1)).alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "quality").limit(rows)
