@@ -1,6 +1,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from loomspark.llm import topk
 
 
@@ -20,7 +22,7 @@ def brute(rows, k=5):
 
 def run(spark, rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    return sorted(tuple(r) for r in topk.top_k(df.repartition(3), df["vec_id"] % 50 == 0).select("query_id", "rank", "vec_id", "score").collect())
+    return sorted(tuple(r) for r in topk.top_k(df.repartition(3), F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score").collect())
 
 
 def test_matches_brute_force(spark, monkeypatch):
