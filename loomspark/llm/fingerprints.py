@@ -1,8 +1,10 @@
 """Operator 1, document fingerprints: MinHash over word shingles.
 
-Shingles of five words are hashed to 32 bits; each of the universal permutations
-``h -> a*h + b mod 2**32`` (a odd) is applied to all shingles of a text at once in numpy and its
-smallest value kept.  ``near_duplicates`` joins bands of the signature in Spark, verifies the exact
+Shingles of five words are hashed to 64 bits; each of the universal permutations
+``h -> a*h + b mod 2**32`` (a odd) is applied to the high halves of all shingles of a text at once in numpy.
+The shingle with the smallest value (of several, the one with the smallest low half) is the permutation's pick,
+and its 64 bits, mixed anew for each permutation, give the signature: the smallest value itself lies near 0 in
+any long text and so says little.  ``near_duplicates`` joins bands of the signature in Spark, verifies the exact
 Jaccard similarity of each candidate and returns classes.
 
 Defined results: a null text counts as empty.  A text without words has the fingerprint of the empty
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import common
-from loomspark.llm.shingles import WORDS_PER_SHINGLE, shingle_hashes, shingle_set, word_hashes
+from loomspark.llm.shingles import WORDS_PER_SHINGLE, mix64, shingle_hashes, shingle_set, word_hashes
 
 PERMUTATIONS = 128
 BAND_ROWS = 4
@@ -32,21 +34,34 @@ _BLOCK = 2048
 _RNG = np.random.default_rng(7919)
 _A = (_RNG.integers(0, 2**32, size=PERMUTATIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
 _B = _RNG.integers(0, 2**32, size=PERMUTATIONS, dtype=np.uint64).astype(np.uint32)[:, None]
+_UNDO = np.array([pow(int(a), -1, 2**32) for a in _A[:, 0]], dtype=np.uint32)
+_SALT = _RNG.integers(0, 2**64, size=PERMUTATIONS, dtype=np.uint64)
 
 
 def signature(text: str | None, n: int = WORDS_PER_SHINGLE) -> np.ndarray:
-    """Smallest value of each permutation over the shingles of a whole text; all ones for the empty set."""
-    h = (shingle_hashes(word_hashes(text), n) >> np.uint64(32)).astype(np.uint32)
+    """32 mixed bits of each permutation's pick among the shingles of a whole text; all ones for the empty set."""
+    whole = shingle_hashes(word_hashes(text), n)
     best = np.full(PERMUTATIONS, 0xFFFFFFFF, dtype=np.uint32)
+    if not len(whole):
+        return best
+    h = (whole >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(h), _BLOCK):
         values = _A * h[None, at : at + _BLOCK]
         values += _B
         np.minimum(best, values.min(axis=1), out=best)
-    return best
+    return (mix64(_picks(whole, h, _UNDO * (best - _B[:, 0])) ^ _SALT) >> np.uint64(32)).astype(np.uint32)
+
+
+def _picks(whole: np.ndarray, h: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    """The smallest hash of whole for each of the picked high halves; all of them occur in h."""
+    maybe = np.zeros(1 << 16, dtype=bool)
+    maybe[picked & np.uint32(0xFFFF)] = True
+    few = np.sort(whole[maybe[h & np.uint32(0xFFFF)]])
+    return few[np.searchsorted(few, picked.astype(np.uint64) << np.uint64(32))]
 
 
 def fingerprint(sig: np.ndarray) -> bytes:
-    """The high 16 bits of each smallest value."""
+    """The high 16 bits of each value of the signature."""
     return (sig >> np.uint32(16)).astype("<u2").tobytes()
 
 

@@ -55,6 +55,23 @@ def test_likeness_follows_jaccard():
     assert abs(fp.likeness(fp.fingerprint(fp.signature(a)), fp.fingerprint(fp.signature(b))) - true) < 0.15
 
 
+def test_likeness_of_very_long_texts():
+    rng = np.random.default_rng(3)
+    a, b = ([str(x) for x in rng.integers(0, 10**9, 200_000)] for _ in range(2))
+    edited = a[:133_333] + b[:66_667]
+    x, y, z = (fp.fingerprint(fp.signature(" ".join(w))) for w in (a, b, edited))
+    assert x != y and fp.likeness(x, y) < 0.02
+    assert abs(fp.likeness(x, z) - 0.5) < 0.15  # two thirds of the shingles of each are the other's
+
+
+def test_picks_are_the_smallest_of_each_permutation():
+    text = words(random.Random(5), 300)
+    whole = shingle_set(text)
+    for j, got in enumerate(fp.signature(text)):
+        order = min(((int(fp._A[j, 0]) * (int(h) >> 32) + int(fp._B[j, 0])) % 2**32, int(h)) for h in whole)
+        assert got == int(fp.mix64(np.array([order[1]], dtype=np.uint64) ^ fp._SALT[j])[0]) >> 32
+
+
 def test_words_are_split_at_ascii_white_space():
     text = "Aa bB\x0bcc dd\x1cee\n\nff"
     assert len(word_hashes(text)) == len(text.encode().split())
