@@ -60,22 +60,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over the undirected edges (src, dst).
 
-    Each round hooks every node to the smallest label among its neighbours, then halves paths by
-    looking up its label's label; the number of rounds grows with the logarithm of a component's
-    diameter.  Groups are only ever aggregated with min, never collected.
+    Each round hooks every node, and the node that it is labelled with, to the smallest label among its
+    neighbours, then halves paths by looking up its label's label.  Labels only fall, and rounds go on until
+    none does; as roots are hooked too, their number grows with the logarithm of a component's size in
+    whatever order the ids come.  Groups are only ever aggregated with min, never collected.
     """
     both = checkpoint(edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).filter("src <> dst").distinct())
     labels = both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.col("id")).alias("component"))
     labels = checkpoint(labels)
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
-        hooked = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        seen = checkpoint(labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("near")))
+        roots = seen.filter("near < old").groupBy(F.col("old").alias("id")).agg(F.min("near").alias("over"))
+        hooked = seen.join(roots, "id", "left").select("id", "old", F.least("near", "over").alias("component"))
         up = hooked.select(F.col("id").alias("component"), F.col("component").alias("above"))
         after = checkpoint(hooked.join(up, "component", "left").select("id", "old", F.coalesce("above", "component").alias("component")))
         labels = after.select("id", "component")
         if after.filter("old <> component").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")

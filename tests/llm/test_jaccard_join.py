@@ -3,6 +3,7 @@ import random
 import pytest
 from cases import frame, odd_documents, words
 
+from loomspark.llm import common
 from loomspark.llm import jaccard_join as jj
 
 
@@ -78,3 +79,11 @@ def test_bounds():
         assert jj.need(n) * 100 >= 80 * n > (jj.need(n) - 1) * 100
         for m in range(jj.need(n), n + 1):
             assert jj.least_margin(n) <= min(jj.margin(m), jj.margin(n))
+
+
+def test_components_of_a_shuffled_chain(spark):
+    ids = list(range(1000))
+    random.Random(6).shuffle(ids)
+    edges = [*zip(ids, ids[1:]), (2001, 2000), (2002, 2001)]  # noqa: B905
+    got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == dict.fromkeys(range(1000), 0) | dict.fromkeys(range(2000, 2003), 2000)
