@@ -7,6 +7,8 @@ Only counts reach the driver.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -145,15 +147,17 @@ def call_chain(edges: DataFrame, seeds: DataFrame, most: int = 4, stop_above: in
     return seen.select("seed", "file", "step", F.product("best").over(order).alias("path_confidence"), F.size("symbols").alias("n_symbols"))
 
 
-def strong_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(node, component) of the nodes on cycles; component is the cycle's smallest node.
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component, size) of the nodes on cycles; component is the cycle's smallest node.
 
-    Rounds of forward colouring: nodes without an edge in or out are trimmed; every node takes the smallest
-    name that reaches it; going back from each such name inside its colour gives one component, which leaves.
+    Rounds of forward colouring until no edge is left: nodes without an edge in or out are trimmed; every node
+    takes the first node that reaches it, in an order by hash that is new in each round; going back from each
+    such node inside its colour gives one component, which leaves, as do edges between colours.  In a random
+    order a chain of cycles falls into parts each round, however they are named, so that rounds stay few.
     """
     live = checkpoint(edges.filter("src <> dst").select("src", "dst").distinct())
     found = None
-    for _ in range(most_rounds):
+    for turn in itertools.count():
         while True:  # trim
             sources, targets = live.select(F.col("src").alias("n")).distinct(), live.select(F.col("dst").alias("n")).distinct()
             core = checkpoint(live.join(targets, F.col("src") == F.col("n"), "left_semi").join(sources, F.col("dst") == F.col("n"), "left_semi"))
@@ -163,7 +167,7 @@ def strong_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
                 break
         if live.isEmpty():
             break
-        colour = checkpoint(live.select(F.col("src").alias("node")).union(live.select("dst")).distinct().withColumn("colour", F.col("node")))
+        colour = checkpoint(live.select(F.col("src").alias("node")).union(live.select("dst")).distinct().withColumn("colour", F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node")))
         while True:
             came = live.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("came"))
             after = checkpoint(colour.join(came, "node", "left").select("node", "colour", F.least("colour", F.coalesce("came", "colour")).alias("next")))
@@ -173,15 +177,16 @@ def strong_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
                 break
         inner = live.join(colour.withColumnsRenamed({"node": "src", "colour": "a"}), "src").join(colour.withColumnsRenamed({"node": "dst", "colour": "b"}), "dst").filter("a = b")
         inner = checkpoint(inner.select(F.col("src").alias("before"), F.col("dst").alias("node"), F.col("a").alias("colour")))
-        back = frontier = checkpoint(colour.filter("node = colour"))
+        back = frontier = checkpoint(colour.filter("node = colour.node"))
         while not frontier.isEmpty():
             step = frontier.join(inner, ["node", "colour"]).select(F.col("before").alias("node"), "colour").distinct()
             frontier = checkpoint(step.join(back, ["node", "colour"], "left_anti"))
             back = back.unionByName(frontier)
-        back = checkpoint(back.select("node", F.col("colour").alias("component")))
+        back = checkpoint(back.select("node", F.col("colour.node").alias("root")))
         found = back if found is None else found.unionByName(back)
+        live = inner.select(F.col("before").alias("src"), F.col("node").alias("dst"))
         live = checkpoint(live.join(back.select(F.col("node").alias("src")), "src", "left_anti").join(back.select(F.col("node").alias("dst")), "dst", "left_anti"))
     if found is None:
-        found = edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
-    sizes = found.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1")
-    return found.join(sizes, "component").select("node", "component", "size")
+        found = edges.select(F.col("src").alias("node"), F.col("src").alias("root")).limit(0)
+    sizes = found.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("size")).filter("size > 1")
+    return found.join(sizes, "root").select("node", "component", "size")

@@ -44,6 +44,17 @@ def test_strong_components(spark):
     assert graph.strong_components(spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")).collect() == []
 
 
+def test_strong_components_of_ordered_cycles_take_few_rounds(spark, monkeypatch):
+    """Cycles whose names ascend along the edges, each leading to all after it: one cycle a round by name order."""
+    n, made, plain = 12, [], graph.checkpoint
+    monkeypatch.setattr(graph, "checkpoint", lambda df: made.append(1) or plain(df))
+    edges = [(f"{i:03}{x}", f"{i:03}{y}") for i in range(n) for x, y in ("ab", "ba")]
+    edges += [(f"{i:03}b", f"{j:03}a") for i in range(n) for j in range(i + 1, n)]
+    got = graph.strong_components(spark.createDataFrame(edges, "src string, dst string")).collect()
+    assert sorted(map(tuple, got)) == [(f"{i:03}{x}", f"{i:03}a", 2) for i in range(n) for x in "ab"]
+    assert len(made) < 8 * n
+
+
 def test_reverse_cone_can_hold_its_seed(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "src string, dst string")
     seeds = spark.createDataFrame([("a",)], "node string")
