@@ -42,6 +42,17 @@ def test_run_is_the_stages_in_a_row(spark, small):
     assert a == b and a
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Repeated rows, ids with two texts, and rows without an id that copy others."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(5, a), (5, a), (5, b), (7, b), (9, c), (8, c), (8, c), (None, c.upper()), (None, d), (None, d), (None, d + " more"), (3, "z"), (4, None), (4, "")]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.deduplicate(spark, docs, "").collect()), key=repr)
+    alone = [r for r in got if r[0] is None]
+    assert [r for r in got if r[0] is not None] == [(3, "z"), (4, ""), (5, a), (8, c)]
+    assert len(alone) == 1 and alone[0][1] in (d, d + " more")
+
+
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
 def test_stages_take_empty_tables(spark, small, stage):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(0)
