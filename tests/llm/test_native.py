@@ -1,36 +1,53 @@
 """Conversations and url filters against plain Python."""
 
 import datetime
+import hashlib
 
 from loomspark.llm import conversations as cv
 from loomspark.llm import url_filters as uf
 
 
-def brute(rows):
+def brute(rows, part_turns=cv.PART_TURNS):
+    mark = lambda v: "-" if v is None else f"{len(v)}:{v}"
     convs = {}
-    for c, t, r, x in dict.fromkeys(rows):
-        convs.setdefault(c, []).append((t, r, x))
-    low = lambda v: (v is not None, v if v is not None else 0)
-    text = lambda v: (v is not None, v or "")
-    seqs = {c: tuple((r, x) for _, r, x in sorted(v, key=lambda t: (low(t[0]), text(t[1]), text(t[2])))) for c, v in convs.items()}
+    for k, (c, t, r, x) in enumerate(dict.fromkeys(rows)):
+        digest = hashlib.sha256((mark(r) + mark(x)).encode()).hexdigest()
+        convs.setdefault(c if c is not None else f"row {k}", []).append(((t is not None, t or 0), digest, r, x))
+    seqs = {c: tuple((r, x) for _, _, r, x in sorted(v, key=lambda t: t[:2])) for c, v in convs.items()}
     prefixes = {s[:k] for s in seqs.values() for k in range(1, len(s))}
     first = {}
     for c, s in seqs.items():
-        if s not in first or (c is not None and (first[s] is None or c < first[s])):
-            first[s] = c
-    return sorted(((c, len(s), "".join(f"<|{r or ''}|>\n{x or ''}<|end|>\n" for r, x in s)) for s, c in first.items() if s not in prefixes), key=repr)
+        named = c if isinstance(c, int) else None
+        if s not in first or (named is not None and (first[s] is None or named < first[s])):
+            first[s] = named
+    out = []
+    for s, c in first.items():
+        if s not in prefixes:
+            out += [(c, k // part_turns, len(s), "".join(f"<|{r or ''}|>\n{x or ''}<|end|>\n" for r, x in s[k : k + part_turns])) for k in range(0, len(s), part_turns)]
+    return sorted(out, key=repr)
 
 
 def test_collapse(spark):
     rows = []
     for c in range(30):  # snapshots of five conversations, some equal
         rows += [(c, t, "user" if t % 2 == 0 else "bot", f"base {c % 5} turn {t}") for t in range(c % 7 + 1)]
-    rows += [(100, 0, "user", None), (101, 0, "user", ""), (102, 0, None, "x"), (103, None, "user", "a"), (103, 0, "bot", "b"), (104, 0, "b", "2"), (104, 0, "a", "1"), (104, 0, "a", "1"), (None, 0, "user", "alone")]
+    rows += [(100, 0, "user", None), (101, 0, "user", ""), (102, 0, None, "x"), (103, None, "user", "a"), (103, 0, "bot", "b"), (104, 0, "b", "2"), (104, 0, "a", "1"), (104, 0, "a", "1")]
+    rows += [(None, 0, "user", "alone"), (None, 0, "user", "alone"), (None, 1, "user", "alone"), (None, None, "user", "other"), (None, 0, "user", "base 1 turn 0"), (105, 3, "user", "other")]
     df = spark.createDataFrame([(*r, "k") for r in rows], "conv_id long, turn long, role string, text string, hash string")
     assert sorted(map(tuple, cv.collapse(df).collect()), key=repr) == brute(rows)
     assert cv.collapse(df.limit(0)).collect() == []
 
 
+def test_long_conversation_and_many_rows_without_id(spark):
+    """One conversation with a third of all turns, a snapshot of it, rows without an id, many turns of one number."""
+    long_ = [(7, t, "user", f"turn {t}") for t in range(2500)]
+    rows = long_ + [(8, t, r, x) for _, t, r, x in long_[:1800]] + [(None, t % 3, "bot", f"row {t % 900}") for t in range(2500)] + [(9, 0, "bot", f"same turn {t}") for t in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = sorted(map(tuple, cv.collapse(df, 500).collect()), key=repr)
+    assert got == brute(rows, 500)
+    assert [r[1] for r in got if r[0] == 7] == [0, 1, 2, 3, 4] and not any(r[0] == 8 for r in got)
+
+
 def test_plan_is_native(spark, small):
     for f in (cv.op2_chat_collapse, uf.op3_url_filters):
         plan = f(spark, small)._jdf.queryExecution().toString()
