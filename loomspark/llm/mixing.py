@@ -3,22 +3,25 @@
 The tree is domain, language, source.  A node's budget is split among its children by their weights; a child
 that has fewer tokens (times the epochs allowed) than its share takes all it has, and the shortage goes to
 its siblings by weight before anything goes up, as a node's own capacity is the sum of its leaves'.
-Budgets are whole tokens (largest remainders).  A leaf's budget is filled with whole epochs, then with the
-token-prefix of one more epoch in that epoch's seeded order; the last document counts in part.
+Budgets are whole tokens: shares are rounded down, so that less than a token a node stays unspent.  A leaf's
+budget is filled with whole epochs, then with the token-prefix of one more epoch in that epoch's seeded order;
+the last document counts in part.
 
-Only one row for each leaf (source by language by domain, the size of the configuration) passes the driver.
-The prefix is found by summing tokens over the first, then the second byte of the order's hash, so that no
-task orders more than a 65,536th of a leaf's rows.
+The tree never leaves Spark.  Each level is split by one pass over its nodes: children with the same ratio of
+capacity to weight fill up at the same level, so that a node orders only distinct ratios (of n tokens there are at
+most sqrt(2 n) for children of one weight), not children.  A leaf's prefix is found by summing tokens over the
+first, then the second byte of the order's hash; only what shares both with the border is ordered, exact repeats
+as one row with a count, so a document that is a third of all rows is one row there.
 
 Defined results: null and empty texts have 0 tokens and are taken when their place in the order is inside
 the prefix; nulls in lang or source are a name of their own ('none'); repeated rows are rows of their own; an
-empty table gives an empty result; extra columns are kept.
+empty table gives an empty result; docs' columns are kept under any name, but for its own domain, tokens, epoch and
+take_tokens, which the result's replace.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +35,9 @@ LANGUAGE_WEIGHTS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
 BUDGET_SHARE, EPOCHS, SEED = 0.8, 3, 17
 #: Leaves up to this count are broadcast with their budgets (a few MB).
 BROADCAST_LEAVES = 100_000
-_LEAF = ["domain", "leaf_lang", "leaf_source"]
+#: Shares this close to a whole token count as that token.
+CLOSE = 1e-6
+_MADE = ("domain", "tokens", "epoch", "take_tokens")
 
 
 def tokens_of(text: Column) -> Column:
@@ -45,87 +50,107 @@ def domain_of(source: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, DOMAIN_WEIGHTS)), (F.crc32(F.coalesce(source, F.lit("none")).cast("binary")) % len(DOMAIN_WEIGHTS) + 1).cast("int"))
 
 
-def split(budget: int, weights: Mapping[str, float], capacity: Mapping[str, int]) -> dict[str, int]:
-    """Split a budget among siblings: by weight, never above capacity, shortages to the other siblings by weight."""
-    given: dict[str, Fraction] = {}
-    open_ = sorted(capacity)
-    left = Fraction(min(budget, sum(capacity.values())))
-    while open_:
-        whole = sum((Fraction(weights.get(n, 1.0)) for n in open_), Fraction(0))
-        share = {n: left * Fraction(weights.get(n, 1.0)) / whole if whole else left / len(open_) for n in open_}
-        full = [n for n in open_ if share[n] >= capacity[n]]
-        if not full:
-            given |= share
-            break
-        for n in full:
-            given[n] = Fraction(capacity[n])
-            left -= capacity[n]
-        open_ = [n for n in open_ if n not in full]
-    out = {n: int(v) for n, v in given.items()}
-    rest = min(budget, sum(capacity.values())) - sum(out.values())
-    for n in sorted(given, key=lambda n: (int(given[n]) - given[n], n)):
-        if rest and out[n] < capacity[n]:
-            out[n] += 1
-            rest -= 1
-    return out
-
+def order_key(seed: int, epoch: Column, doc_id: Column, text: Column) -> Column:
+    """A document's place in an epoch's order."""
+    return F.xxhash64(F.lit(seed), epoch.cast("int"), doc_id, text)
 
-def allocate(available: Mapping[tuple, int], budget: int, weights: list[Mapping[str, float]], epochs: int = EPOCHS) -> dict[tuple, int]:
-    """Each leaf's budget, from its tokens; a leaf is a path of names, weights has one table a level."""
-    out: dict[tuple, int] = {}
 
-    def down(prefix: tuple, own: int) -> None:
-        level = len(prefix)
-        leaves = [p for p in available if p[:level] == prefix]
-        if level == len(weights):
-            out[prefix] = own
-            return
-        capacity: dict[str, int] = {}
-        for p in leaves:
-            capacity[p[level]] = capacity.get(p[level], 0) + epochs * available[p]
-        for name, part in split(own, weights[level], capacity).items():
-            down((*prefix, name), part)
-
-    down((), budget)
+def _weight(name: Column, weights: Mapping[str, float]) -> Column:
+    """The weight of a name, 1 where none is given."""
+    out = F.lit(1.0)
+    for key, w in weights.items():
+        if w <= 0:
+            raise ValueError(f"weights must be positive: {key}")
+        out = F.when(name == key, float(w)).otherwise(out)
     return out
 
 
-def _cut(rows: DataFrame, by: str, left: str) -> DataFrame:
-    """For each leaf the value of `by` at which the tokens before it are less than `left`, and those after not."""
-    own = W.partitionBy(*_LEAF).orderBy(by)
-    sums = rows.groupBy(*_LEAF, by, left).agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
-    placed = sums.withColumn("before", F.sum("t").over(own.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("t"))
-    # the last value that begins inside the prefix
-    return placed.filter(F.col("before") < F.col(left)).groupBy(*_LEAF).agg(F.max_by(F.struct(by, "before"), by).alias("at")).select(*_LEAF, F.col(f"at.{by}").alias(f"cut_{by}"), F.col("at.before").alias(f"before_{by}"))
+def split(children: DataFrame, parents: list[str]) -> DataFrame:
+    """children (parents, name, capacity, weight, own: the parent's budget) with `given`, each child's budget.
+
+    Children are full as long as their ratio of capacity to weight is below the level that what is left gives to the
+    rest; the first ratio above it fixes the level of all others.
+    """
+    ratio = F.col("capacity") / F.col("weight")
+    by_ratio = children.groupBy(*parents, ratio.alias("ratio")).agg(F.sum("capacity").alias("c"), F.sum("weight").alias("w"), F.first("own").alias("own"))
+    whole = W.partitionBy(*parents)
+    before = whole.orderBy("ratio").rowsBetween(W.unboundedPreceding, -1)
+    left = F.col("own") - F.coalesce(F.sum("c").over(before), F.lit(0))
+    rest = F.sum("w").over(whole.orderBy(F.desc("ratio")).rowsBetween(W.unboundedPreceding, W.currentRow))
+    levels = by_ratio.withColumn("level", left / rest).filter("ratio > level").groupBy(*parents).agg(F.min_by("level", "ratio").alias("level"))
+    joined = children.join(levels, parents, "left")
+    given = F.when(F.col("level").isNull() | (F.col("capacity") / F.col("weight") <= F.col("level")), F.col("capacity")).otherwise(F.floor(F.col("weight") * F.col("level") + CLOSE))
+    return joined.withColumn("given", F.least("capacity", F.greatest(F.lit(0), given)).cast("long")).drop("level")
+
+
+def allocate(leaves: DataFrame, budget: int, weights: list[Mapping[str, float]], epochs: int = EPOCHS) -> DataFrame:
+    """leaves (domain, lang, source, t: its tokens) with `given`, each leaf's budget."""
+    names = ["domain", "lang", "source"]
+    nodes = leaves.select(F.lit(0).alias("root"), "*").withColumn("capacity", epochs * F.col("t"))
+    own = None
+    for k, name in enumerate(names):
+        above, here = ["root", *names[:k]], ["root", *names[: k + 1]]
+        children = nodes.groupBy(*here).agg(F.sum("capacity").alias("capacity")).withColumn("weight", _weight(F.col(name), weights[k]))
+        children = children.withColumn("own", F.lit(budget).cast("long")) if own is None else children.join(own, above)
+        own = split(children, above).select(*here, F.col("given").alias("own"))
+    return leaves.join(own.drop("root").withColumnRenamed("own", "given"), names)
+
+
+def _prefix(columns: list[str]) -> str:
+    """A beginning of names that none of the columns has."""
+    prefix = "_mix_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
 
 
 def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, epochs: int = EPOCHS, seed: int = SEED, domain_weights: Mapping[str, float] | None = None, language_weights: Mapping[str, float] | None = None, source_weights: Mapping[str, float] | None = None) -> DataFrame:
     """Docs' columns with domain, tokens, epoch and take_tokens, a row for each time a document is taken."""
-    spark = docs.sparkSession
+    kept = [c for c in docs.columns if c.lower() not in _MADE]
+    p = _prefix(docs.columns)
+    leaf = [p + "d", p + "l", p + "s"]
     none = F.lit("none")
-    rows = docs.drop("domain", "leaf_lang", "leaf_source", "tokens", "epoch", "take_tokens").withColumns({"domain": domain_of(F.col("source")), "leaf_lang": F.coalesce("lang", none), "leaf_source": F.coalesce("source", none), "tokens": tokens_of(F.col("text"))})
-    leaves = {tuple(r[c] for c in _LEAF): r["t"] for r in rows.groupBy(*_LEAF).agg(F.sum("tokens").alias("t")).collect()}
-    budget = int(sum(leaves.values()) * budget_share)
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], domain_of(F.col("source")).alias(leaf[0]), F.coalesce("lang", none).alias(leaf[1]), F.coalesce("source", none).alias(leaf[2]), tokens_of(F.col("text")).alias(p + "t"))
+
+    plain = rows.groupBy(*leaf).agg(F.sum(p + "t").alias("t")).toDF("domain", "lang", "source", "t")
+    leaves = common.checkpoint(plain)
+    sums = leaves.agg(F.sum("t").alias("t"), F.count("*").alias("n")).first()
+    budget = int((sums["t"] or 0) * budget_share)
     given = allocate(leaves, budget, [domain_weights or DOMAIN_WEIGHTS, language_weights or LANGUAGE_WEIGHTS, source_weights or {}], epochs)
-    plan = [(*leaf, given.get(leaf, 0) // t if t else 0, given.get(leaf, 0) % t if t else 0) for leaf, t in leaves.items()]
-    budgets = spark.createDataFrame(plan, "domain string, leaf_lang string, leaf_source string, whole int, rest long")
-    small = F.broadcast if len(plan) <= BROADCAST_LEAVES else (lambda x: x)
-    key = F.xxhash64(F.lit(seed), F.col("whole"), F.col("doc_id"), F.col("text"))
-    placed = rows.join(small(budgets), _LEAF).withColumns({"_key": key, "_a": F.shiftrightunsigned(key, 56).cast("int"), "_b": F.shiftrightunsigned(F.shiftleft(key, 8), 56).cast("int")})
-
-    part = placed.filter("rest > 0")
-    first = spark.createDataFrame(_cut(part.select(*_LEAF, "_a", "rest", "tokens"), "_a", "rest").collect(), "domain string, leaf_lang string, leaf_source string, cut__a int, before__a long")
-    inside = part.join(small(first), _LEAF)
-    near = inside.filter("_a = cut__a").select(*_LEAF, "_b", (F.col("rest") - F.col("before__a")).alias("left_a"), "tokens")
-    second = spark.createDataFrame(_cut(near, "_b", "left_a").collect(), "domain string, leaf_lang string, leaf_source string, cut__b int, before__b long")
-    inside = inside.join(small(second), _LEAF)
-
-    kept = [*docs.drop("domain", "leaf_lang", "leaf_source", "tokens", "epoch", "take_tokens").columns, "domain", "tokens"]
-    again = placed.filter("whole > 0").select(*kept, F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"), F.col("tokens").alias("take_tokens"))
-    below = inside.filter("_a < cut__a or (_a = cut__a and _b < cut__b)").select(*kept, F.col("whole").alias("epoch"), F.col("tokens").alias("take_tokens"))
-    own = W.partitionBy(*_LEAF).orderBy("_key", "doc_id", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
-    edge = inside.filter("_a = cut__a and _b = cut__b").withColumn("before", F.sum("tokens").over(own) - F.col("tokens") + F.col("before__a") + F.col("before__b"))
-    edge = edge.filter("before < rest").select(*kept, F.col("whole").alias("epoch"), F.least("tokens", F.col("rest") - F.col("before")).alias("take_tokens"))
+    plan = given.select(F.col("domain").alias(leaf[0]), F.col("lang").alias(leaf[1]), F.col("source").alias(leaf[2]), F.expr("case when t > 0 then given div t else 0 end").cast("int").alias(p + "whole"), F.expr("case when t > 0 then given % t else 0 end").alias(p + "rest"))
+    plan = common.checkpoint(plan)
+    small = F.broadcast if sums["n"] <= BROADCAST_LEAVES else (lambda x: x)
+    key = order_key(seed, F.col(p + "whole"), F.col("doc_id"), F.col("text"))
+    placed = rows.join(small(plan), leaf).withColumn(p + "key", key)
+    placed = placed.withColumns({p + "a": F.shiftrightunsigned(p + "key", 56).cast("int"), p + "b": F.shiftrightunsigned(F.shiftleft(p + "key", 8), 56).cast("int")})
+
+    def cut(of: DataFrame, by: str, left: Column, name: str) -> DataFrame:
+        """For each leaf the last value of `by` that begins before `left` tokens, and the tokens before it."""
+        own = W.partitionBy(*leaf).orderBy(by)
+        at = of.groupBy(*leaf, by).agg(F.sum(p + "t").alias("sum"), F.first(left).alias("left"))
+        at = at.withColumn("before", F.sum("sum").over(own.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("sum"))
+        best = at.filter("before < left").groupBy(*leaf).agg(F.max_by(F.struct(by, "before"), by).alias("at"))
+        return common.checkpoint(best.select(*leaf, F.col("at")[by].alias(f"{p}cut_{name}"), F.col("at.before").alias(f"{p}before_{name}")))
+
+    part = placed.filter(F.col(p + "rest") > 0)
+    inside = part.join(small(cut(part, p + "a", F.col(p + "rest"), "a")), leaf)
+    near = inside.filter(F.col(p + "a") == F.col(p + "cut_a"))
+    inside = inside.join(small(cut(near, p + "b", F.col(p + "rest") - F.col(p + "before_a"), "b")), leaf)
+
+    original = [F.col(f"`{c}`") for c in kept]
+    whole, t, rest = F.col(p + "whole"), F.col(p + "t"), F.col(p + "rest")
+    shown = [*original, F.col(leaf[0]).alias("domain"), t.alias("tokens")]
+    again = placed.filter(whole > 0).select(*shown, F.explode(F.sequence(F.lit(0), whole - 1)).alias("epoch"), t.alias("take_tokens"))
+    at_a, at_b = F.col(p + "a") == F.col(p + "cut_a"), F.col(p + "b") == F.col(p + "cut_b")
+    below = inside.filter((F.col(p + "a") < F.col(p + "cut_a")) | (at_a & (F.col(p + "b") < F.col(p + "cut_b")))).select(*shown, whole.alias("epoch"), t.alias("take_tokens"))
+    # the border: exact repeats are one row with a count
+    edge = inside.filter(at_a & at_b).select(*leaf, F.col(p + "key").alias("key"), F.sha2(F.to_json(F.struct(*original)), 256).alias("digest"), F.struct(*original).alias("row"), t.alias("t"), whole.alias("whole"), (rest - F.col(p + "before_a") - F.col(p + "before_b")).alias("left"))
+    edge = edge.groupBy(*leaf, "key", "digest").agg(F.first("row").alias("row"), F.first("t").alias("t"), F.first("whole").alias("whole"), F.first("left").alias("left"), F.count("*").alias("n"))
+    own = W.partitionBy(*leaf).orderBy("key", "digest").rowsBetween(W.unboundedPreceding, W.currentRow)
+    edge = edge.withColumn("before", F.sum(F.col("t") * F.col("n")).over(own) - F.col("t") * F.col("n")).filter("before < left")
+    copies = F.when(F.col("t") == 0, F.col("n")).otherwise(F.least("n", F.ceil((F.col("left") - F.col("before")) / F.col("t")).cast("long")))
+    edge = edge.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    edge = edge.select("row.*", F.col(leaf[0]).alias("domain"), F.col("t").alias("tokens"), F.col("whole").alias("epoch"), F.least("t", F.col("left") - F.col("before") - F.col("i") * F.col("t")).alias("take_tokens"))
     return again.unionByName(below).unionByName(edge)
 
 
