@@ -9,12 +9,13 @@ junk, abuse within prose, and toxic as such, which decides.  Features are those
 case) and beginnings of words whose presence says most about the label by chi-square over the learning rows;
 beginnings catch inflected and compound forms that no single word list has.
 
-The model is learnt from at most FIT_ROWS label rows, those whose doc_id has the smallest hash; every
-document is scored whole, in one pass without a shuffle.
+The model is learnt from at most FIT_ROWS labelled documents, those whose doc_id has the smallest hash, one text
+an id; every document is scored whole, in one pass without a shuffle.
 
 Defined results: null and empty texts have no words and get the score of the intercepts; repeated rows stay;
-label rows that are null or other than 0 and 1 are ignored; without both labels every score is the share of
-toxic labels (0 without labels); an empty table gives an empty result; extra columns are ignored.
+a label row counts if toxic is 0 or 1 and quality 0, 1 or null (then 1), and of an id's label rows and texts the
+smallest; without both labels every score is the share of toxic labels (0 without labels); an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -127,14 +128,20 @@ def fit_chain(x: np.ndarray, targets: np.ndarray, fold: np.ndarray) -> list[np.n
     return weights
 
 
+def learnable(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, toxic, quality, text): at most `rows` labelled documents, one row an id."""
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    valid = labels.filter("toxic in (0, 1) and (quality is null or quality in (0, 1)) and doc_id is not null")
+    marked = valid.groupBy(doc_id).agg(F.min(F.struct(F.col("toxic").cast("int").alias("toxic"), F.coalesce("quality", F.lit(1)).cast("int").alias("quality"))).alias("marks"))
+    known = marked.join(docs.select(doc_id).distinct(), "doc_id", "left_semi")
+    sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))  # rows is the bound of its size
+    texts = docs.select(doc_id, "text").join(sample, "doc_id").groupBy("doc_id").agg(F.first("marks").alias("marks"), F.min("text").alias("text"))
+    return texts.select("doc_id", "marks.toxic", "marks.quality", "text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, features: int = WORD_FEATURES) -> Chain:
-    """Learn the chain; at most `rows` label rows and `features` words reach the driver."""
+    """Learn the chain; features of at most `rows` documents, one row each, reach the driver."""
     common.bound_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    known = labels.filter("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", F.coalesce("quality", F.lit(1)).alias("quality"))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "quality").limit(rows)
-    sample = spark.createDataFrame([tuple(r) for r in picked.collect()], "doc_id long, toxic int, quality int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,12 +150,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, features: int
                 toxic, rows_ = part.column(0).to_pylist(), [list({f for w in set(words(x)) for f in word_features(w)}) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([w for r in rows_ for w in r], pa.string()), pa.array(np.repeat(np.array(toxic, np.int64), [len(r) for r in rows_]))], names=["word", "toxic"])
 
-    joined = texts.join(F.broadcast(sample), "doc_id")
-    totals = joined.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
+    sampled = common.checkpoint(learnable(docs, labels, rows))
+    totals = sampled.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     n, t = totals["n"], totals["t"] or 0
     if not 0 < t < n:
         return Chain({}, [], t / n if n else 0.0)
-    seen = joined.select("toxic", "text").mapInArrow(distinct, "word string, toxic long").groupBy("word").agg(F.count("*").cast("double").alias("df"), F.sum("toxic").cast("double").alias("tf"))
+    seen = sampled.select("toxic", "text").mapInArrow(distinct, "word string, toxic long").groupBy("word").agg(F.count("*").cast("double").alias("df"), F.sum("toxic").cast("double").alias("tf"))
     # chi-square of presence against the label
     a, b = F.col("tf"), F.col("df") - F.col("tf")
     c, d = F.lit(float(t)) - a, F.lit(float(n - t)) - b
@@ -164,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, features: int
                 x = chain.features(part.column(3).to_pylist())[:, :-1].astype(np.float32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "toxic", "quality", "x"])
 
-    got = joined.select("doc_id", "toxic", "quality", "text").mapInArrow(rows_of, "doc_id long, toxic int, quality int, x binary").orderBy("doc_id").toPandas()
+    got = sampled.mapInArrow(rows_of, "doc_id long, toxic int, quality int, x binary").orderBy("doc_id").toPandas()
     x = np.stack([np.frombuffer(v, np.float32) for v in got["x"]]).astype(float) if len(index) else np.zeros((len(got), 0))
     x = np.column_stack([x, np.ones(len(x))])
     toxic, quality = got["toxic"].to_numpy(float), got["quality"].to_numpy(float)
