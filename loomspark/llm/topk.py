@@ -1,20 +1,27 @@
 """Operator 9, exact top-k search by inner product, with norm-bucketed retrieval.
 
-Vectors are grouped into buckets of similar length and bounded size, packed as one row each.  Queries are
-packed into blocks in the same way.  A first pass over the bucket of the longest vectors gives each query a
-score that its k-th best certainly reaches.  For each pair of a query block and a bucket a task then
-derives the query's local cosine threshold: above 1 nothing in the bucket can reach that score and it is
-skipped; a low one is pruned by length alone; otherwise by coordinates, where the product over the query's
-largest coordinates plus a Cauchy-Schwarz bound on the others must reach the score.  What is left is
-verified with exact integer products.
+Vectors are grouped by length: a range holds lengths within 4.5 percent, and a range with many vectors is dealt by
+hash into parts, so that a bucket (range, part) has a bounded size and is packed as one row.  A first pass over
+some of the longest vectors gives each query a score that its k-th best certainly reaches, and with it the
+shortest length that a better candidate may have.  Queries are then packed into blocks of one such range each, and a
+block meets only the buckets from that range upwards: this is decided on bucket names, before any vector is
+shipped.  Buckets stay where they are and blocks come to them.
+
+For each query of a block and each bucket a task derives the local cosine threshold: above 1 nothing in the
+bucket can reach the score and it is skipped; a low one is pruned by length alone; otherwise by coordinates, where
+the product over the query's largest coordinates plus a Cauchy-Schwarz bound on the others must reach the
+score.  What is left is verified with exact integer products.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; rows that share a
 vec_id are one vector (the smallest); vectors of different dimension have no product; a query with fewer
-candidates gets them all; ties go to the smaller vec_id; an empty table gives an empty result.
+candidates gets them all; ties go to the smaller vec_id; an empty table gives an empty result; extra columns are
+ignored.  Scores are 64-bit integers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +31,12 @@ from pyspark.sql import Window as W
 from loomspark.llm import common
 
 K, EVERY, SCALE = 5, 50, 256
-#: Vectors in a bucket or query block, about; the bound of a task's memory.
-BUCKET, BLOCK = 2048, 512
+#: Vectors in a bucket, between these bounds so that a session's partitions have several each; queries in a block.
+BUCKETS, BLOCK = (2048, 32_768), 512
+#: Length ranges for each doubling of the squared length.
+RANGES = 8
+#: Bucket names up to this count are broadcast (a few MB).
+BROADCAST_NAMES = 100_000
 #: Coordinates of a query that are looked at first, as a share of all, and the cosine from which they are.
 FOCUS, COSINE = 0.25, 0.2
 _SCORES = "query_id long, vec_id long, score long"
@@ -39,18 +50,37 @@ def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return vectors.filter(ok & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _packed(rows: DataFrame, by: list[str]) -> DataFrame:
-    """One row for each value of `by` (integers; rows of bounded number): ids and components as binary."""
+def length_range(square: Column) -> Column:
+    """The range of a squared length; never falls as the length grows."""
+    return F.floor(RANGES * F.log2(square + 1)).cast("int")
+
+
+def _matrix(rows: np.ndarray) -> bytes:
+    """Rows of integers as bytes, 32 bits each where that holds them all."""
+    small = not rows.size or np.abs(rows).max() < 2**31
+    return rows.astype(np.int32 if small else np.int64).tobytes()
+
+
+def _unpacked(ids: bytes, m: bytes, d: int) -> tuple[np.ndarray, np.ndarray]:
+    names = np.frombuffer(ids, np.int64)
+    small = len(m) == 4 * len(names) * d
+    return names, np.frombuffer(m, np.int32 if small else np.int64).reshape(len(names), d).astype(np.int64)
+
+
+def _packed(rows: DataFrame, by: list[str], least: bool = False) -> DataFrame:
+    """One row for each value of `by` (integers; rows of bounded number): ids, components and bounds as binary."""
     names = [f for f in rows.schema.fields if f.name in by]
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
-        values = np.array(table.column("v").to_pylist(), dtype=np.int64)
         made = {f.name: pa.array([k.as_py()], pa.int32()) for f, k in zip(names, key, strict=True)}
-        return pa.table(made | {"ids": pa.array([table.column("vec_id").to_numpy().tobytes()], pa.binary()), "m": pa.array([values.tobytes()], pa.binary())})
+        made |= {"ids": pa.array([table.column("vec_id").to_numpy().tobytes()], pa.binary()), "m": pa.array([_matrix(np.array(table.column("v").to_pylist(), dtype=np.int64))], pa.binary())}
+        if least:
+            made["least"] = pa.array([table.column("least").to_numpy().tobytes()], pa.binary())
+        return pa.table(made)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in names)
-    return rows.groupBy(*[f.name for f in names]).applyInArrow(pack, f"{schema}, ids binary, m binary")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in names) + ", ids binary, m binary" + (", least binary" if least else "")
+    return rows.groupBy(*[f.name for f in names]).applyInArrow(pack, schema)
 
 
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -70,6 +100,7 @@ def search_bucket(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, ids: np.n
     squares = f * f
     length = np.sqrt(squares.sum(axis=1))
     longest = float(length.max())
+    most = float(np.abs(f).max()) if d else 0.0
     out: tuple[list, list, list] = ([], [], [])
     focus = max(1, int(d * FOCUS)) if d else 0
     for qid, vector, bound in zip(q_ids, q, least, strict=True):
@@ -89,7 +120,11 @@ def search_bucket(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, ids: np.n
         some = some[ids[some] != qid]
         if not len(some):
             continue
-        scores = m[some] @ vector
+        # doubles hold the products exactly while they stay below 2**53
+        exact = not d or most * float(np.abs(own).max()) * d < 2**53
+        scores = (f[some] @ own).astype(np.int64) if exact else m[some] @ vector
+        reached = scores >= bound
+        some, scores = some[reached], scores[reached]
         top = best_of(ids[some], scores, k)
         out[0].extend([int(qid)] * len(top))
         out[1].extend(ids[some][top].tolist())
@@ -97,65 +132,78 @@ def search_bucket(q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, ids: np.n
     return out
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k best candidates among all other vectors."""
-    v = common.checkpoint(integers(vectors, scale).withColumn("d", F.size("v")).withColumn("norm", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)))
-    stats = v.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
-    ranges = max(1, min(1000, stats["n"] // BUCKET))
-    cuts = v.agg(F.percentile_approx("norm", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("c")).first()["c"] if ranges > 1 else []
-    table = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<bigint>")
-    # a range may hold many vectors of one length; it is dealt by hash into buckets of about the bound
-    ranged = v.withColumn("range", F.size(F.filter(table, lambda c: c < F.col("norm"))))
-    parts = ranged.groupBy("d", "range").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("parts"))
-    bucketed = ranged.join(F.broadcast(parts), ["d", "range"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    buckets = common.checkpoint(_packed(bucketed.select("d", "range", "part", "vec_id", "v"), ["d", "range", "part"]).withColumnsRenamed({"ids": "c_ids", "m": "c_m"}))
-    blocks_n = max(1, -(-stats["q"] // BLOCK))
-    blocks = _packed(v.filter(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks_n)).cast("int")).select("d", "block", "vec_id", "v"), ["d", "block"])
-    blocks = common.checkpoint(blocks.withColumnsRenamed({"ids": "q_ids", "m": "q_m"}))
-
-    def run(part: dict) -> dict:
-        out: tuple[list, list, list] = ([], [], [])
-        for d, qi, qm, ci, cm, least in zip(part["d"], part["q_ids"], part["q_m"], part["c_ids"], part["c_m"], part["least"], strict=True):
-            q_ids, ids = np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64)
-            bound = np.frombuffer(least, np.float64) if least else np.full(len(q_ids), -np.inf)
-            got = search_bucket(q_ids, np.frombuffer(qm, np.int64).reshape(len(q_ids), d), bound, ids, np.frombuffer(cm, np.int64).reshape(len(ids), d), k)
-            for a, b in zip(out, got, strict=True):
-                a.extend(b)
-        return {"query_id": out[0], "vec_id": out[1], "score": out[2]}
-
-    longest = buckets.join(buckets.groupBy("d").agg(F.max(F.struct("range", "part")).alias("at")), "d").filter("range = at.range and part = at.part").drop("at")
-    seed_in = blocks.join(longest, "d").select("d", "block", "q_ids", "q_m", "c_ids", "c_m", F.lit(None).cast("binary").alias("least"))
-
-    def bounds(batches):
+def _bounds(pairs: DataFrame, k: int) -> DataFrame:
+    """(vec_id, least) from rows (d, q_ids, q_m, ids, m): each query's k-th best score in the bucket, if it has so many."""
+    schema = pa.schema([("vec_id", pa.int64()), ("least", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                d, q_ids, ids = row["d"], np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
-                got = search_bucket(q_ids, np.frombuffer(row["q_m"], np.int64).reshape(len(q_ids), d), np.full(len(q_ids), -np.inf), ids, np.frombuffer(row["c_m"], np.int64).reshape(len(ids), d), k)
+                q_ids, q = _unpacked(row["q_ids"], row["q_m"], row["d"])
+                ids, m = _unpacked(row["ids"], row["m"], row["d"])
+                got = search_bucket(q_ids, q, np.full(len(q_ids), -np.inf), ids, m, k)
                 found: dict[int, list[int]] = {}
                 for a, s in zip(got[0], got[2], strict=True):
                     found.setdefault(a, []).append(s)
-                least = np.array([found[a][k - 1] if len(found.get(a, ())) >= k else -np.inf for a in q_ids.tolist()], dtype=np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([row["block"]], pa.int32()), pa.array([least.tobytes()], pa.binary())], names=["d", "block", "least"])
+                least = [float(found[a][k - 1]) if len(found.get(a, ())) >= k else float("-inf") for a in q_ids.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(least, pa.float64())], schema=schema)
 
-    seeds = common.checkpoint(seed_in.mapInArrow(bounds, "d int, block int, least binary"))
-    n = common.partitions(vectors.sparkSession)
-    pairs = blocks.join(seeds, ["d", "block"]).join(buckets, "d").repartition(n, "block", "range", "part").select("d", "q_ids", "q_m", "c_ids", "c_m", "least")
-    found = _map_few(pairs, run)
-    own = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.select("d", "q_ids", "q_m", "ids", "m").mapInArrow(run, "vec_id long, least double")
 
 
-def _map_few(df: DataFrame, f) -> DataFrame:
-    """map_batches for rows that are large: one at a time."""
+def _search(pairs: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the best in each row's bucket for each query of its block."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                part = batch.slice(at, 1)
-                out = f({name: part.column(c).to_pylist() for c, name in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[c.name], type=c.type) for c in _SCHEMA], schema=_SCHEMA)
+            for at in range(batch.num_rows):  # rows are large: one at a time
+                (row,) = batch.slice(at, 1).to_pylist()
+                q_ids, q = _unpacked(row["q_ids"], row["q_m"], row["d"])
+                ids, m = _unpacked(row["ids"], row["m"], row["d"])
+                got = search_bucket(q_ids, q, np.frombuffer(row["least"], np.float64), ids, m, k)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], schema=_SCHEMA)
+
+    return pairs.select("d", "q_ids", "q_m", "least", "ids", "m").mapInArrow(run, _SCORES)
 
-    return df.mapInArrow(run, _SCORES)
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k best candidates among all other vectors."""
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    v = common.checkpoint(integers(vectors, scale).withColumn("d", F.size("v")).withColumn("square", square).withColumn("range", length_range(F.col("square"))))
+    n, n_queries = v.agg(F.count("*"), F.count_if(is_query)).first()
+    partitions = common.partitions(vectors.sparkSession)
+    size = min(max(n // (4 * partitions), BUCKETS[0]), BUCKETS[1])
+    names = common.checkpoint(v.groupBy("d", "range").agg(F.count("*").alias("n"), F.ceil(F.count("*") / size).cast("int").alias("parts")))
+    small = F.broadcast if names.count() <= BROADCAST_NAMES else (lambda x: x)
+    part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
+    bucketed = v.join(small(names.drop("n")), ["d", "range"]).select("d", "range", part.alias("part"), "vec_id", "v")
+    buckets = common.checkpoint(_packed(bucketed, ["d", "range", "part"]))
+
+    # a bound for each query, from some of the longest vectors of its dimension (a bucket's worth), which salts repeat
+    blocks_n = max(1, -(-n_queries // BLOCK))
+    salts = min(partitions, blocks_n)
+    hashed = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks_n)).cast("int")
+    blocks = _packed(v.filter(is_query).select("d", hashed.alias("block"), "vec_id", "v"), ["d", "block"])
+    blocks = blocks.withColumnsRenamed({"ids": "q_ids", "m": "q_m"}).withColumn("salt", F.col("block") % salts)
+    longer = F.sum("n").over(W.partitionBy("d").orderBy(F.desc("range")).rowsBetween(W.unboundedPreceding, -1))
+    top = names.withColumn("longer", F.coalesce(longer, F.lit(0))).filter(F.col("longer") < size).select("d", "range", F.lit(0).alias("part"))
+    longest = _packed(bucketed.join(small(top), ["d", "range", "part"]).select("d", "vec_id", "v"), ["d"])
+    longest = longest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    bounds = common.checkpoint(_bounds(blocks.join(longest, ["d", "salt"]), k))
+
+    # blocks of queries that need the same range of lengths; a range lower, as logarithms are rounded
+    needed = F.greatest(F.lit(0.0), F.col("least")) / F.sqrt("square")
+    first = F.when((F.col("square") > 0) & (F.col("least") > 0), length_range(needed * needed) - 1).otherwise(0)
+    asked = v.filter(is_query).join(bounds, "vec_id").withColumn("first", first)
+    counts = asked.groupBy("d", "first").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_parts"))
+    asked = asked.join(counts, ["d", "first"]).withColumn("q_part", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("q_parts")).cast("int"))
+    packed = common.checkpoint(_packed(asked.select("d", "first", "q_part", "vec_id", "v", "least"), ["d", "first", "q_part"], least=True).withColumnsRenamed({"ids": "q_ids", "m": "q_m"}))
+    meets = packed.select("d", "first", "q_part").join(small(names.drop("n")), "d").filter("range >= first")
+    meets = meets.select("d", "first", "q_part", "range", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = meets.join(packed, ["d", "first", "q_part"]).join(buckets, ["d", "range", "part"])
+    own = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = _search(pairs, k).withColumn("rank", F.row_number().over(own))
+    return found.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

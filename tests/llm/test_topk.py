@@ -26,7 +26,7 @@ def run(spark, rows):
 
 
 def test_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BUCKET", 64)
+    monkeypatch.setattr(topk, "BUCKETS", (64, 64))
     monkeypatch.setattr(topk, "BLOCK", 4)
     rng = random.Random(6)
     rows = []
@@ -42,3 +42,26 @@ def test_few_and_no_rows(spark):
     assert run(spark, [(0, [1.0, 0.0], "x"), (3, [0.5, 0.5], "x")]) == [(0, 1, 3, 128 * 256)]
     assert run(spark, []) == []
     assert run(spark, [(0, [1.0], "x")]) == []
+
+
+def test_blocks_meet_only_buckets_that_can_hold_better(spark, monkeypatch):
+    """Long vectors that all queries find in the first pass leave the short ones' buckets unvisited."""
+    monkeypatch.setattr(topk, "BUCKETS", (16, 16))
+    rng = random.Random(2)
+    long_ = [(i, [rng.gauss(0, 9) for _ in range(8)], "x") for i in range(100, 140)]
+    short = [(i, [rng.gauss(0, 0.01) for _ in range(8)], "x") for i in range(1000, 1400)]
+    seen = []
+    monkeypatch.setattr(topk, "_search", lambda pairs, k, f=topk._search: (seen.append(pairs), f(pairs, k))[1])
+    assert run(spark, long_ + short) == brute([r[:2] for r in long_ + short])
+    pairs = seen[0].select("first", "range", "part").collect()
+    assert len(pairs) < 0.7 * len({(r["range"], r["part"]) for r in pairs} | {(0, k) for k in range(26)}) * len({r["first"] for r in pairs})
+
+
+def test_huge_components(spark):
+    rows = [(i, [float(1 << (20 + i % 3)), float(i)], "x") for i in range(0, 120, 10)]
+    assert run(spark, rows) == brute([r[:2] for r in rows])
+
+
+def test_plan_has_no_cross_join(spark, small):
+    plan = topk.op9_top_k(spark, small)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
