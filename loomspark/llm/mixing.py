@@ -84,16 +84,17 @@ def split(children: DataFrame, parents: list[str]) -> DataFrame:
 
 
 def allocate(leaves: DataFrame, budget: int, weights: list[Mapping[str, float]], epochs: int = EPOCHS) -> DataFrame:
-    """leaves (domain, lang, source, t: its tokens) with `given`, each leaf's budget."""
+    """leaves (domain, lang, source, t: its tokens; root, if it is there, is 0) with `given`, each leaf's budget."""
     names = ["domain", "lang", "source"]
-    nodes = leaves.select(F.lit(0).alias("root"), "*").withColumn("capacity", epochs * F.col("t"))
+    nodes = leaves.withColumn("capacity", epochs * F.col("t"))
+    nodes = nodes if "root" in leaves.columns else nodes.withColumn("root", F.lit(0))
     own = None
     for k, name in enumerate(names):
         above, here = ["root", *names[:k]], ["root", *names[: k + 1]]
         children = nodes.groupBy(*here).agg(F.sum("capacity").alias("capacity")).withColumn("weight", _weight(F.col(name), weights[k]))
         children = children.withColumn("own", F.lit(budget).cast("long")) if own is None else children.join(own, above)
         own = split(children, above).select(*here, F.col("given").alias("own"))
-    return leaves.join(own.drop("root").withColumnRenamed("own", "given"), names)
+    return leaves.drop("root").join(own.drop("root").withColumnRenamed("own", "given"), names)
 
 
 def _prefix(columns: list[str]) -> str:
@@ -113,7 +114,7 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, epochs: int = EPOCH
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], domain_of(F.col("source")).alias(leaf[0]), F.coalesce("lang", none).alias(leaf[1]), F.coalesce("source", none).alias(leaf[2]), tokens_of(F.col("text")).alias(p + "t"))
 
     plain = rows.groupBy(*leaf).agg(F.sum(p + "t").alias("t")).toDF("domain", "lang", "source", "t")
-    leaves = common.checkpoint(plain)
+    leaves = common.checkpoint(plain.withColumn("root", F.lit(0)))  # stored, so that joins on it are not folded away
     sums = leaves.agg(F.sum("t").alias("t"), F.count("*").alias("n")).first()
     budget = int((sums["t"] or 0) * budget_share)
     given = allocate(leaves, budget, [domain_weights or DOMAIN_WEIGHTS, language_weights or LANGUAGE_WEIGHTS, source_weights or {}], epochs)
