@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that a task handles at once; bounds the memory of one step.
 STEP_ROWS = 256
-#: Rows of an Arrow batch that Spark hands to a task.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch that Spark hands to a task.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,10 +24,28 @@ def partitions(spark: SparkSession) -> int:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Let Arrow batches to Python hold at most BATCH_ROWS rows: texts may be long, and a batch is held whole in memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Bound the session's Arrow batches to Python: texts may be long, and a batch is held whole in memory.
+
+    Spark reads these settings when a plan runs, so they stay set for the session; smaller ones are kept.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(name).lower().removesuffix("b"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
+
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def pack_text(text: str | None) -> bytes:
+    """A text compressed for a shuffle; a null counts as empty."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return len(data).to_bytes(8, "little") + (_ZSTD.compress(data, asbytes=True) if data else b"")
+
+
+def unpack_text(packed: bytes) -> str:
+    size = int.from_bytes(packed[:8], "little")
+    return _ZSTD.decompress(packed[8:], size, asbytes=True).decode("utf-8", "surrogatepass") if size else ""
 
 
 def map_batches(df: DataFrame, f: Callable[[dict], dict | None], schema: str, types: pa.Schema) -> DataFrame:
@@ -47,11 +65,18 @@ def map_batches(df: DataFrame, f: Callable[[dict], dict | None], schema: str, ty
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the cluster's shared folder from spark.checkpoint.dir; set one only where there is none (tests)."""
-    if spark.sparkContext.getCheckpointDir() is None:
+    """Take the cluster's shared folder from spark.checkpoint.dir; only a local session may do without one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomspark-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="loomspark-checkpoint-")
+    context.setCheckpointDir(folder)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
