@@ -5,17 +5,18 @@ exact.  It rests on the prefix filter: under any order of the tokens that all do
 share a token among their first ``n - need + 1``, and ``k`` tokens among their first
 ``n - need + k``, where ``need = ceil(0.8 n)`` is the least overlap that a set of n tokens can link with.
 
-1. Equal sets become one representative (its smallest id); only representatives go on.
-2. Order A, by hash value: a set's first ``n - need + k`` tokens are indexed, and a set goes on only when
+1. One pass over the texts gives each set's size, digest and first tokens of order A (by hash value).  Equal sets
+   become one representative (its smallest id); only representatives go on.
+2. Order A: a set's first ``n - need + k`` tokens are indexed, and a set goes on only when
    at least ``k`` of them occur in another set.  Most documents end here, at a quarter of the tokens.
 3. Order B, rarest first, over all tokens of what is left: sets with fewer than ``need`` tokens that
    others have cannot link; for the rest, the prefix in this order is indexed.
 4. Hubs: each set is first compared with the sets that most often stand first in its posting lists, which
-   joins large groups of near copies at a few pairs a row.  Steps 3's counts are then taken anew
+   joins large groups of near copies at a few pairs a row.  Step 3's counts are then taken anew
    between the components found, so that what lies inside one component costs nothing more.
-5. What is left is compared exactly: short posting lists as pairs between components, long ones in blocks
-   in which a task compares sets by matrix products and returns only links.  Pairs must also share prefix
-   tokens under order A and under order C (hash values descending) before they are verified.
+5. What is left are candidates of order B: short posting lists as pairs between components, long ones dealt by
+   (token, size class, block), see ``blocks``.  Both must also share prefix tokens under order A and under
+   order C (hash values descending); pairs are tested so on their prefixes before whole sets are shipped.
 
 Defined results: null, empty and blank texts have the empty set, which links with nothing; rows that
 share an id are one document; texts of any length are taken whole; an empty table gives an empty
@@ -33,15 +34,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomspark.llm import common
+from loomspark.llm import blocks, common
 from loomspark.llm.shingles import WORDS_PER_SHINGLE, shingle_set
 
 PERCENT = 80
 HUBS = 3
 #: A posting list of up to this length is compared as pairs, a longer one in blocks.
 SHORT_LIST = 48
-#: Sets, and tokens at most (but for one set), in a block.
-BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 20
 #: Ids up to this count are few enough (32 MB) to be broadcast.
 BROADCAST_IDS = 2_000_000
 
@@ -61,55 +60,42 @@ def least_margin(n: int, percent: int = PERCENT) -> int:
     return margin(need(n, percent))
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether two sorted sets link; the filters under orders A and C come first."""
-    m, n = len(a), len(b)
-    if 100 * min(m, n) < percent * max(m, n):
-        return False
-    p, q = m - need(m, percent) + 1, n - need(n, percent) + 1
-    if not len(np.intersect1d(a[:p], b[:q], assume_unique=True)) or not len(np.intersect1d(a[-p:], b[-q:], assume_unique=True)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (m + n - both)
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("first", pa.binary())])
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary())])
+def token_bytes(n_sets: int) -> int:
+    """High bytes of a token that an index over so many sets needs.
 
+    Tokens that become equal only let more sets pass a filter, so the join stays exact; with 14 bits beyond the
+    number of tokens such cases are rare.
+    """
+    return min(8, -(-(14 + (256 * max(1, n_sets)).bit_length()) // 8))
 
-def set_keys(docs: DataFrame, n_words: int = WORDS_PER_SHINGLE) -> DataFrame:
-    """(doc_id, n, key): size and digest of each document's set; the key of the empty set is null."""
+
+def set_keys(docs: DataFrame, width: int = 8, n_words: int = WORDS_PER_SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n, key, first): size and digest of each document's set (null of the empty one), and order A's first tokens, `width` bytes each."""
 
     def keys(part: dict) -> dict:
         sets = [shingle_set(x, n_words) for x in part["text"]]
-        return {"doc_id": part["doc_id"], "n": [len(s) for s in sets], "key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]}
+        first = [(s[: len(s) - need(len(s), percent) + margin(len(s))] >> np.uint64(64 - 8 * width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes() for s in sets]
+        return {"doc_id": part["doc_id"], "n": [len(s) for s in sets], "key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], "first": first}
 
-    return common.map_batches(docs.select("doc_id", "text"), keys, "doc_id long, n long, key binary", _SETS)
+    return common.map_batches(docs.select("doc_id", "text"), keys, "doc_id long, n long, key binary, first binary", _SETS)
 
 
-def _first_tokens(rows: DataFrame, shift: int, n_words: int, percent: int) -> DataFrame:
-    """(token, doc_id), a row for each token of order A's prefix of each (doc_id, text), less its low bits."""
+def _first_tokens(rows: DataFrame, width: int) -> DataFrame:
+    """(token, doc_id), a row for each of order A's first tokens."""
     schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [shingle_set(x, n_words) for x in part.column(1).to_pylist()]
-                sets = [s[: len(s) - need(len(s), percent) + margin(len(s))] for s in sets]
-                tokens = (np.concatenate(sets) if sets else np.empty(0, np.uint64)) >> np.uint64(shift)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets]), pa.int64())], schema=schema)
-
-    common.bound_batches(rows.sparkSession)
-    return rows.select("doc_id", "text").mapInArrow(run, "token long, doc_id long")
+            raw = batch.column(1).to_pylist()
+            cut = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width)
+            tokens = np.zeros((len(cut), 8), np.uint8)
+            tokens[:, :width] = cut
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view("<i8").ravel()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) // width for x in raw]), pa.int64())], schema=schema)
 
-
-def _spare_bits(n_sets: int) -> int:
-    """Low bits of a token that an index over so many sets can do without.
-
-    Tokens that become equal only let more sets pass a filter, so the join stays exact; with 14 bits beyond the
-    number of tokens such cases are rare.
-    """
-    return max(0, 64 - 14 - (256 * max(1, n_sets)).bit_length())
+    return rows.select("doc_id", "first").mapInArrow(run, "token long, doc_id long")
 
 
 def _need(n: Column, percent: int) -> Column:
@@ -137,80 +123,40 @@ def _prefix(shared: DataFrame, percent: int) -> DataFrame:
     return ranked.filter((F.col("m") >= _need(F.col("n"), percent)) & (F.col("r") <= F.col("m") - _need(F.col("n"), percent) + 1))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (src, dst) that link."""
+def _sets_of(raw: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in raw]
 
-    def check(part: dict) -> dict:
-        keep = [(a, b) for a, b, x, y in zip(part["src"], part["dst"], part["x"], part["y"], strict=True) if linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)]
-        return {"src": [k[0] for k in keep], "dst": [k[1] for k in keep]}
-
-    x = sets.select(F.col("doc_id").alias("src"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("doc_id").alias("dst"), F.col("tokens").alias("y"))
-    joined = pairs.join(x, "src").join(y, "dst").select("src", "dst", "x", "y")
-    return common.map_batches(joined, check, "src long, dst long", pa.schema([("src", pa.int64()), ("dst", pa.int64())]))
 
+def _maybe(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """The pairs (src, dst) that share a token of their prefix under order A and under order C."""
+    width = 8 * (F.col("n") - _need(F.col("n"), percent) + 1).cast("int")
+    prefixes = live.select(F.col("doc_id").alias("id"), F.substr("tokens", F.lit(1), width).alias("a"), F.substr("tokens", -width, width).alias("c"))
 
-def _block_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components inside long posting lists (token, doc_id, n, component).
-
-    A list is dealt by size class (a factor of 1.25 each, so that linked sets lie in one class or in
-    neighbours) and cut into blocks of bounded size; each pair of blocks is one row group of one task.
-    """
-    classed = lists.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) - 1e-9).cast("int"))
-    most = F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_TOKENS) / F.col("n")))).cast("long")
-    sized = classed.groupBy("token", "size_class").agg(F.count("*").alias("members"), F.min(most).alias("most"))
-    blocks = sized.withColumn("blocks", F.ceil(F.col("members") / F.col("most")).cast("int")).select("token", "size_class", "blocks")
-    cut = classed.join(blocks, ["token", "size_class"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).drop("blocks")
-    a = blocks.select("token", F.col("size_class").alias("ac"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("ab"))
-    b = a.select("token", F.col("ac").alias("bc"), F.col("ab").alias("bb"))
-    tasks = a.join(b, "token").filter("(bc = ac and bb >= ab) or bc = ac + 1")
-    named = tasks.withColumn("task", F.concat_ws("/", "token", "ac", "ab", "bc", "bb"))
-    sides = named.select("task", "token", F.col("ac").alias("size_class"), F.col("ab").alias("block")).union(named.select("task", "token", "bc", "bb")).distinct()
-    rows = sides.join(cut, ["token", "size_class", "block"]).select("task", "doc_id", "component").join(sets, "doc_id").select("task", "doc_id", "component", "tokens")
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids, comp = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
-        sets_ = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
-        sizes = np.array([len(s) for s in sets_])
-        every, at = np.unique(np.concatenate(sets_), return_inverse=True)
-        seen = np.bincount(at)
-        owner = np.repeat(np.arange(len(sets_)), sizes)
-        common_ = seen[at] > 1  # only such tokens can be in an intersection
-        renumber = np.cumsum(seen > 1) - 1
-        at, owner = renumber[at[common_]], owner[common_]
-        both = np.zeros((len(sets_), len(sets_)), dtype=np.float32)
-        width = 4096
-        order = np.argsort(at, kind="stable")
-        at, owner = at[order], owner[order]
-        for start in range(0, int(renumber[-1]) + 1, width):
-            lo, hi = np.searchsorted(at, [start, start + width])
-            part = np.zeros((len(sets_), width), dtype=np.float32)
-            part[owner[lo:hi], at[lo:hi] - start] = 1
-            both += part @ part.T
-        both = both.astype(np.int64)
-        ok = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
-        ok &= comp[:, None] != comp[None, :]
-        i, j = np.nonzero(np.triu(ok, 1))
-        # one link between two components says as much as all of them
-        lo, hi = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
-        _, one = np.unique(np.stack([lo, hi]), axis=1, return_index=True) if len(lo) else (None, np.empty(0, int))
-        return pa.table({"src": pa.array(ids[i[one]], pa.int64()), "dst": pa.array(ids[j[one]], pa.int64())})
-
-    return rows.groupBy("task").applyInArrow(compare, "src long, dst long")
+    def check(part: dict) -> dict:
+        keep = []
+        for k, (xa, ya, xc, yc) in enumerate(zip(part["xa"], part["ya"], part["xc"], part["yc"], strict=True)):
+            if all(len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in ((xa, ya), (xc, yc))):
+                keep.append(k)
+        return {side: [part[side][k] for k in keep] for side in ("src", "dst")}
+
+    x, y = prefixes.toDF("src", "xa", "xc"), prefixes.toDF("dst", "ya", "yc")
+    joined = pairs.join(x, "src").join(y, "dst").select("src", "dst", "xa", "ya", "xc", "yc")
+    return common.map_batches(joined, check, "src long, dst long", pa.schema([("src", pa.int64()), ("dst", pa.int64())]))
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, n_words: int = WORDS_PER_SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = common.checkpoint(set_keys(docs, n_words))
+    width = token_bytes(docs.count())
+    shift = 64 - 8 * width
+    keyed = common.checkpoint(set_keys(docs, width, n_words, percent))
     reps = keyed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     n_reps = reps.count()
     rep_ids = reps.select(F.col("rep").alias("doc_id"))
-    wanted = docs.dropna(subset=["doc_id"]) if n_reps else docs.limit(0)
+    wanted = docs.dropna(subset=["doc_id"])
 
     # order A
-    shift = _spare_bits(n_reps)
-    first = _first_tokens(_semi(wanted, rep_ids, n_reps), shift, n_words, percent)
+    first = _first_tokens(_semi(keyed.filter("key is not null"), rep_ids, n_reps), width)
     often = first.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token")
     shared = first.join(often, "token").groupBy("doc_id").agg(F.count("*").alias("m"))
     sizes = keyed.groupBy("doc_id").agg(F.min("n").alias("n"))
@@ -229,18 +175,22 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, n_words: int = W
     hub_of = postings.filter("hub <> doc_id").groupBy("doc_id", "hub").agg(F.count("*").alias("lists"))
     best = W.partitionBy("doc_id").orderBy(F.desc("lists"), "hub")
     hubs = hub_of.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= HUBS).select(F.col("hub").alias("src"), F.col("doc_id").alias("dst"))
-    links = common.checkpoint(_verify(hubs, live, percent))
+    payload = live.select(F.col("doc_id").alias("id"), F.col("tokens").alias("payload"))
+    links = common.checkpoint(blocks.verified(hubs, payload, _sets_of, percent))
     labels = common.components(links)
 
     # between components
     rest = common.checkpoint(_prefixes(live, labels, shift, percent).select("token", "doc_id", "n", "component"))
-    lists = rest.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token", "members")
-    open_ = rest.join(lists, "token")
+    lists = rest.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    lists = common.checkpoint(lists.select("token", "members"))
+    open_ = rest.join(blocks.small(lists, lists.count()), "token")
     short, long_ = open_.filter(F.col("members") <= SHORT_LIST), open_.filter(F.col("members") > SHORT_LIST)
     a = short.select("token", F.col("doc_id").alias("src"), F.col("n").alias("sn"), F.col("component").alias("sc"))
     b = short.select("token", F.col("doc_id").alias("dst"), F.col("n").alias("dn"), F.col("component").alias("dc"))
     pairs = a.join(b, "token").filter(f"src < dst and sc <> dc and 100 * least(sn, dn) >= {percent} * greatest(sn, dn)").select("src", "dst").distinct()
-    late = common.checkpoint(_verify(pairs, live, percent).union(_block_links(long_, live, percent)))
+    maybe = common.checkpoint(_maybe(pairs, live, percent))
+    long_ = long_.select("token", F.col("doc_id").alias("id"), "n", "component")
+    late = common.checkpoint(blocks.verified(maybe, payload, _sets_of, percent).union(blocks.block_links(long_, payload, _sets_of, percent)))
     labels = common.components(links.union(late))
     of_key = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     return keyed.join(of_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

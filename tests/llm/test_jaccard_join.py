@@ -50,7 +50,7 @@ def corpus(seed, n=220):
 @pytest.mark.parametrize("short_list", [2, 48])
 def test_matches_brute_force(spark, monkeypatch, short_list):
     monkeypatch.setattr(jj, "SHORT_LIST", short_list)
-    monkeypatch.setattr(jj, "BLOCK_SETS", 16)
+    monkeypatch.setattr(jj.blocks, "BLOCK_SETS", 16)
     rows = corpus(short_list)
     want, sizes = brute(rows)
     got = jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
