@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomspark.functions import text as T
+from loomspark.sources.tables import checkpoint
 
 K1, B = 2.0, 0.75
 # Weights of chunk types.
@@ -20,16 +23,33 @@ def type_weight(chunk_type: Column) -> Column:
     return out
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, dl): term frequencies, with the chunk's length."""
-    words = chunks.select("chunk_id", T.tokens(F.col("content")).alias("w"))
-    rows = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return rows.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+@dataclass(frozen=True)
+class Index:
+    """An inverted index as tables: chunks with their length and weight, postings ordered by term, term and corpus statistics."""
+
+    chunks: DataFrame  # the corpus' columns, dl, weight
+    postings: DataFrame  # term, chunk_id, tf, dl, weight
+    stats: DataFrame  # term, df, idf
+    corpus: DataFrame  # one row: n, avgdl
 
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    """(n, avgdl): number of chunks and mean length."""
-    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.col("content")))).alias("avgdl"))
+def write_index(chunks: DataFrame, folder: str) -> Index:
+    """Tokenise chunks (chunk_id, rel_path, content, chunk_type, ...) once and write the index below folder.
+
+    Postings are written in ranges of (term, chunk_id): a lookup prunes row groups by term, and a common term lies in
+    many files.
+    """
+    spark = chunks.sparkSession
+    words = chunks.withColumn("_w", T.tokens(F.col("content"))).withColumn("weight", type_weight(F.col("chunk_type")))
+    words.withColumn("dl", F.size("_w")).drop("_w").write.parquet(f"{folder}/chunks")
+    rows = words.select("chunk_id", F.size("_w").alias("dl"), "weight", F.explode("_w").alias("term"))
+    counted = rows.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("weight").alias("weight"))
+    counted.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{folder}/postings")
+    stored, posted = spark.read.parquet(f"{folder}/chunks"), spark.read.parquet(f"{folder}/postings")
+    stored.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{folder}/corpus")
+    corpus = spark.read.parquet(f"{folder}/corpus")
+    term_stats(posted, corpus).write.parquet(f"{folder}/stats")
+    return Index(stored, posted, spark.read.parquet(f"{folder}/stats"), corpus)
 
 
 def term_stats(posted: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -45,20 +65,37 @@ def tf_part(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B)
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
 
 
-def scores(posted: DataFrame, stats: DataFrame, corpus: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+#: Query terms up to this count are broadcast to the postings (some MB).
+BROADCAST_TERMS = 500_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+    """df, stored, and to be broadcast if it has few rows."""
+    stored = checkpoint(df)
+    return F.broadcast(stored) if stored.count() <= most else stored
+
+
+def path_hits(paths: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, rel_path, term, idf) for terms inside a path: the path's substrings of the terms' lengths are looked up."""
+    lengths = [r[0] for r in wanted.select(F.char_length("term")).distinct().collect()]  # as many as words have lengths
+    low = paths.select("rel_path", F.lower("rel_path").alias("_p"))
+    starts = low.select("rel_path", "_p", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("_p")))).alias("_s"), F.array(*map(F.lit, lengths)).cast("array<int>").alias("_n"))
+    parts = starts.select("rel_path", "_p", "_s", F.explode("_n").alias("_n")).filter("_s + _n - 1 <= char_length(_p)")
+    return parts.select("rel_path", F.substr("_p", F.col("_s"), F.col("_n")).alias("term")).join(wanted, "term").select("query_id", "rel_path", "term", "idf").distinct()
+
+
+def scores(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, bm25) for chunks that hold a term of the query (query_id, term).
 
-    Content and path parts are added per term: a term inside the path counts its idf once more.
+    A term's part in a chunk, and its idf once more where the path holds it, are summed in one shuffle.
     """
-    wanted = queries.distinct().join(stats, "term")
-    content = posted.join(wanted, "term").join(F.broadcast(corpus.select("avgdl")))
-    content = content.select("query_id", "chunk_id", (F.col("idf") * tf_part(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("part"))
-    total = content.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("content_score"))
-    path = chunks.select("chunk_id", "rel_path", "chunk_type")
-    terms = wanted.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("terms"))  # as many as a query has words
-    joined = total.join(path, "chunk_id").join(terms, "query_id")
-    bonus = F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + F.when(F.lower("rel_path").contains(t["term"]), t["idf"]).otherwise(0.0))
-    return joined.select("query_id", "chunk_id", "rel_path", ((F.col("content_score") + bonus) * type_weight(F.col("chunk_type"))).alias("bm25"))
+    wanted = small(queries.distinct().join(index.stats.select("term", "idf"), "term"))
+    content = index.postings.join(wanted, "term").join(F.broadcast(index.corpus.select("avgdl")))
+    content = content.select("query_id", "chunk_id", (F.col("weight") * F.col("idf") * tf_part(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("part"), F.lit(1).alias("held"))
+    bonus = small(path_hits(index.chunks.select("rel_path").distinct(), wanted).groupBy("query_id", "rel_path").agg(F.sum("idf").alias("idf")))
+    extra = index.chunks.select("chunk_id", "rel_path", "weight").join(bonus, "rel_path").select("query_id", "chunk_id", (F.col("weight") * F.col("idf")).alias("part"), F.lit(0).alias("held"))
+    total = content.unionByName(extra).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("bm25"), F.max("held").alias("held"))
+    return total.filter("held = 1").drop("held")
 
 
 def top_k(scored: DataFrame, k: int, by: str = "bm25") -> DataFrame:

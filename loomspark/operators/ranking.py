@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomspark.functions import text as T
+from loomspark.sources.tables import checkpoint
 
 RRF_K = 61
 CAPPED_SUM, CENTRAL_BOOST = 2.0, 1.5
@@ -49,25 +50,41 @@ def rrf(lists: DataFrame, weights: dict[str, float] | None = None, k: int = RRF_
     return one.groupBy("query_id", "item").agg(F.sum(weight / (k - 1 + F.col("rank"))).alias("rrf"), F.sort_array(F.collect_list(F.struct("signal", "rank"))).alias("ranks"))
 
 
-def budget(ranked_rows: DataFrame, limit: int, order: list[Column], tokens: str = "tokens", group: str = "query_id", at_most: int = 500) -> DataFrame:
+#: Places of a budget's ranking that one row of the fold covers.
+FOLD_ROWS = 4096
+
+
+def budget(ranked_rows: DataFrame, limit: int, order: list[Column], tokens: str = "tokens", group: str = "query_id") -> DataFrame:
     """Greedy packing: in order, take each item that still fits and skip one that does not.
 
-    The fold needs its items in a row; a group is cut to its first `at_most` before (the candidate cap of
-    retrieval), so its size is bounded.
+    The rule depends on every decision before, so it is folded over the ranking: items in stretches of FOLD_ROWS, a
+    round for each stretch over all groups at once.  A group is done when not even its smallest item left would fit, so that
+    rounds follow the budget and not the length of the ranking; no item is cut off.
     """
     own = W.partitionBy(group).orderBy(*order)
-    top = ranked_rows.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= at_most)
-    item = F.struct("_r", *[c for c in ranked_rows.columns if c != group])
-    lists = top.groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
+    rest = W.partitionBy(group).orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = ranked_rows.withColumn("_r", F.row_number().over(own)).withColumn("_s", F.floor((F.col("_r") - 1) / FOLD_ROWS)).withColumn("_least", F.min(tokens).over(rest))
+    placed = checkpoint(placed)
+    start = lambda used: F.struct(used.cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
 
     def take(acc: Column, x: Column) -> Column:
         fits = acc["used"] + x[tokens] <= limit
-        return F.struct((acc["used"] + F.when(fits, x[tokens]).otherwise(0)).cast("long").alias("used"), F.when(fits, F.array_append(acc["kept"], x["_r"])).otherwise(acc["kept"]).alias("kept"))
-
-    packed = lists.withColumn("kept", F.aggregate("items", start, take, lambda acc: acc["kept"]))
-    rows = packed.select(group, F.explode(F.filter("items", lambda x: F.array_contains("kept", x["_r"]))).alias("x"))
-    return rows.select(group, "x.*").drop("_r")
+        return F.struct((acc["used"] + F.when(fits, x[tokens]).otherwise(0)).cast("long").alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x["_r"]))).otherwise(acc["kept"]).alias("kept"))
+
+    kept, stretch = None, 0
+    state = placed.select(group).distinct().withColumn("used", F.lit(0).cast("long"))
+    while True:
+        here = placed.filter(F.col("_s") == stretch).join(state, group)
+        lists = here.groupBy(group).agg(F.first("used").alias("used"), F.min("_least").alias("_least"), F.sort_array(F.collect_list(F.struct("_r", tokens))).alias("items"))
+        folded = checkpoint(lists.filter(F.col("used") + F.col("_least") <= limit).select(group, F.aggregate("items", start(F.col("used")), take).alias("acc")))
+        if folded.isEmpty():
+            break
+        some = folded.select(group, F.explode("acc.kept").alias("_r"))
+        kept = some if kept is None else kept.unionByName(some)
+        state, stretch = folded.select(group, "acc.used"), stretch + 1
+    if kept is None:
+        return placed.limit(0).drop("_r", "_s", "_least")
+    return placed.join(kept, [group, "_r"], "left_semi").drop("_r", "_s", "_least")
 
 
 def file_cap(n_chunks: Column, total: Column, central: Column, symbols: Column, size: Column) -> Column:

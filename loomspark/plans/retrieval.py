@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.operators import bm25, ranking
-from loomspark.sources.tables import read
+from loomspark.sources.tables import checkpoint, read, shared_folder, version
 
 CHUNK = 1300
 
@@ -50,10 +52,27 @@ b AS (
 """
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    c, q = chunks(spark, sf_dir), terms(spark, sf_dir)
-    posted, corpus = bm25.postings(c), bm25.lengths(c)
-    return bm25.scores(posted, bm25.term_stats(posted, corpus), corpus, q, c), c, q
+_INDEXES: dict[tuple[str, str, str], bm25.Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    """The index of all chunks: written once for each state of the documents, then read by every query of the session."""
+    state = (spark.sparkContext.applicationId, sf_dir, version(read(spark, sf_dir, "documents")))
+    if state not in _INDEXES:
+        _INDEXES[state] = bm25.write_index(chunks(spark, sf_dir), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    return _INDEXES[state]
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bm25.Index, DataFrame]:
+    """Scores at six decimals, so that sums of another order rank alike; the index; the query terms."""
+    i, q = index(spark, sf_dir), terms(spark, sf_dir)
+    return bm25.scores(i, q).withColumn("bm25", F.round("bm25", 6)), i, q
+
+
+def _best(scored: DataFrame, i: bm25.Index, k: int, *columns: str) -> DataFrame:
+    """The k best chunks of each query with more of their columns: cut first, then joined."""
+    top = bm25.small(bm25.top_k(scored, k))
+    return i.chunks.select("chunk_id", *columns).join(top, "chunk_id")
 
 
 def _six(name: str):
@@ -62,9 +81,8 @@ def _six(name: str):
 
 def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best chunks of every benchmark text."""
-    scored, _, _ = _scored(spark, sf_dir)
-    # scores are compared at six decimals, so that sums of another order rank alike
-    return bm25.top_k(scored.withColumn("bm25", F.round("bm25", 6)), 10).select("query_id", "rank", "chunk_id", "rel_path", "bm25")
+    scored, i, _ = _scored(spark, sf_dir)
+    return _best(scored, i, 10, "rel_path").select("query_id", "rank", "chunk_id", "rel_path", "bm25")
 
 
 _TOP = _CHUNKS + ", t AS (SELECT query_id, chunk_id, rel_path, content, round(bm25, 6) AS bm25, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, chunk_id) AS INTEGER) AS rank FROM b)"
@@ -73,14 +91,12 @@ _TOP = _CHUNKS + ", t AS (SELECT query_id, chunk_id, rel_path, content, round(bm
 def bm25_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks within four fifths of each query's best score."""
     scored, _, _ = _scored(spark, sf_dir)
-    return bm25.cut_off(scored.withColumn("bm25", F.round("bm25", 6)), 1.0, 0.8).select("query_id", "chunk_id", "bm25")
+    return bm25.cut_off(scored, 1.0, 0.8).select("query_id", "chunk_id", "bm25")
 
 
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency and weight of every term of two chunks or more."""
-    c = chunks(spark, sf_dir)
-    posted = bm25.postings(c)
-    return bm25.term_stats(posted, bm25.lengths(c)).select("term", "df", _six("idf"))
+    return index(spark, sf_dir).stats.select("term", "df", _six("idf"))
 
 
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,10 +107,12 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 per file fused with the number of query terms that a file holds: the ten best files of each query."""
-    scored, c, q = _scored(spark, sf_dir)
-    best = scored.withColumn("bm25", F.round("bm25", 6)).groupBy("query_id", "rel_path").agg(F.max("bm25").alias("score"))
-    words = bm25.postings(c).join(c.select("chunk_id", "rel_path"), "chunk_id").select("rel_path", "term").distinct()
-    hits = words.join(q, "term").groupBy("query_id", "rel_path").agg(F.count("*").alias("score"))
+    scored, i, q = _scored(spark, sf_dir)
+    files = i.chunks.select("chunk_id", "rel_path")
+    best = scored.join(files, "chunk_id").groupBy("query_id", "rel_path").agg(F.max("bm25").alias("score"))
+    asked = bm25.small(q.distinct())
+    words = i.postings.join(F.broadcast(asked.select("term").distinct()), "term").join(files, "chunk_id").select("rel_path", "term").distinct()
+    hits = words.join(asked, "term").groupBy("query_id", "rel_path").agg(F.count("*").alias("score"))
     lists = ranking.ranked(best, "score", "rel_path", 100, "bm25").unionByName(ranking.ranked(hits, "score", "rel_path", 100, "terms"))
     fused = ranking.rrf(lists.withColumnRenamed("rel_path", "item")).withColumn("rrf", F.round("rrf", 6))
     flat = fused.withColumn("signals", F.array_join(F.transform("ranks", lambda x: F.concat_ws("=", x["signal"], x["rank"])), ","))
@@ -116,10 +134,9 @@ FROM z QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, rel_p
 
 def budget_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 100 best chunks of each query under a budget of 7,000 tokens; what would overflow is skipped."""
-    scored, c, _ = _scored(spark, sf_dir)
-    top = bm25.top_k(scored.withColumn("bm25", F.round("bm25", 6)), 100)
-    rows = top.select("query_id", "rank", "chunk_id").join(c.select("chunk_id", T.token_estimate(F.col("content")).cast("long").alias("tokens")), "chunk_id")
-    return ranking.budget(rows.select("query_id", "rank", "chunk_id", "tokens"), 7000, [F.col("rank")])
+    scored, i, _ = _scored(spark, sf_dir)
+    rows = _best(scored, i, 100, "content").select("query_id", "rank", "chunk_id", T.token_estimate(F.col("content")).cast("long").alias("tokens"))
+    return ranking.budget(rows, 7000, [F.col("rank")])
 
 
 _BUDGET = _TOP + """,
@@ -134,8 +151,8 @@ SELECT query_id, rank, chunk_id, tokens FROM f WHERE kept
 
 def capped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 100 best chunks of each query, no more of a file than its cap allows."""
-    scored, c, _ = _scored(spark, sf_dir)
-    top = bm25.top_k(scored.withColumn("bm25", F.round("bm25", 6)), 100).select("query_id", "rank", "chunk_id", "rel_path")
+    scored, i, _ = _scored(spark, sf_dir)
+    top, c = _best(scored, i, 100, "rel_path").select("query_id", "rank", "chunk_id", "rel_path"), i.chunks
     sizes = c.groupBy("rel_path").agg(F.count("*").alias("n"), F.sum(F.char_length("content")).alias("size"), F.count_if(F.col("chunk_type") == "function").alias("symbols"))
     total = c.agg(F.count("*").alias("total"))
     caps = sizes.join(F.broadcast(total)).select("rel_path", ranking.file_cap(F.col("n"), F.col("total"), F.lit(False), F.col("symbols"), F.col("size")).alias("cap"))
@@ -153,8 +170,8 @@ SELECT query_id, rank, chunk_id FROM y JOIN cap USING (rel_path) WHERE i <= cap
 
 def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage, path entropy and the quality label of each query's ten best chunks."""
-    scored, c, q = _scored(spark, sf_dir)
-    top = bm25.top_k(scored.withColumn("bm25", F.round("bm25", 6)), 10).join(c.select("chunk_id", "content", "chunk_type"), "chunk_id")
+    scored, i, q = _scored(spark, sf_dir)
+    top = checkpoint(_best(scored, i, 10, "rel_path", "content", "chunk_type"))
     parts = ranking.coverage(q, top).join(ranking.path_entropy(top), "query_id")
     tops = top.groupBy("query_id").agg(F.max("bm25").alias("best"), F.bool_or(ranking.has_definition(F.col("chunk_type"), F.col("content"))).alias("has_definition"))
     made = parts.join(tops, "query_id").withColumn("q", ranking.quality_label(F.round("coverage", 6), F.round("path_entropy", 6), F.col("has_definition"), F.col("best")))
@@ -190,12 +207,12 @@ SELECT chunk_id, open AND nx IS NOT NULL AND nx <> '' AS expanded, CASE WHEN ope
 
 def mode_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision at 5, hit rate and tokens of BM25 against plain term hits; relevant is a chunk that holds half the terms."""
-    scored, c, q = _scored(spark, sf_dir)
-    hit = bm25.postings(c).join(q, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits"))
-    n = q.groupBy("query_id").agg(F.count("*").alias("n"))
-    a = bm25.top_k(scored.withColumn("bm25", F.round("bm25", 6)), 10).select("query_id", "chunk_id", "rank", F.lit("bm25").alias("mode"))
+    scored, i, q = _scored(spark, sf_dir)
+    hit = checkpoint(i.postings.join(bm25.small(q.distinct()), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits")))
+    n, c = q.groupBy("query_id").agg(F.count("*").alias("n")), i.chunks
+    a = bm25.top_k(scored, 10).select("query_id", "chunk_id", "rank", F.lit("bm25").alias("mode"))
     b = bm25.top_k(hit, 10, "hits").select("query_id", "chunk_id", "rank", F.lit("hits").alias("mode"))
-    rows = a.unionByName(b).join(hit, ["query_id", "chunk_id"]).join(n, "query_id").join(c.select("chunk_id", T.token_estimate(F.col("content")).cast("long").alias("tokens")), "chunk_id")
+    rows = bm25.small(a.unionByName(b)).join(hit, ["query_id", "chunk_id"]).join(n, "query_id").join(c.select("chunk_id", T.token_estimate(F.col("content")).cast("long").alias("tokens")), "chunk_id")
     out = ranking.mode_metrics(rows.withColumn("relevant", F.col("hits") * 2 >= F.col("n")))
     return out.select("mode", _six("precision_at_5"), _six("hit_rate"), "tokens")
 

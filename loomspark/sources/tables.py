@@ -11,16 +11,33 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder in spark.checkpoint.dir, which all executors share."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; only a local session may do without one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="loomspark-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomspark-checkpoint-"))
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def version(df: DataFrame) -> str:
+    """A name for the state of a table of files: their number of rows, size and newest time."""
+    r = df.select(F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_path").alias("p")).groupBy("p").agg(F.count("*").alias("n"), F.max("s").alias("s"), F.max("t").alias("t")).agg(F.sum("n"), F.sum("s"), F.max("t")).first()
+    return "-".join(str(x) for x in r)
+
+
 def append(df: DataFrame, path: str, partition: str = "snapshot_id") -> None:
     """Bulk insert: one directory for each snapshot, so that reads prune by it."""
     df.write.mode("append").partitionBy(partition).parquet(path)
