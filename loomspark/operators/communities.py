@@ -34,7 +34,7 @@ def detect(weighted: DataFrame, rounds: int = 20, resolution: float = RESOLUTION
     labels = checkpoint(degree.select("node", F.col("node").alias("community")))
     if not two_m:
         return labels
-    quiet = 0
+    quiet, table = 0, None
     for r in range(rounds):
         near = both.join(labels.withColumnsRenamed({"node": "b", "community": "c"}), "b").groupBy(F.col("a").alias("node"), F.col("c")).agg(F.sum("weight").alias("w"))
         totals = labels.join(degree, "node").groupBy(F.col("community").alias("c")).agg(F.sum("k").alias("total"))
@@ -44,8 +44,8 @@ def detect(weighted: DataFrame, rounds: int = 20, resolution: float = RESOLUTION
         best = gains.withColumn("gain", gain).groupBy("node").agg(F.max_by(F.col("c"), F.struct("gain", F.col("c") == F.col("community"))).alias("c"), F.max("gain").alias("gain"), F.max(F.when(F.col("c") == F.col("community"), F.col("gain"))).alias("stay"))
         turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
         moved = labels.join(best, "node", "left").withColumn("to", F.when(turn & (F.col("gain") > F.coalesce("stay", F.lit(0.0))), F.col("c")).otherwise(F.col("community")))
-        moved = checkpoint(moved.select("node", F.col("to").alias("community"), (F.col("to") != F.col("community")).alias("changed")))
-        labels = moved.select("node", "community")
+        table = checkpoint(moved.select("node", F.col("to").alias("community"), (F.col("to") != F.col("community")).alias("changed")), instead_of=table)
+        moved, labels = table, table.select("node", "community")
         quiet = quiet + 1 if moved.filter("changed").isEmpty() else 0
         if quiet >= 2:
             break

@@ -160,7 +160,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     for turn in itertools.count():
         while True:  # trim
             sources, targets = live.select(F.col("src").alias("n")).distinct(), live.select(F.col("dst").alias("n")).distinct()
-            core = checkpoint(live.join(targets, F.col("src") == F.col("n"), "left_semi").join(sources, F.col("dst") == F.col("n"), "left_semi"))
+            core = checkpoint(live.join(targets, F.col("src") == F.col("n"), "left_semi").join(sources.withColumnRenamed("n", "m"), F.col("dst") == F.col("m"), "left_semi"))
             done = core.count() == live.count()
             live = core
             if done:
@@ -168,9 +168,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
         if live.isEmpty():
             break
         colour = checkpoint(live.select(F.col("src").alias("node")).union(live.select("dst")).distinct().withColumn("colour", F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node")))
+        table = None
         while True:
             came = live.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("came"))
-            after = checkpoint(colour.join(came, "node", "left").select("node", "colour", F.least("colour", F.coalesce("came", "colour")).alias("next")))
+            after = table = checkpoint(colour.join(came, "node", "left").select("node", "colour", F.least("colour", F.coalesce("came", "colour")).alias("next")), instead_of=table)
             still = after.filter("colour <> next").isEmpty()
             colour = after.select("node", F.col("next").alias("colour"))
             if still:

@@ -6,21 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+GRAM = 3
+
+
+def _grams(text: Column, n: Column) -> Column:
+    """All distinct substrings of n characters."""
+    return F.when(F.char_length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substr(text, i, n))))
+
+
 def search(symbols: DataFrame, queries: DataFrame, limit: int = 120) -> DataFrame:
     """(query_id, name, match_rank) for each query (query_id, q): names that contain it, ignoring case.
 
     An exact name is 0, a beginning 1, else 2.  Names within two edits (rank 3) count only where nothing contains
-    the query.  Fuzzy pairs are generated by length (names whose length differs by over two cannot match).
+    the query.  Both are equi-joins on grams, then verified: a name that contains the query holds the query's
+    first three characters (fewer if it is shorter); of three pieces of a query, two edits leave one whole, which the
+    name holds no more than two places off.  Queries of under three characters, which have no three pieces, meet the names
+    of up to five characters by length.  Empty queries match every name.
     """
     from pyspark.sql import Window as W
 
     names = symbols.select("name").distinct().withColumn("low", F.lower("name"))
     asked = queries.withColumn("ql", F.lower("q"))
+    sizes = F.array(*[F.lit(n) for n in range(GRAM + 1)])
+    indexed = names.select("name", "low", F.explode(sizes).alias("n")).select("name", "low", F.explode(F.when(F.col("n") == 0, F.array(F.lit(""))).otherwise(_grams(F.col("low"), F.greatest(F.lit(1), F.col("n"))))).alias("gram"))
     rank = F.when(F.col("low") == F.col("ql"), 0).when(F.startswith("low", "ql"), 1).otherwise(2)
-    hits = names.join(F.broadcast(asked), F.contains("low", "ql")).select("query_id", "name", rank.alias("match_rank"))
-    left = asked.join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    near = left.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(0), F.char_length("ql") - 2), F.char_length("ql") + 2)))
-    fuzzy = names.withColumn("len", F.char_length("low")).join(near, "len").withColumn("d", F.levenshtein("ql", "low", 2)).filter("d >= 0")
+    hits = indexed.join(asked.withColumn("gram", F.substring("ql", 1, GRAM)), "gram").filter(F.contains("low", "ql")).select("query_id", "name", rank.alias("match_rank"))
+    left = asked.join(hits.select("query_id").distinct(), "query_id", "left_anti").withColumn("m", F.char_length("ql"))
+
+    # pieces of m div 3, m div 3, and the rest; a name's gram of that length at a place up to two off
+    third = F.floor(F.col("m") / 3).cast("int")
+    cuts = F.array(F.struct(F.lit(1).alias("at"), third.alias("len")), F.struct((third + 1).alias("at"), third.alias("len")), F.struct((2 * third + 1).alias("at"), (F.col("m") - 2 * third).alias("len")))
+    pieces = left.filter("m >= 3").select("query_id", "ql", "m", F.explode(cuts).alias("c"))
+    spread = pieces.select("query_id", "ql", "m", "c", F.substr("ql", F.col("c.at"), F.col("c.len")).alias("gram")).withColumn("at", F.explode(F.sequence(F.greatest(F.lit(1), F.col("c.at") - 2), F.col("c.at") + 2)))
+    lengths = spread.select(F.char_length("gram").alias("n")).distinct()  # a handful: no more than a query has characters
+    placed = names.withColumn("n", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("low"))))).join(F.broadcast(lengths), "n").select("name", "low", "n", F.explode(F.sequence(F.lit(1), F.char_length("low") - F.col("n") + 1)).alias("at"))
+    placed = placed.select("name", "low", "at", F.substr("low", F.col("at"), F.col("n")).alias("gram"))
+    long_ = placed.join(spread.select("query_id", "ql", "gram", "at"), ["gram", "at"]).select("query_id", "ql", "name", "low").distinct()
+    short = left.filter("m < 3").withColumn("len", F.explode(F.sequence(F.greatest(F.lit(0), F.col("m") - 2), F.col("m") + 2)))
+    brief = names.withColumn("len", F.char_length("low")).filter("len < 5").join(short, "len").select("query_id", "ql", "name", "low")
+    fuzzy = long_.unionByName(brief).filter(F.levenshtein("ql", "low", 2) >= 0)
     every = hits.unionByName(fuzzy.select("query_id", "name", F.lit(3).alias("match_rank")))
     own = W.partitionBy("query_id").orderBy("match_rank", F.lower("name"), "name")
     return every.withColumn("r", F.row_number().over(own)).filter(F.col("r") <= limit).select("query_id", "name", "match_rank")

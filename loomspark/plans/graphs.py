@@ -1,7 +1,7 @@
 """Graph queries over parts that are returned together, with their SQL.
 
-Edges join consecutive lines of an order that were both returned in large quantity (over 25): from the part of
-the one line to the part of the next.  A symbol is part::supplier, confidence is 1 - discount.
+Edges join all consecutive lines of an order: from the part of the one line to the part of the next.  A symbol is
+part::supplier, confidence is 1 - discount.
 """
 
 from __future__ import annotations
@@ -15,20 +15,18 @@ from loomspark.operators import communities, graph
 from loomspark.sources.tables import read
 
 
-def symbol_edges(spark: SparkSession, sf_dir: str, over: int = 25) -> DataFrame:
+def symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, confidence, edge_type, line): symbol edges, one for each pair of consecutive lines."""
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_quantity", "l_returnflag", "l_linestatus")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_quantity", "l_linestatus")
     own = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
-    wanted = (F.col("l_returnflag") == "R") & (F.col("l_quantity") > over)
     symbol = F.concat(F.lit("p"), F.col("l_partkey"), F.lit("::"), F.col("l_suppkey"))
-    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", wanted.alias("w"), symbol.alias("s"), "l_linestatus")
-    rows = rows.withColumns({"dst": F.lead("s").over(own), "w2": F.lead("w").over(own)}).filter("w and w2")
-    return rows.select(F.col("s").alias("src"), "dst", F.round(1 - F.col("l_discount"), 2).alias("confidence"), F.when(F.col("l_linestatus") == "F", "calls").otherwise("extends").alias("edge_type"), F.col("l_linenumber").alias("line"))
+    rows = lines.withColumn("src", symbol).withColumn("dst", F.lead("src").over(own)).filter("dst is not null")
+    return rows.select("src", "dst", F.round(1 - F.col("l_discount"), 2).alias("confidence"), F.when(F.col("l_linestatus") == "F", "calls").otherwise("extends").alias("edge_type"), F.col("l_linenumber").alias("line"))
 
 
-def file_edges(spark: SparkSession, sf_dir: str, over: int = 25) -> DataFrame:
+def file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst): the parts of the symbol edges, repeated edges kept."""
-    return symbol_edges(spark, sf_dir, over).select(T.symbol_file(F.col("src")).alias("src"), T.symbol_file(F.col("dst")).alias("dst"))
+    return symbol_edges(spark, sf_dir).select(T.symbol_file(F.col("src")).alias("src"), T.symbol_file(F.col("dst")).alias("dst"))
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,10 +35,10 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _E = """
-o AS (SELECT *, 'p' || l_partkey || '::' || l_suppkey AS s, l_returnflag = 'R' AND l_quantity > 25 AS w FROM lineitem),
-n AS (SELECT s AS src, lead(s) OVER x AS dst, w, lead(w) OVER x AS w2, round(1 - l_discount, 2) AS confidence, CASE WHEN l_linestatus = 'F' THEN 'calls' ELSE 'extends' END AS edge_type, l_linenumber AS line
+o AS (SELECT *, 'p' || l_partkey || '::' || l_suppkey AS s FROM lineitem),
+n AS (SELECT s AS src, lead(s) OVER x AS dst, round(1 - l_discount, 2) AS confidence, CASE WHEN l_linestatus = 'F' THEN 'calls' ELSE 'extends' END AS edge_type, l_linenumber AS line
   FROM o WINDOW x AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount)),
-se AS (SELECT src, dst, confidence, edge_type, line FROM n WHERE w AND w2),
+se AS (SELECT src, dst, confidence, edge_type, line FROM n WHERE dst IS NOT NULL),
 fe AS (SELECT split_part(src, '::', 1) AS src, split_part(dst, '::', 1) AS dst, confidence, edge_type FROM se),
 un AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM fe UNION ALL SELECT dst, src FROM fe) WHERE src <> dst),
 sd AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_brand = 'Brand#7')
@@ -79,10 +77,10 @@ def symbol_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first shortest path from each seed to every part within three hops."""
+    """The first shortest path from each seed to every part within two hops."""
     e = file_edges(spark, sf_dir)
-    reach = graph.hops(e, seeds(spark, sf_dir), 3)
-    found = graph.shortest_paths(e, reach.select(F.col("seed").alias("src"), F.col("node").alias("dst")), 3)
+    reach = graph.hops(e, seeds(spark, sf_dir), 2)
+    found = graph.shortest_paths(e, reach.select(F.col("seed").alias("src"), F.col("node").alias("dst")), 2)
     return found.select("src", "dst", F.array_join("path", ">").alias("path"))
 
 
@@ -101,8 +99,8 @@ def call_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that lie on cycles, by cycle, where lines of over 18 count."""
-    return graph.strong_components(file_edges(spark, sf_dir, 18)).select("node", "component", F.col("size").cast("long").alias("size"))
+    """Parts that lie on cycles, by cycle."""
+    return graph.strong_components(file_edges(spark, sf_dir)).select("node", "component", F.col("size").cast("long").alias("size"))
 
 
 def merged_symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,9 +168,9 @@ ORACLES = {
     "impact_cone": f"WITH RECURSIVE {_E}, r AS (SELECT node AS seed, node, 0 AS hop FROM sd UNION SELECT r.seed, un.dst, r.hop + 1 FROM r JOIN un ON r.node = un.src WHERE r.hop < 2), m AS (SELECT seed, node, min(hop) AS ring FROM r GROUP BY ALL), b AS (SELECT node AS seed, node, 0 AS hop FROM sd UNION SELECT b.seed, fe.src, b.hop + 1 FROM b JOIN fe ON b.node = fe.dst WHERE b.hop < 2), bm AS (SELECT seed, node, min(hop) AS hop FROM b GROUP BY ALL), k AS (SELECT seed, node FROM m QUALIFY row_number() OVER (PARTITION BY seed ORDER BY ring, node) <= 500) SELECT k.seed, k.node, CAST(bm.hop AS INTEGER) AS hop FROM k LEFT JOIN bm ON k.seed = bm.seed AND k.node = bm.node",
     "reverse_cone": f"WITH RECURSIVE {_E}, b AS (SELECT DISTINCT node AS seed, fe.src AS node, 1 AS hop FROM sd JOIN fe ON sd.node = fe.dst UNION SELECT b.seed, fe.src, b.hop + 1 FROM b JOIN fe ON b.node = fe.dst WHERE b.hop < 3) SELECT seed, node, CAST(min(hop) AS INTEGER) AS hop FROM b GROUP BY ALL",
     "symbol_cone": f"WITH RECURSIVE {_E}, st AS (SELECT DISTINCT dst AS node FROM se WHERE split_part(dst, '::', 1) IN (SELECT node FROM sd)), b AS (SELECT node AS seed, node, 0 AS hop FROM st UNION SELECT b.seed, se.src, b.hop + 1 FROM b JOIN se ON b.node = se.dst AND se.confidence >= 0.92 WHERE b.hop < 4) SELECT seed, node, CAST(min(hop) AS INTEGER) AS hop FROM b GROUP BY ALL",
-    "shortest_paths": f"WITH RECURSIVE {_E}, de AS (SELECT DISTINCT src, dst FROM fe), r AS (SELECT DISTINCT node AS seed, node, [node] AS path, 0 AS hop FROM sd UNION ALL SELECT r.seed, de.dst, list_append(r.path, de.dst), r.hop + 1 FROM r JOIN de ON r.node = de.src WHERE r.hop < 3), m AS (SELECT seed, node, path, row_number() OVER (PARTITION BY seed, node ORDER BY hop, path) AS i FROM r) SELECT seed AS src, node AS dst, CASE WHEN seed = node THEN '' ELSE array_to_string(path, '>') END AS path FROM m WHERE i = 1",
+    "shortest_paths": f"WITH RECURSIVE {_E}, de AS (SELECT DISTINCT src, dst FROM fe), r AS (SELECT DISTINCT node AS seed, node, [node] AS path, 0 AS hop FROM sd UNION ALL SELECT r.seed, de.dst, list_append(r.path, de.dst), r.hop + 1 FROM r JOIN de ON r.node = de.src WHERE r.hop < 2), m AS (SELECT seed, node, path, row_number() OVER (PARTITION BY seed, node ORDER BY hop, path) AS i FROM r) SELECT seed AS src, node AS dst, CASE WHEN seed = node THEN '' ELSE array_to_string(path, '>') END AS path FROM m WHERE i = 1",
     "callees_callers": f"WITH {_E} SELECT 'outgoing' AS direction, src, dst, edge_type, line, confidence FROM se WHERE confidence >= 0.95 AND split_part(src, '::', 1) IN (SELECT node FROM sd) UNION ALL SELECT 'incoming', src, dst, edge_type, line, confidence FROM se WHERE confidence >= 0.95 AND split_part(dst, '::', 1) IN (SELECT node FROM sd)",
-    "strong_components": f"WITH RECURSIVE {_E.replace('> 25', '> 18')}, de AS (SELECT DISTINCT src, dst FROM fe WHERE src <> dst), r AS (SELECT src AS a, dst AS b FROM de UNION SELECT r.a, de.dst FROM r JOIN de ON r.b = de.src), k AS (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a), c AS (SELECT a AS node, least(a, min(b)) AS component FROM k GROUP BY a) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c QUALIFY count(*) OVER (PARTITION BY component) > 1",
+    "strong_components": f"WITH RECURSIVE {_E}, de AS (SELECT DISTINCT src, dst FROM fe WHERE src <> dst), r AS (SELECT src AS a, dst AS b FROM de UNION SELECT r.a, de.dst FROM r JOIN de ON r.b = de.src), k AS (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a), c AS (SELECT a AS node, least(a, min(b)) AS component FROM k GROUP BY a) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c QUALIFY count(*) OVER (PARTITION BY component) > 1",
     "merged_symbol_edges": f"WITH {_E} SELECT src, dst, edge_type, array_to_string(list_sort(list(DISTINCT line)), ',') AS lines, max(confidence) AS confidence FROM se GROUP BY src, dst, edge_type",
     "community_summaries": f"WITH {_TRADE}, ed AS (SELECT * FROM pl WHERE src <> dst), mm AS (SELECT count(*) AS m FROM ed), i AS (SELECT ca AS community, count(*) AS internal_edges FROM ed WHERE ca = cb GROUP BY ca), dg AS (SELECT community, count(*) AS d FROM (SELECT ca AS community FROM ed UNION ALL SELECT cb FROM ed) GROUP BY community), hs AS (SELECT lb.node, lb.community, count(ed.dst) AS s FROM lb LEFT JOIN ed ON ed.dst = lb.node AND ed.ca = ed.cb GROUP BY ALL), h AS (SELECT community, string_agg(node, ',' ORDER BY r) AS hub_nodes FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY s DESC, node) AS r FROM hs) WHERE r <= 3 GROUP BY community), nb AS (SELECT community, count(*) AS neighbours FROM (SELECT DISTINCT ca AS community, cb AS n FROM ed WHERE ca <> cb UNION SELECT DISTINCT cb, ca FROM ed WHERE ca <> cb) GROUP BY community), mb AS (SELECT community, count(*) AS members FROM lb GROUP BY community) SELECT mb.community, members, coalesce(internal_edges, 0) AS internal_edges, hub_nodes, coalesce(neighbours, 0) AS neighbours, round(coalesce(internal_edges, 0) / m - (coalesce(d, 0) / (2 * m)) ** 2, 6) AS modularity FROM mb JOIN h USING (community) LEFT JOIN i USING (community) LEFT JOIN dg USING (community) LEFT JOIN nb USING (community), mm",
     "community_edges": f"WITH {_TRADE} SELECT ca AS src_community, cb AS dst_community, count(*) AS n FROM pl WHERE ca <> cb GROUP BY ca, cb",

@@ -22,8 +22,8 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a manifest row: language, category, size and checksum."""
-    f = _files(spark, sf_dir)
-    return f.select(F.col("path").alias("rel_path"), P.language(F.col("path")).alias("language"), P.category(F.col("path")).alias("category"), F.octet_length("text").cast("long").alias("size_bytes"), F.sha1("text").alias("checksum"))
+    f = P.with_language(_files(spark, sf_dir), "path")
+    return f.select(F.col("path").alias("rel_path"), "language", P.category(F.col("path")).alias("category"), F.octet_length("text").cast("long").alias("size_bytes"), F.sha1("text").alias("checksum"))
 
 
 def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:

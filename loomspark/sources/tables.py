@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,10 +28,23 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def checkpoint(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """Cut the lineage: df as a table in the shared folder, so that a lost executor costs no recomputation.
+
+    A written table also has its true size.  A checkpointed plan would keep the estimate of the plan behind it, which
+    multiplies with every join, so that after some dozens of rounds the planner handles numbers of gigabytes.  In a
+    loop, the table of a round before may be given up for the new one.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.table_path = path
+    old = getattr(instead_of, "table_path", None)
+    if old:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(old)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return stored
 
 
 def version(df: DataFrame) -> str:

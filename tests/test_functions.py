@@ -49,8 +49,30 @@ def test_categories_take_the_first_that_fits(spark):
 
 def test_languages(spark):
     cases = {("a/CMakeLists.txt", ""): "cmake", ("a.TSX", ""): "typescript", ("run", "#!/usr/bin/env python3"): "python", ("run", "#!/bin/sh"): "bash", ("run", "#!/usr/bin/env deno"): "javascript", ("run", "hello"): None, (".gitignore", ""): None}
-    df = spark.createDataFrame(list(cases), "p string, l string")
-    assert {(r[0], r[1]): r[2] for r in df.select("p", "l", P.language(F.col("p"), F.col("l"))).collect()} == cases
+    df = P.with_language(spark.createDataFrame(list(cases), "p string, l string"), "p", F.col("l"))
+    assert {(r.p, r.l): r.language for r in df.collect()} == cases
+
+
+def test_document_kinds(spark):
+    cases = {"GEN.BD-X.report.md": "bd", "gen.dd.cobol-p.report.md": "dd_cobol", "GEN.DD.JCL-J.report.md": "dd_jcl", "notes.md": None, "DD.COBOL-A.DD.JCL-B.md": None, "BD.DD.JCL-B.md": None}
+    df = spark.createDataFrame([(k,) for k in cases], "p string")
+    assert dict(df.select("p", P.document_kind(F.col("p"), strict=False)).collect()) == cases
+    with pytest.raises(Exception, match="design document"):
+        df.select(P.document_kind(F.col("p"))).collect()
+
+
+def test_binary_contents(spark):
+    cases = [(b"", False), (b"plain", False), ("été".encode(), False), (b"a\x00b", True), (b"\xff\xfe", True), (b"a" * 2047 + "é".encode(), True), (b"a" * 2048 + b"\x00\xff", False), ("é".encode("latin-1"), True)]
+    df = spark.createDataFrame([(bytearray(b), want) for b, want in cases], "b binary, want boolean")
+    assert [r for r in df.select("want", P.is_binary(F.col("b")).alias("got")).collect() if r.want != r.got] == []
+
+
+def test_entrypoints(spark):
+    yes = ["main.py", "a/App.py", "x/bin/run", "a/cmd/x.go", "a/manage.py", "a/routes/index.tsx", "a/routes/b/my_router.js"]
+    no = ["manage.py", "xmain.py", "routes/index.js", "a/routes/index.d/x.js", "bin/x", "a/__init__.py"]
+    df = spark.createDataFrame([(p,) for p in yes + no], "p string")
+    assert [r[0] for r in df.filter(P.is_entrypoint(F.col("p"))).collect()] == yes
+    assert [r[0] for r in df.filter(P.is_init_file(F.col("p"))).collect()] == ["a/__init__.py"]
 
 
 def test_globs_cross_slashes(spark):

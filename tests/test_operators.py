@@ -10,7 +10,9 @@ from loomspark.sources import tables
 from loomspark.streaming import incremental
 
 
-def test_budget_skips_what_does_not_fit(spark):
+@pytest.mark.parametrize("stretch", [7, 4096])
+def test_budget_skips_what_does_not_fit(spark, monkeypatch, stretch):
+    monkeypatch.setattr(ranking, "FOLD_ROWS", stretch)
     rng = random.Random(1)
     rows = [(q, r, rng.randint(1, 400)) for q in range(4) for r in range(1, 60)]
     df = spark.createDataFrame(rows, "query_id int, rank int, tokens long")
@@ -197,3 +199,30 @@ def test_diversity_keeps_positive_scores(spark):
 def test_quality_labels(spark, coverage, entropy, definition, score, label):
     got = spark.range(1).select(ranking.quality_label(F.lit(coverage), F.lit(entropy), F.lit(definition), F.lit(score)).alias("q")).first().q
     assert got.label == label
+
+
+def test_search_matches_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    names = sorted({"".join(rng.choice("abC_") for _ in range(rng.randint(1, 12))) for _ in range(300)})
+    queries = [*("".join(rng.choice("abcx_") for _ in range(rng.randint(1, 9))) for _ in range(60)), "zz", "z", "bca_xxb"]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    want = set()
+    for k, q in enumerate(queries):
+        hits = [(k, n, 0 if n.lower() == q else 1 if n.lower().startswith(q) else 2) for n in names if q in n.lower()]
+        hits = hits or [(k, n, 3) for n in names if edits(q, n.lower()) <= 2]
+        want |= set(sorted(hits, key=lambda h: (h[2], h[1].lower(), h[1]))[:10])
+    df = spark.createDataFrame(list(enumerate(queries)), "query_id int, q string")
+    got = search.search(spark.createDataFrame([(n,) for n in names], "name string"), df, 10)
+    assert {tuple(r) for r in got.collect()} == want
+    assert any(h[2] == 3 for h in want)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
