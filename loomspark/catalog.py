@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import graphs, reconciliation, retrieval, tables, validation
+from loomspark.plans import graphs, reconciliation, retrieval, signals, tables, validation
 
-_MODULES = (retrieval, graphs, reconciliation, tables, validation)
+_MODULES = (retrieval, signals, graphs, reconciliation, tables, validation)
 
 
 def queries() -> dict:

@@ -84,16 +84,17 @@ def path_hits(paths: DataFrame, wanted: DataFrame) -> DataFrame:
     return parts.select("rel_path", F.substr("_p", F.col("_s"), F.col("_n")).alias("term")).join(wanted, "term").select("query_id", "rel_path", "term", "idf").distinct()
 
 
-def scores(index: Index, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, bm25) for chunks that hold a term of the query (query_id, term).
+def scores(index: Index, queries: DataFrame, weighted: bool = True) -> DataFrame:
+    """(query_id, chunk_id, bm25) for chunks that hold a term of the query (query_id, term), times their type's weight.
 
     A term's part in a chunk, and its idf once more where the path holds it, are summed in one shuffle.
     """
+    weight = F.col("weight") if weighted else F.lit(1.0)
     wanted = small(queries.distinct().join(index.stats.select("term", "idf"), "term"))
     content = index.postings.join(wanted, "term").join(F.broadcast(index.corpus.select("avgdl")))
-    content = content.select("query_id", "chunk_id", (F.col("weight") * F.col("idf") * tf_part(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("part"), F.lit(1).alias("held"))
+    content = content.select("query_id", "chunk_id", (weight * F.col("idf") * tf_part(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("part"), F.lit(1).alias("held"))
     bonus = small(path_hits(index.chunks.select("rel_path").distinct(), wanted).groupBy("query_id", "rel_path").agg(F.sum("idf").alias("idf")))
-    extra = index.chunks.select("chunk_id", "rel_path", "weight").join(bonus, "rel_path").select("query_id", "chunk_id", (F.col("weight") * F.col("idf")).alias("part"), F.lit(0).alias("held"))
+    extra = index.chunks.select("chunk_id", "rel_path", "weight").join(bonus, "rel_path").select("query_id", "chunk_id", (weight * F.col("idf")).alias("part"), F.lit(0).alias("held"))
     total = content.unionByName(extra).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("bm25"), F.max("held").alias("held"))
     return total.filter("held = 1").drop("held")
 
