@@ -110,7 +110,7 @@ def second_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = marked.join(seeds.select("query_id", "rel_path").distinct().withColumn("seed", yes), ["query_id", "rel_path"], "left").join(seeds.select("query_id", "source").distinct().withColumn("module", yes), ["query_id", "source"], "left")
     marked = marked.join(F.broadcast(central_files(edges)).drop("rank").withColumn("central", yes), "rel_path", "left")  # 30 rows
     score = signals.chunk_score(F.col("bm25"), F.col("defines"), F.col("hinted"), F.col("seed"), F.col("module"), F.col("central"), F.col("chunk_type"))
-    kept = signals.above_floor(marked.withColumn("score", F.round(score, 6)))
+    kept = signals.above_floor(marked.withColumn("score", F.round(score + 1e-8, 6)))  # of scores at six decimals, no product is a tie
     return kept.select("query_id", "chunk_id", "score", F.coalesce("defines", F.lit(False)).alias("defines"), F.coalesce("central", F.lit(False)).alias("central"))
 
 
@@ -215,7 +215,7 @@ df AS (SELECT DISTINCT tt.query_id, tt.chunk_id FROM tt JOIN sy ON sy.rel_path =
 sd AS (SELECT DISTINCT query_id, rel_path, community FROM tt WHERE rank <= 20),
 sc AS (SELECT tt.query_id, tt.chunk_id, df.chunk_id IS NOT NULL AS defines, ct.rel_path IS NOT NULL AS central,
   round(((bm25 + CASE WHEN df.chunk_id IS NOT NULL THEN 3.0::DOUBLE ELSE 0 END + CASE WHEN hi.query_id IS NOT NULL THEN 1.4::DOUBLE ELSE 0 END) * (CASE WHEN tt.rel_path IN (SELECT rel_path FROM sd WHERE sd.query_id = tt.query_id) THEN 1.5::DOUBLE ELSE 1 END
-  * CASE WHEN tt.community IN (SELECT community FROM sd WHERE sd.query_id = tt.query_id) THEN 1.3::DOUBLE ELSE 1 END) + CASE WHEN ct.rel_path IS NOT NULL THEN 2.6::DOUBLE ELSE 0 END) * w::DOUBLE, 6) AS score
+  * CASE WHEN tt.community IN (SELECT community FROM sd WHERE sd.query_id = tt.query_id) THEN 1.3::DOUBLE ELSE 1 END) + CASE WHEN ct.rel_path IS NOT NULL THEN 2.6::DOUBLE ELSE 0 END) * w::DOUBLE + 1e-8, 6) AS score
   FROM tt LEFT JOIN df ON df.query_id = tt.query_id AND df.chunk_id = tt.chunk_id LEFT JOIN hi ON hi.query_id = tt.query_id AND hi.category = tt.category LEFT JOIN ct ON ct.rel_path = tt.rel_path)
 SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score, defines, central FROM sc WHERE score > 0 QUALIFY score >= 10 OR (max(score) OVER (PARTITION BY query_id) < 10 AND row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 5)""",
     "single_stage": f"""WITH {_BASE}, ph AS (SELECT q.query_id, fl.rel_path, count(*) AS k FROM q JOIN fl ON contains(lower(fl.rel_path), q.term) GROUP BY ALL),
