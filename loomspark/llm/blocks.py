@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from loomspark.llm import common
 
 #: Sets, and tokens at most (but for one set), in a block.
-BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 20
+BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 19
 #: Rows (a name and a number each, 32 MB) up to which a counted table is broadcast.
 BROADCAST_ROWS = 1_000_000
 _WIDTH = 4096
@@ -71,12 +71,13 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 def compare(sets: list[np.ndarray], component: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of linked sets of different components, one pair for each two components."""
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
     prefix = [n - need(n, percent) + 1 if n else 0 for n in sizes.tolist()]
-    maybe = component[:, None] != component[None, :]
-    maybe &= 100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])
-    maybe &= shared_counts([s[:p] for s, p in zip(sets, prefix, strict=True)]) > 0
+    maybe = shared_counts([s[:p] for s, p in zip(sets, prefix, strict=True)]) > 0
     maybe &= shared_counts([s[len(s) - p :] for s, p in zip(sets, prefix, strict=True)]) > 0
+    maybe &= component[:, None] != component[None, :]
+    least = -(-percent * sizes // 100)  # a partner's least size
+    maybe &= (sizes[:, None] >= least[None, :]) & (sizes[None, :] >= least[:, None])
     i, j = np.nonzero(np.triu(maybe, 1))
     if len(i) > 8 * len(sets):
         both = shared_counts(sets)[i, j].astype(np.int64)
