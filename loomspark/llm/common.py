@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,9 +44,13 @@ def pack_text(text: str | None) -> bytes:
     return len(data).to_bytes(8, "little") + (_ZSTD.compress(data, asbytes=True) if data else b"")
 
 
-def unpack_text(packed: bytes) -> str:
+def unpack_bytes(packed: bytes) -> bytes:
     size = int.from_bytes(packed[:8], "little")
-    return _ZSTD.decompress(packed[8:], size, asbytes=True).decode("utf-8", "surrogatepass") if size else ""
+    return _ZSTD.decompress(packed[8:], size, asbytes=True) if size else b""
+
+
+def unpack_text(packed: bytes) -> str:
+    return unpack_bytes(packed).decode("utf-8", "surrogatepass")
 
 
 def map_batches(df: DataFrame, f: Callable[[dict], dict | None], schema: str, types: pa.Schema) -> DataFrame:
@@ -85,6 +90,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """df as a table in the shared folder; in a loop, the table of a round before may be given up for it.
+
+    Unlike a checkpointed plan, a table has its true size: a checkpoint keeps the estimate of the plan behind it, which
+    multiplies with every join of a loop.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.table_path = path
+    if old := getattr(instead_of, "table_path", None):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(old)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return table
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over the undirected edges (src, dst).
 
@@ -93,16 +116,16 @@ def components(edges: DataFrame) -> DataFrame:
     none does; as roots are hooked too, their number grows with the logarithm of a component's size in
     whatever order the ids come.  Groups are only ever aggregated with min, never collected.
     """
-    both = checkpoint(edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).filter("src <> dst").distinct())
-    labels = both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.col("id")).alias("component"))
-    labels = checkpoint(labels)
+    both = stored(edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).filter("src <> dst").distinct())
+    after = stored(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.col("id")).alias("component")))
+    seen = None
     while True:
+        labels = after.select("id", "component")
         near = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
-        seen = checkpoint(labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("near")))
+        seen = stored(labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("near")), instead_of=seen)
         roots = seen.filter("near < old").groupBy(F.col("old").alias("id")).agg(F.min("near").alias("over"))
         hooked = seen.join(roots, "id", "left").select("id", "old", F.least("near", "over").alias("component"))
         up = hooked.select(F.col("id").alias("component"), F.col("component").alias("above"))
-        after = checkpoint(hooked.join(up, "component", "left").select("id", "old", F.coalesce("above", "component").alias("component")))
-        labels = after.select("id", "component")
+        after = stored(hooked.join(up, "component", "left").select("id", "old", F.coalesce("above", "component").alias("component")), instead_of=after)
         if after.filter("old <> component").isEmpty():
-            return labels
+            return after.select("id", "component")

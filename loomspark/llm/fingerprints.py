@@ -40,13 +40,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomspark.llm import blocks, common
-from loomspark.llm.shingles import WORDS_PER_SHINGLE, mix64, shingle_hashes, shingle_set, word_hashes
+from loomspark.llm.shingles import WORDS_PER_SHINGLE, mix64, shingle_hashes, shingle_set, word_hashes, words_at
 
 PERMUTATIONS = 128
 BAND_ROWS = 6
 BANDS = PERMUTATIONS // BAND_ROWS
 PERCENT = 80
 HUBS = 2
+#: A band's list of up to this length is compared as pairs, a longer one in blocks.
+SHORT_LIST = 8
 _BLOCK = 2048
 _RNG = np.random.default_rng(7919)
 _A = (_RNG.integers(0, 2**32, size=PERMUTATIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -56,20 +58,63 @@ _SALT = _RNG.integers(0, 2**64, size=PERMUTATIONS, dtype=np.uint64)
 _BAND = _RNG.integers(0, 2**63, size=(PERMUTATIONS,), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(text: str | None, n: int = WORDS_PER_SHINGLE) -> np.ndarray:
-    """32 mixed bits of each permutation's pick among the shingles of a whole text; all ones for the empty set."""
-    whole = shingle_hashes(word_hashes(text), n)
+def _least(whole: np.ndarray) -> np.ndarray:
+    """Each permutation's smallest value over shingle hashes."""
     best = np.full(PERMUTATIONS, 0xFFFFFFFF, dtype=np.uint32)
-    if not len(whole):
-        return best
     h = (whole >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(h), _BLOCK):
         values = _A * h[None, at : at + _BLOCK]
         values += _B
         np.minimum(best, values.min(axis=1), out=best)
+    return best
+
+
+def _signed(whole: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """32 mixed bits of each permutation's pick, from all shingle hashes and the smallest values; all ones for the empty set."""
+    if not len(whole):
+        return best
+    h = (whole >> np.uint64(32)).astype(np.uint32)
     return (mix64(_picks(whole, h, _UNDO * (best - _B[:, 0])) ^ _SALT) >> np.uint64(32)).astype(np.uint32)
 
 
+def signature_of(whole: np.ndarray) -> np.ndarray:
+    return _signed(whole, _least(whole))
+
+
+def signature(text: str | None, n: int = WORDS_PER_SHINGLE) -> np.ndarray:
+    """The signature of the shingles of a whole text."""
+    return signature_of(shingle_hashes(word_hashes(text), n))
+
+
+class Signed:
+    """A text with its words, shingles and signature, from which those of its edited text follow."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+        self.text = data.decode("utf-8", "surrogatepass")
+        self.words, self.ends = words_at(data)
+        self.shingles = shingle_hashes(self.words)
+        self.least = _least(self.shingles)
+        self.fingerprint = fingerprint(_signed(self.shingles, self.least))
+
+    def edited(self, following: str) -> tuple[bytes, bytes]:
+        """The edited text in UTF-8 and its fingerprint: words and minima before the cut are taken over."""
+        k = len(self.text) // 3
+        kept = self.text[: len(self.text) - k].encode("utf-8", "surrogatepass")
+        edited = kept + following[:k].encode("utf-8", "surrogatepass")
+        if edited == self.data:
+            return edited, self.fingerprint
+        same = int(np.searchsorted(self.ends, len(kept)))  # words that end before the cut
+        start = int(self.ends[same - 1]) if same else 0
+        words = np.concatenate([self.words[:same], words_at(edited[start:])[0]])
+        shingles = shingle_hashes(words)
+        whole = max(0, same - WORDS_PER_SHINGLE + 1) if len(words) >= WORDS_PER_SHINGLE else 0
+        before = min(whole, len(self.shingles), len(shingles))
+        # minima of what both share: of own shingles, less those behind the cut
+        least = np.minimum(_least(self.shingles[:before]), _least(shingles[before:]))
+        return edited, fingerprint(_signed(shingles, least))
+
+
 def _picks(whole: np.ndarray, h: np.ndarray, picked: np.ndarray) -> np.ndarray:
     """The smallest hash of whole for each of the picked high halves; all of them occur in h."""
     maybe = np.zeros(1 << 16, dtype=bool)
@@ -119,11 +164,6 @@ def set_key(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
-def _edit(text: str, following: str) -> str:
-    k = len(text) // 3
-    return text[: len(text) - k] + following[:k]
-
-
 def _place(doc_id: int | None, h: int) -> tuple:
     """Sorts as the descending order of ids does: nulls last, rows of one id by the hash of their texts."""
     return (1, 0, h) if doc_id is None else (0, -doc_id, h)
@@ -187,19 +227,17 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     dealt = base.mapInArrow(deal, "doc_id long, h long, text binary, at int, tail int").repartition(n, "at").sortWithinPartitions("at", "tail", F.col("doc_id").desc_nulls_last(), "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the row that waits for the one after it: its id, text, fingerprint and key
+        held = None  # the row that waits for the one after it
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, packed, tail in zip(*(batch.column(k).to_pylist() for k in (0, 2, 4)), strict=True):
-                text = common.unpack_text(packed)
-                own = fingerprint(signature(text))
+                own = Signed(common.unpack_bytes(packed))
                 if held is not None:
-                    mine, words, first, key = held
-                    edited = _edit(words, text)
-                    other = first if edited == words else fingerprint(signature(edited))
-                    digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                    rows.append((mine, len(words), digest, base64.b64encode(first).decode(), base64.b64encode(other).decode(), likeness(first, other), likeness(first, own), key))
-                held = None if tail else (doc_id, text, own, set_key(shingle_set(text)))
+                    mine, last = held
+                    edited, other = last.edited(own.text)
+                    first, key = last.fingerprint, set_key(np.unique(last.shingles))
+                    rows.append((mine, len(last.text), hashlib.sha256(edited).hexdigest(), base64.b64encode(first).decode(), base64.b64encode(other).decode(), likeness(first, other), likeness(first, own.fingerprint), key))
+                held = None if tail else (doc_id, own)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*rows, strict=True), _EDITED, strict=True)], schema=_EDITED)
 
@@ -216,8 +254,9 @@ def duplicate_classes(docs: DataFrame, percent: int = PERCENT, band_rows: int =
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def sign(part: dict) -> dict:
-        sets = [shingle_set(x) for x in part["text"]]
-        made = [bands_of(signature(x), band_rows).tolist() if len(s) else [] for x, s in zip(part["text"], sets, strict=True)]
+        shingles = [shingle_hashes(word_hashes(x)) for x in part["text"]]
+        sets = list(map(np.unique, shingles))
+        made = [bands_of(signature_of(x), band_rows).tolist() if len(x) else [] for x in shingles]
         return {"doc_id": part["doc_id"], "h": part["h"], "n": list(map(len, sets)), "key": list(map(set_key, sets)), "bands": made}
 
     signed = common.map_batches(base, sign, "doc_id long, h long, n long, key binary, bands array<bigint>", schema).filter("key is not null")
@@ -243,9 +282,15 @@ def duplicate_classes(docs: DataFrame, percent: int = PERCENT, band_rows: int =
     links = common.checkpoint(blocks.verified(pairs, texts(pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()), _sets_of, percent))
     labels = common.components(links)
     rest = shared.join(labels, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("component"))
-    lists = common.checkpoint(rest.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token"))
-    rest = common.checkpoint(rest.join(blocks.small(lists, lists.count()), "token", "left_semi"))
-    late = common.checkpoint(blocks.block_links(rest, texts(rest.select("id").distinct()), _sets_of, percent))
+    lists = rest.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    lists = common.checkpoint(lists.select("token", "members"))
+    rest = common.checkpoint(rest.join(blocks.small(lists, lists.count()), "token"))
+    short = rest.filter(F.col("members") <= SHORT_LIST)
+    a, b = short.select("token", F.col("id").alias("src"), F.col("n").alias("sn"), F.col("component").alias("sc")), short.select("token", F.col("id").alias("dst"), F.col("n").alias("dn"), F.col("component").alias("dc"))
+    pairs = a.join(b, "token").filter(f"src < dst and sc <> dc and 100 * least(sn, dn) >= {percent} * greatest(sn, dn)").select("src", "dst").distinct()
+    long_ = rest.filter(F.col("members") > SHORT_LIST).select("token", "id", "n", "component")
+    payload = texts(rest.select("id").distinct())
+    late = common.checkpoint(blocks.verified(pairs, payload, _sets_of, percent).union(blocks.block_links(long_, payload, _sets_of, percent)))
     labels = common.components(links.union(late))
     named = reps.join(labels, reps["key"] == labels["id"], "left").select("key", "copies", "at.doc_id", F.coalesce("component", "key").alias("component"), F.col("component").isNotNull().alias("linked"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))

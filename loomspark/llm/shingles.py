@@ -47,26 +47,34 @@ def _segments(data: bytes) -> list[bytes]:
     return [*parts, data[start:]]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """One hash for each word of a whole text, in order; null and blank texts have none."""
-    out = []
-    for data in _segments(text.encode("utf-8", "surrogatepass")) if text else []:
-        b = np.frombuffer(data, dtype=np.uint8)
+def words_at(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of a text in UTF-8, in order, and the byte behind its end."""
+    out, ends, offset = [], [], 0
+    for part in _segments(data) if data else []:
+        b = np.frombuffer(part, dtype=np.uint8)
         inside = ~_SPACE[b]
         at = inside.nonzero()[0]
-        if not len(at):
-            continue
-        starts = np.empty(len(at), dtype=bool)
-        starts[0] = True
-        np.not_equal(at[1:], at[:-1] + 1, out=starts[1:])
-        first = starts.nonzero()[0]
-        size = np.diff(first, append=len(at))
-        position = np.arange(len(at)) - np.repeat(first, size)
-        value = _BYTE[b[at]] * _POSITION[position & 0xFFFF]
-        if size.max() > 1 << 16:
-            value *= (position >> 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        out.append(mix64(np.add.reduceat(value, first) + size.astype(np.uint64)))
-    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
+        if len(at):
+            starts = np.empty(len(at), dtype=bool)
+            starts[0] = True
+            np.not_equal(at[1:], at[:-1] + 1, out=starts[1:])
+            first = starts.nonzero()[0]
+            size = np.diff(first, append=len(at))
+            position = np.arange(len(at)) - np.repeat(first, size)
+            value = _BYTE[b[at]] * _POSITION[position & 0xFFFF]
+            if size.max() > 1 << 16:
+                value *= (position >> 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+            out.append(mix64(np.add.reduceat(value, first) + size.astype(np.uint64)))
+            ends.append(at[first] + size + offset)
+        offset += len(part)
+    if not out:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    return np.concatenate(out), np.concatenate(ends)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """One hash for each word of a whole text, in order; null and blank texts have none."""
+    return words_at(text.encode("utf-8", "surrogatepass") if text else b"")[0]
 
 
 def shingle_hashes(words: np.ndarray, n: int = WORDS_PER_SHINGLE) -> np.ndarray:

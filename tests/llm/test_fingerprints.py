@@ -169,6 +169,17 @@ def test_link_between_documents_that_a_smaller_one_hides(spark):
     assert sum(got[x] == got[y] for x, y in pairs) >= 0.99 * len(pairs)
 
 
+def test_edited_fingerprint_is_that_of_the_edited_text():
+    rng = random.Random(11)
+    texts = ["", "a", "a b", "a b c d", "é" * 9, "one two three four five six", " \n ", *(words(rng, rng.randint(1, 60)) for _ in range(60)), *("".join(rng.choice("ab é\n") for _ in range(rng.randint(0, 40))) for _ in range(300))]
+    for _ in range(1500):
+        text, following = rng.choice(texts), rng.choice(texts)
+        edited, got = fp.Signed(text.encode()).edited(following)
+        n = len(text) // 3
+        want = text[: len(text) - n] + following[:n]
+        assert edited.decode() == want and got == fp.fingerprint(fp.signature(want)), (text, following)
+
+
 def test_query_has_classes_and_all_rows(spark, small):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     want, pairs = linked_classes(docs)
