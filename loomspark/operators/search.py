@@ -83,3 +83,22 @@ def path_tree(files: DataFrame) -> DataFrame:
 
     every = files.select("path", F.explode(ancestors(F.col("path"))).alias("node"))
     return every.groupBy("node").agg(F.bool_or(F.col("node") != F.col("path")).alias("is_dir")).select(F.col("node").alias("path"), "is_dir")
+
+
+def export_edges(edges: DataFrame, nodes: DataFrame, left_out: str) -> DataFrame:
+    """Edges (src, dst) for an export: neither end matches the pattern `left_out`, and the source is one of the nodes (node)."""
+    kept = edges.filter(~F.rlike("src", F.lit(left_out)) & ~F.rlike("dst", F.lit(left_out)))
+    return kept.join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+
+
+def export_rows(symbols: DataFrame, snapshot: str, columns: list[str]) -> DataFrame:
+    """(place, row): distinct rows outside test paths, quoted for CSV, numbered by path, line and name; the snapshot comes first."""
+    from pyspark.sql import Window as W
+
+    from loomspark.functions.paths import is_test_path
+
+    rows = symbols.filter(~is_test_path(F.col("rel_path"))).select(*columns).distinct()
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in columns]
+    # numbers within a file: the files themselves are in order of their paths
+    own = W.partitionBy("rel_path").orderBy("line", "name", *[c for c in columns if c not in ("rel_path", "line", "name")])
+    return rows.select("rel_path", F.row_number().over(own).alias("place"), F.concat_ws(",", F.lit(f'"{snapshot}"'), *quoted).alias("row"))
