@@ -6,9 +6,9 @@ Documents become token ids (tokenizers, plus an end id) and are placed one after
 few gaps.  Whole windows of a longer document are sequences of their own.
 
 Each input partition is packed by its own task in one pass and without a shuffle; sequence ids carry the
-partition's number.  At a partition's end the windows still open are topped up from each other: pieces of
-the emptiest are cut to fill the fullest, and the last remainder becomes sequences whose lengths are powers
-of two.  No sequence has padding.  Ids held in memory are those of open windows only.
+partition's number.  At a partition's end, and whenever OPEN_WINDOWS are open, windows are topped up from each
+other: pieces of the emptiest are cut to fill the fullest.  At the end the last remainder becomes sequences whose
+lengths are powers of two.  No sequence has padding.  Ids held in memory are those of open windows only.
 
 Defined results: null and empty texts are the end id alone; very long texts are cut, every id in exactly
 one piece; repeated rows are packed each; an empty table gives an empty result; extra columns are ignored.
@@ -16,6 +16,7 @@ one piece; repeated rows are packed each; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -34,6 +35,10 @@ WINDOW = 2048
 END_ID = 1
 #: Chunks, and parts of chunks, whose ids a worker remembers; bounds memory, never the result.
 MEMO_CHUNKS = 600_000
+#: Chunks and parts of up to this length are remembered.
+MEMO_LENGTH = 64
+#: Windows open at most (16 MB of ids in lists of pieces); then half of them are closed.
+OPEN_WINDOWS = 2048
 
 
 def default_vocabulary() -> str:
@@ -42,6 +47,17 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# The text treatment for which the rules below hold; with any other the library handles whole texts.
+RULED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 #: What a chunk may hold to be cut by rule: printable ASCII but the apostrophe, and the composed letters of Latin-1.
 _PLAIN = re.compile(r"[!-&(-~\u00e0-\u00f6\u00f8-\u00ff]+")
 #: Pre-tokens of such a chunk in lower case: runs of letters, single digits, runs of anything else.
@@ -54,6 +70,7 @@ class Ids(dict):
     The vocabulary drops white space and never joins across it, so that the ids of a text are those of its
     white-space separated chunks in a row.  A chunk of plain letters, digits and signs is cut into pre-tokens
     here and each is looked up or handed to the library's merge model; any other goes through the whole tokenizer.
+    This holds for the treatment of text in RULED; for a vocabulary with another one the library takes each text whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,6 +79,9 @@ class Ids(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        # special strings with white space inside would be cut by it
+        self.ruled = all(spec[k] == v for k, v in RULED.items()) and not any(set(t["content"]) & set(" \t\n\r\x0b\x0c") for t in spec["added_tokens"])
         self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {}
         self.symbols = {b: c for c, b in byte_symbols().items()}
@@ -73,22 +93,28 @@ class Ids(dict):
             ids = b"".join([self.parts.get(p) or self._part(p) for p in _PARTS.findall(low)])
         else:
             ids = _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(self) >= MEMO_CHUNKS:
-            self.clear()
-        self[chunk] = ids
+        if len(chunk) <= MEMO_LENGTH:
+            if len(self) >= MEMO_CHUNKS:
+                self.clear()
+            self[chunk] = ids
         return ids
 
     def _part(self, part: str) -> bytes:
         units = part if part.isascii() else "".join(map(self.symbols.__getitem__, part.encode("utf-8")))
         ids = _bytes([t.id for t in self.model.tokenize(units)])
-        if len(self.parts) >= MEMO_CHUNKS:
-            self.parts.clear()
-        self.parts[part] = ids
+        if len(part) <= MEMO_LENGTH:
+            if len(self.parts) >= MEMO_CHUNKS:
+                self.parts.clear()
+            self.parts[part] = ids
         return ids
 
     def of(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids of a whole text."""
-        return b"".join(map(self.__getitem__, text.encode("utf-8").split())) if text else b""
+        if not text:
+            return b""
+        if not self.ruled:
+            return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.__getitem__, text.encode("utf-8").split()))
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -102,6 +128,7 @@ class Packer:
         self.window, self.next = window, first_sequence
         self.levels = np.zeros(window + 1, dtype=np.int64)
         self.open: list[list[list[tuple]]] = [[] for _ in range(window)]  # windows by level, each a list of pieces
+        self.n_open = 0
 
     def _sequence(self, pieces: list[tuple]) -> list[tuple]:
         rows, offset, number = [], 0, self.next
@@ -131,21 +158,27 @@ class Packer:
             level = self.level_for(size)
             pieces = self.open[level].pop() if level else []
             if level:
-                self.levels[level] -= 1
+                self._count(level, -1)
             pieces.append((doc_id, cut // 4, ids[cut:], total))
             if level + size == self.window:
                 rows += self._sequence(pieces)
             else:
-                self.levels[level + size] += 1
+                self._count(level + size, 1)
                 self.open[level + size].append(pieces)
+            if self.n_open > OPEN_WINDOWS:
+                rows += self._top_up(OPEN_WINDOWS // 2)[0]
         return rows
 
-    def close(self) -> list[tuple]:
-        """Top up the open windows from each other; rows of all that is left."""
+    def _count(self, level: int, change: int) -> None:
+        self.levels[level] += change
+        self.n_open += change
+
+    def _top_up(self, keep: int) -> tuple[list[tuple], list[tuple[int, list[tuple]]]]:
+        """Fill the fullest open windows from the emptiest until at most `keep` are open (1 at least); rows of the sequences made, and what is left."""
         left = [(level, w) for level in range(self.window - 1, 0, -1) for w in self.open[level]]
         rows: list[tuple] = []
         i, j = 0, len(left) - 1
-        while i < j:
+        while i < j and j - i + 1 > keep:
             level, pieces = left[i]
             if level & (level - 1) == 0:  # a power of two has no padding
                 rows += self._sequence(pieces)
@@ -164,8 +197,18 @@ class Packer:
                 i += 1
             if have == take:
                 j -= 1
-        if i == j:
-            level, pieces = left[i]
+        left = left[i : j + 1]
+        self.levels[:], self.open, self.n_open = 0, [[] for _ in range(self.window)], 0
+        for level, pieces in left:
+            self._count(level, 1)
+            self.open[level].append(pieces)
+        return rows, left
+
+    def close(self) -> list[tuple]:
+        """Rows of all that is left: windows topped up from each other, the last one in powers of two."""
+        rows, left = self._top_up(1)
+        if left:
+            ((level, pieces),) = left
             for bit in range(level.bit_length() - 1, -1, -1):
                 size, part = 1 << bit, []
                 if not level & size:

@@ -69,3 +69,27 @@ def test_sum_of_squares_choice_is_minimal():
             costs[level] = int((n[:64] ** 2).sum())
         assert costs[got] == min(costs.values())
         packer.add(doc, bytes(4 * size))
+
+
+def test_open_windows_are_bounded(monkeypatch):
+    monkeypatch.setattr(pk, "OPEN_WINDOWS", 20)
+    rng, packer, rows, ids_of = random.Random(7), pk.Packer(0), [], {}
+    for doc in range(600):  # rests of over half a window fit no other
+        ids = np.arange(doc, doc + rng.randint(1100, 2000), dtype="<u4")
+        ids_of[doc] = [ids.tolist()]
+        rows += packer.add(doc, ids.tobytes())
+        assert packer.n_open == sum(map(len, packer.open)) == packer.levels[1:].sum() <= 20
+    rows += packer.close()
+    fields = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    check([type("Row", (), dict(zip(fields, r, strict=True))) for r in rows], ids_of)
+
+
+def test_other_vocabularies_go_through_the_library():
+    from tokenizers import Tokenizer
+
+    from loomspark.llm.token_counts import default_vocabulary
+
+    library, own = Tokenizer.from_file(default_vocabulary()), pk.Ids(default_vocabulary())
+    assert pk.Ids(pk.default_vocabulary()).ruled and not own.ruled
+    for text in ("Two  words", " a\nb ", "it's 12", ""):
+        assert own.of(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
