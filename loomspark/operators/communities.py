@@ -26,17 +26,16 @@ def prepared_edges(edges: DataFrame) -> DataFrame:
     return real.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").cast("double").alias("weight"))
 
 
-def detect(weighted: DataFrame, rounds: int = 20, resolution: float = RESOLUTION) -> DataFrame:
-    """(node, community) after at most `rounds` rounds of moves, small communities absorbed, named by smallest member."""
-    both = checkpoint(weighted.select("a", "b", "weight").union(weighted.select("b", "a", "weight")))
+def _moved(both: DataFrame, rounds: int, resolution: float) -> DataFrame:
+    """(node, community) after at most `rounds` rounds of moves over edges (a, b, weight) in both directions; loops count in degrees only."""
     degree = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")))
     two_m = degree.agg(F.sum("k").alias("t")).first()["t"]
-    labels = checkpoint(degree.select("node", F.col("node").alias("community")))
+    labels = table = checkpoint(degree.select("node", F.col("node").alias("community")))
     if not two_m:
         return labels
-    quiet, table = 0, None
+    quiet = 0
     for r in range(rounds):
-        near = both.join(labels.withColumnsRenamed({"node": "b", "community": "c"}), "b").groupBy(F.col("a").alias("node"), F.col("c")).agg(F.sum("weight").alias("w"))
+        near = both.filter("a <> b").join(labels.withColumnsRenamed({"node": "b", "community": "c"}), "b").groupBy(F.col("a").alias("node"), F.col("c")).agg(F.sum("weight").alias("w"))
         totals = labels.join(degree, "node").groupBy(F.col("community").alias("c")).agg(F.sum("k").alias("total"))
         gains = near.join(totals, "c").join(degree, "node").join(labels, "node")
         own_part = F.when(F.col("c") == F.col("community"), F.col("k")).otherwise(0.0)
@@ -45,10 +44,27 @@ def detect(weighted: DataFrame, rounds: int = 20, resolution: float = RESOLUTION
         turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
         moved = labels.join(best, "node", "left").withColumn("to", F.when(turn & (F.col("gain") > F.coalesce("stay", F.lit(0.0))), F.col("c")).otherwise(F.col("community")))
         table = checkpoint(moved.select("node", F.col("to").alias("community"), (F.col("to") != F.col("community")).alias("changed")), instead_of=table)
-        moved, labels = table, table.select("node", "community")
-        quiet = quiet + 1 if moved.filter("changed").isEmpty() else 0
+        labels = table.select("node", "community")
+        quiet = quiet + 1 if table.filter("changed").isEmpty() else 0
         if quiet >= 2:
             break
+    return labels
+
+
+def detect(weighted: DataFrame, rounds: int = 20, resolution: float = RESOLUTION) -> DataFrame:
+    """(node, community), small communities absorbed, named by smallest member.
+
+    Nodes move to better communities; then communities become the nodes of a smaller graph, whose edges carry their summed
+    weights, and move in turn, until a level joins nothing.
+    """
+    both = checkpoint(weighted.select("a", "b", "weight").union(weighted.select("b", "a", "weight")))
+    level, labels = both, None
+    while True:
+        found = checkpoint(_moved(level, rounds, resolution))
+        labels = found if labels is None else checkpoint(labels.join(found.toDF("community", "upper"), "community").select("node", F.col("upper").alias("community")))
+        if found.filter("node <> community").isEmpty():
+            break
+        level = checkpoint(level.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("weight").alias("weight")))
     return canonical(absorb(both, labels))
 
 
@@ -93,3 +109,16 @@ def between(edges: DataFrame, labels: DataFrame) -> DataFrame:
     a = labels.withColumnsRenamed({"node": "src", "community": "src_community"})
     b = labels.withColumnsRenamed({"node": "dst", "community": "dst_community"})
     return edges.join(a, "src").join(b, "dst").filter("src_community <> dst_community").groupBy("src_community", "dst_community").agg(F.count("*").alias("n"))
+
+
+def community_counts(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: communities, those of a single member, edges inside communities and between them."""
+    sizes = labels.groupBy("community").agg(F.count("*").alias("n")).agg(F.count("*").alias("communities"), F.count_if(F.col("n") == 1).alias("singletons"))
+    a, b = labels.toDF("src", "ca"), labels.toDF("dst", "cb")
+    placed = edges.join(a, "src").join(b, "dst").agg(F.count_if(F.col("ca") == F.col("cb")).alias("internal"), F.count_if(F.col("ca") != F.col("cb")).alias("external"))
+    return sizes.join(F.broadcast(placed))
+
+
+def lookup(labels: DataFrame, summary: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, community, members, hub_nodes) of the nodes asked for (node); null for a node of no community."""
+    return nodes.select("node").distinct().join(labels, "node", "left").join(summary.select("community", "members", "hub_nodes"), "community", "left").select("node", "community", "members", "hub_nodes")

@@ -207,3 +207,40 @@ def quoted_name(name: Column) -> Column:
 def artifact_name(file: Column) -> Column:
     """The program or job that a report is about: its file name without the marks of its kind."""
     return F.upper(F.regexp_replace(file, r"(?i)^GEN\.DD\.(COBOL|JCL)-|\.report\.md$", ""))
+
+
+def report_set(files: DataFrame) -> DataFrame:
+    """For each folder of files (folder, name, content): whether it is a set of reports (one basic and some detailed designs), and its fingerprint.
+
+    The fingerprint is over `name:sha256` of all Markdown files, basic design first, then programs, jobs and others by name.
+    """
+    from loomspark.functions.paths import document_kind
+
+    kind = document_kind(F.col("name"), strict=False)
+    rank = F.when(kind == "bd", 0).when(kind == "dd_cobol", 1).when(kind == "dd_jcl", 2).otherwise(3)
+    listed = files.filter("lower(name) like '%.md'").select("folder", rank.alias("rank"), "name", F.concat_ws(":", "name", F.sha2(F.coalesce("content", F.lit("")), 256)).alias("part"))
+    sets = listed.groupBy("folder").agg(F.count_if(F.col("rank") == 0).alias("bd"), F.count_if(F.col("rank").isin(1, 2)).alias("dd"), F.sort_array(F.collect_list(F.struct("rank", "name", "part"))).alias("parts"))
+    return sets.select("folder", "bd", "dd", ((F.col("bd") == 1) & (F.col("dd") > 0)).alias("valid"), F.sha2(F.array_join(F.transform("parts", lambda p: p["part"]), "\n"), 256).alias("fingerprint"))
+
+
+def evidence(compared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of a comparison (predicate, subject, object, side, verdict, multiplicity, sites) to store, and one evidence row for each site."""
+    key = F.sha2(F.concat_ws("|", "predicate", "subject", "object", F.coalesce("side", F.lit(""))), 256)
+    rows = compared.withColumn("comparison_id", key)
+    return rows.drop("sites"), rows.select("comparison_id", F.posexplode("sites").alias("ix", "line"))
+
+
+def payload_hash(rows: DataFrame, group: str, value: str, most: int = 50) -> DataFrame:
+    """(group, kept, truncated, hash): each group's distinct values as canonical JSON, the first `most` and the number of the others."""
+    own = W.partitionBy(group).orderBy(value)
+    placed = rows.select(group, value).distinct().withColumn("_r", F.row_number().over(own))
+    lists = placed.groupBy(group).agg(F.sort_array(F.collect_list(F.when(F.col("_r") <= most, F.col(value)))).alias("items"), F.count("*").alias("n"))
+    body = lists.select(group, F.size("items").alias("kept"), (F.col("n") - F.size("items")).alias("truncated"), "items")
+    return body.select(group, "kept", "truncated", F.sha2(F.to_json(F.struct("items", "truncated")), 256).alias("hash"))
+
+
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    """df, or an error when it has no row."""
+    if df.limit(1).isEmpty():
+        raise LookupError(f"not found: {what}")
+    return df

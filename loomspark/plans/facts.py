@@ -8,8 +8,8 @@ from pyspark.sql import Window as W
 
 from loomspark.functions import paths as P
 from loomspark.functions import text as T
-from loomspark.operators import documents, graph, ranking, reconcile, relations, search
-from loomspark.plans import graphs
+from loomspark.operators import communities, documents, graph, ranking, reconcile, relations, search
+from loomspark.plans import graphs, retrieval
 from loomspark.sources.tables import checkpoint, read
 from loomspark.streaming import incremental
 
@@ -325,10 +325,8 @@ def cluster_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of every file of each snapshot (a source) in order, with their place among the chunks of symbols."""
-    from loomspark.plans.retrieval import index
-
     own = W.partitionBy("source", "rel_path").orderBy("chunk_index").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return index(spark, sf_dir).chunks.select("rel_path", "chunk_index", F.count_if(F.col("chunk_type").isin("function", "class")).over(own).alias("place"), F.char_length("content").alias("n_chars"))
+    return retrieval.index(spark, sf_dir).chunks.select("rel_path", "chunk_index", F.count_if(F.col("chunk_type").isin("function", "class")).over(own).alias("place"), F.char_length("content").alias("n_chars"))
 
 
 def soft_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,11 +348,59 @@ def exported_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.export_rows(s, "snap", ["rel_path", "line", "name", "kind", "parent_name"])
 
 
+def file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a scan by category: those that are not left out, of them tests and binary ones."""
+    facts = path_facts(spark, sf_dir).select("doc_id", "category", "ignored", "is_test")
+    both = facts.join(file_contents(spark, sf_dir).select("doc_id", "binary"), "doc_id").filter("not ignored")
+    return both.groupBy("category").agg(F.count("*").alias("files"), F.count_if("is_test").alias("tests"), F.count_if("binary").alias("binary_files"), F.count_if(~F.col("is_test") & ~F.col("binary")).alias("kept"))
+
+
+def report_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's documents as a folder of reports: whether it is a valid set, and its fingerprint."""
+    names = ["GEN.BD-A.report.md", "GEN.DD.COBOL-P.report.md", "GEN.DD.JCL-J.report.md", "notes.md", "x.txt"]
+    name = F.concat(F.when(F.col("doc_id") < 20, _at(names, F.col("doc_id"))).otherwise(_at(names[1:], F.col("doc_id"))), F.when(F.col("doc_id") < 20, "").otherwise(F.concat(F.col("doc_id"), F.lit(".md"))))
+    return relations.report_set(read(spark, sf_dir, "documents").select(F.col("source").alias("folder"), name.alias("name"), F.col("text").alias("content")))
+
+
+def evidence_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of every supplier as an evidence payload: how many are kept, and its hash."""
+    return relations.payload_hash(read(spark, sf_dir, "lineitem"), "l_suppkey", "l_orderkey")
+
+
+def stored_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparisons of lines to store, with the number of their evidence rows."""
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("predicate"), F.col("l_suppkey").cast("string").alias("subject"), (F.col("l_partkey") % 30).cast("string").alias("object")).agg(F.sort_array(F.collect_set("l_linenumber")).alias("sites"))
+    compared = rows.select("predicate", "subject", "object", F.when(F.col("predicate") == "A", "bd").alias("side"), F.lit("MATCH").alias("verdict"), F.lit("NOT_APPLICABLE").alias("multiplicity"), "sites")
+    stored, sites = relations.evidence(compared)
+    return stored.join(sites.groupBy("comparison_id").agg(F.count("*").alias("n"), F.max("line").alias("last")), "comparison_id").select("comparison_id", "predicate", "side", "n", "last")
+
+
+def absorbed_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations in small groups, absorbed by the group they trade with most, groups named by their smallest member."""
+    edges, _ = graphs._nation_labels(spark, sf_dir)
+    both = edges.union(edges.select("dst", "src")).toDF("a", "b").filter("a <> b").groupBy("a", "b").agg(F.count("*").cast("double").alias("weight"))
+    labels = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("node"), F.concat(F.lit("c"), F.col("n_nationkey") % 9).alias("community"))
+    return communities.canonical(communities.absorb(checkpoint(both), labels))
+
+
+def community_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The community of every customer's nation: its size and hubs."""
+    edges, labels = graphs._nation_labels(spark, sf_dir)
+    nodes = read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("node"))
+    return communities.lookup(labels, communities.summaries(edges, labels), nodes).select("node", "community", "members", F.array_join("hub_nodes", ",").alias("hub_nodes"))
+
+
+def community_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of the trade between nations, edges inside and between them."""
+    return communities.community_counts(*graphs._nation_labels(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         path_facts, file_contents, name_facts, risk_summaries, affected_communities, impact_scores, exported_edges, resolution_classes, code_relations, relation_status, field_checks, table_assertions, document_edges, document_nodes, dataset_aliases, linked_view, not_assessed,
         symbol_edge_rows, interface_classes, symbol_index, capped_symbols, fact_occurrences, copybook_resolution, program_resolution, relative_imports, call_owners, annotation_links, legacy_edges, changed_documents, term_decisions, builds_needed, cluster_overview, snapshot_listing, soft_diversity, previous_snapshots, exported_symbols,
+        file_counts, report_sets, evidence_payloads, stored_evidence, absorbed_communities, community_lookup, community_totals,
     )
 }
 
@@ -387,6 +433,9 @@ _SYMBOLS = """
 sy AS (SELECT 'f' || p_partkey % 97 || '.py' AS rel_path, replace(p_name, ' ', '_') || '_' || p_size AS name, 'f' || p_partkey % 97 || '.py::' || replace(p_name, ' ', '_') || '_' || p_size || '#' || p_partkey AS fqn,
   CASE p_partkey % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'function' ELSE 'interface' END AS kind, CASE WHEN p_partkey % 9 = 0 THEN replace(p_name, ' ', '_') || '_' || (p_size % 7 + 1) END AS base, p_partkey AS line, p_brand AS parent_name FROM part)"""
 _TABLE = [("dd_cobol", 0, "calls", 1), ("dd_cobol", 1, "copies", 2), ("dd_cobol", 2, "field_pic", 1), ("dd_jcl", 3, "runs", 1), ("dd_jcl", 4, "binds_dd", 2), ("bd", 5, "accesses", 1), ("bd", 6, "references", 1), ("bd", 7, "depends", 1)]
+_CHUNKS = retrieval._CHUNKS
+_R = ["GEN.BD-A.report.md", "GEN.DD.COBOL-P.report.md", "GEN.DD.JCL-J.report.md", "notes.md", "x.txt"]
+_REPORTS = f"r AS (SELECT source, text, CASE WHEN doc_id < 20 THEN {_CYCLE(_R, 'doc_id')} ELSE {_CYCLE(_R[1:], 'doc_id')} || doc_id || '.md' END AS name FROM documents)"
 _WORDS = "split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b"
 ORACLES = {
     "path_facts": f"""WITH p AS (SELECT doc_id, lang, {_CYCLE(DIRS, 'doc_id')} || {_CYCLE(NAMES, 'doc_id // 12')} AS rel_path, {_CYCLE(NAMES, 'doc_id // 12')} AS name FROM documents), q AS (SELECT *, lower(rel_path) AS low, lower(regexp_extract(name, '[^.](\\.[^.]+)$', 1)) AS ext FROM p)
@@ -443,5 +492,13 @@ SELECT src, edge_type, m AS resolution_method, count(*) AS n, round(sum(c), 6) A
     "cluster_overview": "SELECT n_nationkey AS cluster_id, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS documents, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS nodes, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal < 0) AS mismatches FROM nation",
     "soft_diversity": "WITH s AS (SELECT user_id, event_id, greatest(0.0, value - 3) AS score FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM s) SELECT user_id AS query_id, count(*) AS kept, max(event_id) AS last FROM r WHERE n <= 3 OR i <= 5 OR score > 0 GROUP BY 1",
     "previous_snapshots": "SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1 OFFSET 1",
+    "snapshot_listing": f"WITH {_CHUNKS} SELECT rel_path, CAST(chunk_index AS INTEGER) AS chunk_index, count(*) FILTER (regexp_matches(content, '[0-9]{{3}}')) OVER (PARTITION BY source, rel_path ORDER BY chunk_index ROWS UNBOUNDED PRECEDING) AS place, CAST(length(content) AS INTEGER) AS n_chars FROM c",
+    "report_sets": f"WITH {_REPORTS}, m AS (SELECT *, CASE WHEN contains(name, 'BD-') THEN 0 WHEN contains(name, 'COBOL') THEN 1 WHEN contains(name, 'JCL') THEN 2 ELSE 3 END AS rank, name || ':' || sha256(coalesce(text, '')) AS part FROM r WHERE name LIKE '%.md') SELECT source AS folder, count(*) FILTER (rank = 0) AS bd, count(*) FILTER (rank IN (1, 2)) AS dd, count(*) FILTER (rank = 0) = 1 AND count(*) FILTER (rank IN (1, 2)) > 0 AS valid, sha256(string_agg(part, chr(10) ORDER BY rank, name, part)) AS fingerprint FROM m GROUP BY source",
+    "evidence_payloads": "WITH d AS (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS i FROM d) SELECT l_suppkey, CAST(count(*) FILTER (i <= 50) AS INTEGER) AS kept, count(*) FILTER (i > 50) AS truncated, sha256('{\"items\":[' || string_agg(l_orderkey, ',' ORDER BY l_orderkey) FILTER (i <= 50) || '],\"truncated\":' || count(*) FILTER (i > 50) || '}') AS hash FROM r GROUP BY l_suppkey",
+    "stored_evidence": "SELECT sha256(concat_ws('|', l_returnflag, l_suppkey, l_partkey % 30, CASE WHEN l_returnflag = 'A' THEN 'bd' ELSE '' END)) AS comparison_id, l_returnflag AS predicate, CASE WHEN l_returnflag = 'A' THEN 'bd' END AS side, count(DISTINCT l_linenumber) AS n, max(l_linenumber) AS last FROM lineitem GROUP BY l_returnflag, l_suppkey, l_partkey % 30",
+    "absorbed_communities": f"""WITH {graphs._TRADE}, l AS (SELECT CAST(n_nationkey AS VARCHAR) AS node, 'c' || n_nationkey % 9 AS c FROM nation), z AS (SELECT c, count(*) AS n FROM l GROUP BY c), b AS (SELECT a.c AS ca, x.c AS cb, count(*) AS w FROM (SELECT src, dst FROM tr UNION ALL SELECT dst, src FROM tr) t JOIN l a ON a.node = src JOIN l x ON x.node = dst WHERE a.c <> x.c GROUP BY ALL),
+v AS (SELECT ca, arg_min(cb, (-w, cb)) AS t FROM b WHERE ca IN (SELECT c FROM z WHERE n < 3) AND cb IN (SELECT c FROM z WHERE n >= 3) GROUP BY ca), m AS (SELECT node, coalesce(t, c) AS c FROM l LEFT JOIN v ON ca = c) SELECT node, min(node) OVER (PARTITION BY c) AS community FROM m""",
+    "community_lookup": "WITH s AS (" + graphs.ORACLES["community_summaries"] + ") SELECT CAST(n_nationkey AS VARCHAR) AS node, r_name AS community, members, hub_nodes FROM nation JOIN region ON n_regionkey = r_regionkey JOIN s ON s.community = r_name WHERE n_nationkey IN (SELECT c_nationkey FROM customer)",
+    "community_totals": f"WITH {graphs._TRADE} SELECT (SELECT count(DISTINCT community) FROM lb) AS communities, (SELECT count(*) FROM (SELECT community FROM lb GROUP BY community HAVING count(*) = 1)) AS singletons, count(*) FILTER (ca = cb) AS internal, count(*) FILTER (ca <> cb) AS external FROM pl",
     "exported_symbols": f"""WITH {_SYMBOLS} SELECT rel_path, CAST(row_number() OVER (PARTITION BY rel_path ORDER BY line) AS INTEGER) AS place, '"snap","' || rel_path || '","' || line || '","' || name || '","' || kind || '","' || parent_name || '"' AS row FROM sy WHERE line % 5 <> 0 AND NOT contains(rel_path, 'test')""",
 }

@@ -92,3 +92,27 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     rel = F.regexp_replace("path", r"^[^:]*:/*", "/")
     base = "/" + root.split(":", 1)[-1].strip("/") + "/"
     return files.select(F.replace(rel, F.lit(base), F.lit("")).alias("rel_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), "content", F.sha1("content").alias("checksum"))
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, communities: DataFrame, path: str) -> None:
+    """A graph as JSON lines below a folder: a schema line, then a line for each node, edge and community."""
+    spark = nodes.sparkSession
+    head = spark.range(1).select(F.lit("schema").alias("record"), F.to_json(F.struct(F.lit("1.1").alias("version"))).alias("value"))
+    lines = head
+    for record, df in (("node", nodes), ("edge", edges), ("community", communities)):
+        lines = lines.unionByName(df.select(F.lit(record).alias("record"), F.to_json(F.struct(*df.columns)).alias("value")))
+    lines.select(F.to_json(F.struct("record", "value"))).write.mode("overwrite").text(path)
+
+
+def read_graph(spark: SparkSession, path: str, record: str, schema: str) -> DataFrame:
+    """The nodes, edges or communities of a written graph."""
+    lines = spark.read.schema("record string, value string").json(path)
+    return lines.filter(F.col("record") == record).select(F.from_json("value", schema).alias("v")).select("v.*")
+
+
+def read_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """(folder, name, content): Markdown files of a folder, whole; bytes that are not UTF-8 are left out."""
+    from loomspark.functions.paths import lenient_text
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(folder)
+    return files.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), lenient_text(F.col("content"), 1 << 30).alias("content"))
