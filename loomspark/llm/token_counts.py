@@ -8,10 +8,15 @@ Two deterministic machines count the tokens of a text.
   carries the tokens it emits, which may be fewer than none when a longer token swallows earlier ones.
   States and transitions are compiled when first met; a walked pre-token leaves a macro transition from
   the start state to itself.
-* The splitter finds pre-tokens.  Its state maps over a chunk of text are constant behind the first cut
-  that holds in any state (white space behind anything else, or a special token's end), so the map of a chunk is: the part
-  before that cut, the tokens between, the part behind the last cut.  Maps compose associatively
-  (``compose``); a text's chunks, cut anywhere, are combined by a scan of pairwise compositions.
+* ``Splitter`` is the machine over the characters of a text: its state is what it is inside of (a run of letters,
+  numbers, other signs or white space, or a possible contraction) with the byte machine's state there, and each
+  transition carries the tokens emitted, also corrections when white space or a contraction turns out otherwise.
+
+A text is cut into chunks anywhere outside its special strings.  Every chunk gives a state map, from the state before it to the
+state behind it and the tokens emitted, without knowing the state before it: all but its first and last word lies between
+places where white space follows anything else, which bring every state to the same one.  So a map is the characters up to
+the first such place, on which it depends on the state, and behind it a fixed count and a fixed state.  Maps compose
+associatively (``compose``); a text's maps are combined by a scan of pairwise compositions.
 
 Defined results: null and empty texts have 0 tokens; texts of any length are counted whole; repeated rows
 stay; an empty table gives an empty result.  Special strings inside a text are one token, which is the
@@ -33,9 +38,11 @@ from pyspark.sql import functions as F
 from loomspark.llm import common
 
 LIMIT = 1024
-CHUNK_CHARS = 1 << 16
+CHUNK_CHARS = 1 << 12
 #: Entries a worker keeps of macro transitions and of states; more and that table starts afresh.
 MACROS, STATES = 1_000_000, 60_000
+#: Transitions over characters that a worker keeps.
+STEPS = 300_000
 
 # Unicode White_Space, which the split pattern's \s stands for.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -164,16 +171,18 @@ class ByteBPE:
 
     def count(self, word: bytes) -> int:
         """Tokens of one pre-token: the sum of what its transitions emit."""
-        if len(self.states) >= STATES:
-            self.reset()
-        state = total = 0
-        for b in word:
+        return self.walk(0, word)[1]
+
+    def walk(self, state: int, data: bytes) -> tuple[int, int]:
+        """The state behind some bytes, and the tokens that their transitions emit."""
+        total = 0
+        for b in data:
             known = self.next[state].get(b)
             if known is None:
                 known = self.step(state, b)
             state = known[0]
             total += known[1]
-        return total
+        return state, total
 
 
 class _Macros(dict):
@@ -197,6 +206,7 @@ class Splitter:
 
     def __init__(self, bpe: ByteBPE) -> None:
         self.bpe, self.kinds = bpe, character_classes()
+        self.steps: dict[tuple, tuple[tuple, int]] = {}
         self.special = re.compile("|".join(map(re.escape, bpe.specials))) if bpe.specials else None
 
     def starts(self, text: str) -> np.ndarray:
@@ -228,47 +238,103 @@ class Splitter:
         at = self.starts(text).tolist()
         return sum(map(self.bpe.macros.__getitem__, map(text.__getitem__, map(slice, at, [*at[1:], len(text)]))))
 
-    def closed(self, text: str) -> int:
-        """Tokens of a text between cuts that hold in any state."""
-        if self.special is None or not self.special.search(text):
-            return self.plain(text)
-        parts = self.special.split(text)
-        return len(parts) - 1 + sum(map(self.plain, parts))
+    def step(self, state: tuple, ch: str) -> tuple[tuple, int]:
+        """(next state, tokens emitted) for one character of a plain text; compiled when first met.
 
-    def cuts(self, text: str) -> tuple[int, int]:
-        """The first and last place where white space follows anything else; (-1, -1) if there is none."""
-        blank = self.kinds[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")] >= _SPACE
-        at = (blank[1:] & ~blank[:-1]).nonzero()[0]
-        return (int(at[0]) + 1, int(at[-1]) + 1) if len(at) else (-1, -1)
+        States: () outside of any pre-token; (kind, byte state, mark) in a run, where mark is "'" behind an apostrophe that
+        began the run, or the letter behind it that may belong to a contraction; (blank kind, byte state of the run, byte
+        state without its last character, tokens that this one added, this character).
+        """
+        known = self.steps.get((state, ch))
+        if known is None:
+            if len(self.steps) >= STEPS:
+                self.steps.clear()
+            known = self.steps[state, ch] = self._step(state, ch)
+        return known
+
+    def _step(self, state: tuple, ch: str) -> tuple[tuple, int]:
+        kind, data, walk = int(self.kinds[ord(ch)]), ch.encode("utf-8", "surrogatepass"), self.bpe.walk
+        blank_run = len(state) == 5
+        if kind >= _SPACE:
+            before = state[1] if blank_run else 0
+            after, emitted = walk(before, data)
+            return (_BLANK, after, before, emitted, ch), emitted
+        emitted, lead = 0, 0
+        if blank_run:  # the last blank stands apart: before a word it joins it if it is the space
+            emitted = -state[3]
+            if state[4] == " ":
+                lead, n = walk(0, b" ")
+            else:
+                _, n = walk(0, state[4].encode("utf-8"))
+            emitted += n
+            state = (kind, lead, "") if lead else ()
+            if lead:
+                after, n = walk(lead, data)
+                return (kind, after, ""), emitted + n
+        if state:
+            own, inside, mark = state
+            if mark == "'":
+                if ch in "stmd":
+                    after, n = walk(inside, data)
+                    return (), n
+                if ch in "rvl":
+                    after, n = walk(0, data)
+                    return (_LETTER, after, ch), n
+            elif mark and mark + ch in ("re", "ve", "ll"):
+                plain = walk(0, b"'")[1] + walk(0, mark.encode())[1]
+                return (), walk(0, b"'" + mark.encode() + data)[1] - plain
+            if own == kind:
+                after, n = walk(inside, data)
+                return (kind, after, ""), emitted + n
+        after, n = walk(0, data)
+        return (kind, after, "'" if ch == "'" else ""), emitted + n
+
+    def run(self, state: tuple, text: str) -> tuple[tuple, int]:
+        """The state behind a plain text, and the tokens emitted on the way."""
+        total = 0
+        for ch in text:
+            state, n = self.step(state, ch)
+            total += n
+        return state, total
 
     def chunk(self, text: str) -> tuple:
-        """A chunk's state map: (text before the first cut, tokens, text behind the last), or the text alone."""
-        first, last = self.cuts(text)
-        return (text,) if first < 0 else (text[:first], self.closed(text[first:last]), text[last:])
+        """A chunk's state map: (characters that depend on the state before,) or, behind them, (.., tokens, state)."""
+        blank = self.kinds[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")] >= _SPACE
+        at = (blank[1:] & ~blank[:-1]).nonzero()[0]
+        if not len(at):
+            return (text,)
+        first, last = int(at[0]) + 1, int(at[-1]) + 1
+        state, n = self.run((), text[last:])
+        return (text[:first], self.plain(text[first:last]) + n, state)
 
     def compose(self, a: tuple, b: tuple) -> tuple:
         """The map of two chunks in a row."""
-        if len(a) == len(b) == 1:
-            return self.chunk(a[0] + b[0])
         if len(a) == 1:
-            inner = self.chunk(a[0] + b[0])
-            return (inner[0], b[1], b[2]) if len(inner) == 1 else (inner[0], inner[1] + self.closed(inner[2]) + b[1], b[2])
-        inner = self.chunk(a[2] + b[0])
-        if len(b) == 1:
-            return (a[0], a[1], inner[0]) if len(inner) == 1 else (a[0], a[1] + self.closed(inner[0]) + inner[1], inner[2])
-        return (a[0], a[1] + self.closed(a[2] + b[0]) + b[1], b[2])
+            return (a[0] + b[0], *b[1:])
+        state, n = self.run(a[2], b[0])
+        return (a[0], a[1] + n, state) if len(b) == 1 else (a[0], a[1] + n + b[1], b[2])
 
-    def count(self, text: str | None, chunk_chars: int = CHUNK_CHARS) -> int:
-        """Tokens of a whole text, by a pairwise scan over the maps of its chunks."""
-        if not text:
-            return 0
-        if len(text) <= chunk_chars:
-            return self.closed(text)
+    def applied(self, state: tuple, chunk: tuple) -> tuple[tuple, int]:
+        """The state behind a chunk and the tokens emitted in it, from the state before."""
+        after, n = self.run(state, chunk[0])
+        return (after, n) if len(chunk) == 1 else (chunk[2], n + chunk[1])
+
+    def scanned(self, text: str, chunk_chars: int) -> int:
+        """Tokens of a text without special strings, by a scan over the maps of its chunks."""
         maps = [self.chunk(text[k : k + chunk_chars]) for k in range(0, len(text), chunk_chars)]
         while len(maps) > 1:
             maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-        whole = maps[0]
-        return self.closed(whole[0]) + (whole[1] + self.closed(whole[2]) if len(whole) == 3 else 0)
+        return self.applied((), maps[0])[1]
+
+    def count(self, text: str | None, chunk_chars: int = CHUNK_CHARS) -> int:
+        """Tokens of a whole text; each special string in it is one."""
+        if not text:
+            return 0
+        if len(self.bpe.states) >= STATES:  # between texts, as maps name states by number
+            self.bpe.reset()
+            self.steps.clear()
+        parts = self.special.split(text) if self.special is not None and self.special.search(text) else [text]
+        return len(parts) - 1 + sum(self.scanned(p, chunk_chars) for p in parts if p)
 
 
 _MACHINES: dict[str, Splitter] = {}
