@@ -6,8 +6,6 @@ target weights (once each, so that documents stay single) and packed into sequen
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,11 +63,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over documents, each through a Parquet table in the shared folder."""
-    common.ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    """The stages one after another over documents, each through a Parquet table in the shared folder that the next one's replaces."""
     docs = common.read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
+    for _, stage in STAGES:
+        docs = common.stored(stage(spark, docs, sf_dir), instead_of=docs)
     return docs
