@@ -1,5 +1,6 @@
 import corpus_pipeline
 import pytest
+from cases import frame, odd_documents
 
 from loomspark.llm import jaccard_join, mixing, packing, quality, toxicity
 
@@ -57,3 +58,19 @@ def test_one_row_of_each_component_stays(spark):
 def test_stages_take_empty_tables(spark, small, stage):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(0)
     assert stage(spark, docs, small).collect() == []
+
+
+def test_stages_take_odd_rows(spark, small):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing names go through every stage."""
+    docs = frame(spark, odd_documents()).repartition(3)
+    rows = {(r.doc_id, r.text) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, small)
+        assert made.columns == docs.columns
+        got = [(r.doc_id, r.text) for r in made.collect()]
+        assert set(got) <= rows, name
+        if name == "jaccard_join":
+            assert sorted(i for i, _ in got if i is not None) == [1, 2, 3, 4, 7, 8, 10] and sum(i is None for i, _ in got) == 1
+    ids = packing.Ids(packing.default_vocabulary())
+    want = sum(len(ids.of(r.text)) // 4 + 1 for r in docs.collect())
+    assert sum(r.length for r in corpus_pipeline.packed(spark, docs, small).collect()) == want
