@@ -25,7 +25,7 @@ def type_weight(chunk_type: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """An inverted index as tables: chunks with their length and weight, postings ordered by term, term and corpus statistics."""
+    """An index as tables: chunks with their length and weight, postings, term and corpus statistics."""
 
     chunks: DataFrame  # the corpus' columns, dl, weight
     postings: DataFrame  # term, chunk_id, tf, dl, weight
@@ -34,17 +34,18 @@ class Index:
 
 
 def write_index(chunks: DataFrame, folder: str) -> Index:
-    """Tokenise chunks (chunk_id, rel_path, content, chunk_type, ...) once and write the index below folder.
+    """Tokenise chunks (chunk_id, rel_path, content, chunk_type, ...) and write the index below folder.
 
-    Postings are written in ranges of (term, chunk_id): a lookup prunes row groups by term, and a common term lies in
-    many files.
+    Chunks are dealt once, by chunk_id, and postings lie with their chunk: a common term is spread over all files, and a batch of
+    queries, which between them ask for most common terms, has its sums for a chunk added up before any shuffle.
     """
     spark = chunks.sparkSession
-    words = chunks.withColumn("_w", T.tokens(F.col("content"))).withColumn("weight", type_weight(F.col("chunk_type")))
-    words.withColumn("dl", F.size("_w")).drop("_w").write.parquet(f"{folder}/chunks")
-    rows = words.select("chunk_id", F.size("_w").alias("dl"), "weight", F.explode("_w").alias("term"))
+    sized = chunks.withColumn("dl", F.size(T.tokens(F.col("content")))).withColumn("weight", type_weight(F.col("chunk_type")))
+    sized.write.parquet(f"{folder}/chunks")
+    words = spark.read.parquet(f"{folder}/chunks").select("chunk_id", "dl", "weight", T.tokens(F.col("content")).alias("_w")).repartition("chunk_id")
+    rows = words.select("chunk_id", "dl", "weight", F.explode("_w").alias("term"))
     counted = rows.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("weight").alias("weight"))
-    counted.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{folder}/postings")
+    counted.write.parquet(f"{folder}/postings")
     stored, posted = spark.read.parquet(f"{folder}/chunks"), spark.read.parquet(f"{folder}/postings")
     stored.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{folder}/corpus")
     corpus = spark.read.parquet(f"{folder}/corpus")
