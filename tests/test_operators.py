@@ -49,7 +49,7 @@ def test_strong_components(spark):
 def test_strong_components_of_ordered_cycles_take_few_rounds(spark, monkeypatch):
     """Cycles whose names ascend along the edges, each leading to all after it: one cycle a round by name order."""
     n, made, plain = 12, [], graph.checkpoint
-    monkeypatch.setattr(graph, "checkpoint", lambda df: made.append(1) or plain(df))
+    monkeypatch.setattr(graph, "checkpoint", lambda df, **more: made.append(1) or plain(df, **more))
     edges = [(f"{i:03}{x}", f"{i:03}{y}") for i in range(n) for x, y in ("ab", "ba")]
     edges += [(f"{i:03}b", f"{j:03}a") for i in range(n) for j in range(i + 1, n)]
     got = graph.strong_components(spark.createDataFrame(edges, "src string, dst string")).collect()
