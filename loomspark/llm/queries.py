@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.llm import conversations, fingerprints, jaccard_join, lexical, mixing, packing, quality, simhash, token_counts, topk, toxicity, url_filters
+from loomspark.llm import alignment, conversations, fingerprints, jaccard_join, lexical, mixing, packing, quality, simhash, token_counts, topk, toxicity, url_filters
 
-_MODULES = (fingerprints, conversations, url_filters, jaccard_join, packing, toxicity, token_counts, mixing, topk, quality, simhash, lexical)
+_MODULES = (fingerprints, conversations, url_filters, jaccard_join, packing, toxicity, token_counts, mixing, topk, quality, simhash, alignment, lexical)
 
 
 def queries() -> dict:
