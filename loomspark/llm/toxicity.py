@@ -2,7 +2,8 @@
 
 The categories are predicted one after another; each linear (logistic) model takes the word features and
 the probabilities of the categories before it.  While learning, those probabilities are out-of-fold
-predictions, so that a later model never sees an earlier one's fit to its own label.
+predictions, so that a later model never sees an earlier one's fit to its own label.  Folds are dealt by a hash of the ids and
+are even: with two rows or more, several have rows.
 
 ``labels`` marks a document as toxic and as of good or poor quality; the chain's categories are abuse within
 junk, abuse within prose, and toxic as such, which decides.  Features are those words (runs of letters, lower
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import common
+from loomspark.llm.shingles import mix64
 
 FIT_ROWS = 10_000
 WORD_FEATURES = 512
@@ -110,6 +112,14 @@ class Chain:
         return np.column_stack(done)
 
 
+def folds(doc_ids: np.ndarray) -> np.ndarray:
+    """Each row's fold: rows are dealt in turn in the order of their ids' hashes, so that folds are even whatever the ids."""
+    order = np.argsort(mix64(doc_ids.astype(np.int64).view(np.uint64)), kind="stable")
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.arange(len(order)) % FOLDS
+    return out
+
+
 def fit_chain(x: np.ndarray, targets: np.ndarray, fold: np.ndarray) -> list[np.ndarray]:
     """Weights for each column of targets in order, from features x and each row's fold."""
     weights, before = [], []
@@ -120,10 +130,11 @@ def fit_chain(x: np.ndarray, targets: np.ndarray, fold: np.ndarray) -> list[np.n
         if c + 1 == targets.shape[1]:
             break
         out = np.zeros(len(y))
-        for k in range(FOLDS):
+        for k in np.unique(fold):
             test = fold == k
-            if test.any() and not test.all():
-                out[test] = _predict(own[test], logistic(own[~test], y[~test]))
+            if test.all():
+                raise ValueError("out-of-fold predictions need rows in several folds")
+            out[test] = _predict(own[test], logistic(own[~test], y[~test]))
         before.append(out)
     return weights
 
@@ -176,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, features: int
     x = np.column_stack([x, np.ones(len(x))])
     toxic, quality = got["toxic"].to_numpy(float), got["quality"].to_numpy(float)
     targets = np.column_stack([toxic * (1 - quality), toxic * quality, toxic])
-    chain.weights = fit_chain(x, targets, got["doc_id"].to_numpy() % FOLDS)
+    chain.weights = fit_chain(x, targets, folds(got["doc_id"].to_numpy()))
     return chain
 
 

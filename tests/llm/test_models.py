@@ -215,3 +215,19 @@ def test_later_links_see_out_of_fold_predictions():
     noise = (rng.random((600, 2)) < 0.5).astype(float)  # nothing to learn: an in-fold fit would seem to know its labels
     weights = toxicity.fit_chain(x, noise[:, [0, 0]], np.arange(600) % toxicity.FOLDS)
     assert weights[1][0] < 1.0
+
+
+@pytest.mark.parametrize("step", [1, 4, 8])
+def test_folds_are_even_whatever_the_ids(step):
+    """Ids of one residue are dealt to all folds, so that earlier categories feed later ones."""
+    ids = np.arange(0, 400 * step, step)
+    fold = toxicity.folds(ids)
+    assert np.bincount(fold).tolist() == [100] * toxicity.FOLDS
+    rng = np.random.default_rng(step)
+    x = np.column_stack([rng.normal(size=(400, 3)), np.ones(400)])
+    first = (x[:, 0] > 0).astype(float)
+    weights = toxicity.fit_chain(x, np.column_stack([first, first]), fold)
+    assert weights[1][0] > 0.5  # the first category's probability
+    with pytest.raises(ValueError):
+        toxicity.fit_chain(x, np.column_stack([first, first]), np.zeros(400, dtype=int))
+    assert toxicity.folds(np.array([4, 8])).tolist() in ([0, 1], [1, 0])
