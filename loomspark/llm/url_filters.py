@@ -2,13 +2,15 @@
 
 A list is a log of dated additions and removals of hosts.  Each addition becomes a validity interval that ends
 at the entry's next removal; an as-of join holds every capture against the entries that were active when it
-was fetched.  An entry covers its host and all hosts below it; the longest active entry decides.
+was fetched.  An entry covers its host and all hosts below it; the longest active entry decides.  Addresses (IPv4, also with
+hexadecimal parts, and IPv6 in brackets) have no parents: only an entry of the whole address covers one.
 
 Captures are exploded into their host and its parents and joined on (entry, salt): the salt deals a host
 that has a third of all captures to many tasks, and the intervals, which are as many as the list has entries,
 are repeated for each salt.
 
-Defined results: a url that is null or has no host matches nothing; a capture without a time is not held
+Defined results: a url that is null or has no host matches nothing; hosts and entries are compared in lower case and without dots
+at their end (example.com. is example.com); a capture without a time is not held
 against any entry; several additions in a row count from the first; a removal takes effect at its date; of
 additions and removals at one date the removal comes last; repeated captures (same id, url and time) are one
 row; an empty table gives an empty result; extra columns are ignored.
@@ -25,27 +27,30 @@ from pyspark.sql import Window as W
 from loomspark.llm import common
 
 SALTS = 32
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
+#: A host that is an address: in brackets, or with a number as its last label.
+ADDRESS = r"^\[|(^|\.)([0-9]+|0x[0-9a-f]*)$"
 #: Days from the first date of the query's captures and list entries.
 FIRST, DAYS = "2024-01-01", 730
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host of a url, null where there is none."""
-    return F.nullif(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
+    """The lower-case host of a url without dots at its end, null where there is none; an IPv6 address keeps its brackets."""
+    return F.nullif(F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(".")), F.lit(""))
 
 
 def suffixes(host: Column) -> Column:
-    """The host and its parents, down to two labels (a host of one label: itself)."""
+    """The host and its parents, down to two labels (a host of one label, or an address: itself)."""
     labels = F.split(host, r"\.")
-    last = F.greatest(F.lit(1), F.size(labels) - 1)
+    last = F.when(F.rlike(host, F.lit(ADDRESS)), 1).otherwise(F.greatest(F.lit(1), F.size(labels) - 1))
     return F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
 def intervals(events: DataFrame) -> DataFrame:
     """(entry, listed_on, until) from (entry, action, on): active from listed_on, before until (null: still)."""
     own = W.partitionBy("entry").orderBy("on", "action")
-    steps = events.filter("entry is not null and on is not null and action in ('add', 'remove')").distinct()
+    named = events.select(F.nullif(F.rtrim(F.lower("entry"), F.lit(".")), F.lit("")).alias("entry"), "action", "on")
+    steps = named.filter("entry is not null and on is not null and action in ('add', 'remove')").distinct()
     steps = steps.withColumn("before", F.lag("action").over(own)).filter("before is null or before <> action")
     return steps.withColumn("until", F.lead("on").over(own)).filter("action = 'add' and (until is null or until > on)").select("entry", F.col("on").alias("listed_on"), "until")
 
@@ -90,10 +95,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH c AS (
   SELECT DISTINCT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id * 37 % 730 AS INTEGER) AS DATE) AS fetched_on,
-    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host
+    nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1)), '.'), '') AS host
   FROM pages
 ), h AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM c WHERE host IS NOT NULL),
-s AS (SELECT host, array_to_string(list_slice(l, i, len(l)), '.') AS entry FROM (SELECT host, l, unnest(range(1, greatest(2, len(l)))) AS i FROM h)),
+s AS (SELECT host, array_to_string(list_slice(l, i, len(l)), '.') AS entry FROM (SELECT host, l, unnest(range(1, CASE WHEN regexp_matches(host, '^\[|(^|\.)([0-9]+|0x[0-9a-f]*)$') THEN 2 ELSE greatest(2, len(l)) END)) AS i FROM h)),
 n AS (
   SELECT entry, CAST('0x' || substr(m, 5, 4) AS INTEGER) % 730 AS start, CAST('0x' || substr(m, 9, 4) AS INTEGER) % 200 + 1 AS gap, CAST('0x' || substr(m, 13, 4) AS INTEGER) % 3 AS kind
   FROM (SELECT DISTINCT entry, md5(entry) AS m FROM s) WHERE CAST('0x' || substr(m, 1, 4) AS INTEGER) % 5 = 0

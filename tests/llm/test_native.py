@@ -76,3 +76,15 @@ def test_intervals_and_as_of(spark):
     assert got[5].listed_on == day(30) and got[3].listed_on == day(10)
     assert uf.evaluate(captures.limit(0), events).collect() == []
     assert not any(r.blocked for r in uf.evaluate(captures, events.limit(0)).collect())
+
+
+def test_addresses_and_trailing_dots(spark):
+    """Addresses are held against whole entries only; a dot at the end of a host says nothing."""
+    events = spark.createDataFrame([(e, "add", day(1)) for e in ("2.3", "10.1.2.3", "[2001:db8::1]", "db8::1]", "example.com", "Upper.example.", "0x1.0x2")], "entry string, action string, on date")
+    cases = {
+        "http://10.1.2.3/": "10.1.2.3", "http://9.1.2.3/x": None, "http://1.2.3": None, "https://[2001:DB8::1]:8080/": "[2001:db8::1]", "https://u:p@[2001:db8::2]/": None, "http://a.b.example.com./": "example.com",
+        "http://example.com..:80": "example.com", "http://x.UPPER.example/": "upper.example", "http://user@evil@sub.example.com/": "example.com", "http://7.0x1.0x2/": None, "http://0x1.0x2/": "0x1.0x2", "http://./": None, "http://v2.3.com": None,
+    }
+    captures = spark.createDataFrame([(i, u, day(5)) for i, u in enumerate(cases)], "page_id long, url string, fetched_on date")
+    got = {r.url: r.entry for r in uf.evaluate(captures, events).collect()}
+    assert got == cases
