@@ -15,8 +15,9 @@ as one row with a count, so a document that is a third of all rows is one row th
 
 Defined results: null and empty texts have 0 tokens and are taken when their place in the order is inside
 the prefix; nulls in lang or source are a name of their own ('none'); repeated rows are rows of their own; an
-empty table gives an empty result; docs' columns are kept under any name, but for its own domain, tokens, epoch and
-take_tokens, which the result's replace.
+empty table gives an empty result.  A document without a count in the token column has 0 tokens, a negative count is 0.
+Docs' columns are all kept as they are; where one has the name of a column that the result adds (domain, tokens, epoch,
+take_tokens), the added one is called mix_ and that name.
 """
 
 from __future__ import annotations
@@ -105,13 +106,32 @@ def _prefix(columns: list[str]) -> str:
     return prefix
 
 
-def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, epochs: int = EPOCHS, seed: int = SEED, domain_weights: Mapping[str, float] | None = None, language_weights: Mapping[str, float] | None = None, source_weights: Mapping[str, float] | None = None) -> DataFrame:
-    """Docs' columns with domain, tokens, epoch and take_tokens, a row for each time a document is taken."""
-    kept = [c for c in docs.columns if c.lower() not in _MADE]
+def added_names(columns: list[str]) -> list[str]:
+    """The names of the columns that a mixture adds to a table with these."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in _MADE:
+        while name in taken:
+            name = "mix_" + name
+        out.append(name)
+    return out
+
+
+def mix(
+    docs: DataFrame, budget_share: float = BUDGET_SHARE, epochs: int = EPOCHS, seed: int = SEED, domain_weights: Mapping[str, float] | None = None,
+    language_weights: Mapping[str, float] | None = None, source_weights: Mapping[str, float] | None = None, tokens: Column | None = None, domain: Column | None = None,
+) -> DataFrame:
+    """Docs' columns with domain, tokens, epoch and take_tokens, a row for each time a document is taken.
+
+    tokens and domain are expressions over docs for its exact token counts (else four bytes are a token) and its domains (else by its source).
+    """
+    kept = docs.columns
+    size = tokens_of(F.col("text")) if tokens is None else F.greatest(F.lit(0), F.coalesce(tokens.cast("long"), F.lit(0)))
+    group = domain_of(F.col("source")) if domain is None else F.coalesce(domain.cast("string"), F.lit("none"))
+    d_name, t_name, e_name, take_name = added_names(kept)
     p = _prefix(docs.columns)
     leaf = [p + "d", p + "l", p + "s"]
     none = F.lit("none")
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], domain_of(F.col("source")).alias(leaf[0]), F.coalesce("lang", none).alias(leaf[1]), F.coalesce("source", none).alias(leaf[2]), tokens_of(F.col("text")).alias(p + "t"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], group.alias(leaf[0]), F.coalesce("lang", none).alias(leaf[1]), F.coalesce("source", none).alias(leaf[2]), size.alias(p + "t"))
 
     plain = rows.groupBy(*leaf).agg(F.sum(p + "t").alias("t")).toDF("domain", "lang", "source", "t")
     leaves = common.checkpoint(plain.withColumn("root", F.lit(0)))  # stored, so that joins on it are not folded away
@@ -140,10 +160,10 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, epochs: int = EPOCH
 
     original = [F.col(f"`{c}`") for c in kept]
     whole, t, rest = F.col(p + "whole"), F.col(p + "t"), F.col(p + "rest")
-    shown = [*original, F.col(leaf[0]).alias("domain"), t.alias("tokens")]
-    again = placed.filter(whole > 0).select(*shown, F.explode(F.sequence(F.lit(0), whole - 1)).alias("epoch"), t.alias("take_tokens"))
+    shown = [*original, F.col(leaf[0]).alias(d_name), t.alias(t_name)]
+    again = placed.filter(whole > 0).select(*shown, F.explode(F.sequence(F.lit(0), whole - 1)).alias(e_name), t.alias(take_name))
     at_a, at_b = F.col(p + "a") == F.col(p + "cut_a"), F.col(p + "b") == F.col(p + "cut_b")
-    below = inside.filter((F.col(p + "a") < F.col(p + "cut_a")) | (at_a & (F.col(p + "b") < F.col(p + "cut_b")))).select(*shown, whole.alias("epoch"), t.alias("take_tokens"))
+    below = inside.filter((F.col(p + "a") < F.col(p + "cut_a")) | (at_a & (F.col(p + "b") < F.col(p + "cut_b")))).select(*shown, whole.alias(e_name), t.alias(take_name))
     # the border: exact repeats are one row with a count
     edge = inside.filter(at_a & at_b).select(*leaf, F.col(p + "key").alias("key"), F.sha2(F.to_json(F.struct(*original)), 256).alias("digest"), F.struct(*original).alias("row"), t.alias("t"), whole.alias("whole"), (rest - F.col(p + "before_a") - F.col(p + "before_b")).alias("left"))
     edge = edge.groupBy(*leaf, "key", "digest").agg(F.first("row").alias("row"), F.first("t").alias("t"), F.first("whole").alias("whole"), F.first("left").alias("left"), F.count("*").alias("n"))
@@ -151,8 +171,8 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, epochs: int = EPOCH
     edge = edge.withColumn("before", F.sum(F.col("t") * F.col("n")).over(own) - F.col("t") * F.col("n")).filter("before < left")
     copies = F.when(F.col("t") == 0, F.col("n")).otherwise(F.least("n", F.ceil((F.col("left") - F.col("before")) / F.col("t")).cast("long")))
     edge = edge.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-    edge = edge.select("row.*", F.col(leaf[0]).alias("domain"), F.col("t").alias("tokens"), F.col("whole").alias("epoch"), F.least("t", F.col("left") - F.col("before") - F.col("i") * F.col("t")).alias("take_tokens"))
-    return again.unionByName(below).unionByName(edge)
+    edge = edge.select("row.*", F.col(leaf[0]).alias(d_name), F.col("t").alias(t_name), F.col("whole").alias(e_name), F.least("t", F.col("left") - F.col("before") - F.col("i") * F.col("t")).alias(take_name))
+    return again.union(below).union(edge)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

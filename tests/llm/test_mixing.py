@@ -108,11 +108,33 @@ def test_repeated_rows_and_odd_rows_match_brute_force(spark):
 
 
 def test_columns_of_any_name(spark):
-    clash = ["doc_id", "text", "lang", "source", "whole", "rest", "_a", "_b", "_key", "_mix_t", "before", "row", "left", "n", "Domain", "tokens", "leaf_lang"]
-    docs = spark.createDataFrame([(i, f"text {i} of some length", "en", "a", *range(13)) for i in range(50)], ", ".join(f"`{c}` {t}" for c, t in zip(clash, ["long", "string", "string", "string"] + ["int"] * 13, strict=True)))
+    """Docs' columns stay as they are; an added column whose name is taken gets another."""
+    clash = ["doc_id", "text", "lang", "source", "whole", "rest", "_a", "_b", "_key", "_mix_t", "before", "row", "left", "n", "Domain", "tokens", "leaf_lang", "a.b", "mix_tokens"]
+    docs = spark.createDataFrame([(i, f"text {i} of some length", "en", "a", *range(15)) for i in range(50)], ", ".join(f"`{c}` {t}" for c, t in zip(clash, ["long", "string", "string", "string"] + ["int"] * 15, strict=True)))
     made = mixing.mix(docs, 0.5, 2)
-    assert made.columns == [*[c for c in clash if c not in ("Domain", "tokens")], "domain", "tokens", "epoch", "take_tokens"]
-    assert {tuple(r[c] for c in ("whole", "rest", "_a", "_b", "_key", "_mix_t", "before", "row", "left", "n")) for r in made.collect()} == {tuple(range(10))}
+    assert made.columns == [*clash, "mix_domain", "mix_mix_tokens", "epoch", "take_tokens"]
+    assert {tuple(r)[4:19] for r in made.collect()} == {tuple(range(15))}
+
+
+def test_exact_token_counts_and_domains(spark):
+    """A table's own counts decide budgets and prefixes, and are returned unchanged."""
+    rng = random.Random(8)
+    rows = [(i, f"text {i % 90}", "en", f"s{i % 5}", rng.choice([0, 1, 7, 1000, None, -3]), f"d{i % 2}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens long, domain string")
+    weights = {"d0": 0.9, "d1": 0.1}
+    made = mixing.mix(docs, 0.4, 1, domain_weights=weights, tokens=F.col("tokens"), domain=F.col("domain"))
+    assert made.columns == [*docs.columns, "mix_domain", "mix_tokens", "epoch", "take_tokens"]
+    got = made.collect()
+    counts = {r[0]: max(0, r[4] or 0) for r in rows}
+    assert all(r.tokens == rows[r.doc_id][4] and r.mix_tokens == counts[r.doc_id] and r.mix_domain == r.domain for r in got)
+    available = defaultdict(int)
+    for i, _, _, source, _, d in rows:
+        available[d, "en", source] += counts[i]
+    given = brute_allocate(available, int(sum(counts.values()) * 0.4), [weights, mixing.LANGUAGE_WEIGHTS, {}], 1)
+    taken = Counter()
+    for r in got:
+        taken[r.domain, "en", r.source] += r.take_tokens
+    assert {k: v for k, v in given.items() if v} == {k: v for k, v in taken.items() if v}
 
 
 def test_empty_table(spark):
