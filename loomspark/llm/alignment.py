@@ -44,10 +44,11 @@ FRAGMENT_BYTES = 1 << 16
 #: Fragments composed by one task of one level of the tree.
 FAN = 32
 #: Units, and bytes of units, that a worker remembers.
-MEMO_UNITS, MEMO_BYTES = 300_000, 24 << 20
+MEMO_UNITS, MEMO_BYTES = 500_000, 96 << 20
 #: Id pairs (with two counts, some 60 bytes each) that are broadcast at most.
 BROADCAST_PAIRS = 1_000_000
 _BLANK, _FEED = "▁", "<0x0A>"
+_RUN = re.compile(r"\s\s")
 _LINE = re.compile(r"(?<=\S\n)(?=\S)")
 #: Longer units are cut at line feeds too.
 LONG_UNIT = 64
@@ -174,15 +175,19 @@ class Aligner:
         self.lead = [self.b.piece_to_id(_BLANK), self.b.piece_to_id(_FEED)]
         inner = any(re.search(f"[^{_BLANK}]{_BLANK}|\n", p) for p in pieces)
         self.cuts = not inner and self.b.encode("\na")[:2] == self.lead
+        self.size_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)])
+        self.size_b = np.array([len(x) for x in self.bytes_b])
+        numbers = [str(i) for i in range(max(len(self.size_a), len(pieces)))]
+        self.shown = {mark: np.array([n + mark for n in numbers], dtype=object) for mark in ",|;"}
         self.reset()
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.sums = np.zeros((1024, 4), dtype=np.int64)
-        self.ok: list[bool] = []
         self.groups: list[bytes] = []
-        self.codes: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
+        self.sums = np.zeros((1024, 4), dtype=np.int64)
+        self.ok = np.zeros(1024, dtype=bool)
+        self.links_end = np.zeros(1025, dtype=np.int64)  # of unit k at k + 1
+        self.links = np.zeros(8192, dtype=np.int64)
         self.held = 0
 
     def units(self, text: str) -> list[str]:
@@ -190,10 +195,9 @@ class Aligner:
         if not self.cuts:
             return [" " + text]
         parts = text.split(" ")
-        odd = [k for k, p in enumerate(parts) if not p or p[0].isspace() or p[-1].isspace()]
-        if odd:  # runs of white space stay with what is on both sides
+        if _RUN.search(text) or text[:1].isspace() or text[-1:].isspace():  # runs of white space stay with what is on both sides
             joined, at = [], 0
-            bad = set(odd)
+            bad = {k for k, p in enumerate(parts) if not p or p[0].isspace() or p[-1].isspace()}
             for k in range(1, len(parts) + 1):
                 if k == len(parts) or (k not in bad and k - 1 not in bad):
                     joined.append(" ".join(parts[at:k]))
@@ -225,40 +229,88 @@ class Aligner:
         at = list(map(known, units))
         if None in at:
             fresh = list(dict.fromkeys(u for u, k in zip(units, at, strict=True) if k is None))
-            for unit, (t, ok) in zip(fresh, self.tokens(fresh), strict=True):
-                k = self.number[unit] = len(self.ok)
-                made = closed(t) if ok else Fragment(border=True)
-                if k == len(self.sums):
-                    self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-                self.sums[k] = made.sums
-                self.ok.append(ok)
-                self.groups.append(made.groups)
-                self.codes.append(made.codes)
-                self.counts.append(made.counts)
-                self.held += len(unit) + len(made.groups) + 16 * len(made.codes)
+            self._learn([u for u in fresh if _BLANK in u], fits=False)
+            self._learn([u for u in fresh if _BLANK not in u])
             at = list(map(known, units))
         return np.array(at, dtype=np.int64)
 
+    def _learn(self, units: list[str], fits: bool = True) -> None:
+        """Add units to the memo; where they can be encoded in a row, all at once."""
+        if not units:
+            return
+        first, sizes = len(self.groups), [len(u.encode("utf-8")) for u in units]
+        while first + len(units) > len(self.ok):
+            self.sums, self.ok = np.concatenate([self.sums, np.zeros_like(self.sums)]), np.concatenate([self.ok, np.zeros_like(self.ok)])
+            self.links_end = np.concatenate([self.links_end, np.zeros(len(self.links_end) - 1, np.int64)])
+        here = slice(first, first + len(units))
+        links = made = None
+        if fits and self.cuts:
+            made = self._in_a_row("".join(units), np.cumsum(sizes))
+        if made is None and fits and len(units) > 1:  # one of them does not fit
+            for u in units:
+                self._learn([u])
+            return
+        if made is None and fits and not self.cuts:
+            ((t, ok),) = self.tokens(units)
+            f = closed(t) if ok else Fragment(ok=False)
+            made = ok, [f.groups], np.array([f.sums]), np.repeat(f.codes, f.counts), np.array([len(f.codes) and f.counts.sum()])
+        if made is None:
+            self.groups += [b""] * len(units)
+            self.ok[here], self.sums[here] = False, 0
+            links, ends = _NONE, np.zeros(len(units), np.int64)
+        else:
+            self.ok[here], groups, self.sums[here], links, ends = made
+            self.groups += groups
+        used = int(self.links_end[first])
+        while used + len(links) > len(self.links):
+            self.links = np.concatenate([self.links, np.zeros_like(self.links)])
+        self.links[used : used + len(links)] = links
+        self.links_end[first + 1 : first + 1 + len(units)] = used + ends
+        self.number.update(zip(units, range(first, first + len(units)), strict=True))
+        self.held += sum(sizes) + sum(map(len, self.groups[first:])) + 8 * len(links)
+
+    def _in_a_row(self, text: str, unit_ends: np.ndarray) -> tuple | None:
+        """(fits, groups, sums, links, ends of links) of the units that a text consists of, or None where it does not fit."""
+        a = np.array(self.a.encode(text, add_special_tokens=False).ids, dtype=np.int64)
+        b = np.array(self.b.encode("\n" + text)[2:], dtype=np.int64)
+        if b"".join(map(self.bytes_b.__getitem__, b.tolist())) != text.encode("utf-8"):
+            return None
+        a_ends, b_ends = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        borders = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        ends = np.union1d(a_ends, b_ends)
+        codes = a[np.searchsorted(a_ends, ends)] << 32 | b[np.searchsorted(b_ends, ends)]
+        # the groups' text: of each group its A ids, then its B ids, each with what follows it
+        a_group, b_group = np.searchsorted(borders, a_ends), np.searchsorted(borders, b_ends)
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        marked = np.concatenate([np.where(a_ends == borders[a_group], self.shown["|"][a], self.shown[","][a]), np.where(b_ends == borders[b_group], self.shown[";"][b], self.shown[","][b])])
+        parts = marked[order].tolist()
+        upto = lambda of: np.searchsorted(of, unit_ends, side="right")
+        counts = np.stack([upto(x) for x in (a_ends, b_ends, borders, ends)], axis=1)
+        tokens = (counts[:, 0] + counts[:, 1]).tolist()
+        groups = ["".join(parts[i:j])[:-1].encode() for i, j in zip([0, *tokens[:-1]], tokens, strict=True)]
+        return True, groups, np.diff(counts, axis=0, prepend=0), codes, counts[:, 3]
+
     def rest(self) -> None:
         """Between texts: forget all units if they are too many."""
-        if len(self.ok) > MEMO_UNITS or self.held > MEMO_BYTES:
+        if len(self.groups) > MEMO_UNITS or self.held > MEMO_BYTES:
             self.reset()
 
     def whole(self, units: list[str]) -> Fragment:
         """The fragment of whole units, which begin and end at borders."""
-        if not units:
+        return self.summary(self.entries(units))
+
+    def summary(self, at: np.ndarray) -> Fragment:
+        """The fragment of the units with these numbers in a row."""
+        if not len(at):
             return Fragment(border=True)
-        at = self.entries(units)
-        own, times = np.unique(at, return_counts=True)
-        order = at.tolist()
-        if not all(self.ok[k] for k in own.tolist()):
+        if not self.ok[at].all():
             return Fragment(ok=False)
-        some = own.tolist()
-        codes = [self.codes[k] for k in some]
-        counts = np.concatenate([self.counts[k] for k in some]) * np.repeat(times, [len(c) for c in codes])
-        codes, counts = _counted(np.concatenate(codes), counts)
-        sums = (self.sums[own] * times[:, None]).sum(axis=0)
-        return Fragment(True, Tokens(), b";".join(map(self.groups.__getitem__, order)), tuple(sums.tolist()), codes, counts)
+        begin = self.links_end[at]
+        sizes = self.links_end[at + 1] - begin
+        links = self.links[np.arange(sizes.sum()) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)]
+        links.sort()
+        first = np.flatnonzero(np.append(True, links[1:] != links[:-1]))
+        return Fragment(True, Tokens(), b";".join(map(self.groups.__getitem__, at.tolist())), tuple(self.sums[at].sum(axis=0).tolist()), links[first], np.diff(first, append=len(links)))
 
     def part(self, units: list[str], lo: int, hi: int, base: int) -> Fragment:
         """The fragment of the tokens that end in (lo, hi] of some units, which begin at byte `base` of their text."""
@@ -354,10 +406,12 @@ def aligned(docs: DataFrame, vocabularies: tuple[str, str] | None = None, fragme
         for batch in batches:
             for at in range(0, batch.num_rows, common.STEP_ROWS):
                 part, made = batch.slice(at, common.STEP_ROWS), []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    al.rest()
-                    made.append((row, doc_id, al.whole(al.units(text)) if text else Fragment(border=True)))
-                    row += 1
+                al.rest()
+                units = [al.units(text) if text else [] for text in part.column(1).to_pylist()]
+                numbers, end = al.entries([u for own in units for u in own]), 0
+                for doc_id, own in zip(part.column(0).to_pylist(), units, strict=True):
+                    made.append((row, doc_id, al.summary(numbers[end : end + len(own)])))
+                    row, end = row + 1, end + len(own)
                 yield _aligned_batch(made, keep_groups)
 
     cut_schema = pa.schema([*_ROW, *((c, pa.int64()) for c in ("k", "lo", "hi", "base")), ("units", pa.list_(pa.string()))])
