@@ -69,6 +69,12 @@ def map_batches(df: DataFrame, f: Callable[[dict], dict | None], schema: str, ty
     return df.mapInArrow(run, schema)
 
 
+def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Apply f to batches of whole rows that it only selects from; columns may have any name (in batches they are c0, c1, ...)."""
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return plain.mapInArrow(f, plain.schema).toDF(*df.columns)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Take the cluster's shared folder from spark.checkpoint.dir; only a local session may do without one."""
     context = spark.sparkContext

@@ -173,15 +173,15 @@ def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> Da
     known = learnable(labels)
     ids = known.select("doc_id").distinct()
     labelled = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    model = fit(with_statistics(labelled), known)
+    model, text = fit(with_statistics(labelled), known), docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            texts = batch.column(text).to_pylist()
             scores = model.score(np.array([statistics(x) for x in texts]).reshape(-1, len(NAMES)))
             yield batch.filter(pa.array(scores >= least))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return common.map_rows(docs, keep)
 
 
 QUERIES = {"op10_quality": op10_quality}

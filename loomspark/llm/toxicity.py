@@ -206,16 +206,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_documents(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFrame:
     """The rows of docs, unchanged, whose toxicity is below `most`."""
-    chain = fit(docs, labels)
+    chain, text = fit(docs, labels), docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, common.STEP_ROWS):
                 part = batch.slice(at, common.STEP_ROWS)
-                p = chain.probabilities(part.column(part.schema.get_field_index("text")).to_pylist())
+                p = chain.probabilities(part.column(text).to_pylist())
                 yield part.filter(pa.array(p[:, -1] < most))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return common.map_rows(docs, keep)
 
 
 QUERIES = {"op6_toxicity": op6_toxicity}

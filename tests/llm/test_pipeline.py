@@ -1,6 +1,7 @@
 import corpus_pipeline
 import pytest
 from cases import frame, odd_documents
+from pyspark.sql import functions as F
 
 from loomspark.llm import jaccard_join, mixing, packing, quality, toxicity
 
@@ -74,3 +75,16 @@ def test_stages_take_odd_rows(spark, small):
     ids = packing.Ids(packing.default_vocabulary())
     want = sum(len(ids.of(r.text)) // 4 + 1 for r in docs.collect())
     assert sum(r.length for r in corpus_pipeline.packed(spark, docs, small).collect()) == want
+
+
+def test_stages_keep_columns_of_any_name(spark, small):
+    """Columns named like those that stages use themselves come through unchanged."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    names = ["domain", "tokens", "epoch", "take_tokens", "_document", "a.b", "component_id", "first", "n"]
+    wide = docs.select("*", *[(F.col("doc_id") * 10 + k).alias(c) for k, c in enumerate(names)])
+    wide = wide.union(wide.filter("doc_id < 5")).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, wide, small)
+        assert made.columns == wide.columns, name
+        rows = made.collect()
+        assert rows and all(r[c] == r["doc_id"] * 10 + k for r in rows for k, c in enumerate(names)), name
