@@ -30,26 +30,30 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id are documents by their text; they count as ids above 2**62, so that rows with an id stay before them.
     """
     by_text = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    own = docs.withColumn("_document", F.coalesce(F.col("doc_id").cast("long"), by_text))
-    found = jaccard_join.jaccard_components(own.select(F.col("_document").alias("doc_id"), "text"))
+    name = "_document"
+    while name in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    own = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), by_text))
+    found = jaccard_join.jaccard_components(own.select(F.col(name).alias("doc_id"), "text"))
     found = common.checkpoint(found.groupBy("doc_id", "component_id").agg(F.count("*").alias("n")))
     ids = common.checkpoint(found.groupBy("doc_id").agg(F.min("component_id").alias("src"), F.max("component_id").alias("last"), F.sum("n").alias("n")))
     labels = common.components(found.join(ids.filter("src <> last").drop("n"), "doc_id").select("src", F.col("component_id").alias("dst")))
     grouped = ids.join(labels, ids["src"] == labels["id"], "left").select("doc_id", "n", F.coalesce("component", "src").alias("component"))
     heads = grouped.groupBy("component").agg(F.min("doc_id").alias("head"))
-    gone = common.checkpoint(grouped.join(heads, "component").filter("doc_id <> head").select(F.col("doc_id").alias("_document")))
-    many = common.checkpoint(ids.filter("n > 1").select(F.col("doc_id").alias("_document")).join(gone, "_document", "left_anti"))
+    gone = common.checkpoint(grouped.join(heads, "component").filter("doc_id <> head").select(F.col("doc_id").alias(name)))
+    many = common.checkpoint(ids.filter("n > 1").select(F.col("doc_id").alias(name)).join(gone, name, "left_anti"))
     small = lambda x, n: F.broadcast(x) if n <= jaccard_join.BROADCAST_IDS else x
-    kept, n_many = own.join(small(gone, gone.count()), "_document", "left_anti"), many.count()
-    once = kept.join(small(many, n_many), "_document", "left_anti").select(docs.columns)
+    kept, n_many = own.join(small(gone, gone.count()), name, "left_anti"), many.count()
+    once = kept.join(small(many, n_many), name, "left_anti").select(columns)
     if not n_many:
         return once
-    first = F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), "text")).alias("row")
-    return once.union(kept.join(small(many, n_many), "_document", "left_semi").groupBy("_document").agg(first).select("row.*"))
+    first = F.min_by(F.struct(*columns), F.struct(F.col("text").isNull(), "text")).alias("row")
+    return once.union(kept.join(small(many, n_many), name, "left_semi").groupBy(name).agg(first).select("row.*"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, budget_share=MIX_SHARE, epochs=1).select(docs.columns)
+    return mixing.mix(docs, budget_share=MIX_SHARE, epochs=1).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
