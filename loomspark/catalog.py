@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import facts, graphs, reconciliation, retrieval, signals, tables, validation
+from loomspark.plans import facts, graphs, reconciliation, resolution, retrieval, signals, tables, validation
 
-_MODULES = (retrieval, signals, facts, graphs, reconciliation, tables, validation)
+_MODULES = (retrieval, signals, facts, graphs, reconciliation, tables, validation, resolution)
 
 
 def queries() -> dict:

@@ -1,4 +1,4 @@
-"""Canonical code relations, field checks, assertions of tables, symbol edges, and the bookkeeping of builds."""
+"""Canonical code relations, field checks, assertions of tables, and the bookkeeping of builds."""
 
 from __future__ import annotations
 
@@ -105,30 +105,6 @@ def assertions(tables: DataFrame) -> DataFrame:
     return made.filter("object is not null")
 
 
-def symbol_edges(symbols: DataFrame, calls: DataFrame) -> DataFrame:
-    """(src, dst, edge_type, confidence, resolution_method) from symbols (fqn, rel_path, name, kind, base) and calls (src, name).
-
-    A class extends its base and a call of a class instantiates it, at 1.0 where the name is unique; a call goes to the symbol of
-    its own file (0.85), else to the only one of the name (0.95), else to every one of the name at the
-    confidence of an ambiguous name, as many as there are.
-    """
-    named = symbols.select(F.col("fqn").alias("dst"), F.col("rel_path").alias("dst_file"), "name", "kind")
-    counts = named.groupBy("name").agg(F.count("*").alias("n"))
-    targets = named.join(counts, "name")
-    sure = lambda df: F.when(F.col("n") == 1, 1.0).otherwise(F.greatest(F.lit(0.15), 0.6 / F.col("n")))
-    extends = symbols.filter("kind = 'class' and base is not null").select(F.col("fqn").alias("src"), F.col("base").alias("name")).join(targets.filter("kind = 'class'"), "name").filter("src <> dst")
-    extends = extends.select("src", "dst", F.lit("extends").alias("edge_type"), sure(extends).alias("confidence"), F.lit("inheritance").alias("resolution_method"))
-    homes = symbols.select(F.col("fqn").alias("src"), F.col("rel_path").alias("src_file"))
-    tried = calls.join(homes, "src").join(targets, "name").filter("src <> dst")
-    local = F.col("src_file") == F.col("dst_file")
-    tried = tried.withColumn("local", F.max(local.cast("int")).over(W.partitionBy("src", "name"))).filter((F.col("local") == 0) | local)
-    method = F.when(F.col("local") == 1, "same_file_scope").when(F.col("n") == 1, "import_path_match").otherwise("name_heuristic_ambiguous")
-    confidence = F.when(F.col("local") == 1, 0.85).when(F.col("n") == 1, 0.95).otherwise(F.greatest(F.lit(0.15), 0.6 / F.col("n")))
-    found = tried.select("src", "dst", "kind", F.lit("calls").alias("edge_type"), confidence.alias("confidence"), method.alias("resolution_method"))
-    makes = found.filter("kind = 'class'").select("src", "dst", F.lit("instantiates").alias("edge_type"), F.lit(1.0).alias("confidence"), F.lit("constructor_type_trace").alias("resolution_method"))
-    return extends.unionByName(found.drop("kind")).unionByName(makes).distinct()
-
-
 def implementors(symbols: DataFrame) -> DataFrame:
     """(interface, fqn): the classes that name an interface of the symbols as their base."""
     faces = symbols.filter("kind = 'interface'").select(F.col("name").alias("interface")).distinct()

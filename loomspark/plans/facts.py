@@ -209,17 +209,6 @@ def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.concat(path, F.lit("::"), name, F.lit("#"), F.col("p_partkey")).alias("fqn"), path.alias("rel_path"), name.alias("name"), kind.alias("kind"), base.alias("base"), F.col("p_partkey").alias("line"), F.col("p_brand").alias("parent_name"))
 
 
-def symbol_edge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls, instantiations and inheritance between parts as symbols; a line item calls the part of its order's number."""
-    s = _symbols(spark, sf_dir)
-    n = s.count()
-    names = s.select(F.col("line").alias("k"), "name")
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("line"), (F.col("l_orderkey") % n).alias("k")).distinct()
-    calls = lines.join(s.select("line", F.col("fqn").alias("src")), "line").join(names, "k").select("src", "name").distinct()
-    found = relations.symbol_edges(s, calls)
-    return found.groupBy("src", "edge_type", "resolution_method").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 6).alias("confidence"), F.min("dst").alias("first"))
-
-
 def interface_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes that name an interface as their base."""
     return relations.implementors(_symbols(spark, sf_dir))
@@ -399,7 +388,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         path_facts, file_contents, name_facts, risk_summaries, affected_communities, impact_scores, exported_edges, resolution_classes, code_relations, relation_status, field_checks, table_assertions, document_edges, document_nodes, dataset_aliases, linked_view, not_assessed,
-        symbol_edge_rows, interface_classes, symbol_index, capped_symbols, fact_occurrences, copybook_resolution, program_resolution, relative_imports, call_owners, annotation_links, legacy_edges, changed_documents, term_decisions, builds_needed, cluster_overview, snapshot_listing, soft_diversity, previous_snapshots, exported_symbols,
+        interface_classes, symbol_index, capped_symbols, fact_occurrences, copybook_resolution, program_resolution, relative_imports, call_owners, annotation_links, legacy_edges, changed_documents, term_decisions, builds_needed, cluster_overview, snapshot_listing, soft_diversity, previous_snapshots, exported_symbols,
         file_counts, report_sets, evidence_payloads, stored_evidence, absorbed_communities, community_lookup, community_totals,
     )
 }
@@ -470,12 +459,6 @@ SELECT user_id % 5 AS cluster_id, 'dataset/' || user_id AS id, 'dataset' AS node
     "dataset_aliases": "SELECT 'U' || user_id AS alias, arg_max(event_type || '.' || event_id, event_id) AS dsn FROM events GROUP BY user_id",
     "linked_view": f"WITH {_LINKED} SELECT v.key, node_type, in_doc, in_code, verdict, coalesce(links, 0) AS links FROM v LEFT JOIN i ON i.key = v.key",
     "not_assessed": f"WITH {_LINKED} SELECT node_type, verdict, count(*) AS n FROM v GROUP BY ALL",
-    "symbol_edge_rows": f"""WITH {_SYMBOLS}, nn AS (SELECT count(*) AS n FROM sy), cl AS (SELECT DISTINCT s.fqn AS src, s.rel_path AS sf, t.name FROM lineitem, nn JOIN sy s ON s.line = l_partkey JOIN sy t ON t.line = l_orderkey % n),
-ct AS (SELECT name, count(*) AS n FROM sy GROUP BY name), tr AS (SELECT cl.src, d.fqn AS dst, d.kind, ct.n, cl.name, cl.sf = d.rel_path AS lo FROM cl JOIN sy d ON d.name = cl.name JOIN ct ON ct.name = cl.name WHERE d.fqn <> cl.src), tl AS (SELECT *, bool_or(lo) OVER (PARTITION BY src, name) AS al FROM tr),
-f AS (SELECT src, dst, kind, CASE WHEN al THEN 'same_file_scope' WHEN n = 1 THEN 'import_path_match' ELSE 'name_heuristic_ambiguous' END AS m, CASE WHEN al THEN 0.85::DOUBLE WHEN n = 1 THEN 0.95::DOUBLE ELSE greatest(0.15::DOUBLE, 0.6::DOUBLE / n) END AS c FROM tl WHERE NOT al OR lo),
-e AS (SELECT DISTINCT src, dst, 'calls' AS edge_type, c, m FROM f UNION ALL SELECT DISTINCT src, dst, 'instantiates', 1.0, 'constructor_type_trace' FROM f WHERE kind = 'class'
-  UNION ALL SELECT DISTINCT a.fqn, d.fqn, 'extends', CASE WHEN ct.n = 1 THEN 1.0::DOUBLE ELSE greatest(0.15::DOUBLE, 0.6::DOUBLE / ct.n) END, 'inheritance' FROM sy a JOIN sy d ON d.name = a.base AND d.kind = 'class' JOIN ct ON ct.name = a.base WHERE a.kind = 'class' AND a.fqn <> d.fqn)
-SELECT src, edge_type, m AS resolution_method, count(*) AS n, round(sum(c), 6) AS confidence, min(dst) AS first FROM e GROUP BY ALL""",
     "interface_classes": f"WITH {_SYMBOLS} SELECT base AS interface, fqn FROM sy WHERE kind = 'class' AND base IN (SELECT name FROM sy WHERE kind = 'interface')",
     "symbol_index": f"WITH {_SYMBOLS}, k AS (SELECT rel_path || '::' || parent_name || '.' || name AS fqn, unnest([lower(name), lower(parent_name || '.' || name), lower(rel_path || '::' || parent_name || '.' || name)]) AS key FROM sy) SELECT key, count(*) AS n, min(fqn) AS first FROM k GROUP BY key",
     "capped_symbols": "WITH d AS (SELECT DISTINCT l_suppkey, l_partkey, l_returnflag, l_linenumber FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS i FROM d) SELECT l_suppkey AS rel_path, count(*) AS n, max(l_linenumber) AS last FROM r WHERE i <= 2000 GROUP BY 1",
