@@ -75,27 +75,69 @@ def value_mismatch(bd: DataFrame, dd: DataFrame) -> DataFrame:
     return joined.filter("value <> 0 and dd_value <> 0 and value <> dd_value").select(F.lit("value").alias("mismatch_type"), F.lit("warning").alias("severity"), "subject", "object", "value", "dd_value")
 
 
+#: What is compared between designs, each kind with its own.
+RELATIONS = ["accesses", "calls", "copies", "runs", "binds_dd"]
+
+
 def relationship(bd: DataFrame, dd: DataFrame, runs: DataFrame) -> DataFrame:
-    """Access modes of the basic design against the detailed one's, by dataset tail and subject.
+    """(id, dd_id, subject, object, mismatch_type, severity): what the basic design says of two things and the detailed one does not, or otherwise.
 
-    A subject agrees when it is the same, the program of that step (runs: step, program), or part of the name.  A
-    write against definitive reads is an error; anything ambiguous or absent is unverified.
+    Claims (id, predicate, subject, object, mode; dd: definitive) meet claims of the same predicate whose object has the same last part,
+    if the subject is the same, or one is a program and the other a step that runs it (runs: step, program) or has its name in
+    its own.  Without any such claim it is unverified (info); reading against writing is an error where the detailed
+    mode is definitive, else unverified.
     """
     tail = lambda c: F.element_at(F.split(c, "/"), -1)
-    b = bd.filter("predicate = 'accesses'").select("id", F.col("subject").alias("bs"), tail(F.col("object")).alias("tail"), F.col("mode").alias("bd_mode"))
-    d = dd.filter("predicate = 'accesses'").select(F.col("subject").alias("ds"), tail(F.col("object")).alias("tail"), F.col("mode").alias("dd_mode"), "definitive").join(runs.select(F.col("step").alias("ds"), "program"), "ds", "left")
-    near = (F.col("bs") == F.col("ds")) | (F.col("bs") == F.col("program")) | F.contains(F.col("ds"), tail(F.col("bs"))) | F.contains(F.col("bs"), tail(F.col("ds")))
-    joined = b.join(d.withColumnRenamed("tail", "dt"), (F.col("tail") == F.col("dt")) & near, "left")
-    per = joined.groupBy("id", "bs", "tail", "bd_mode").agg(F.count("ds").alias("n"), F.coalesce(F.bool_or(F.col("dd_mode") == F.col("bd_mode")), F.lit(False)).alias("agrees"), F.coalesce(F.bool_and("definitive"), F.lit(False)).alias("sure"))
-    severity = F.when((F.col("n") > 0) & F.col("agrees"), None).when((F.col("n") > 0) & F.col("sure"), "error").otherwise("info")
-    return per.withColumn("severity", severity).filter("severity is not null").select("id", F.col("bs").alias("subject"), F.col("tail").alias("object"), F.when(F.col("severity") == "error", "relationship").otherwise("unverified").alias("mismatch_type"), "severity")
-
-
-def broken_citations(citations: DataFrame, headings: DataFrame) -> DataFrame:
-    """Citations (id, doc_id, ref) whose document or heading (doc_id, section_id, title) does not exist."""
-    key = F.lower(F.trim(F.regexp_replace("ref", "^§", "")))
-    hit = (F.col("c.doc_id") == F.col("h.doc_id")) & ((F.lower("h.section_id") == F.col("key")) | F.startswith(F.lower("h.title"), F.col("key")))
-    return citations.withColumn("key", key).alias("c").join(headings.alias("h"), hit, "left_anti").select("id", "doc_id", "ref", F.lit("broken_citation").alias("mismatch_type"), F.lit("error").alias("severity"))
+    b = bd.filter(F.col("predicate").isin(RELATIONS) & F.col("object").isNotNull()).select("id", "predicate", "subject", "object", F.col("mode").alias("bd_mode"), tail(F.col("object")).alias("_tail"))
+    d = dd.filter(F.col("predicate").isin(RELATIONS) & F.col("object").isNotNull()).select(F.col("id").alias("dd_id"), "predicate", F.col("subject").alias("_ds"), F.col("mode").alias("dd_mode"), "definitive", tail(F.col("object")).alias("_tail"))
+    on, kept = ["predicate", "_tail"], ["id", "dd_id", "bd_mode", "dd_mode", "definitive"]
+    does = runs.select(F.col("step").alias("_step"), F.col("program").alias("_program")).distinct()
+    program, step = lambda c: F.startswith(c, F.lit("program/")), lambda c: F.startswith(c, F.lit("step/"))
+    same = b.join(d.withColumnRenamed("_ds", "subject"), [*on, "subject"]).select(kept)
+    runs_it = b.filter(program(F.col("subject"))).withColumn("_program", F.col("subject")).join(d.filter(step(F.col("_ds"))).join(does, F.col("_ds") == F.col("_step")), [*on, "_program"]).select(kept)
+    run_by = b.filter(step(F.col("subject"))).join(does, F.col("subject") == F.col("_step")).join(d.filter(program(F.col("_ds"))).withColumn("_program", F.col("_ds")), [*on, "_program"]).select(kept)
+    mixed = b.join(d, on).filter((program(F.col("subject")) & step(F.col("_ds")) & F.contains(F.upper("_ds"), tail(F.col("subject")))) | (step(F.col("subject")) & program(F.col("_ds")) & F.contains(F.upper("subject"), tail(F.col("_ds"))))).select(kept)
+    met = same.union(runs_it).union(run_by).union(mixed).distinct()
+    alone = b.join(met.select("id").distinct(), "id", "left_anti").select("id", F.lit(None).cast(dict(dd.dtypes)["id"]).alias("dd_id"), F.lit("unverified").alias("mismatch_type"), F.lit("info").alias("severity"))
+    against = met.filter("bd_mode <> dd_mode and bd_mode in ('read', 'write') and dd_mode in ('read', 'write')")
+    sure = F.coalesce("definitive", F.lit(False))
+    against = against.select("id", "dd_id", F.when(sure, "relationship").otherwise("unverified").alias("mismatch_type"), F.when(sure, "error").otherwise("info").alias("severity"))
+    return alone.union(against).join(b.select("id", "subject", "object"), "id").select("id", "dd_id", "subject", "object", "mismatch_type", "severity")
+
+
+# The parts of a DCB clause that are compared.
+DCB_PARTS = ["LRECL", "BLKSIZE", "RECFM"]
+
+
+def canonical_dcb(clause: Column) -> Column:
+    """A DCB clause as JSON of its parts by name, numbers without leading zeros; null without any part."""
+    bare = F.upper(F.regexp_replace(clause, r"\s*\([^)]*\)", ""))
+    keys = F.regexp_extract_all(bare, F.lit(rf"\b({'|'.join(DCB_PARTS)})=([A-Z0-9]+)\b"), 1)
+    values = F.regexp_extract_all(bare, F.lit(rf"\b({'|'.join(DCB_PARTS)})=([A-Z0-9]+)\b"), 2)
+    plain = F.transform(values, lambda v: F.when(F.rlike(v, F.lit("^[0-9]+$")), F.regexp_replace(v, "^0+(?=[0-9])", "")).otherwise(v))
+    last = lambda k: F.element_at(F.filter(F.arrays_zip(keys.alias("k"), plain.alias("v")), lambda x: x["k"] == k), -1)["v"]
+    found = [F.when(F.array_contains(keys, k), last(F.lit(k))).alias(k.lower()) for k in sorted(DCB_PARTS)]
+    return F.when(F.size(keys) > 0, F.to_json(F.struct(*found)))
+
+
+def value_checks(bd: DataFrame, dd: DataFrame) -> DataFrame:
+    """(id, subject, object, what, value, dd_value): where both designs give a picture, a width relation or a DCB of one thing and differ.
+
+    Claims (id, predicate, subject, object, value, qualifiers: map); of the detailed design's claims of one thing the last by id counts.
+    Clauses are compared by their parts, whatever their order.
+    """
+    def of(df: DataFrame) -> DataFrame:
+        value = (
+            F.when(F.col("predicate") == "field_pic", F.trim("value")).when(F.col("predicate") == "field_width_relation", F.trim(F.col("qualifiers")["relation"]))
+            .when(F.col("predicate") == "binds_dd", canonical_dcb(F.col("qualifiers")["dcb"]))
+        )
+        other = F.when(F.col("predicate") == "field_width_relation", F.coalesce("object", F.lit(""))).otherwise("")
+        return df.select("id", "predicate", "subject", "object", other.alias("_other"), F.nullif(value, F.lit("")).alias("_value")).filter("_value is not null")
+
+    keys = ["predicate", "subject", "_other"]
+    last = of(dd).groupBy(*keys).agg(F.max_by("_value", "id").alias("dd_value"))
+    what = F.when(F.col("predicate") == "field_width_relation", "field_width").when(F.col("predicate") == "binds_dd", "dcb").otherwise("field_pic")
+    return of(bd).join(last, keys).filter("_value <> dd_value").select("id", "subject", "object", what.alias("what"), F.col("_value").alias("value"), "dd_value")
 
 
 def resolve_unique(refs: DataFrame, index: DataFrame, ok: str, ambiguous: str, missing: str, where: str) -> DataFrame:

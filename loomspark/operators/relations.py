@@ -1,4 +1,4 @@
-"""Canonical code relations, field checks, assertions of tables, and the bookkeeping of builds."""
+"""Canonical code relations, field checks, and the bookkeeping of builds."""
 
 from __future__ import annotations
 
@@ -8,17 +8,6 @@ from pyspark.sql import Window as W
 
 # Beginnings of copybook names that a system delivers.
 SYSTEM_COPYBOOKS = ["CMQ", "DFH", "IGZ", "CEE", "DSN", "ELX"]
-# What a design document's table claims, by parts of its headers; the first that fits decides.
-TABLES = [
-    ("dd_cobol", ["called program"], [], "calls", "called program"),
-    ("dd_cobol", ["copy member"], [], "copies", "copy member"),
-    ("dd_cobol", ["field", "pic"], [], "field_pic", "field"),
-    ("dd_jcl", ["step", "program"], ["ddname"], "runs", "step"),
-    ("dd_jcl", ["ddname"], [], "binds_dd", "ddname"),
-    ("bd", ["process"], [], "accesses", "process"),
-    ("bd", ["actor"], [], "references", "actor"),
-    ("bd", ["dependency"], [], "depends", "dependency"),
-]
 
 
 def _after(key: Column, kind: str) -> Column:
@@ -81,30 +70,6 @@ def once(mismatches: DataFrame, fingerprint: Column, order: str = "id") -> DataF
     return mismatches.withColumn("fingerprint", fingerprint).withColumn("_r", F.row_number().over(own)).filter("_r = 1").drop("_r")
 
 
-def assertions(tables: DataFrame) -> DataFrame:
-    """(doc_id, line, predicate, subject, object, value) that the rows of documents' tables claim.
-
-    tables (doc_id, doc_kind, artifact, line, headers: array, cells: array), one row for each table row.  Which claim a
-    table makes is told by its kind of document and parts of its headers (TABLES); the object is the cell under the
-    claim's header, the value the next cell.
-    """
-    heads = F.transform("headers", lambda h: F.lower(h))
-    has = lambda part: F.exists(heads, lambda h: F.contains(h, F.lit(part)))
-    fits = []
-    for n, (kind, some, none, predicate, column) in enumerate(TABLES):
-        holds = F.col("doc_kind") == kind
-        for part in some:
-            holds &= has(part)
-        for part in none:
-            holds &= ~has(part)
-        fits.append(F.when(holds, F.struct(F.lit(n).alias("n"), F.lit(predicate).alias("predicate"), F.lit(column).alias("column"))))
-    claimed = tables.withColumn("claim", F.coalesce(*fits)).filter("claim is not null")
-    at = F.array_position(F.transform(heads, lambda h: F.contains(h, F.col("claim.column"))), True).cast("int")
-    cell = lambda k: F.nullif(F.trim(F.try_element_at("cells", k)), F.lit(""))
-    made = claimed.select("doc_id", "line", "claim.predicate", F.col("artifact").alias("subject"), cell(at).alias("object"), cell(at + 1).alias("value"))
-    return made.filter("object is not null")
-
-
 def implementors(symbols: DataFrame) -> DataFrame:
     """(interface, fqn): the classes that name an interface of the symbols as their base."""
     faces = symbols.filter("kind = 'interface'").select(F.col("name").alias("interface")).distinct()

@@ -151,17 +151,6 @@ def field_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.once(twice, reconcile.fingerprint(F.col("mismatch_type"), F.col("subject"), F.col("value"), F.col("dd_value"))).select("id", "subject", "value", "dd_value", "fingerprint")
 
 
-def table_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as rows of design documents' tables, and what they claim."""
-    lines = read(spark, sf_dir, "lineitem")
-    heads = [["Called Program", "Sites"], ["No", "COPY member", "Use"], ["Field name", "PIC clause"], ["Step", "Program"], ["Step", "DDName", "Program"], ["Process", "Input"], ["Actor", "Role"], ["Dependency", "Resolution"], ["Other", "Thing"]]
-    kinds = F.element_at(F.array(*[F.array(*map(F.lit, h)) for h in heads]), (F.col("l_partkey") % len(heads) + 1).cast("int"))
-    doc_kind = _at(["dd_cobol", "dd_jcl", "bd"], F.col("l_suppkey"))
-    cells = F.array(F.concat(F.lit(" A"), F.col("l_partkey"), F.lit(" ")), F.when(F.col("l_linenumber") % 4 == 0, "").otherwise(F.concat(F.lit("B"), F.col("l_suppkey"))), F.col("l_linenumber").cast("string"))
-    tables = lines.select(F.col("l_orderkey").alias("doc_id"), doc_kind.alias("doc_kind"), F.concat(F.lit("ART"), F.col("l_orderkey")).alias("artifact"), F.col("l_linenumber").alias("line"), kinds.alias("headers"), cells.alias("cells"))
-    return relations.assertions(tables)
-
-
 def document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of a document graph from line items: detailed design decides count and confidence."""
     lines = read(spark, sf_dir, "lineitem")
@@ -387,7 +376,7 @@ def community_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        path_facts, file_contents, name_facts, risk_summaries, affected_communities, impact_scores, exported_edges, resolution_classes, code_relations, relation_status, field_checks, table_assertions, document_edges, document_nodes, dataset_aliases, linked_view, not_assessed,
+        path_facts, file_contents, name_facts, risk_summaries, affected_communities, impact_scores, exported_edges, resolution_classes, code_relations, relation_status, field_checks, document_edges, document_nodes, dataset_aliases, linked_view, not_assessed,
         interface_classes, symbol_index, capped_symbols, fact_occurrences, copybook_resolution, program_resolution, relative_imports, call_owners, annotation_links, legacy_edges, changed_documents, term_decisions, builds_needed, cluster_overview, snapshot_listing, soft_diversity, previous_snapshots, exported_symbols,
         file_counts, report_sets, evidence_payloads, stored_evidence, absorbed_communities, community_lookup, community_totals,
     )
@@ -452,7 +441,6 @@ WHEN method = 'copybook_not_found' THEN 'not_in_snapshot' WHEN d = '__unresolved
     "code_relations": f"WITH {_FACTS} SELECT predicate, subject, object, count(*) AS n, min(occurrence) AS first, CAST(sum(line) AS BIGINT) AS lines FROM rl GROUP BY predicate, subject, object",
     "relation_status": "SELECT o_orderkey AS cluster_id, CASE WHEN c_custkey IS NULL THEN 'UNBOUND' WHEN o_orderstatus <> CASE WHEN c_nationkey % 2 = 0 THEN 'F' ELSE 'O' END THEN 'STALE_INPUT' ELSE 'OK' END AS status FROM orders LEFT JOIN customer ON c_custkey = o_custkey + o_orderkey % 2 * 1000000",
     "field_checks": "WITH l AS (SELECT l_partkey AS part, l_orderkey * 10 + l_linenumber AS id, max('X(' || CAST(l_quantity AS INTEGER) || ')') AS v FROM lineitem GROUP BY ALL), d AS (SELECT part, arg_max(v, id) AS dd_value FROM l GROUP BY part) SELECT p_partkey AS id, CAST(p_partkey AS VARCHAR) AS subject, 'X(' || p_size || ')' AS value, dd_value, sha256('value:' || p_partkey || ':X(' || p_size || '):' || dd_value) AS fingerprint FROM part JOIN d ON part = p_partkey WHERE 'X(' || p_size || ')' <> dd_value",
-    "table_assertions": "WITH x AS (SELECT *, " + _CYCLE(["dd_cobol", "dd_jcl", "bd"], "l_suppkey") + " AS k, l_partkey % 9 AS h, 'A' || l_partkey AS c1, CASE WHEN l_linenumber % 4 <> 0 THEN 'B' || l_suppkey END AS c2, CAST(l_linenumber AS VARCHAR) AS c3 FROM lineitem) " + " UNION ALL ".join(f"SELECT l_orderkey AS doc_id, l_linenumber AS line, '{p}' AS predicate, 'ART' || l_orderkey AS subject, c{c} AS object, c{c + 1} AS value FROM x WHERE k = '{k}' AND h = {h} AND c{c} IS NOT NULL" for k, h, p, c in _TABLE),
     "document_edges": "SELECT l_suppkey AS subject, l_partkey % 50 AS object, CASE WHEN bool_or(l_returnflag = 'R') THEN 'authoritative' ELSE arg_min(CASE WHEN l_tax > 0.03 THEN 'corroborating' ELSE 'unverified' END, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey) END AS confidence, CAST(count(*) AS INTEGER) AS n FROM lineitem GROUP BY 1, 2",
     "document_nodes": """WITH a AS (SELECT user_id, event_type, arg_max(CAST(value AS VARCHAR), event_id) AS v, min(event_id) AS o FROM events GROUP BY ALL)
 SELECT user_id % 5 AS cluster_id, 'dataset/' || user_id AS id, 'dataset' AS node_type, (SELECT arg_min(event_type || '-' || event_id, event_id) FROM events e WHERE e.user_id = a.user_id) AS display_name, string_agg(event_type || '=' || v, ',' ORDER BY event_type) AS attributes, string_agg(event_type, ',' ORDER BY o) AS documents FROM a GROUP BY user_id""",

@@ -11,23 +11,6 @@ from loomspark.sources.tables import read
 from loomspark.streaming import incremental
 
 
-def relationship_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claimed access modes of orders' parts against the shipped lines: errors where all are definitive, else unverified."""
-    lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
-    bd = orders.select(F.col("o_orderkey").alias("id"), F.lit("accesses").alias("predicate"), F.concat(F.lit("customer/"), "o_custkey").alias("subject"), F.concat(F.lit("order/"), "o_orderkey").alias("object"), F.when(F.col("o_orderstatus") == "F", "write").otherwise("read").alias("mode"))
-    dd = lines.select(F.lit("accesses").alias("predicate"), F.concat(F.lit("step/o"), "l_orderkey").alias("subject"), F.concat(F.lit("order/"), "l_orderkey").alias("object"), F.when(F.col("l_returnflag") == "R", "write").otherwise("read").alias("mode"), (F.col("l_linestatus") == "F").alias("definitive"))
-    runs = orders.select(F.concat(F.lit("step/o"), "o_orderkey").alias("step"), F.concat(F.lit("customer/"), "o_custkey").alias("program")).distinct()
-    return reconcile.relationship(bd, dd, runs)
-
-
-def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events cite a section (their type) of a document (their user); a user's sections are the types seen in the first half of the values."""
-    events = read(spark, sf_dir, "events")
-    cites = events.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("doc_id"), F.concat(F.lit("§"), F.substring("event_type", 1, 3)).alias("ref"))
-    heads = events.filter("value < 5").select(F.col("user_id").cast("string").alias("doc_id"), F.lit("0").alias("section_id"), F.col("event_type").alias("title")).distinct()
-    return reconcile.broken_citations(cites, heads).select("id", "doc_id", "ref", "severity")
-
-
 def name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' nations found among customers by key, else by name."""
     part = read(spark, sf_dir, "part")
@@ -36,12 +19,6 @@ def name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.name_fallback(nodes, code)
 
 
-def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mismatches of the relationship check by severity, kinds without any as 0."""
-    found = relationship_check(spark, sf_dir)
-    return found.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("error", "warning", "info")])
-
-
 def customer_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of 100 customers by name, ignoring case in the filter."""
     rows = search.containing(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_mktsegment", "build")
@@ -74,18 +51,7 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.sessions(read(spark, sf_dir, "events"), "12 hours")
 
 
-_REL = """
-b AS (SELECT o_orderkey AS id, 'customer/' || o_custkey AS bs, CAST(o_orderkey AS VARCHAR) AS tail, CASE WHEN o_orderstatus = 'F' THEN 'write' ELSE 'read' END AS bd_mode FROM orders),
-d AS (SELECT 'step/o' || l_orderkey AS ds, CAST(l_orderkey AS VARCHAR) AS dt, CASE WHEN l_returnflag = 'R' THEN 'write' ELSE 'read' END AS dd_mode, l_linestatus = 'F' AS definitive FROM lineitem),
-r AS (SELECT DISTINCT 'step/o' || o_orderkey AS step, 'customer/' || o_custkey AS program FROM orders),
-j AS (SELECT b.*, e.ds, e.dd_mode, e.definitive FROM b LEFT JOIN (SELECT d.*, r.program FROM d LEFT JOIN r ON d.ds = r.step) e ON b.tail = e.dt AND (b.bs = e.ds OR b.bs = e.program OR contains(e.ds, split_part(b.bs, '/', 2)) OR contains(b.bs, split_part(e.ds, '/', 2)))),
-p AS (SELECT id, bs, tail, bd_mode, count(ds) AS n, coalesce(bool_or(dd_mode = bd_mode), false) AS agrees, coalesce(bool_and(definitive), false) AS sure FROM j GROUP BY ALL),
-m AS (SELECT id, bs AS subject, tail AS object, CASE WHEN n > 0 AND sure THEN 'relationship' ELSE 'unverified' END AS mismatch_type, CASE WHEN n > 0 AND sure THEN 'error' ELSE 'info' END AS severity FROM p WHERE NOT (n > 0 AND agrees))
-"""
 ORACLES = {
-    "relationship_check": f"WITH {_REL} SELECT * FROM m",
-    "severity_counts": f"WITH {_REL} SELECT count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info FROM m",
-    "citation_check": "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS doc_id, '§' || substr(event_type, 1, 3) AS ref, 'error' AS severity FROM events e WHERE NOT EXISTS (SELECT 1 FROM events h WHERE h.value < 5 AND h.user_id = e.user_id AND starts_with(lower(h.event_type), lower(substr(e.event_type, 1, 3))))",
     "name_fallback": "WITH n AS (SELECT DISTINCT p_brand || '/' || p_name AS key, p_name AS name FROM part), c AS (SELECT p_brand || '/' || p_name AS key, upper(p_name) AS u, 'f' || p_partkey AS path FROM part WHERE p_size > 45), x AS (SELECT key, min(path) AS xp FROM c GROUP BY key), y AS (SELECT u, min(path) AS yp, count(DISTINCT path) AS k FROM c GROUP BY u) SELECT n.key, n.name, coalesce(xp, yp) AS path, CASE WHEN xp IS NOT NULL THEN 'exact' WHEN yp IS NOT NULL THEN 'name' ELSE 'none' END AS how, xp IS NULL AND coalesce(k, 0) > 1 AS ambiguous FROM n LEFT JOIN x ON n.key = x.key LEFT JOIN y ON upper(n.name) = y.u",
     "customer_page": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment ILIKE '%build%' ORDER BY c_name, c_custkey LIMIT 100 OFFSET 100",
     "language_breakdown": "SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, round(sum(n_chars) / sum(sum(n_chars)) OVER (PARTITION BY lang), 6) AS share FROM documents GROUP BY lang, source",
@@ -94,4 +60,4 @@ ORACLES = {
     "user_sessions": "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a) SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM b GROUP BY user_id, k",
 }
 
-QUERIES = {f.__name__: f for f in (relationship_check, citation_check, name_fallback, severity_counts, customer_page, language_breakdown, copied_edges, hourly_events, user_sessions)}
+QUERIES = {f.__name__: f for f in (name_fallback, customer_page, language_breakdown, copied_edges, hourly_events, user_sessions)}

@@ -117,14 +117,48 @@ def test_relation_verdicts(spark):
     }
 
 
-def test_relationship_and_citations(spark):
-    bd = spark.createDataFrame([(1, "accesses", "step/J.S1", "dataset/A", "write"), (2, "accesses", "program/P", "dataset/B", "read"), (3, "accesses", "step/J.S9", "dataset/C", "read"), (4, "accesses", "step/J.S1", "dataset/D", "write")], "id int, predicate string, subject string, object string, mode string")
-    dd = spark.createDataFrame([("accesses", "step/J.S1", "dataset/A", "read", True), ("accesses", "step/J.S2", "dataset/B", "read", True), ("accesses", "step/J.S1", "dataset/D", "read", False)], "predicate string, subject string, object string, mode string, definitive boolean")
-    runs = spark.createDataFrame([("step/J.S2", "program/P")], "step string, program string")
-    assert {(r.id, r.mismatch_type, r.severity) for r in reconcile.relationship(bd, dd, runs).collect()} == {(1, "relationship", "error"), (3, "unverified", "info"), (4, "unverified", "info")}
-    cites = spark.createDataFrame([(1, "d", "§4.2"), (2, "d", "§9.3"), (3, "x", "§4.2"), (4, "d", "§input")], "id int, doc_id string, ref string")
-    heads = spark.createDataFrame([("d", "4.2", "Input files")], "doc_id string, section_id string, title string")
-    assert {r.id for r in reconcile.broken_citations(cites, heads).collect()} == {2, 3}
+def test_relationship(spark):
+    """Like with like: predicates apart, programs with the steps that run them or bear their name, ambiguous modes are no error."""
+    bd = spark.createDataFrame(
+        [
+            (1, "accesses", "step/J.S1", "dataset/A", "write"), (2, "accesses", "program/P", "dataset/B", "read"), (3, "accesses", "step/J.S9", "dataset/C", "read"), (4, "accesses", "step/J.S1", "dataset/D", "write"), (5, "calls", "step/J.S1", "dataset/A", "write"),
+            (6, "calls", "program/P", "program/Q", None), (7, "accesses", "program/NAM", "dataset/E", "write"), (8, "runs", "job/J", None, None), (9, "references", "job/J", "doc/X", None), (10, "accesses", "step/J.S2", "dataset/F", "read"), (11, "accesses", "job/NAM", "dataset/E", "write"),
+        ],
+        "id int, predicate string, subject string, object string, mode string",
+    )
+    dd = spark.createDataFrame(
+        [
+            (1, "accesses", "step/J.S1", "dataset/A", "read", True), (2, "accesses", "step/J.S2", "dataset/B", "write", True), (3, "accesses", "step/J.S1", "dd/x/D", "read", False), (4, "calls", "program/P", "program/Q", None, None),
+            (5, "accesses", "step/J.nam1", "dataset/E", "read", True), (6, "accesses", "program/P", "dataset/F", "read", True),
+        ],
+        "id int, predicate string, subject string, object string, mode string, definitive boolean",
+    )
+    runs = spark.createDataFrame([("step/J.S2", "program/P"), ("step/J.S2", "program/P")], "step string, program string")
+    got = {(r.id, r.dd_id, r.mismatch_type, r.severity) for r in reconcile.relationship(bd, dd, runs).collect()}
+    assert got == {
+        (1, 1, "relationship", "error"), (2, 2, "relationship", "error"), (3, None, "unverified", "info"), (4, 3, "unverified", "info"), (5, None, "unverified", "info"), (7, 5, "relationship", "error"), (11, None, "unverified", "info"),
+    }
+
+
+def test_values_of_three_kinds(spark):
+    """Pictures, width relations and DCB clauses; the same parts in another order are the same."""
+    schema = "id int, predicate string, subject string, object string, value string, qualifiers map<string,string>"
+    bd = spark.createDataFrame(
+        [
+            (1, "field_pic", "field/A", None, " X(2)", {}), (2, "field_pic", "field/B", None, "X(2)", {}), (3, "field_width_relation", "field/A", "field/B", "v", {"relation": "equal"}), (4, "field_width_relation", "field/A", "field/C", "v", {"relation": "equal"}),
+            (5, "binds_dd", "step/S", "dd/D", None, {"dcb": "RECFM=FB, LRECL=080 (L4)"}), (6, "binds_dd", "step/T", "dd/D", None, {"dcb": "LRECL=81"}), (7, "binds_dd", "step/U", "dd/D", None, {"dcb": "DSORG=PS"}), (8, "field_pic", "field/Z", None, "X", {}),
+        ],
+        schema,
+    )
+    dd = spark.createDataFrame(
+        [
+            (1, "field_pic", "field/A", None, "X(9)", {}), (2, "field_pic", "field/A", None, "X(2)", {}), (3, "field_pic", "field/B", None, "X(3)", {}), (4, "field_width_relation", "field/A", "field/B", "v", {"relation": "narrower_than"}), (5, "field_width_relation", "field/A", "field/C", "v", {}),
+            (6, "binds_dd", "step/S", "dd/E", None, {"dcb": "lrecl=80,recfm=fb"}), (7, "binds_dd", "step/T", "dd/E", None, {"dcb": "LRECL=80"}), (8, "binds_dd", "step/U", "dd/E", None, {"dcb": "LRECL=80"}),
+        ],
+        schema,
+    )
+    got = {(r.id, r.what, r.value, r.dd_value) for r in reconcile.value_checks(bd, dd).collect()}
+    assert got == {(2, "field_pic", "X(2)", "X(3)"), (3, "field_width", "equal", "narrower_than"), (6, "dcb", '{"lrecl":"81"}', '{"lrecl":"80"}')}
 
 
 def test_resolution_rules(spark):

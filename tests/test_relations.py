@@ -60,12 +60,6 @@ def test_code_relations_stay_inside_the_scope(spark):
     ]
 
 
-def test_first_fitting_table_decides(spark):
-    table = [(1, "dd_jcl", "J", 3, ["Step", "Program"], ["S1", "P1"]), (1, "dd_jcl", "J", 4, ["Step", "DDName", "Program"], ["S1", "IN", "P1"]), (1, "bd", "B", 5, ["Stage", "Process"], ["1", " "]), (1, "bd", "B", 6, ["Called program"], ["P"]), (1, "dd_cobol", "C", 7, ["Called program"], ["P"])]
-    df = spark.createDataFrame(table, "doc_id int, doc_kind string, artifact string, line int, headers array<string>, cells array<string>")
-    assert rows(relations.assertions(df), "line", "predicate", "object", "value") == [(3, "runs", "S1", "P1"), (4, "binds_dd", "IN", "P1"), (7, "calls", "P", None)]
-
-
 def test_floor_falls_back_to_the_best_five(spark):
     df = spark.createDataFrame([(1, i, float(i)) for i in range(9)] + [(2, 1, 10.0), (2, 2, 9.9)], "query_id int, chunk_id int, score double")
     assert rows(signals.above_floor(df), "query_id", "chunk_id") == [(1, 4), (1, 5), (1, 6), (1, 7), (1, 8), (2, 1)]
