@@ -34,19 +34,22 @@ class Index:
 
 
 def write_index(chunks: DataFrame, folder: str) -> Index:
-    """Tokenise chunks (chunk_id, rel_path, content, chunk_type, ...) and write the index below folder.
+    """Tokenise chunks (chunk_id, rel_path, content, chunk_type, ...) once and write the index below folder.
 
-    Chunks are dealt once, by chunk_id, and postings lie with their chunk: a common term is spread over all files, and a batch of
-    queries, which between them ask for most common terms, has its sums for a chunk added up before any shuffle.
+    Words are dealt by chunk_id, so that postings lie with their chunk: a common term is spread over all files, and a batch of
+    queries, which between them ask for most common terms, has its sums for a chunk added up before any shuffle.  Inside a file postings are
+    in order of their terms, so that a query of few terms skips the pages that hold none of them.  Lengths are sums of the counts.
     """
     spark = chunks.sparkSession
-    sized = chunks.withColumn("dl", F.size(T.tokens(F.col("content")))).withColumn("weight", type_weight(F.col("chunk_type")))
-    sized.write.parquet(f"{folder}/chunks")
-    words = spark.read.parquet(f"{folder}/chunks").select("chunk_id", "dl", "weight", T.tokens(F.col("content")).alias("_w")).repartition("chunk_id")
-    rows = words.select("chunk_id", "dl", "weight", F.explode("_w").alias("term"))
-    counted = rows.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("weight").alias("weight"))
-    counted.write.parquet(f"{folder}/postings")
-    stored, posted = spark.read.parquet(f"{folder}/chunks"), spark.read.parquet(f"{folder}/postings")
+    weighted = chunks.withColumn("weight", type_weight(F.col("chunk_type")))
+    words = weighted.select("chunk_id", "weight", T.tokens(F.col("content")).alias("_w")).repartition("chunk_id").select("chunk_id", "weight", F.explode("_w").alias("term"))
+    counted = words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("weight").alias("weight"))
+    counted = counted.withColumn("dl", F.sum("tf").over(W.partitionBy("chunk_id")).cast("int"))
+    counted.select("chunk_id", "term", "tf", "dl", "weight").sortWithinPartitions("term").write.parquet(f"{folder}/postings")
+    posted = spark.read.parquet(f"{folder}/postings")
+    lengths = posted.groupBy("chunk_id").agg(F.first("dl").alias("dl"))
+    weighted.join(lengths, "chunk_id", "left").fillna(0, ["dl"]).select(*chunks.columns, "dl", "weight").write.parquet(f"{folder}/chunks")
+    stored = spark.read.parquet(f"{folder}/chunks")
     stored.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{folder}/corpus")
     corpus = spark.read.parquet(f"{folder}/corpus")
     term_stats(posted, corpus).write.parquet(f"{folder}/stats")
@@ -66,8 +69,8 @@ def tf_part(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B)
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
 
 
-#: Query terms up to this count are broadcast to the postings (some MB).
-BROADCAST_TERMS = 500_000
+#: Query terms up to this count are broadcast to the postings (some MB); so few are handed to the scan as a filter.
+BROADCAST_TERMS, PUSHED_TERMS = 500_000, 10
 
 
 def small(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
@@ -76,6 +79,12 @@ def small(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= most else stored
 
 
+def postings_of(index: Index, wanted: DataFrame) -> DataFrame:
+    """The postings; if the wanted terms (term) are very few, only those pages of theirs that the scan cannot skip."""
+    few = [r[0] for r in wanted.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    return index.postings if len(few) > PUSHED_TERMS else index.postings.filter(F.col("term").isin(few))
+
+
 def path_hits(paths: DataFrame, wanted: DataFrame) -> DataFrame:
     """(query_id, rel_path, term, idf) for terms inside a path: the path's substrings of the terms' lengths are looked up."""
     lengths = [r[0] for r in wanted.select(F.char_length("term")).distinct().collect()]  # as many as words have lengths
@@ -92,7 +101,7 @@ def scores(index: Index, queries: DataFrame, weighted: bool = True) -> DataFrame
     """
     weight = F.col("weight") if weighted else F.lit(1.0)
     wanted = small(queries.distinct().join(index.stats.select("term", "idf"), "term"))
-    content = index.postings.join(wanted, "term").join(F.broadcast(index.corpus.select("avgdl")))
+    content = postings_of(index, wanted).join(wanted, "term").join(F.broadcast(index.corpus.select("avgdl")))
     content = content.select("query_id", "chunk_id", (weight * F.col("idf") * tf_part(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("part"), F.lit(1).alias("held"))
     bonus = small(path_hits(index.chunks.select("rel_path").distinct(), wanted).groupBy("query_id", "rel_path").agg(F.sum("idf").alias("idf")))
     extra = index.chunks.select("chunk_id", "rel_path", "weight").join(bonus, "rel_path").select("query_id", "chunk_id", (weight * F.col("idf")).alias("part"), F.lit(0).alias("held"))
@@ -110,3 +119,44 @@ def cut_off(scored: DataFrame, absolute: float, relative: float, by: str = "bm25
     """Scores of at least the larger of an absolute floor and a share of the query's best."""
     best = F.max(by).over(W.partitionBy("query_id"))
     return scored.withColumn("_best", best).filter(F.col(by) >= F.greatest(F.lit(absolute), relative * F.col("_best"))).drop("_best")
+
+
+@dataclass(frozen=True)
+class Statistics:
+    """Term statistics that changes are merged into: every term's df (also of single chunks), and one row of n, total length, last batch."""
+
+    terms: DataFrame  # term, df
+    corpus: DataFrame  # n, total, batch
+
+
+def _counted(chunks: DataFrame, sign: int) -> tuple[DataFrame, DataFrame]:
+    words = chunks.select(T.tokens(F.col("content")).alias("_w"))
+    terms = words.select(F.explode(F.array_distinct("_w")).alias("term")).groupBy("term").agg((sign * F.count("*")).alias("df"))
+    return terms, words.agg((sign * F.count("*")).alias("n"), (sign * F.coalesce(F.sum(F.size("_w")), F.lit(0))).alias("total"))
+
+
+def full_statistics(chunks: DataFrame, batch: int = 0) -> Statistics:
+    """Statistics of all chunks (content), as they stand behind a batch."""
+    terms, corpus = _counted(chunks, 1)
+    return Statistics(checkpoint(terms), checkpoint(corpus.withColumn("batch", F.lit(batch).cast("long"))))
+
+
+def changed_statistics(stats: Statistics, gone: DataFrame, come: DataFrame, batch: int) -> Statistics:
+    """Statistics behind a batch of changes: the chunks (content) that are no more, or as they were, and those that are new, or as they are.
+
+    Only the changed chunks are read.  Batches are numbered upwards; one that is merged already changes nothing, so that a
+    repeated batch is harmless.
+    """
+    if stats.corpus.first()["batch"] >= batch:
+        return stats
+    (minus, less), (plus, more) = _counted(gone, -1), _counted(come, 1)
+    delta = minus.union(plus).groupBy("term").agg(F.sum("df").alias("_d")).filter("_d <> 0")
+    merged = stats.terms.join(delta, "term", "full_outer").select("term", (F.coalesce("df", F.lit(0)) + F.coalesce("_d", F.lit(0))).alias("df")).filter("df > 0")
+    sums = stats.corpus.select("n", "total").union(less).union(more).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return Statistics(checkpoint(merged), checkpoint(sums.withColumn("batch", F.lit(batch).cast("long"))))
+
+
+def weights(stats: Statistics) -> DataFrame:
+    """(term, df, idf) of the terms of at least two chunks, as an index has them."""
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    return stats.terms.filter("df >= 2").join(F.broadcast(stats.corpus.select("n"))).select("term", "df", idf.alias("idf"))

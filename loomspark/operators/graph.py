@@ -34,25 +34,50 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).filter("src <> dst").distinct()
 
 
-def hops(edges: DataFrame, seeds: DataFrame, most: int, include_seeds: bool = True) -> DataFrame:
-    """(seed, node, hop): the least number of edges from each seed to each node within `most`, along src to dst."""
+def hops(edges: DataFrame, seeds: DataFrame, most: int, include_seeds: bool = True, quota: int | None = None) -> DataFrame:
+    """(seed, node, hop): the least number of edges from each seed to each node within `most`, along src to dst.
+
+    With a quota a seed gets so many nodes (itself included), nearest first, ties by name: a hop adds no more than are
+    missing, and a seed that has them all goes no further.
+    """
     steps = checkpoint(edges.select("src", "dst").distinct())
     seen = checkpoint(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hop")).distinct())
     frontier = seen
     for hop in range(1, most + 1):
         reached = frontier.join(steps, frontier["node"] == steps["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = checkpoint(reached.join(seen, ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        reached = reached.join(seen, ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop))
+        if quota is not None:
+            missing = seen.groupBy("seed").agg((quota - F.count("*")).alias("_missing")).filter("_missing > 0")
+            own = W.partitionBy("seed").orderBy("node")
+            # the rank's own bound lets each task keep a quota's worth before the shuffle
+            ranked = reached.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= quota)
+            reached = ranked.join(missing, "seed").filter("_r <= _missing").drop("_r", "_missing")
+        frontier = checkpoint(reached)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if quota is not None and hop < most:
+            full = seen.groupBy("seed").count().filter(F.col("count") >= quota)
+            frontier = frontier.join(full, "seed", "left_anti")
     return seen if include_seeds else seen.filter("hop > 0")
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, most: int, limit: int = 300) -> DataFrame:
     """(seed, node, hop): undirected, at most `limit` nodes of each seed, nearest first, ties by name."""
-    found = hops(undirected(edges), seeds, max(1, min(4, most)))
-    own = W.partitionBy("seed").orderBy("hop", "node")
-    return found.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= limit).drop("_r")
+    return hops(undirected(edges), seeds, max(1, min(4, most)), quota=limit)
+
+
+def neighbourhood_edges(edges: DataFrame, nodes: DataFrame, most: int, limit: int = 300) -> DataFrame:
+    """(seed, src, dst, ...): of each seed's nodes (seed, node, hop) the edges between two of them of which one was expanded (hop below `most`).
+
+    At most `limit` a seed, repeated edges kept: those nearest to the seed first, then by name.
+    """
+    near = checkpoint(nodes.select("seed", "node", "hop"))
+    left = edges.join(near.select("seed", F.col("node").alias("src"), F.col("hop").alias("_a")), "src")
+    both = left.join(near.select("seed", F.col("node").alias("dst"), F.col("hop").alias("_b")), ["seed", "dst"]).filter(F.least("_a", "_b") < most)
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    own = W.partitionBy("seed").orderBy(F.least("_a", "_b"), F.greatest("_a", "_b"), "src", "dst", *rest)
+    return both.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= limit).select("seed", "src", "dst", *rest)
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -61,10 +86,9 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 def impact_cone(edges: DataFrame, seeds: DataFrame, most: int, limit: int = 500) -> DataFrame:
     """(seed, node, hop): nodes around each seed in either direction; hop counts only steps against the edges (else null)."""
-    around = hops(undirected(edges), seeds, max(1, min(4, most))).withColumnRenamed("hop", "ring")
-    back = hops(reverse(edges), seeds, max(1, min(4, most)))
-    own = W.partitionBy("seed").orderBy("ring", "node")
-    kept = around.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= limit).select("seed", "node")
+    once = checkpoint(edges.select("src", "dst").distinct())
+    kept = hops(undirected(once), seeds, max(1, min(4, most)), quota=limit).select("seed", "node")
+    back = hops(reverse(once), seeds, max(1, min(4, most)))
     return kept.join(back, ["seed", "node"], "left")
 
 

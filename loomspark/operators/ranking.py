@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomspark.functions import text as T
+from loomspark.operators.ranges import contained
 from loomspark.sources.tables import checkpoint
 
 RRF_K = 61
-CAPPED_SUM, CENTRAL_BOOST = 2.0, 1.5
 
 
 def best_chunk_per_file(chunks: DataFrame, scored: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     """(query_id, rel_path, chunk_id): the file's best-scored chunk, else one that a symbol lies in, else its first."""
     inside = None
     if symbols is not None:
-        within = (F.col("s.rel_path") == F.col("c.rel_path")) & (F.col("s.line_start") >= F.col("c.start_line")) & (F.col("s.line_end") <= F.col("c.end_line"))
-        inside = chunks.alias("c").filter("start_line <> 0 or end_line <> 0").join(symbols.alias("s"), within, "left_semi").select("chunk_id").withColumn("has_symbol", F.lit(1))
+        placed = chunks.filter("start_line <> 0 or end_line <> 0").select("rel_path", "chunk_id", "start_line", "end_line")
+        found = contained(placed, symbols.select("rel_path", "line_start", "line_end"), ["rel_path"], ("start_line", "end_line"), ("line_start", "line_end"))
+        inside = found.select("chunk_id").distinct().withColumn("has_symbol", F.lit(1))
     # only files that the query reached at all
     files = scored.join(chunks.select("chunk_id", "rel_path"), "chunk_id").select("query_id", F.col("rel_path")).distinct() if "rel_path" not in scored.columns else scored.select("query_id", "rel_path").distinct()
     rows = files.join(chunks.select("rel_path", "chunk_id", "chunk_index"), "rel_path")
@@ -34,13 +35,6 @@ def ranked(scored: DataFrame, by: str, tie: str, k: int, signal: str) -> DataFra
     return scored.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k).select("query_id", "rel_path", "rank", F.col(by).alias("raw_score"), F.lit(signal).alias("signal"))
 
 
-def capped_confidence(edges: DataFrame, central: DataFrame) -> DataFrame:
-    """(query_id, rel_path, score) from (query_id, rel_path, confidence): the sum up to 2, half as much again for central files."""
-    total = edges.groupBy("query_id", "rel_path").agg(F.sum("confidence").alias("s"))
-    flagged = total.join(central.select("rel_path").distinct().withColumn("central", F.lit(True)), "rel_path", "left")
-    return flagged.select("query_id", "rel_path", (F.least(F.col("s"), F.lit(CAPPED_SUM)) * F.when(F.col("central"), CENTRAL_BOOST).otherwise(1.0)).alias("score"))
-
-
 def rrf(lists: DataFrame, weights: dict[str, float] | None = None, k: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of (query_id, item, rank, signal): the weighted sum of 1 / (k - 1 + rank), and each signal's rank."""
     weight = F.lit(1.0)
@@ -102,14 +96,31 @@ def cap_per_file(rows: DataFrame, caps: DataFrame, order: list[Column]) -> DataF
     return rows.withColumn("_n", F.row_number().over(own)).join(caps, "rel_path").filter(F.col("_n") <= F.col("cap")).drop("_n", "cap")
 
 
-def diversity(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """The soft relevance-diversity rule: the first five stay, later ones while their penalised score is positive.
+def diversity(rows: DataFrame, order: list[Column], penalty: float = 0.1, tokens: str | None = None) -> DataFrame:
+    """The soft relevance-diversity rule: the first five stay, later ones while their penalised score is positive; up to three stay whole.
 
-    As the penalty is at most a tenth of the score, this keeps every positive score; lists of up to three stay whole.
+    rows (query_id, score, ...) are a query's candidates, some hundred at most.  With `tokens` (a column of token arrays) a later row with
+    score s stays if (1 - penalty) s - penalty m s > 0, where m is its highest Jaccard similarity to the rows kept before
+    it: the decisions are folded over a query's candidates.  Up to a penalty of a half every positive score stays.
     """
     own = W.partitionBy("query_id")
     n = rows.withColumn("_r", F.row_number().over(own.orderBy(*order))).withColumn("_n", F.count("*").over(own))
-    return n.filter("_n <= 3 or _r <= 5 or score > 0").drop("_r", "_n")
+    if tokens is None or penalty <= 0.5:
+        return n.filter("_n <= 3 or _r <= 5 or score > 0").drop("_r", "_n")
+    kept = n.withColumn("_set", F.array_distinct(F.coalesce(tokens, F.array().cast(dict(rows.dtypes)[tokens]))))
+    lists = kept.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("_r", "_n", "score", F.col("_set").alias("tokens")))).alias("_all"))
+    kind = f"struct<kept:array<int>,sets:array<{dict(rows.dtypes)[tokens]}>>"
+    start = F.struct(F.array().cast("array<int>").alias("kept"), F.array().cast(f"array<{dict(rows.dtypes)[tokens]}>").alias("sets")).cast(kind)
+
+    def step(state: Column, x: Column) -> Column:
+        overlap = lambda y: F.coalesce(F.size(F.array_intersect(x["tokens"], y)) / F.nullif(F.size(F.array_union(x["tokens"], y)), F.lit(0)), F.lit(0.0))
+        most = F.coalesce(F.array_max(F.transform(state["sets"], overlap)), F.lit(0.0))
+        stays = (x["_n"] <= 3) | (x["_r"] <= 5) | ((1 - penalty) * x["score"] - penalty * most * x["score"] > 0)
+        grown = F.struct(F.array_append(state["kept"], x["_r"]).alias("kept"), F.array_append(state["sets"], x["tokens"]).alias("sets")).cast(kind)
+        return F.when(stays, grown).otherwise(state)
+
+    chosen = lists.select("query_id", F.explode(F.aggregate("_all", start, step)["kept"]).alias("_r"))
+    return n.join(chosen, ["query_id", "_r"], "left_semi").drop("_r", "_n").select(rows.columns)
 
 
 def path_entropy(rows: DataFrame) -> DataFrame:

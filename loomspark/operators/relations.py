@@ -87,15 +87,17 @@ def resolve_copybooks(refs: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def term_decision(now: DataFrame, before: DataFrame, version: int) -> DataFrame:
-    """One row (chunks, changed, decision): 'full' without earlier chunks, every 50th version or from a tenth changed; 'reuse' if none changed, else 'full'.
+    """One row (chunks, changed, decision): 'full' without earlier chunks, every 50th version or from a tenth changed; 'reuse' if none changed, else 'delta'.
+
+    Both 'full' and 'delta' give the statistics of all chunks, the latter from what changed (bm25.changed_statistics).
 
     Chunks (rel_path, chunk_index, content_hash) of this and the earlier snapshot.
     """
     keys = ["rel_path", "chunk_index"]
     joined = now.withColumnRenamed("content_hash", "h").join(before.withColumnRenamed("content_hash", "g"), keys, "full_outer")
     counts = joined.agg(F.count("h").alias("chunks"), F.count("g").alias("earlier"), F.count_if(~F.col("h").eqNullSafe(F.col("g"))).alias("changed"))
-    full = (F.col("earlier") == 0) | F.lit(version % 50 == 0) | (F.col("changed") > 0)
-    return counts.select("chunks", "changed", F.when(full, "full").otherwise("reuse").alias("decision"))
+    full = (F.col("earlier") == 0) | F.lit(version % 50 == 0) | ((F.col("changed") > 0) & (F.col("changed") >= 0.1 * F.col("chunks")))
+    return counts.select("chunks", "changed", F.when(full, "full").when(F.col("changed") > 0, "delta").otherwise("reuse").alias("decision"))
 
 
 def needs_build(wanted: DataFrame, built: DataFrame) -> DataFrame:

@@ -8,8 +8,11 @@ from pyspark.sql import Window as W
 
 from loomspark.functions import text as T
 from loomspark.operators.bm25 import type_weight
-from loomspark.operators.ranking import CAPPED_SUM, CENTRAL_BOOST, ranked
+from loomspark.operators.ranges import contained
+from loomspark.operators.ranking import ranked
 
+# The most that confidences add up to, and the factor of central files.
+CAPPED_SUM, CENTRAL_BOOST = 2.0, 1.5
 # Bonuses and factors of the signals.
 CATEGORY_BONUS, MODULE_FACTOR, SEED_FACTOR, DEFINITION_BONUS, CENTRAL_BONUS = 1.4, 1.3, 1.5, 3.0, 2.6
 # The least score of a chunk, and how many stay when none reaches it.
@@ -55,7 +58,8 @@ def defining_chunks(chunks: DataFrame, symbols: DataFrame, queries: DataFrame) -
     chunks (query_id, chunk_id, rel_path, start, end), symbols (rel_path, name, start, end), queries (query_id, term).
     """
     named = symbols.join(queries.select("query_id", F.col("term").alias("name")).distinct(), "name").select("query_id", "rel_path", F.col("start").alias("s"), F.col("end").alias("e")).distinct()
-    return chunks.filter("start > 0").join(named, ["query_id", "rel_path"]).filter("s >= start and e <= end").select("query_id", "chunk_id").distinct()
+    placed = chunks.filter("start > 0").select("query_id", "rel_path", "chunk_id", "start", "end")
+    return contained(placed, named, ["query_id", "rel_path"], ("start", "end"), ("s", "e")).select("query_id", "chunk_id").distinct()
 
 
 def chunk_score(bm25: Column, defines: Column, hinted: Column, seed: Column, module: Column, central: Column, chunk_type: Column) -> Column:
@@ -102,7 +106,8 @@ def function_neighbours(seeds: DataFrame, chunks: DataFrame, symbols: DataFrame,
 
     seeds (query_id, chunk_id); chunks (chunk_id, rel_path, start, end); symbols (fqn, rel_path, start, end); edges (src, dst, confidence).
     """
-    placed = chunks.alias("c").join(symbols.alias("s"), "rel_path").filter("s.start >= c.start and s.end <= c.end").select("chunk_id", "fqn", F.col("s.start").alias("at"))
+    ranges = symbols.select("rel_path", "fqn", F.col("start").alias("at"), F.col("end").alias("to"))
+    placed = contained(chunks.select("rel_path", "chunk_id", "start", "end"), ranges, ["rel_path"], ("start", "end"), ("at", "to")).select("chunk_id", "fqn", "at")
     first = placed.groupBy("chunk_id").agg(F.min(F.struct("at", "fqn")).alias("x")).select("chunk_id", F.col("x.fqn").alias("fqn"))
     calls = edges.filter(F.col("confidence") >= min_confidence).select("src", "dst")
     both = calls.union(calls.select("dst", "src")).toDF("fqn", "other").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from loomspark.functions import paths as P
 from loomspark.functions import text as T
-from loomspark.operators import communities, documents, graph, ranking, reconcile, relations, search
+from loomspark.operators import bm25, communities, documents, graph, ranking, reconcile, relations, search
 from loomspark.plans import graphs, retrieval
 from loomspark.sources.tables import checkpoint, read
 from loomspark.streaming import incremental
@@ -82,7 +82,7 @@ def impact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     cone, labels, degrees = _cone(spark, sf_dir)
     hop = cone.groupBy("node").agg(F.min("hop").alias("hop"))
     top = F.broadcast(graph.central(graphs.file_edges(spark, sf_dir)).select("node", "rank"))  # 30 rows
-    own = F.broadcast(labels.join(graphs.seeds(spark, sf_dir), "node", "left_semi").select("community").distinct().withColumn("seeded", F.lit(True)))  # brands
+    own = bm25.small(labels.join(graphs.seeds(spark, sf_dir), "node", "left_semi").select("community").distinct().withColumn("seeded", F.lit(True)))
     joined = hop.join(top, "node", "left").join(labels, "node").join(own, "community", "left").join(degrees.select("node", "score"), "node")
     score = T.impact_score(F.col("hop"), F.col("rank"), F.coalesce("seeded", F.lit(False)), F.lit(False), F.col("hop") == 1, F.col("score") / 10.0)
     return joined.select("node", "hop", F.round(score, 6).alias("impact"))
@@ -313,6 +313,26 @@ def soft_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.diversity(rows, [F.desc("score"), F.col("event_id")]).groupBy("query_id").agg(F.count("*").alias("kept"), F.max("event_id").alias("last"))
 
 
+def penalised_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user by value, where a penalty of 0.65 removes those too much like one kept before; an event's tokens are its type and digits of its numbers."""
+    e, i = read(spark, sf_dir, "events"), F.col("event_id")
+    tokens = F.array("event_type", F.concat(F.lit("a"), i % 3), F.concat(F.lit("b"), F.floor(i / 3) % 4), F.concat(F.lit("c"), F.floor(i / 12) % 3))
+    rows = e.select(F.col("user_id").alias("query_id"), "event_id", F.col("value").alias("score"), tokens.alias("tokens")).withColumn("_k", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "event_id"))).filter("_k <= 30").drop("_k")
+    kept = ranking.diversity(rows, [F.desc("score"), F.col("event_id")], 0.65, "tokens")
+    return kept.select("query_id", "event_id")
+
+
+def maintained_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Term statistics after three batches of changes to documents, one of which comes twice: some are new, some go, some are changed."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("content"), (F.col("doc_id") % 10).alias("k"))
+    other = d.filter("k = 2").withColumn("content", F.concat_ws(" ", F.lit("changed"), "lang", F.substring("content", 1, 200)))
+    stats = bm25.full_statistics(d.filter("k < 7"))
+    none = d.limit(0)
+    for batch, gone, come in ((1, none, d.filter("k = 7")), (2, d.filter("k = 2"), other), (2, d.filter("k = 2"), other), (3, d.filter("k = 1").union(other.filter("lang = 'en'")), d.filter("k = 8"))):
+        stats = bm25.changed_statistics(stats, gone, come, batch)
+    return bm25.weights(stats).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 def previous_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest order other than the newest of all, as the snapshot before."""
     s = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
@@ -377,7 +397,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         path_facts, file_contents, name_facts, risk_summaries, affected_communities, impact_scores, exported_edges, resolution_classes, code_relations, relation_status, field_checks, document_edges, document_nodes, dataset_aliases, linked_view, not_assessed,
-        interface_classes, symbol_index, capped_symbols, fact_occurrences, copybook_resolution, program_resolution, relative_imports, call_owners, annotation_links, legacy_edges, changed_documents, term_decisions, builds_needed, cluster_overview, snapshot_listing, soft_diversity, previous_snapshots, exported_symbols,
+        interface_classes, symbol_index, capped_symbols, fact_occurrences, copybook_resolution, program_resolution, relative_imports, call_owners, annotation_links, legacy_edges, changed_documents, term_decisions, builds_needed, cluster_overview, snapshot_listing, soft_diversity, penalised_diversity, maintained_statistics, previous_snapshots, exported_symbols,
         file_counts, report_sets, evidence_payloads, stored_evidence, absorbed_communities, community_lookup, community_totals,
     )
 }
@@ -458,10 +478,23 @@ SELECT user_id % 5 AS cluster_id, 'dataset/' || user_id AS id, 'dataset' AS node
     "annotation_links": "WITH e AS (SELECT DISTINCT p_partkey % 20 AS entity_id, upper(split_part(p_name, ' ', CAST(p_partkey % 2 + 1 AS INTEGER))) AS word FROM part), w AS (SELECT p_partkey AS note_id, unnest([upper(split_part(p_name, ' ', 1)), upper(split_part(p_name, ' ', 2)), upper(p_type), 'BRAND', split_part(p_brand, '#', 2)]) AS word FROM part) SELECT DISTINCT note_id, entity_id FROM w JOIN e USING (word) WHERE note_id <> entity_id",
     "legacy_edges": "SELECT l_suppkey AS src_symbol, l_partkey AS dst_symbol, l_returnflag AS edge_type, round(arg_min(l_discount, (l_orderkey, l_linenumber, l_discount, l_quantity)), 6) AS confidence_score, array_to_string(list_sort(list(DISTINCT l_linenumber)), ',') AS lines FROM lineitem WHERE l_tax > 0 AND l_linestatus <> 'O' GROUP BY 1, 2, 3",
     "changed_documents": "SELECT doc_id AS rel_path, sha256(coalesce(text, '')) AS sha FROM documents WHERE lang NOT IN ('en', 'de') OR source = 'src1'",
-    "term_decisions": "WITH c AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 50 = 0) AS k FROM documents) SELECT n AS chunks, 0 AS changed, 'reuse' AS decision, 'same' AS case FROM c UNION ALL SELECT n, 0, 'full', 'fiftieth' FROM c UNION ALL SELECT n, k, 'full', 'changed' FROM c UNION ALL SELECT n, n, 'full', 'none' FROM c",
+    "term_decisions": "WITH c AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 50 = 0) AS k FROM documents) SELECT n AS chunks, 0 AS changed, 'reuse' AS decision, 'same' AS case FROM c UNION ALL SELECT n, 0, 'full', 'fiftieth' FROM c UNION ALL SELECT n, k, 'delta', 'changed' FROM c UNION ALL SELECT n, n, 'full', 'none' FROM c",
     "builds_needed": "SELECT c_custkey AS id, c_mktsegment = 'BUILDING' OR c_acctbal < 0 OR c_nationkey % 2 <> 1 AS build FROM customer",
     "cluster_overview": "SELECT n_nationkey AS cluster_id, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS documents, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS nodes, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal < 0) AS mismatches FROM nation",
     "soft_diversity": "WITH s AS (SELECT user_id, event_id, greatest(0.0, value - 3) AS score FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM s) SELECT user_id AS query_id, count(*) AS kept, max(event_id) AS last FROM r WHERE n <= 3 OR i <= 5 OR score > 0 GROUP BY 1",
+    "penalised_diversity": """WITH RECURSIVE e AS (
+  SELECT user_id AS q, event_id, value AS s, [event_type, 'a' || (event_id % 3), 'b' || (event_id // 3 % 4), 'c' || (event_id // 12 % 3)] AS t, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events
+), f AS (SELECT *, count(*) OVER (PARTITION BY q) AS n FROM e WHERE r <= 30),
+w AS (
+  SELECT q, CAST(0 AS BIGINT) AS r, CAST([] AS VARCHAR[][]) AS sets, CAST(NULL AS BIGINT) AS event_id FROM (SELECT DISTINCT q FROM f)
+  UNION ALL
+  SELECT q, r, CASE WHEN k THEN list_append(sets, t) ELSE sets END, CASE WHEN k THEN event_id END FROM (
+    SELECT f.*, w.sets, f.n <= 3 OR f.r <= 5 OR (1 - 0.65) * f.s - 0.65 * coalesce(list_max([CAST(len(list_intersect(f.t, y)) AS DOUBLE) / len(list_distinct(list_concat(f.t, y))) FOR y IN w.sets]), 0) * f.s > 0 AS k FROM w JOIN f ON f.q = w.q AND f.r = w.r + 1) AS g
+) SELECT q AS query_id, event_id FROM w WHERE event_id IS NOT NULL""",
+    "maintained_statistics": """WITH d AS (
+  SELECT text AS t FROM documents WHERE doc_id % 10 IN (0, 3, 4, 5, 6, 7, 8) UNION ALL SELECT concat_ws(' ', 'changed', lang, substr(text, 1, 200)) FROM documents WHERE doc_id % 10 = 2 AND lang <> 'en'
+), w AS (SELECT row_number() OVER () AS i, regexp_extract_all(lower(coalesce(t, '')), '[A-Za-z0-9_]+') AS ws FROM d), p AS (SELECT DISTINCT i, unnest(ws) AS term FROM w), g AS (SELECT count(*) AS n FROM w)
+SELECT term, count(*) AS df, round(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM p, g GROUP BY term HAVING count(*) >= 2""",
     "previous_snapshots": "SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1 OFFSET 1",
     "snapshot_listing": f"WITH {_CHUNKS} SELECT rel_path, CAST(chunk_index AS INTEGER) AS chunk_index, count(*) FILTER (regexp_matches(content, '[0-9]{{3}}')) OVER (PARTITION BY source, rel_path ORDER BY chunk_index ROWS UNBOUNDED PRECEDING) AS place, CAST(length(content) AS INTEGER) AS n_chars FROM c",
     "report_sets": f"WITH {_REPORTS}, m AS (SELECT *, CASE WHEN contains(name, 'BD-') THEN 0 WHEN contains(name, 'COBOL') THEN 1 WHEN contains(name, 'JCL') THEN 2 ELSE 3 END AS rank, name || ':' || sha256(coalesce(text, '')) AS part FROM r WHERE name LIKE '%.md') SELECT source AS folder, count(*) FILTER (rank = 0) AS bd, count(*) FILTER (rank IN (1, 2)) AS dd, count(*) FILTER (rank = 0) = 1 AND count(*) FILTER (rank IN (1, 2)) > 0 AS valid, sha256(string_agg(part, chr(10) ORDER BY rank, name, part)) AS fingerprint FROM m GROUP BY source",

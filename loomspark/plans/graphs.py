@@ -59,6 +59,13 @@ def neighbourhood_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbourhood(file_edges(spark, sf_dir), seeds(spark, sf_dir), 2)
 
 
+def neighbourhood_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of each seed's neighbourhood of two hops and 60 parts, 40 at most."""
+    e = symbol_edges(spark, sf_dir)
+    flat = e.select(T.symbol_file(F.col("src")).alias("src"), T.symbol_file(F.col("dst")).alias("dst"), "edge_type", F.round("confidence", 6).alias("confidence"))
+    return graph.neighbourhood_edges(flat, graph.neighbourhood(flat, seeds(spark, sf_dir), 2, 60), 2, 40)
+
+
 def impact_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts within two hops of each seed, with the hop against the edges."""
     return graph.impact_cone(file_edges(spark, sf_dir), seeds(spark, sf_dir), 2)
@@ -165,6 +172,7 @@ ORACLES = {
     "degree_centrality": f"WITH {_E}, d AS (SELECT src AS node, 0 AS i, 1 AS o FROM fe UNION ALL SELECT dst, 1, 0 FROM fe) SELECT node, CAST(sum(i) AS BIGINT) AS indegree, CAST(sum(o) AS BIGINT) AS outdegree, CAST(3 * sum(i) + sum(o) AS BIGINT) AS score FROM d GROUP BY node",
     "central_files": f"WITH {_E}, d AS (SELECT src AS node, 0 AS i, 1 AS o FROM fe UNION ALL SELECT dst, 1, 0 FROM fe), g AS (SELECT node, CAST(sum(i) AS BIGINT) AS indegree, CAST(3 * sum(i) + sum(o) AS BIGINT) AS score FROM d GROUP BY node) SELECT node, CAST(row_number() OVER (ORDER BY score DESC, indegree DESC, node) - 1 AS INTEGER) AS rank, score, indegree FROM g QUALIFY row_number() OVER (ORDER BY score DESC, indegree DESC, node) <= 30",
     "neighbourhood_2hop": f"WITH RECURSIVE {_E}, r AS (SELECT node AS seed, node, 0 AS hop FROM sd UNION SELECT r.seed, un.dst, r.hop + 1 FROM r JOIN un ON r.node = un.src WHERE r.hop < 2), m AS (SELECT seed, node, min(hop) AS hop FROM r GROUP BY ALL) SELECT seed, node, CAST(hop AS INTEGER) AS hop FROM m QUALIFY row_number() OVER (PARTITION BY seed ORDER BY hop, node) <= 300",
+    "neighbourhood_edges": f"WITH RECURSIVE {_E}, r AS (SELECT node AS seed, node, 0 AS hop FROM sd UNION SELECT r.seed, un.dst, r.hop + 1 FROM r JOIN un ON r.node = un.src WHERE r.hop < 2), m0 AS (SELECT seed, node, min(hop) AS hop FROM r GROUP BY ALL), m AS (SELECT * FROM m0 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY hop, node) <= 60), j AS (SELECT a.seed, src, dst, edge_type, confidence, least(a.hop, b.hop) AS x, greatest(a.hop, b.hop) AS y FROM fe JOIN m a ON a.node = src JOIN m b ON b.node = dst AND b.seed = a.seed WHERE least(a.hop, b.hop) < 2) SELECT seed, src, dst, edge_type, confidence FROM j QUALIFY row_number() OVER (PARTITION BY seed ORDER BY x, y, src, dst, edge_type, confidence) <= 40",
     "impact_cone": f"WITH RECURSIVE {_E}, r AS (SELECT node AS seed, node, 0 AS hop FROM sd UNION SELECT r.seed, un.dst, r.hop + 1 FROM r JOIN un ON r.node = un.src WHERE r.hop < 2), m AS (SELECT seed, node, min(hop) AS ring FROM r GROUP BY ALL), b AS (SELECT node AS seed, node, 0 AS hop FROM sd UNION SELECT b.seed, fe.src, b.hop + 1 FROM b JOIN fe ON b.node = fe.dst WHERE b.hop < 2), bm AS (SELECT seed, node, min(hop) AS hop FROM b GROUP BY ALL), k AS (SELECT seed, node FROM m QUALIFY row_number() OVER (PARTITION BY seed ORDER BY ring, node) <= 500) SELECT k.seed, k.node, CAST(bm.hop AS INTEGER) AS hop FROM k LEFT JOIN bm ON k.seed = bm.seed AND k.node = bm.node",
     "reverse_cone": f"WITH RECURSIVE {_E}, b AS (SELECT DISTINCT node AS seed, fe.src AS node, 1 AS hop FROM sd JOIN fe ON sd.node = fe.dst UNION SELECT b.seed, fe.src, b.hop + 1 FROM b JOIN fe ON b.node = fe.dst WHERE b.hop < 3) SELECT seed, node, CAST(min(hop) AS INTEGER) AS hop FROM b GROUP BY ALL",
     "symbol_cone": f"WITH RECURSIVE {_E}, st AS (SELECT DISTINCT dst AS node FROM se WHERE split_part(dst, '::', 1) IN (SELECT node FROM sd)), b AS (SELECT node AS seed, node, 0 AS hop FROM st UNION SELECT b.seed, se.src, b.hop + 1 FROM b JOIN se ON b.node = se.dst AND se.confidence >= 0.92 WHERE b.hop < 4) SELECT seed, node, CAST(min(hop) AS INTEGER) AS hop FROM b GROUP BY ALL",
@@ -176,4 +184,4 @@ ORACLES = {
     "community_edges": f"WITH {_TRADE} SELECT ca AS src_community, cb AS dst_community, count(*) AS n FROM pl WHERE ca <> cb GROUP BY ca, cb",
 }
 
-QUERIES = {f.__name__: f for f in (degree_centrality, central_files, neighbourhood_2hop, impact_cone, reverse_cone, symbol_cone, shortest_paths, callees_callers, call_chain, strong_components, merged_symbol_edges, louvain_communities, community_summaries, community_edges)}
+QUERIES = {f.__name__: f for f in (degree_centrality, central_files, neighbourhood_2hop, neighbourhood_edges, impact_cone, reverse_cone, symbol_cone, shortest_paths, callees_callers, call_chain, strong_components, merged_symbol_edges, louvain_communities, community_summaries, community_edges)}

@@ -85,7 +85,7 @@ def final_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = ranking.rrf(_lists(spark, sf_dir).withColumnRenamed("rel_path", "item")).withColumn("rrf", F.round("rrf", 6))
     first = ranking.ranked(fused.withColumnRenamed("item", "rel_path"), "rrf", "rel_path", 100, "fused")
     i, q = retrieval.index(spark, sf_dir), bm25.small(retrieval.terms(spark, sf_dir).distinct())
-    words = i.postings.join(F.broadcast(q.select("term").distinct()), "term").join(i.chunks.select("chunk_id", "rel_path"), "chunk_id").select("rel_path", "term").distinct()
+    words = i.postings.join(bm25.small(q.select("term").distinct()), "term").join(i.chunks.select("chunk_id", "rel_path"), "chunk_id").select("rel_path", "term").distinct()
     hits = words.join(q, "term").groupBy("query_id", "rel_path").agg(F.count("*").alias("score"))
     second = ranking.ranked(hits, "score", "rel_path", 100, "second")
     both = ranking.rrf(first.unionByName(second).withColumnRenamed("rel_path", "item"), {"fused": 0.6, "second": 0.4}).withColumn("rrf", F.round("rrf", 6))

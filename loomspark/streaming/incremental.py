@@ -29,11 +29,6 @@ def changed_files(now: DataFrame, cache: DataFrame) -> DataFrame:
     return now.join(known, "rel_path", "left").filter(~F.col("sha").eqNullSafe(F.col("old"))).drop("old")
 
 
-def needs_full_statistics(changed: int, total: int, version: int) -> bool:
-    """Whether term statistics are built anew: none yet, every 50th version, or a tenth of the chunks changed."""
-    return total == 0 or version % 50 == 0 or changed >= 0.1 * total
-
-
 def windowed_counts(events: DataFrame, window: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
     """(window, event_type, n, total): counts by event time, of a stream or a table."""
     span = F.window("ts", window, slide) if slide else F.window("ts", window)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from loomspark.functions import paths as P
 from loomspark.operators import communities, documents, ranking, relations, signals
 from loomspark.sources import tables
-from loomspark.streaming import incremental
 
 
 def rows(df, *columns):
@@ -75,8 +74,6 @@ def test_capped_confidence_and_central_files(spark):
     stage1 = spark.createDataFrame([(1, "a")], "query_id int, rel_path string")
     central = spark.createDataFrame([("b",)], "rel_path string")
     assert rows(signals.graph_confidence(stage1, edges, central), "rel_path", "rank", "raw_score") == [("a", 2, 0.0), ("b", 1, 3.0)]
-    got = ranking.capped_confidence(spark.createDataFrame([(1, "a", 0.5), (1, "a", 0.7), (1, "b", 3.0)], "query_id int, rel_path string, confidence double"), central)
-    assert sorted((r.rel_path, round(r.score, 6)) for r in got.collect()) == [("a", 1.2), ("b", 3.0)]
 
 
 def test_term_decision_compares_with_what_was_before(spark):
@@ -84,7 +81,8 @@ def test_term_decision_compares_with_what_was_before(spark):
     now = chunk(("a", 0, "x"), ("a", 1, "y"))
     decide = lambda before, version=3: relations.term_decision(now, before, version).first().decision
     assert decide(now) == "reuse" and decide(now, 100) == "full" and decide(chunk(("a", 0, "x"))) == "full" and decide(now.limit(0)) == "full"
-    assert incremental.needs_full_statistics(1, 20, 3) is False and incremental.needs_full_statistics(2, 20, 3) is True and incremental.needs_full_statistics(0, 20, 50) is True
+    wide = chunk(*[("a", i, "x") for i in range(20)])
+    assert relations.term_decision(wide, wide.filter("chunk_index > 0"), 3).first().decision == "delta" and relations.term_decision(wide, wide.filter("chunk_index > 1"), 3).first().decision == "full"
 
 
 def test_louvain_joins_levels(spark):
