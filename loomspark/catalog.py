@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import claims, facts, graphs, reconciliation, resolution, retrieval, signals, tables, validation
+from loomspark.plans import claims, exports, facts, graphs, reconciliation, resolution, retrieval, signals, tables, validation
 
-_MODULES = (retrieval, signals, facts, graphs, reconciliation, tables, validation, resolution, claims)
+_MODULES = (retrieval, signals, facts, graphs, reconciliation, tables, validation, resolution, claims, exports)
 
 
 def queries() -> dict:

@@ -69,13 +69,28 @@ def detect(weighted: DataFrame, rounds: int = 20, resolution: float = RESOLUTION
 
 
 def absorb(both: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
-    """Communities of fewer than `least` members join the neighbour community with most edges, ties to the smallest name."""
+    """Communities of fewer than `least` members join the neighbour community with most edges, ties to the smallest name.
+
+    They move one after another by name, so that a later one sees where earlier ones went; any neighbour community may win.  As a
+    community's votes depend on its neighbours only, each round moves all small ones whose small neighbours of smaller names have moved:
+    the result is that of one after another, in as many rounds as the longest chain of neighbours with rising names.
+    """
     sizes = labels.groupBy("community").agg(F.count("*").alias("n"))
-    small = sizes.filter(F.col("n") < least).select("community")
-    out = both.join(labels.withColumnsRenamed({"node": "a", "community": "ca"}), "a").join(labels.withColumnsRenamed({"node": "b", "community": "cb"}), "b").filter("ca <> cb")
-    votes = out.join(small, F.col("ca") == F.col("community"), "left_semi").join(sizes.filter(F.col("n") >= least).select("community"), F.col("cb") == F.col("community"), "left_semi").groupBy("ca", "cb").agg(F.sum("weight").alias("w"))
-    to = votes.groupBy("ca").agg(F.max("w").alias("w")).join(votes, ["ca", "w"]).groupBy("ca").agg(F.min("cb").alias("to"))
-    return labels.join(to, F.col("community") == F.col("ca"), "left").select("node", F.coalesce("to", "community").alias("community"))
+    waiting = checkpoint(sizes.filter(F.col("n") < least).select("community"))
+    out = both.filter("a <> b").join(labels.withColumnsRenamed({"node": "a", "community": "ca"}), "a").join(labels.withColumnsRenamed({"node": "b", "community": "cb"}), "b").filter("ca <> cb")
+    # between communities as they were; a community moves as a whole, so that its present name is where it went
+    votes = checkpoint(out.join(waiting.withColumnRenamed("community", "ca"), "ca", "left_semi").groupBy("ca", "cb").agg(F.sum("weight").alias("w")))
+    before = checkpoint(votes.filter("cb < ca").join(waiting.withColumnRenamed("community", "cb"), "cb", "left_semi").select("ca", "cb"))
+    moved = checkpoint(waiting.select(F.col("community").alias("cb"), F.col("community").alias("to")).limit(0))
+    while not waiting.isEmpty():
+        open_ = before.join(waiting.withColumnRenamed("community", "cb"), "cb", "left_semi").select(F.col("ca").alias("community")).distinct()
+        ready = checkpoint(waiting.join(open_, "community", "left_anti"))
+        now = votes.join(ready.withColumnRenamed("community", "ca"), "ca", "left_semi").join(moved, "cb", "left").withColumn("c", F.coalesce("to", "cb")).filter("c <> ca")
+        per = now.groupBy("ca", "c").agg(F.sum("w").alias("w"))
+        best = per.groupBy("ca").agg(F.max("w").alias("w")).join(per, ["ca", "w"]).groupBy("ca").agg(F.min("c").alias("to"))
+        moved = checkpoint(moved.union(best.select("ca", "to")), instead_of=moved)
+        waiting = checkpoint(waiting.join(ready, "community", "left_anti"), instead_of=waiting)
+    return labels.join(moved, F.col("community") == F.col("cb"), "left").select("node", F.coalesce("to", "community").alias("community"))
 
 
 def canonical(labels: DataFrame) -> DataFrame:
@@ -85,7 +100,7 @@ def canonical(labels: DataFrame) -> DataFrame:
 
 
 def summaries(edges: DataFrame, labels: DataFrame, hubs: int = 3) -> DataFrame:
-    """(community, members, internal_edges, hub_nodes, neighbours, modularity): hubs by in-degree inside the community."""
+    """(community, members, internal_edges, hub_nodes, neighbours, neighbour_communities, modularity): hubs by in-degree inside the community."""
     a = labels.withColumnsRenamed({"node": "src", "community": "ca"})
     b = labels.withColumnsRenamed({"node": "dst", "community": "cb"})
     placed = edges.filter("src <> dst").select("src", "dst").join(a, "src").join(b, "dst")
@@ -97,11 +112,12 @@ def summaries(edges: DataFrame, labels: DataFrame, hubs: int = 3) -> DataFrame:
     own = W.partitionBy("community").orderBy(F.desc("hub_score"), "node")
     top = scored.withColumn("r", F.row_number().over(own)).filter(F.col("r") <= hubs).groupBy("community").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "node"))), lambda x: x["node"]).alias("hub_nodes"))
     out = placed.filter("ca <> cb")
-    near = out.select(F.col("ca").alias("community"), F.col("cb").alias("n")).union(out.select("cb", "ca")).distinct().groupBy("community").agg(F.count("*").alias("neighbours"))
+    near = out.select(F.col("ca").alias("community"), F.col("cb").alias("n")).union(out.select("cb", "ca")).distinct().groupBy("community").agg(F.sort_array(F.collect_list("n")).alias("neighbour_communities"))
     members = labels.groupBy("community").agg(F.count("*").alias("members"))
-    joined = members.join(internal, "community", "left").join(degree, "community", "left").join(top, "community").join(near, "community", "left").join(F.broadcast(m)).fillna(0, ["internal_edges", "d", "neighbours"])
+    joined = members.join(internal, "community", "left").join(degree, "community", "left").join(top, "community").join(near, "community", "left").join(F.broadcast(m)).fillna(0, ["internal_edges", "d"])
     term = F.when(F.col("m") > 0, F.col("internal_edges") / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), 2)).otherwise(0.0)
-    return joined.select("community", "members", "internal_edges", "hub_nodes", "neighbours", term.alias("modularity"))
+    near_names = F.coalesce("neighbour_communities", F.array().cast(joined.schema["neighbour_communities"].dataType))
+    return joined.select("community", "members", "internal_edges", "hub_nodes", F.size(near_names).cast("long").alias("neighbours"), near_names.alias("neighbour_communities"), term.alias("modularity"))
 
 
 def between(edges: DataFrame, labels: DataFrame) -> DataFrame:

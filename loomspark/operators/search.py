@@ -86,9 +86,10 @@ def path_tree(files: DataFrame) -> DataFrame:
 
 
 def export_edges(edges: DataFrame, nodes: DataFrame, left_out: str) -> DataFrame:
-    """Edges (src, dst) for an export: neither end matches the pattern `left_out`, and the source is one of the nodes (node)."""
+    """Edges (src, dst, external, ...) for an export: neither end matches the pattern `left_out`, and the source of an internal one is one of the nodes (node)."""
     kept = edges.filter(~F.rlike("src", F.lit(left_out)) & ~F.rlike("dst", F.lit(left_out)))
-    return kept.join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+    known = nodes.select(F.col("node").alias("src")).distinct().withColumn("_known", F.lit(True))
+    return kept.join(known, "src", "left").filter("external or _known").drop("_known")
 
 
 def export_rows(symbols: DataFrame, snapshot: str, columns: list[str]) -> DataFrame:

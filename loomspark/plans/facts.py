@@ -88,17 +88,6 @@ def impact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("node", "hop", F.round(score, 6).alias("impact"))
 
 
-def exported_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The file graph as JSON lines: nodes with their degrees, edges with what became of their target."""
-    files = read(spark, sf_dir, "part").filter("p_size > 5").select(F.concat(F.lit("p"), "p_partkey").alias("node"))
-    e = checkpoint(graphs.file_edges(spark, sf_dir))
-    kept = search.export_edges(e, files, "p1[0-9]*$")
-    edges = kept.groupBy("src", "dst").agg(F.count("*").alias("n"))
-    rows = edges.select(F.lit("edge").alias("record"), F.to_json(F.struct("src", "dst", "n")).alias("json"))
-    nodes = graph.degrees(kept).select(F.lit("node").alias("record"), F.to_json(F.struct("node", "indegree", "outdegree")).alias("json"))
-    return nodes.unionByName(rows)
-
-
 def resolution_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of the targets of edges, for every part and resolution method."""
     part = read(spark, sf_dir, "part")
@@ -377,7 +366,7 @@ def absorbed_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations in small groups, absorbed by the group they trade with most, groups named by their smallest member."""
     edges, _ = graphs._nation_labels(spark, sf_dir)
     both = edges.union(edges.select("dst", "src")).toDF("a", "b").filter("a <> b").groupBy("a", "b").agg(F.count("*").cast("double").alias("weight"))
-    labels = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("node"), F.concat(F.lit("c"), F.col("n_nationkey") % 9).alias("community"))
+    labels = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("node"), F.concat(F.lit("c"), F.col("n_nationkey") % 13).alias("community"))
     return communities.canonical(communities.absorb(checkpoint(both), labels))
 
 
@@ -396,7 +385,7 @@ def community_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        path_facts, file_contents, name_facts, risk_summaries, affected_communities, impact_scores, exported_edges, resolution_classes, code_relations, relation_status, field_checks, document_edges, document_nodes, dataset_aliases, linked_view, not_assessed,
+        path_facts, file_contents, name_facts, risk_summaries, affected_communities, impact_scores, resolution_classes, code_relations, relation_status, field_checks, document_edges, document_nodes, dataset_aliases, linked_view, not_assessed,
         interface_classes, symbol_index, capped_symbols, fact_occurrences, copybook_resolution, program_resolution, relative_imports, call_owners, annotation_links, legacy_edges, changed_documents, term_decisions, builds_needed, cluster_overview, snapshot_listing, soft_diversity, penalised_diversity, maintained_statistics, previous_snapshots, exported_symbols,
         file_counts, report_sets, evidence_payloads, stored_evidence, absorbed_communities, community_lookup, community_totals,
     )
@@ -452,9 +441,6 @@ CAST(CASE WHEN p_size < 25 THEN 1800 WHEN p_size > 40 THEN 1500 ELSE 1300 END AS
     "affected_communities": f"WITH RECURSIVE {_CONE}, x AS (SELECT cn.seed, lb.community, cn.node, coalesce(dg.score, 0) AS score, row_number() OVER (PARTITION BY cn.seed, lb.community ORDER BY coalesce(dg.score, 0) DESC, cn.node) AS r FROM cn JOIN lb USING (node) LEFT JOIN dg USING (node)) SELECT seed, community, count(*) AS n, string_agg(node, ',' ORDER BY r) FILTER (r <= 5) AS hubs FROM x GROUP BY ALL",
     "impact_scores": f"""WITH RECURSIVE {_CONE}, h AS (SELECT node, min(hop) AS hop FROM cn GROUP BY node), c AS (SELECT node, row_number() OVER (ORDER BY score DESC, i DESC, node) - 1 AS rank FROM dg QUALIFY row_number() OVER (ORDER BY score DESC, i DESC, node) <= 30)
 SELECT h.node, CAST(hop AS INTEGER) AS hop, round(CASE hop WHEN 0 THEN 3.0 WHEN 1 THEN 2.0 WHEN 2 THEN 1.2 END + 0.3 * dg.score / 10.0 + CASE WHEN hop = 1 THEN 2.5 ELSE 0 END + CASE WHEN lb.community IN (SELECT community FROM lb WHERE node IN (SELECT node FROM sd)) THEN 1.0 ELSE 0 END + coalesce(2.0 * pow(0.94, c.rank), 0), 6) AS impact FROM h LEFT JOIN c USING (node) JOIN lb USING (node) JOIN dg USING (node)""",
-    "exported_edges": f"""WITH {graphs._E}, k AS (SELECT src, dst FROM fe WHERE NOT regexp_matches(src, 'p1[0-9]*$') AND NOT regexp_matches(dst, 'p1[0-9]*$') AND src IN (SELECT 'p' || p_partkey FROM part WHERE p_size > 5)),
-d AS (SELECT node, sum(i) AS i, sum(o) AS o FROM (SELECT src AS node, 0 AS i, 1 AS o FROM k UNION ALL SELECT dst, 1, 0 FROM k) GROUP BY node)
-SELECT 'edge' AS record, '{{"src":"' || src || '","dst":"' || dst || '","n":' || count(*) || '}}' AS json FROM k GROUP BY src, dst UNION ALL SELECT 'node', '{{"node":"' || node || '","indegree":' || i || ',"outdegree":' || o || '}}' FROM d""",
     "resolution_classes": f"""WITH p AS (SELECT {_CYCLE(['src/', '__external__/copybook/', '__unresolved__/', '__external__/'], 'p_size')} AS d, {_CYCLE(['DFHAID', 'CEELOC', 'MQOPEN', 'ABEND&X', 'PLAIN'], 'p_partkey')} AS s, {_CYCLE(['import_statement', 'external_utility', 'symbolic_dsn', 'system_copybook', 'copybook_not_found', 'external_runtime'], 'p_partkey // 5')} AS method FROM part)
 SELECT CASE WHEN method = 'external_utility' THEN 'predefined_utility' WHEN method = 'symbolic_dsn' THEN 'unresolved_symbolic' WHEN method = 'system_copybook' OR d = '__external__/copybook/' OR s IN ('DFHAID', 'CEELOC') THEN 'system_copybook' WHEN s = 'MQOPEN' OR method = 'external_runtime' THEN 'external_runtime'
 WHEN method = 'copybook_not_found' THEN 'not_in_snapshot' WHEN d = '__unresolved__/' THEN CASE WHEN s = 'ABEND&X' THEN 'unresolved_symbolic' ELSE 'not_in_snapshot' END WHEN d = '__external__/' THEN 'external_runtime' ELSE 'resolved' END AS class, method, count(*) AS n FROM p GROUP BY ALL""",
@@ -500,8 +486,13 @@ SELECT term, count(*) AS df, round(ln((any_value(n) - count(*) + 0.5) / (count(*
     "report_sets": f"WITH {_REPORTS}, m AS (SELECT *, CASE WHEN contains(name, 'BD-') THEN 0 WHEN contains(name, 'COBOL') THEN 1 WHEN contains(name, 'JCL') THEN 2 ELSE 3 END AS rank, name || ':' || sha256(coalesce(text, '')) AS part FROM r WHERE name LIKE '%.md') SELECT source AS folder, count(*) FILTER (rank = 0) AS bd, count(*) FILTER (rank IN (1, 2)) AS dd, count(*) FILTER (rank = 0) = 1 AND count(*) FILTER (rank IN (1, 2)) > 0 AS valid, sha256(string_agg(part, chr(10) ORDER BY rank, name, part)) AS fingerprint FROM m GROUP BY source",
     "evidence_payloads": "WITH d AS (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS i FROM d) SELECT l_suppkey, CAST(count(*) FILTER (i <= 50) AS INTEGER) AS kept, count(*) FILTER (i > 50) AS truncated, sha256('{\"items\":[' || string_agg(l_orderkey, ',' ORDER BY l_orderkey) FILTER (i <= 50) || '],\"truncated\":' || count(*) FILTER (i > 50) || '}') AS hash FROM r GROUP BY l_suppkey",
     "stored_evidence": "SELECT sha256(concat_ws('|', l_returnflag, l_suppkey, l_partkey % 30, CASE WHEN l_returnflag = 'A' THEN 'bd' ELSE '' END)) AS comparison_id, l_returnflag AS predicate, CASE WHEN l_returnflag = 'A' THEN 'bd' END AS side, count(DISTINCT l_linenumber) AS n, max(l_linenumber) AS last FROM lineitem GROUP BY l_returnflag, l_suppkey, l_partkey % 30",
-    "absorbed_communities": f"""WITH {graphs._TRADE}, l AS (SELECT CAST(n_nationkey AS VARCHAR) AS node, 'c' || n_nationkey % 9 AS c FROM nation), z AS (SELECT c, count(*) AS n FROM l GROUP BY c), b AS (SELECT a.c AS ca, x.c AS cb, count(*) AS w FROM (SELECT src, dst FROM tr UNION ALL SELECT dst, src FROM tr) t JOIN l a ON a.node = src JOIN l x ON x.node = dst WHERE a.c <> x.c GROUP BY ALL),
-v AS (SELECT ca, arg_min(cb, (-w, cb)) AS t FROM b WHERE ca IN (SELECT c FROM z WHERE n < 3) AND cb IN (SELECT c FROM z WHERE n >= 3) GROUP BY ca), m AS (SELECT node, coalesce(t, c) AS c FROM l LEFT JOIN v ON ca = c) SELECT node, min(node) OVER (PARTITION BY c) AS community FROM m""",
+    "absorbed_communities": f"""WITH RECURSIVE {graphs._TRADE}, l AS (SELECT CAST(n_nationkey AS VARCHAR) AS node, 'c' || n_nationkey % 13 AS c FROM nation), z AS (SELECT c, row_number() OVER (ORDER BY c) AS k FROM l GROUP BY c HAVING count(*) < 3),
+b AS (SELECT a.c AS ca, x.c AS cb, count(*) AS w FROM (SELECT src, dst FROM tr UNION ALL SELECT dst, src FROM tr) t JOIN l a ON a.node = src JOIN l x ON x.node = dst WHERE a.c <> x.c GROUP BY ALL),
+r AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(MAP {{}} AS MAP(VARCHAR, VARCHAR)) AS m
+  UNION ALL
+  SELECT z.k, map_concat(r.m, MAP([z.c], [coalesce((SELECT arg_min(e, (-w, e)) FROM (SELECT e, sum(w) AS w FROM (SELECT coalesce(r.m[b.cb], b.cb) AS e, b.w FROM b WHERE b.ca = z.c) WHERE e <> z.c GROUP BY e)), z.c)])) FROM r JOIN z ON z.k = r.k + 1
+), f AS (SELECT node, coalesce((SELECT m FROM r ORDER BY k DESC LIMIT 1)[c], c) AS c FROM l) SELECT node, min(node) OVER (PARTITION BY c) AS community FROM f""",
     "community_lookup": "WITH s AS (" + graphs.ORACLES["community_summaries"] + ") SELECT CAST(n_nationkey AS VARCHAR) AS node, r_name AS community, members, hub_nodes FROM nation JOIN region ON n_regionkey = r_regionkey JOIN s ON s.community = r_name WHERE n_nationkey IN (SELECT c_nationkey FROM customer)",
     "community_totals": f"WITH {graphs._TRADE} SELECT (SELECT count(DISTINCT community) FROM lb) AS communities, (SELECT count(*) FROM (SELECT community FROM lb GROUP BY community HAVING count(*) = 1)) AS singletons, count(*) FILTER (ca = cb) AS internal, count(*) FILTER (ca <> cb) AS external FROM pl",
     "exported_symbols": f"""WITH {_SYMBOLS} SELECT rel_path, CAST(row_number() OVER (PARTITION BY rel_path ORDER BY line) AS INTEGER) AS place, '"snap","' || rel_path || '","' || line || '","' || name || '","' || kind || '","' || parent_name || '"' AS row FROM sy WHERE line % 5 <> 0 AND NOT contains(rel_path, 'test')""",

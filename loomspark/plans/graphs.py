@@ -122,7 +122,7 @@ def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of the part graph: size, hubs and modularity of each."""
     e = file_edges(spark, sf_dir)
     labels = communities.detect(communities.prepared_edges(e), resolution=1.0)
-    return communities.summaries(e, labels).select("community", "members", "internal_edges", F.array_join("hub_nodes", ",").alias("hub_nodes"), "neighbours", F.round("modularity", 6).alias("modularity"))
+    return communities.summaries(e, labels).select("community", "members", "internal_edges", F.array_join("hub_nodes", ",").alias("hub_nodes"), "neighbours", F.array_join("neighbour_communities", ",").alias("neighbour_communities"), F.round("modularity", 6).alias("modularity"))
 
 
 def _nation_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -138,7 +138,7 @@ def _nation_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 def community_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions as communities of the trade between nations."""
     edges, labels = _nation_labels(spark, sf_dir)
-    return communities.summaries(edges, labels).select("community", "members", "internal_edges", F.array_join("hub_nodes", ",").alias("hub_nodes"), "neighbours", F.round("modularity", 6).alias("modularity"))
+    return communities.summaries(edges, labels).select("community", "members", "internal_edges", F.array_join("hub_nodes", ",").alias("hub_nodes"), "neighbours", F.array_join("neighbour_communities", ",").alias("neighbour_communities"), F.round("modularity", 6).alias("modularity"))
 
 
 def community_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +180,7 @@ ORACLES = {
     "callees_callers": f"WITH {_E} SELECT 'outgoing' AS direction, src, dst, edge_type, line, confidence FROM se WHERE confidence >= 0.95 AND split_part(src, '::', 1) IN (SELECT node FROM sd) UNION ALL SELECT 'incoming', src, dst, edge_type, line, confidence FROM se WHERE confidence >= 0.95 AND split_part(dst, '::', 1) IN (SELECT node FROM sd)",
     "strong_components": f"WITH RECURSIVE {_E}, de AS (SELECT DISTINCT src, dst FROM fe WHERE src <> dst), r AS (SELECT src AS a, dst AS b FROM de UNION SELECT r.a, de.dst FROM r JOIN de ON r.b = de.src), k AS (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a), c AS (SELECT a AS node, least(a, min(b)) AS component FROM k GROUP BY a) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c QUALIFY count(*) OVER (PARTITION BY component) > 1",
     "merged_symbol_edges": f"WITH {_E} SELECT src, dst, edge_type, array_to_string(list_sort(list(DISTINCT line)), ',') AS lines, max(confidence) AS confidence FROM se GROUP BY src, dst, edge_type",
-    "community_summaries": f"WITH {_TRADE}, ed AS (SELECT * FROM pl WHERE src <> dst), mm AS (SELECT count(*) AS m FROM ed), i AS (SELECT ca AS community, count(*) AS internal_edges FROM ed WHERE ca = cb GROUP BY ca), dg AS (SELECT community, count(*) AS d FROM (SELECT ca AS community FROM ed UNION ALL SELECT cb FROM ed) GROUP BY community), hs AS (SELECT lb.node, lb.community, count(ed.dst) AS s FROM lb LEFT JOIN ed ON ed.dst = lb.node AND ed.ca = ed.cb GROUP BY ALL), h AS (SELECT community, string_agg(node, ',' ORDER BY r) AS hub_nodes FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY s DESC, node) AS r FROM hs) WHERE r <= 3 GROUP BY community), nb AS (SELECT community, count(*) AS neighbours FROM (SELECT DISTINCT ca AS community, cb AS n FROM ed WHERE ca <> cb UNION SELECT DISTINCT cb, ca FROM ed WHERE ca <> cb) GROUP BY community), mb AS (SELECT community, count(*) AS members FROM lb GROUP BY community) SELECT mb.community, members, coalesce(internal_edges, 0) AS internal_edges, hub_nodes, coalesce(neighbours, 0) AS neighbours, round(coalesce(internal_edges, 0) / m - (coalesce(d, 0) / (2 * m)) ** 2, 6) AS modularity FROM mb JOIN h USING (community) LEFT JOIN i USING (community) LEFT JOIN dg USING (community) LEFT JOIN nb USING (community), mm",
+    "community_summaries": f"WITH {_TRADE}, ed AS (SELECT * FROM pl WHERE src <> dst), mm AS (SELECT count(*) AS m FROM ed), i AS (SELECT ca AS community, count(*) AS internal_edges FROM ed WHERE ca = cb GROUP BY ca), dg AS (SELECT community, count(*) AS d FROM (SELECT ca AS community FROM ed UNION ALL SELECT cb FROM ed) GROUP BY community), hs AS (SELECT lb.node, lb.community, count(ed.dst) AS s FROM lb LEFT JOIN ed ON ed.dst = lb.node AND ed.ca = ed.cb GROUP BY ALL), h AS (SELECT community, string_agg(node, ',' ORDER BY r) AS hub_nodes FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY s DESC, node) AS r FROM hs) WHERE r <= 3 GROUP BY community), nb AS (SELECT community, count(*) AS neighbours, string_agg(n, ',' ORDER BY n) AS neighbour_communities FROM (SELECT DISTINCT ca AS community, cb AS n FROM ed WHERE ca <> cb UNION SELECT DISTINCT cb, ca FROM ed WHERE ca <> cb) GROUP BY community), mb AS (SELECT community, count(*) AS members FROM lb GROUP BY community) SELECT mb.community, members, coalesce(internal_edges, 0) AS internal_edges, hub_nodes, coalesce(neighbours, 0) AS neighbours, coalesce(neighbour_communities, '') AS neighbour_communities, round(coalesce(internal_edges, 0) / m - (coalesce(d, 0) / (2 * m)) ** 2, 6) AS modularity FROM mb JOIN h USING (community) LEFT JOIN i USING (community) LEFT JOIN dg USING (community) LEFT JOIN nb USING (community), mm",
     "community_edges": f"WITH {_TRADE} SELECT ca AS src_community, cb AS dst_community, count(*) AS n FROM pl WHERE ca <> cb GROUP BY ca, cb",
 }
 

@@ -81,6 +81,37 @@ def without(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(keys.select(*on).distinct(), on, "left_anti")
 
 
+def cascade(tables: dict[str, DataFrame], links: list[tuple[str, str, str, str]], gone: dict[str, Column]) -> dict[str, DataFrame]:
+    """All tables without what is deleted and all that hangs on it.
+
+    links are foreign keys (table, column, table it points to, column there) without cycles, gone conditions for what is deleted first.
+    Tables are walked from those that are pointed to; each link takes out, by an anti-join, what points to rows that are gone above.
+    A null points to nothing, and a condition that is null deletes nothing.
+    """
+    left, order, todo = dict(tables), [], set(tables)
+    while todo:
+        ready = sorted(t for t in todo if not any(c == t and p in todo and p != t for c, _, p, _ in links))
+        if not ready:
+            raise ValueError("foreign keys go round in a circle")
+        order += ready
+        todo -= set(ready)
+    lost: dict[str, DataFrame] = {}
+    for name in order:
+        above = [(column, lost[parent].select(F.col(key).alias(column)).distinct()) for child, column, parent, key in links if child == name and parent in lost]
+        dead = F.coalesce(gone[name], F.lit(False)) if name in gone else F.lit(False)
+        taken = [tables[name].join(keys, column, "left_semi").select(*tables[name].columns) for column, keys in above]
+        taken += [tables[name].filter(dead)] if name in gone else []
+        left[name] = tables[name].filter(~dead)
+        for column, keys in above:
+            left[name] = left[name].join(keys, column, "left_anti").select(*tables[name].columns)
+        if taken:
+            rows = taken[0]
+            for more in taken[1:]:
+                rows = rows.unionByName(more)
+            lost[name] = checkpoint(rows)
+    return left
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """Every field quoted, quotes doubled."""
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
