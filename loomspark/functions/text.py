@@ -19,12 +19,13 @@ def tokens(text: Column) -> Column:
 
 
 def split_identifier(token: Column) -> Column:
-    """The lower-cased token, then its parts: at underscores, else before each upper-case letter; no single letters."""
+    """The lower-cased token, then its parts of over one letter: between underscores, else each from a capital to the next; a single letter is kept as it is."""
     low = F.lower(token)
-    snake = F.concat(F.array(low), F.filter(F.split(low, "_"), lambda p: F.char_length(p) > 1))
-    camel = F.split(F.regexp_replace(token, r"(?<!^)(\p{Lu})", "|$1"), r"\|")
-    camel = F.array_distinct(F.concat(F.array(low), F.filter(F.transform(camel, lambda p: F.lower(p)), lambda p: F.char_length(p) > 1)))
-    return F.when(F.char_length(token) == 0, F.array().cast("array<string>")).when(F.char_length(token) == 1, F.array(token)).when(token.contains("_"), snake).otherwise(camel)
+    words = F.regexp_extract_all(low, F.lit("([^_]+)"), F.lit(1))
+    humps = F.transform(F.regexp_extract_all(token, F.lit(r"(^[^\p{Lu}]+|\p{Lu}[^\p{Lu}]*)"), F.lit(1)), F.lower)
+    several = lambda parts: F.concat(F.array(low), F.filter(parts, lambda p: F.char_length(p) > 1))
+    long = F.when(F.contains(token, F.lit("_")), several(words)).otherwise(F.array_distinct(several(humps)))
+    return F.when(F.char_length(token) > 1, long).otherwise(F.filter(F.array(token), lambda t: F.char_length(t) > 0))
 
 
 def query_terms(text: Column) -> Column:
@@ -43,13 +44,16 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.char_length(text) / 4)).cast("int")
 
 
+# Characters of a chunk, by category of its file, else by language, else the last.
+CATEGORY_SIZES = {"docs": 1800, "config": 1200, "test": 1400}
+LANGUAGE_SIZES = {1500: ["python", "typescript", "javascript", "ruby", "elixir", "julia"], 1400: ["haskell", "ocaml", "erlang"]}
+OTHER_SIZE = 1300
+
+
 def chunk_size(category: Column, language: Column) -> Column:
     """Target characters of a chunk."""
-    return (
-        F.when(category == "docs", 1800).when(category == "config", 1200).when(category == "test", 1400)
-        .when(language.isin("python", "typescript", "javascript", "ruby", "elixir", "julia"), 1500)
-        .when(language.isin("haskell", "ocaml", "erlang"), 1400).otherwise(1300)
-    )
+    look = lambda sizes, key: F.create_map(*(F.lit(x) for kv in sizes.items() for x in kv))[key]
+    return F.coalesce(look(CATEGORY_SIZES, category), look({name: n for n, names in LANGUAGE_SIZES.items() for name in names}, language), F.lit(OTHER_SIZE))
 
 
 def flat_chunks(df: DataFrame, text: str, size: Column) -> DataFrame:
@@ -121,18 +125,37 @@ def impact_score(hop: Column, central_rank: Column, in_seed_community: Column, i
     return weight + 0.3 * bm25 + F.when(in_chain, 2.5).otherwise(0.0) + near + F.coalesce(2.0 * F.pow(F.lit(0.94), central_rank), F.lit(0.0))
 
 
+# What became of an edge's target; the first rule decides all of whose conditions hold.  A condition names a part of the
+# edge (method: how it was resolved; path: how its target begins; stem: how the target's own name begins; name: that name; sign:
+# what the target contains) and what that part may be.
+RESOLUTION_RULES = [
+    ("predefined_utility", {"method": ["external_utility"]}),
+    ("unresolved_symbolic", {"method": ["symbolic_program", "symbolic_dsn", "jcl_back_reference"]}),
+    ("system_copybook", {"method": ["system_copybook"]}),
+    ("system_copybook", {"path": ["__external__/copybook/"]}),
+    ("system_copybook", {"stem": "system"}),
+    ("external_runtime", {"name": "runtimes"}),
+    ("external_runtime", {"stem": ["MQ", "DFH"]}),
+    ("external_runtime", {"method": ["external_runtime"]}),
+    ("external_runtime", {"method": "missing", "stem": ["CEE", "CBL", "DFH", "MQ"]}),
+    ("not_in_snapshot", {"method": "missing"}),
+    ("unresolved_symbolic", {"path": ["__unresolved__/"], "sign": ["&", "%26"]}),
+    ("not_in_snapshot", {"path": ["__unresolved__/"]}),
+    ("external_runtime", {"path": ["__external__/"]}),
+]
+MISSING_METHODS = ["program_not_in_snapshot", "copybook_not_found", "proc_not_in_snapshot", "ambiguous_program_id", "ambiguous_copybook", "ambiguous_proc"]
+
+
 def resolution_class(dst: Column, method: Column, system_prefixes: list[str], runtimes: list[str]) -> Column:
-    """What became of an edge's target: resolved, not_in_snapshot, external_runtime, system_copybook, ..."""
+    """What became of an edge's target, by RESOLUTION_RULES; what no rule fits is resolved."""
     stem = F.upper(F.regexp_replace(F.element_at(F.split(dst, "/"), -1), r"\.[^.]*$", ""))
-    starts = lambda names: F.rlike(stem, F.lit("^(" + "|".join(names) + ")"))
-    missing = method.isin("program_not_in_snapshot", "copybook_not_found", "proc_not_in_snapshot", "ambiguous_program_id", "ambiguous_copybook", "ambiguous_proc")
-    return (
-        F.when(method == "external_utility", "predefined_utility")
-        .when(method.isin("symbolic_program", "symbolic_dsn", "jcl_back_reference"), "unresolved_symbolic")
-        .when((method == "system_copybook") | dst.startswith("__external__/copybook/") | starts(system_prefixes), "system_copybook")
-        .when(stem.isin(runtimes) | starts(["MQ", "DFH"]) | (method == "external_runtime"), "external_runtime")
-        .when(missing, F.when(starts(["CEE", "CBL", "DFH", "MQ"]), "external_runtime").otherwise("not_in_snapshot"))
-        .when(dst.startswith("__unresolved__/"), F.when(dst.contains("&") | dst.contains("%26"), "unresolved_symbolic").otherwise("not_in_snapshot"))
-        .when(dst.startswith("__external__/"), "external_runtime")
-        .otherwise("resolved")
-    )
+    lists = {"system": system_prefixes, "runtimes": runtimes, "missing": MISSING_METHODS}
+    begins = lambda of: lambda values: F.rlike(of, F.lit(r"^(\Q" + r"\E|\Q".join(values) + r"\E)"))
+    holds = {"method": lambda v: method.isin(v), "name": lambda v: stem.isin(v), "stem": begins(stem), "path": begins(dst), "sign": lambda v: F.exists(F.array(*map(F.lit, v)), lambda x: F.contains(dst, x))}
+    out = F.lit("resolved")
+    for name, conditions in reversed(RESOLUTION_RULES):
+        fits = F.lit(True)
+        for part, values in conditions.items():
+            fits = fits & holds[part](lists[values] if isinstance(values, str) else values)
+        out = F.when(fits, name).otherwise(out)
+    return out

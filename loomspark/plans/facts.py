@@ -144,7 +144,7 @@ def document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of a document graph from line items: detailed design decides count and confidence."""
     lines = read(spark, sf_dir, "lineitem")
     rows = lines.select((F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("id"), F.when(F.col("l_returnflag") == "R", "dd").otherwise("bd").alias("side"), F.col("l_suppkey").alias("subject"), (F.col("l_partkey") % 50).alias("object"), F.lit("calls").alias("edge_type"), F.lit("").alias("edge_key"), F.when(F.col("l_discount") > 0.02, F.col("l_quantity").cast("int")).alias("value"), F.when(F.col("l_tax") > 0.03, "corroborating").otherwise("unverified").alias("confidence"))
-    return documents.project_edges(rows).select("subject", "object", "confidence", F.size("evidence").alias("n"))
+    return documents.project_edges(rows).select("subject", "object", "value", "confidence", F.size("evidence").alias("n"))
 
 
 def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -447,7 +447,7 @@ WHEN method = 'copybook_not_found' THEN 'not_in_snapshot' WHEN d = '__unresolved
     "code_relations": f"WITH {_FACTS} SELECT predicate, subject, object, count(*) AS n, min(occurrence) AS first, CAST(sum(line) AS BIGINT) AS lines FROM rl GROUP BY predicate, subject, object",
     "relation_status": "SELECT o_orderkey AS cluster_id, CASE WHEN c_custkey IS NULL THEN 'UNBOUND' WHEN o_orderstatus <> CASE WHEN c_nationkey % 2 = 0 THEN 'F' ELSE 'O' END THEN 'STALE_INPUT' ELSE 'OK' END AS status FROM orders LEFT JOIN customer ON c_custkey = o_custkey + o_orderkey % 2 * 1000000",
     "field_checks": "WITH l AS (SELECT l_partkey AS part, l_orderkey * 10 + l_linenumber AS id, max('X(' || CAST(l_quantity AS INTEGER) || ')') AS v FROM lineitem GROUP BY ALL), d AS (SELECT part, arg_max(v, id) AS dd_value FROM l GROUP BY part) SELECT p_partkey AS id, CAST(p_partkey AS VARCHAR) AS subject, 'X(' || p_size || ')' AS value, dd_value, sha256('value:' || p_partkey || ':X(' || p_size || '):' || dd_value) AS fingerprint FROM part JOIN d ON part = p_partkey WHERE 'X(' || p_size || ')' <> dd_value",
-    "document_edges": "SELECT l_suppkey AS subject, l_partkey % 50 AS object, CASE WHEN bool_or(l_returnflag = 'R') THEN 'authoritative' ELSE arg_min(CASE WHEN l_tax > 0.03 THEN 'corroborating' ELSE 'unverified' END, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey) END AS confidence, CAST(count(*) AS INTEGER) AS n FROM lineitem GROUP BY 1, 2",
+    "document_edges": "SELECT l_suppkey AS subject, l_partkey % 50 AS object, coalesce(arg_max(CAST(l_quantity AS INTEGER), l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey) FILTER (l_returnflag = 'R' AND l_discount > 0.02), arg_max(CAST(l_quantity AS INTEGER), l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey) FILTER (l_discount > 0.02)) AS value, CASE WHEN bool_or(l_returnflag = 'R') THEN 'authoritative' ELSE arg_min(CASE WHEN l_tax > 0.03 THEN 'corroborating' ELSE 'unverified' END, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey) END AS confidence, CAST(count(*) AS INTEGER) AS n FROM lineitem GROUP BY 1, 2",
     "document_nodes": """WITH a AS (SELECT user_id, event_type, arg_max(CAST(value AS VARCHAR), event_id) AS v, min(event_id) AS o FROM events GROUP BY ALL)
 SELECT user_id % 5 AS cluster_id, 'dataset/' || user_id AS id, 'dataset' AS node_type, (SELECT arg_min(event_type || '-' || event_id, event_id) FROM events e WHERE e.user_id = a.user_id) AS display_name, string_agg(event_type || '=' || v, ',' ORDER BY event_type) AS attributes, string_agg(event_type, ',' ORDER BY o) AS documents FROM a GROUP BY user_id""",
     "dataset_aliases": "SELECT 'U' || user_id AS alias, arg_max(event_type || '.' || event_id, event_id) AS dsn FROM events GROUP BY user_id",
@@ -497,3 +497,8 @@ r AS (
     "community_totals": f"WITH {graphs._TRADE} SELECT (SELECT count(DISTINCT community) FROM lb) AS communities, (SELECT count(*) FROM (SELECT community FROM lb GROUP BY community HAVING count(*) = 1)) AS singletons, count(*) FILTER (ca = cb) AS internal, count(*) FILTER (ca <> cb) AS external FROM pl",
     "exported_symbols": f"""WITH {_SYMBOLS} SELECT rel_path, CAST(row_number() OVER (PARTITION BY rel_path ORDER BY line) AS INTEGER) AS place, '"snap","' || rel_path || '","' || line || '","' || name || '","' || kind || '","' || parent_name || '"' AS row FROM sy WHERE line % 5 <> 0 AND NOT contains(rel_path, 'test')""",
 }
+_BYTES = r"""SELECT doc_id, "binary", size_bytes, CASE WHEN NOT "binary" THEN replace(substr(t, 1, list_max([k FOR k IN range(0, 201) IF strlen(substr(t, 1, k)) <= 200])), chr(65533), '') END AS head
+FROM (SELECT doc_id, t, doc_id % 7 = 0 OR (strlen(t) > 2048 AND hex(encode(t)[2049:2049]) BETWEEN '80' AND 'BF') AS "binary", strlen(t) + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS size_bytes FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"""
+ORACLES["file_contents"] = _BYTES
+ORACLES["file_counts"] = f"""WITH pf AS ({ORACLES["path_facts"]}), fc AS ({_BYTES})
+SELECT category, count(*) AS files, count(*) FILTER (is_test) AS tests, count(*) FILTER ("binary") AS binary_files, count(*) FILTER (NOT is_test AND NOT "binary") AS kept FROM pf JOIN fc USING (doc_id) WHERE NOT ignored GROUP BY category"""
