@@ -1,11 +1,11 @@
 """Operator 9, exact top-k search by inner product, with norm-bucketed retrieval.
 
 Vectors are grouped by length: a range holds lengths within 4.5 percent, and a range with many vectors is dealt by
-hash into parts, so that a bucket (range, part) has a bounded size and is packed as one row.  A first pass over
+hash into parts, so that a bucket (range, part) has a bounded number of vectors and bytes and is packed as one row.  A first pass over
 some of the longest vectors gives each query a score that its k-th best certainly reaches, and with it the
 shortest length that a better candidate may have.  Queries are then packed into blocks of one such range each, and a
 block meets only the buckets from that range upwards: this is decided on bucket names, before any vector is
-shipped.  Buckets stay where they are and blocks come to them.
+shipped.
 
 For each query of a block and each bucket a task derives the local cosine threshold: above 1 nothing in the
 bucket can reach the score and it is skipped; a low one is pruned by length alone; otherwise by coordinates, where
@@ -31,8 +31,8 @@ from pyspark.sql import Window as W
 from loomspark.llm import common
 
 K, EVERY, SCALE = 5, 50, 256
-#: Vectors in a bucket, between these bounds so that a session's partitions have several each; queries in a block.
-BUCKETS, BLOCK = (2048, 32_768), 512
+#: Vectors in a bucket, between these bounds so that a session's partitions have several each, and its bytes at most; queries in a block.
+BUCKETS, BUCKET_BYTES, BLOCK = (2048, 32_768), 16 << 20, 512
 #: Length ranges for each doubling of the squared length.
 RANGES = 8
 #: Bucket names up to this count are broadcast (a few MB).
@@ -74,7 +74,7 @@ def _packed(rows: DataFrame, by: list[str], least: bool = False) -> DataFrame:
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
         made = {f.name: pa.array([k.as_py()], pa.int32()) for f, k in zip(names, key, strict=True)}
-        made |= {"ids": pa.array([table.column("vec_id").to_numpy().tobytes()], pa.binary()), "m": pa.array([_matrix(np.array(table.column("v").to_pylist(), dtype=np.int64))], pa.binary())}
+        made |= {"ids": pa.array([table.column("vec_id").to_numpy().tobytes()], pa.binary()), "m": pa.array([_matrix(table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False))], pa.binary())}
         if least:
             made["least"] = pa.array([table.column("least").to_numpy().tobytes()], pa.binary())
         return pa.table(made)
@@ -173,7 +173,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
     n, n_queries = v.agg(F.count("*"), F.count_if(is_query)).first()
     partitions = common.partitions(vectors.sparkSession)
     size = min(max(n // (4 * partitions), BUCKETS[0]), BUCKETS[1])
-    names = common.checkpoint(v.groupBy("d", "range").agg(F.count("*").alias("n"), F.ceil(F.count("*") / size).cast("int").alias("parts")))
+    most = F.greatest(F.lit(1), F.least(F.lit(size), F.floor(F.lit(BUCKET_BYTES) / (8 * F.greatest(F.lit(1), F.col("d"))))))  # vectors of a bucket
+    names = common.checkpoint(v.groupBy("d", "range").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / most).cast("int")))
     small = F.broadcast if names.count() <= BROADCAST_NAMES else (lambda x: x)
     part = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
     bucketed = v.join(small(names.drop("n")), ["d", "range"]).select("d", "range", part.alias("part"), "vec_id", "v")
@@ -186,7 +187,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
     blocks = _packed(v.filter(is_query).select("d", hashed.alias("block"), "vec_id", "v"), ["d", "block"])
     blocks = blocks.withColumnsRenamed({"ids": "q_ids", "m": "q_m"}).withColumn("salt", F.col("block") % salts)
     longer = F.sum("n").over(W.partitionBy("d").orderBy(F.desc("range")).rowsBetween(W.unboundedPreceding, -1))
-    top = names.withColumn("longer", F.coalesce(longer, F.lit(0))).filter(F.col("longer") < size).select("d", "range", F.lit(0).alias("part"))
+    top = names.withColumn("longer", F.coalesce(longer, F.lit(0))).filter(F.col("longer") < most).select("d", "range", F.lit(0).alias("part"))
     longest = _packed(bucketed.join(small(top), ["d", "range", "part"]).select("d", "vec_id", "v"), ["d"])
     longest = longest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     bounds = common.checkpoint(_bounds(blocks.join(longest, ["d", "salt"]), k))
