@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loomspark.sources.tables import checkpoint
+
 # Beginnings of copybook names that a system delivers.
 SYSTEM_COPYBOOKS = ["CMQ", "DFH", "IGZ", "CEE", "DSN", "ELX"]
 
@@ -152,18 +154,29 @@ def artifact_name(file: Column) -> Column:
     return F.upper(F.regexp_replace(file, r"(?i)^GEN\.DD\.(COBOL|JCL)-|\.report\.md$", ""))
 
 
-def report_set(files: DataFrame) -> DataFrame:
+#: Files of a folder whose digests are hashed together.
+FILES_A_PART = 1024
+
+
+def report_set(files: DataFrame, part_files: int = FILES_A_PART) -> DataFrame:
     """For each folder of files (folder, name, content): whether it is a set of reports (one basic and some detailed designs), and its fingerprint.
 
-    The fingerprint is over `name:sha256` of all Markdown files, basic design first, then programs, jobs and others by name.
+    The fingerprint is over `name:sha256` of all Markdown files, basic design first, then programs, jobs and others by name, in two steps:
+    files are dealt by a digest of their names into parts of about `part_files`, each part is hashed in this order, and then
+    the parts' hashes in the order of their numbers.  So no row holds a large folder.
     """
     from loomspark.functions.paths import document_kind
 
     kind = document_kind(F.col("name"), strict=False)
     rank = F.when(kind == "bd", 0).when(kind == "dd_cobol", 1).when(kind == "dd_jcl", 2).otherwise(3)
-    listed = files.filter("lower(name) like '%.md'").select("folder", rank.alias("rank"), "name", F.concat_ws(":", "name", F.sha2(F.coalesce("content", F.lit("")), 256)).alias("part"))
-    sets = listed.groupBy("folder").agg(F.count_if(F.col("rank") == 0).alias("bd"), F.count_if(F.col("rank").isin(1, 2)).alias("dd"), F.sort_array(F.collect_list(F.struct("rank", "name", "part"))).alias("parts"))
-    return sets.select("folder", "bd", "dd", ((F.col("bd") == 1) & (F.col("dd") > 0)).alias("valid"), F.sha2(F.array_join(F.transform("parts", lambda p: p["part"]), "\n"), 256).alias("fingerprint"))
+    listed = files.filter("lower(name) like '%.md'").select("folder", rank.alias("rank"), "name", F.concat_ws(":", "name", F.sha2(F.coalesce("content", F.lit("")), 256)).alias("line"))
+    sizes = listed.groupBy("folder").agg(F.count_if(F.col("rank") == 0).alias("bd"), F.count_if(F.col("rank").isin(1, 2)).alias("dd"), F.ceil(F.count("*") / part_files).alias("parts"))
+    sizes = checkpoint(sizes)
+    number = F.conv(F.substring(F.md5("name"), 1, 8), 16, 10).cast("long") % F.col("parts")
+    joined = lambda rows, what: F.sha2(F.array_join(F.transform(F.sort_array(rows), lambda p: p[what]), "\n"), 256)
+    parts = listed.join(sizes.select("folder", "parts"), "folder").groupBy("folder", number.alias("part")).agg(joined(F.collect_list(F.struct("rank", "name", "line")), "line").alias("digest"))
+    whole = parts.groupBy("folder").agg(joined(F.collect_list(F.struct("part", "digest")), "digest").alias("fingerprint"))
+    return sizes.join(whole, "folder").select("folder", "bd", "dd", ((F.col("bd") == 1) & (F.col("dd") > 0)).alias("valid"), "fingerprint")
 
 
 def evidence(compared: DataFrame) -> tuple[DataFrame, DataFrame]:

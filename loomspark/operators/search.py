@@ -67,9 +67,14 @@ def manifest_diff(now: DataFrame, before: DataFrame) -> DataFrame:
     return new.join(old, "rel_path", "full_outer").select("rel_path", change.alias("change"))
 
 
-def copy_unchanged(edges: DataFrame, diff: DataFrame) -> DataFrame:
-    """Edges whose source file is unchanged, for the next snapshot."""
-    return edges.join(diff.filter("change = 'unchanged'").select(F.col("rel_path").alias("src")), "src", "left_semi")
+# What file edges have again once they are copied, as their table's own defaults.
+COPIED_FILE_EDGES = {"confidence_score": 1.0, "resolution_method": "import_statement"}
+
+
+def copy_unchanged(edges: DataFrame, diff: DataFrame, defaults: dict[str, object] | None = None) -> DataFrame:
+    """Edges whose source file is unchanged, for the next snapshot; symbol edges as they are, file edges with COPIED_FILE_EDGES as `defaults`."""
+    kept = edges.join(diff.filter("change = 'unchanged'").select(F.col("rel_path").alias("src")), "src", "left_semi")
+    return kept.withColumns({c: F.lit(v) for c, v in (defaults or {}).items()})
 
 
 def previous_snapshot(snapshots: DataFrame, current: str) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomspark.functions import text as T
-from loomspark.operators.bm25 import type_weight
+from loomspark.operators.bm25 import small, type_weight
 from loomspark.operators.ranges import contained
 from loomspark.operators.ranking import ranked
+from loomspark.sources.tables import checkpoint
 
 # The most that confidences add up to, and the factor of central files.
 CAPPED_SUM, CENTRAL_BOOST = 2.0, 1.5
@@ -87,6 +88,25 @@ def lexical_hits(chunks: DataFrame, queries: DataFrame, path_hits: DataFrame) ->
     return inside.unionByName(along).groupBy("query_id", "chunk_id").agg(F.sum("hits").alias("hits"))
 
 
+def substring_hits(chunks: DataFrame, queries: DataFrame, path_hits: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, hits): as lexical_hits, but occurrences of the terms anywhere, also inside longer words.
+
+    A term has only ASCII letters, digits and underscores, so that each occurrence lies in one word: terms are looked up among the substrings
+    of the distinct words, and only words that hold one meet the chunks.
+    """
+    words = checkpoint(chunks.select("chunk_id", F.explode(T.tokens(F.col("content"))).alias("word")).groupBy("chunk_id", "word").agg(F.count("*").alias("tf")))
+    wanted = checkpoint(queries.distinct())
+    terms = wanted.select("term").distinct()
+    lengths = [r[0] for r in terms.select(F.char_length("term")).distinct().collect()]  # as many as words have lengths
+    starts = words.select("word").distinct().select("word", F.explode(F.sequence(F.lit(1), F.char_length("word"))).alias("_s"), F.array(*map(F.lit, lengths)).cast("array<int>").alias("_n"))
+    parts = starts.select("word", "_s", F.explode("_n").alias("_n")).filter("_s + _n - 1 <= char_length(word)").select("word", F.substr("word", F.col("_s"), F.col("_n")).alias("term")).distinct()
+    held = small(parts.join(terms, "term", "left_semi").withColumn("k", F.expr("(char_length(word) - char_length(replace(word, term, ''))) div char_length(term)")))
+    inside = words.join(held, "word").select("chunk_id", "term", (F.col("tf") * F.col("k")).alias("hits")).groupBy("chunk_id", "term").agg(F.sum("hits").alias("hits"))
+    found = inside.join(small(wanted), "term").select("query_id", "chunk_id", "hits")
+    along = chunks.select("chunk_id", "rel_path").join(path_hits, "rel_path").select("query_id", "chunk_id", F.lit(2).cast("long").alias("hits"))
+    return found.unionByName(along).groupBy("query_id", "chunk_id").agg(F.sum("hits").alias("hits"))
+
+
 def single_stage_score(bm25: Column, hinted: Column, central_rank: Column, path: Column, path_terms: Column, vectorless: bool) -> Column:
     """The score of single-stage retrieval, in its vectorless or its hybrid form; central_rank is null for other files."""
     score = bm25 + F.when(hinted, CATEGORY_BONUS).otherwise(0.0) + F.coalesce(F.greatest(F.lit(0.0), CENTRAL_BONUS - 0.08 * central_rank), F.lit(0.0))

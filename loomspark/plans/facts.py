@@ -346,7 +346,7 @@ def report_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's documents as a folder of reports: whether it is a valid set, and its fingerprint."""
     names = ["GEN.BD-A.report.md", "GEN.DD.COBOL-P.report.md", "GEN.DD.JCL-J.report.md", "notes.md", "x.txt"]
     name = F.concat(F.when(F.col("doc_id") < 20, _at(names, F.col("doc_id"))).otherwise(_at(names[1:], F.col("doc_id"))), F.when(F.col("doc_id") < 20, "").otherwise(F.concat(F.col("doc_id"), F.lit(".md"))))
-    return relations.report_set(read(spark, sf_dir, "documents").select(F.col("source").alias("folder"), name.alias("name"), F.col("text").alias("content")))
+    return relations.report_set(read(spark, sf_dir, "documents").select(F.col("source").alias("folder"), name.alias("name"), F.col("text").alias("content")), 64)
 
 
 def evidence_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -483,7 +483,7 @@ w AS (
 SELECT term, count(*) AS df, round(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM p, g GROUP BY term HAVING count(*) >= 2""",
     "previous_snapshots": "SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1 OFFSET 1",
     "snapshot_listing": f"WITH {_CHUNKS} SELECT rel_path, CAST(chunk_index AS INTEGER) AS chunk_index, count(*) FILTER (regexp_matches(content, '[0-9]{{3}}')) OVER (PARTITION BY source, rel_path ORDER BY chunk_index ROWS UNBOUNDED PRECEDING) AS place, CAST(length(content) AS INTEGER) AS n_chars FROM c",
-    "report_sets": f"WITH {_REPORTS}, m AS (SELECT *, CASE WHEN contains(name, 'BD-') THEN 0 WHEN contains(name, 'COBOL') THEN 1 WHEN contains(name, 'JCL') THEN 2 ELSE 3 END AS rank, name || ':' || sha256(coalesce(text, '')) AS part FROM r WHERE name LIKE '%.md') SELECT source AS folder, count(*) FILTER (rank = 0) AS bd, count(*) FILTER (rank IN (1, 2)) AS dd, count(*) FILTER (rank = 0) = 1 AND count(*) FILTER (rank IN (1, 2)) > 0 AS valid, sha256(string_agg(part, chr(10) ORDER BY rank, name, part)) AS fingerprint FROM m GROUP BY source",
+    "report_sets": f"WITH {_REPORTS}, m AS (SELECT *, CASE WHEN contains(name, 'BD-') THEN 0 WHEN contains(name, 'COBOL') THEN 1 WHEN contains(name, 'JCL') THEN 2 ELSE 3 END AS rank, name || ':' || sha256(coalesce(text, '')) AS part FROM r WHERE name LIKE '%.md'), k AS (SELECT source, ceil(count(*) / 64.0) AS k FROM m GROUP BY source), h AS (SELECT m.source, CAST('0x' || substr(md5(name), 1, 8) AS BIGINT) % CAST(k AS BIGINT) AS num, sha256(string_agg(part, chr(10) ORDER BY rank, name, part)) AS d FROM m JOIN k ON k.source = m.source GROUP BY ALL), g AS (SELECT source, sha256(string_agg(d, chr(10) ORDER BY num)) AS fingerprint FROM h GROUP BY source) SELECT source AS folder, count(*) FILTER (rank = 0) AS bd, count(*) FILTER (rank IN (1, 2)) AS dd, count(*) FILTER (rank = 0) = 1 AND count(*) FILTER (rank IN (1, 2)) > 0 AS valid, any_value(g.fingerprint) AS fingerprint FROM m JOIN g USING (source) GROUP BY source",
     "evidence_payloads": "WITH d AS (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS i FROM d) SELECT l_suppkey, CAST(count(*) FILTER (i <= 50) AS INTEGER) AS kept, count(*) FILTER (i > 50) AS truncated, sha256('{\"items\":[' || string_agg(l_orderkey, ',' ORDER BY l_orderkey) FILTER (i <= 50) || '],\"truncated\":' || count(*) FILTER (i > 50) || '}') AS hash FROM r GROUP BY l_suppkey",
     "stored_evidence": "SELECT sha256(concat_ws('|', l_returnflag, l_suppkey, l_partkey % 30, CASE WHEN l_returnflag = 'A' THEN 'bd' ELSE '' END)) AS comparison_id, l_returnflag AS predicate, CASE WHEN l_returnflag = 'A' THEN 'bd' END AS side, count(DISTINCT l_linenumber) AS n, max(l_linenumber) AS last FROM lineitem GROUP BY l_returnflag, l_suppkey, l_partkey % 30",
     "absorbed_communities": f"""WITH RECURSIVE {graphs._TRADE}, l AS (SELECT CAST(n_nationkey AS VARCHAR) AS node, 'c' || n_nationkey % 13 AS c FROM nation), z AS (SELECT c, row_number() OVER (ORDER BY c) AS k FROM l GROUP BY c HAVING count(*) < 3),

@@ -139,6 +139,13 @@ def lexical_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.top_k(signals.lexical_hits(c, q, inside), 10, "hits").select("query_id", "rank", "chunk_id", "hits")
 
 
+def substring_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best chunks of each query by occurrences of its terms anywhere in them."""
+    c, q = retrieval.chunks(spark, sf_dir), bm25.small(retrieval.terms(spark, sf_dir).distinct())
+    inside = bm25.path_hits(c.select("rel_path").distinct(), q.withColumn("idf", F.lit(0))).drop("idf")
+    return bm25.top_k(signals.substring_hits(c, q, inside), 10, "hits").select("query_id", "rank", "chunk_id", "hits")
+
+
 def best_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best chunk of each file that a query's 100 best chunks lie in: by score, else with a whole symbol, else the first."""
     scored, i, _ = retrieval._scored(spark, sf_dir)
@@ -223,6 +230,10 @@ b0 AS (SELECT r.query_id, r.chunk_id, round(r.content_score + pb.bonus, 6) AS bm
 b1 AS (SELECT b0.*, central_rank, coalesce(ph.k, 0) AS k, bm25 + CASE WHEN hi.query_id IS NOT NULL THEN 1.4 ELSE 0 END + coalesce(greatest(0, 2.6 - 0.08 * central_rank), 0) AS base FROM b0 LEFT JOIN hi ON hi.query_id = b0.query_id AND hi.category = b0.lang LEFT JOIN ct ON ct.rel_path = b0.rel_path LEFT JOIN ph ON ph.query_id = b0.query_id AND ph.rel_path = b0.rel_path),
 b2 AS (SELECT query_id, chunk_id, rel_path, chunk_index, 'vectorless' AS mode, round(base + CASE WHEN central_rank IS NOT NULL THEN 1.8 ELSE 0 END + CASE WHEN regexp_matches(lower(rel_path), 'index|router|service') THEN 0.9 ELSE 0 END, 6) AS score FROM b1 UNION ALL SELECT query_id, chunk_id, rel_path, chunk_index, 'hybrid', round(base + 0.6 * k, 6) FROM b1)
 SELECT query_id, mode, CAST(row_number() OVER (PARTITION BY query_id, mode ORDER BY score DESC, rel_path, chunk_index) AS INTEGER) AS rank, chunk_id, CAST(score AS DOUBLE) AS score FROM b2 QUALIFY row_number() OVER (PARTITION BY query_id, mode ORDER BY score DESC, rel_path, chunk_index) <= 20""",
+    "substring_fallback": f"""WITH {_BASE}, qt AS (SELECT DISTINCT term FROM q), held AS (SELECT chunk_id, term, (length(lower(content)) - length(replace(lower(content), term, ''))) // length(term) AS k FROM c JOIN qt ON contains(lower(content), term)),
+lh AS (SELECT q.query_id, held.chunk_id, k AS hits FROM q JOIN held USING (term) UNION ALL SELECT q.query_id, c.chunk_id, 2 FROM q JOIN fl ON contains(lower(fl.rel_path), q.term) JOIN c ON c.rel_path = fl.rel_path),
+ls AS (SELECT query_id, chunk_id, CAST(sum(hits) AS BIGINT) AS hits FROM lh GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) AS INTEGER) AS rank, chunk_id, hits FROM ls QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) <= 10""",
     "lexical_fallback": f"""WITH {_BASE}, lh AS (SELECT q.query_id, p.chunk_id, p.tf AS hits FROM q JOIN p USING (term) UNION ALL SELECT q.query_id, c.chunk_id, 2 FROM q JOIN fl ON contains(lower(fl.rel_path), q.term) JOIN c ON c.rel_path = fl.rel_path),
 ls AS (SELECT query_id, chunk_id, CAST(sum(hits) AS BIGINT) AS hits FROM lh GROUP BY ALL)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) AS INTEGER) AS rank, chunk_id, hits FROM ls QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) <= 10""",
@@ -244,4 +255,4 @@ fo AS (SELECT DISTINCT sg.query_id, bt.other FROM sg JOIN f1 USING (chunk_id) JO
 SELECT DISTINCT fo.query_id, ho.chunk_id FROM fo JOIN ho ON ho.fqn = fo.other WHERE NOT EXISTS (SELECT 1 FROM sg WHERE sg.query_id = fo.query_id AND sg.chunk_id = ho.chunk_id)""",
 }
 
-QUERIES = {f.__name__: f for f in (signal_ranks, four_signal_fusion, final_fusion, second_stage, single_stage, lexical_fallback, best_chunks, expansion_files, split_parts, function_expansion)}
+QUERIES = {f.__name__: f for f in (signal_ranks, four_signal_fusion, final_fusion, second_stage, single_stage, lexical_fallback, substring_fallback, best_chunks, expansion_files, split_parts, function_expansion)}
