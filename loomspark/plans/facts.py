@@ -498,7 +498,7 @@ r AS (
     "exported_symbols": f"""WITH {_SYMBOLS} SELECT rel_path, CAST(row_number() OVER (PARTITION BY rel_path ORDER BY line) AS INTEGER) AS place, '"snap","' || rel_path || '","' || line || '","' || name || '","' || kind || '","' || parent_name || '"' AS row FROM sy WHERE line % 5 <> 0 AND NOT contains(rel_path, 'test')""",
 }
 _BYTES = r"""SELECT doc_id, "binary", size_bytes, CASE WHEN NOT "binary" THEN replace(substr(t, 1, list_max([k FOR k IN range(0, 201) IF strlen(substr(t, 1, k)) <= 200])), chr(65533), '') END AS head
-FROM (SELECT doc_id, t, doc_id % 7 = 0 OR (strlen(t) > 2048 AND hex(encode(t)[2049:2049]) BETWEEN '80' AND 'BF') AS "binary", strlen(t) + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS size_bytes FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"""
+FROM (SELECT doc_id, t, doc_id % 7 = 0 OR (strlen(t) > 2048 AND hex(encode(t)[2049:2049]) BETWEEN '80' AND 'BF') AS "binary", CAST(strlen(t) + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS INTEGER) AS size_bytes FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"""
 ORACLES["file_contents"] = _BYTES
 ORACLES["file_counts"] = f"""WITH pf AS ({ORACLES["path_facts"]}), fc AS ({_BYTES})
 SELECT category, count(*) AS files, count(*) FILTER (is_test) AS tests, count(*) FILTER ("binary") AS binary_files, count(*) FILTER (NOT is_test AND NOT "binary") AS kept FROM pf JOIN fc USING (doc_id) WHERE NOT ignored GROUP BY category"""
