@@ -53,6 +53,25 @@ def unpack_text(packed: bytes) -> str:
     return unpack_bytes(packed).decode("utf-8", "surrogatepass")
 
 
+def giving_back(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow, after which the worker gives freed memory back to the system.
+
+    Workers stay for later tasks, also of other operators; what one held (memos, models, batches) would otherwise count for all of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+        import gc
+
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 def map_batches(df: DataFrame, f: Callable[[dict], dict | None], schema: str, types: pa.Schema) -> DataFrame:
     """Apply f to slices of at most STEP_ROWS rows: from a dict of Python lists to a dict of columns."""
 
@@ -66,13 +85,13 @@ def map_batches(df: DataFrame, f: Callable[[dict], dict | None], schema: str, ty
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[c.name], type=c.type) for c in types], schema=types)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(giving_back(run), schema)
 
 
 def map_rows(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """Apply f to batches of whole rows that it only selects from; columns may have any name (in batches they are c0, c1, ...)."""
     plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
-    return plain.mapInArrow(f, plain.schema).toDF(*df.columns)
+    return plain.mapInArrow(giving_back(f), plain.schema).toDF(*df.columns)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

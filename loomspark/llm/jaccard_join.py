@@ -19,7 +19,8 @@ share a token among their first ``n - need + 1``, and ``k`` tokens among their f
    order C (hash values descending); pairs are tested so on their prefixes before whole sets are shipped.
 
 Defined results: null, empty and blank texts have the empty set, which links with nothing; rows that
-share an id are one document; texts of any length are taken whole; an empty table gives an empty
+share an id are one document; a row without an id has its set's size, and links with nothing but equal sets: its component
+is theirs, or null; texts of any length are taken whole; an empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -95,7 +96,7 @@ def _first_tokens(rows: DataFrame, width: int) -> DataFrame:
             tokens[:, :width] = cut
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view("<i8").ravel()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) // width for x in raw]), pa.int64())], schema=schema)
 
-    return rows.select("doc_id", "first").mapInArrow(run, "token long, doc_id long")
+    return rows.select("doc_id", "first").mapInArrow(common.giving_back(run), "token long, doc_id long")
 
 
 def _need(n: Column, percent: int) -> Column:
@@ -213,7 +214,7 @@ def _prefixes(sets: DataFrame, labels: DataFrame | None, shift: int, percent: in
         with_component = sets.withColumn("component", F.col("doc_id"))
     else:
         with_component = sets.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n", "tokens", F.coalesce("component", "doc_id").alias("component"))
-    tokens = with_component.select("doc_id", "n", "tokens", "component").mapInArrow(flat, "token long, doc_id long, n long, component long")
+    tokens = with_component.select("doc_id", "n", "tokens", "component").mapInArrow(common.giving_back(flat), "token long, doc_id long, n long, component long")
     return _prefix(_shared(tokens, "component"), percent)
 
 

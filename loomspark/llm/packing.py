@@ -34,7 +34,7 @@ from loomspark.llm.token_counts import byte_symbols
 WINDOW = 2048
 END_ID = 1
 #: Chunks, and parts of chunks, whose ids a worker remembers; bounds memory, never the result.
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 250_000
 #: Chunks and parts of up to this length are remembered.
 MEMO_LENGTH = 64
 #: Windows open at most (16 MB of ids in lists of pieces); then half of them are closed.
@@ -251,7 +251,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
             yield batch_of(rows)
 
     common.bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.giving_back(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

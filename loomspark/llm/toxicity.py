@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, features: int
     n, t = totals["n"], totals["t"] or 0
     if not 0 < t < n:
         return Chain({}, [], t / n if n else 0.0)
-    seen = sampled.select("toxic", "text").mapInArrow(distinct, "word string, toxic long").groupBy("word").agg(F.count("*").cast("double").alias("df"), F.sum("toxic").cast("double").alias("tf"))
+    seen = sampled.select("toxic", "text").mapInArrow(common.giving_back(distinct), "word string, toxic long").groupBy("word").agg(F.count("*").cast("double").alias("df"), F.sum("toxic").cast("double").alias("tf"))
     # chi-square of presence against the label
     a, b = F.col("tf"), F.col("df") - F.col("tf")
     c, d = F.lit(float(t)) - a, F.lit(float(n - t)) - b
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, features: int
                 x = chain.features(part.column(3).to_pylist())[:, :-1].astype(np.float32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "toxic", "quality", "x"])
 
-    got = sampled.mapInArrow(rows_of, "doc_id long, toxic int, quality int, x binary").orderBy("doc_id").toPandas()
+    got = sampled.mapInArrow(common.giving_back(rows_of), "doc_id long, toxic int, quality int, x binary").orderBy("doc_id").toPandas()
     x = np.stack([np.frombuffer(v, np.float32) for v in got["x"]]).astype(float) if len(index) else np.zeros((len(got), 0))
     x = np.column_stack([x, np.ones(len(x))])
     toxic, quality = got["toxic"].to_numpy(float), got["quality"].to_numpy(float)
