@@ -50,6 +50,9 @@ BROADCAST_PAIRS = 1_000_000
 _BLANK, _FEED = "▁", "<0x0A>"
 _RUN = re.compile(r"\s\s")
 _LINE = re.compile(r"(?<=\S\n)(?=\S)")
+_LINE_END = re.compile(r"\S\n\Z")
+#: Put between units of different texts that would touch otherwise: before a line, before a run of white space.
+_BEFORE_LINE, _BEFORE_RUN = " a\n", " a"
 #: Longer units are cut at line feeds too.
 LONG_UNIT = 64
 
@@ -157,6 +160,25 @@ def finished(f: Fragment) -> Fragment:
     return whole if whole.ok else Fragment(border=True)
 
 
+def in_a_row(units: list[str]) -> tuple[list[str], list[int]]:
+    """Units of any texts, none with a blank at its end, in a row that both tokenizers cut where they meet; where each one stands.
+
+    A unit that begins a line is cut off only behind a line's end, one that begins with more white space only behind another character; where
+    the unit before it, of another place or text, does not end so, a short unit is put between.
+    """
+    row: list[str] = []
+    own: list[int] = []
+    for u in units:
+        if row and u[0] != " ":
+            if not _LINE_END.search(row[-1], max(0, len(row[-1]) - 2)):
+                row.append(_BEFORE_LINE)
+        elif row and u[1:2].isspace() and row[-1][-1].isspace():
+            row.append(_BEFORE_RUN)
+        own.append(len(row))
+        row.append(u)
+    return row, own
+
+
 class Aligner:
     """Both tokenizers, and a memo of units."""
 
@@ -230,7 +252,11 @@ class Aligner:
         if None in at:
             fresh = list(dict.fromkeys(u for u, k in zip(units, at, strict=True) if k is None))
             self._learn([u for u in fresh if _BLANK in u], fits=False)
-            self._learn([u for u in fresh if _BLANK not in u])
+            fresh = [u for u in fresh if _BLANK not in u]
+            self._learn([u for u in fresh if u[-1] != " "])
+            for u in fresh:
+                if u[-1] == " ":  # B joins a blank at the end with the next unit's
+                    self._learn([u])
             at = list(map(known, units))
         return np.array(at, dtype=np.int64)
 
@@ -245,10 +271,11 @@ class Aligner:
         here = slice(first, first + len(units))
         links = made = None
         if fits and self.cuts:
-            made = self._in_a_row("".join(units), np.cumsum(sizes))
+            row, own = in_a_row(units)
+            made = self._in_a_row("".join(row), np.cumsum([len(u.encode("utf-8")) for u in row]), own)
         if made is None and fits and len(units) > 1:  # one of them does not fit
-            for u in units:
-                self._learn([u])
+            self._learn(units[: len(units) // 2])
+            self._learn(units[len(units) // 2 :])
             return
         if made is None and fits and not self.cuts:
             ((t, ok),) = self.tokens(units)
@@ -269,8 +296,8 @@ class Aligner:
         self.number.update(zip(units, range(first, first + len(units)), strict=True))
         self.held += sum(sizes) + sum(map(len, self.groups[first:])) + 8 * len(links)
 
-    def _in_a_row(self, text: str, unit_ends: np.ndarray) -> tuple | None:
-        """(fits, groups, sums, links, ends of links) of the units that a text consists of, or None where it does not fit."""
+    def _in_a_row(self, text: str, unit_ends: np.ndarray, own: list[int]) -> tuple | None:
+        """(fits, groups, sums, links, ends of links) of some of the units that a text consists of, or None where it does not fit."""
         a = np.array(self.a.encode(text, add_special_tokens=False).ids, dtype=np.int64)
         b = np.array(self.b.encode("\n" + text)[2:], dtype=np.int64)
         if b"".join(map(self.bytes_b.__getitem__, b.tolist())) != text.encode("utf-8"):
@@ -288,7 +315,12 @@ class Aligner:
         counts = np.stack([upto(x) for x in (a_ends, b_ends, borders, ends)], axis=1)
         tokens = (counts[:, 0] + counts[:, 1]).tolist()
         groups = ["".join(parts[i:j])[:-1].encode() for i, j in zip([0, *tokens[:-1]], tokens, strict=True)]
-        return True, groups, np.diff(counts, axis=0, prepend=0), codes, counts[:, 3]
+        if len(own) == len(groups):
+            return True, groups, np.diff(counts, axis=0, prepend=0), codes, counts[:, 3]
+        sums = np.diff(counts, axis=0, prepend=0)
+        kept = np.zeros(len(groups), dtype=bool)
+        kept[own] = True
+        return True, [groups[k] for k in own], sums[own], codes[np.repeat(kept, sums[:, 3])], np.cumsum(sums[own, 3])
 
     def rest(self) -> None:
         """Between texts: forget all units if they are too many."""

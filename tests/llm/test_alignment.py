@@ -83,6 +83,23 @@ def test_units_are_encoded_alone(both):
             assert f.groups.decode() == expected[2] and f.sums[3] == len(expected[3])
 
 
+def test_units_of_many_texts_in_a_row():
+    """Lines and runs of white space that are new to the memo beside units of other texts."""
+    rng, han = random.Random(5), "中文" * 40
+    known = [han + "\nfirst line", "hello zzz", han + "\nsecond\n" + han, "trail ", " lead", "a\n", "  two", "x  ", "next", "y\t", "\n z", han + "\n\n", han + "\nthird line", "0 ▁", han + "\ns are " + han + "\n", "end"]
+    made = ["".join(rng.choice([han, "\n", " ", "  ", "\t", "line", "'s", "9", "é", "w" * 70]) for _ in range(rng.randint(1, 9))) for _ in range(600)]
+    fresh = al.Aligner(*al.default_vocabularies())
+    for at, size in ((0, 1), (1, 3), (4, 8), (12, 4), *((16 + k, 60) for k in range(0, 600, 60))):
+        texts = (known + made)[at : at + size]
+        units = [fresh.units(text) for text in texts]
+        numbers, end = fresh.entries([u for own in units for u in own]), 0
+        for text, own in zip(texts, units, strict=True):
+            f, expected = al.finished(fresh.summary(numbers[end : end + len(own)])), brute_one(fresh, text)
+            end += len(own)
+            assert f.groups.decode() == (expected[2] if expected else ""), text
+            assert sorted(zip(f.codes.tolist(), f.counts.tolist(), strict=True)) == sorted(Counter(a << 32 | b for a, b in expected[3]).items() if expected else []), text
+
+
 @pytest.mark.parametrize("width", [1, 2, 5, 16, 1000])
 def test_fragments_compose(both, width):
     """Ranges of any width, composed in any order, give what the whole text gives."""
