@@ -140,6 +140,20 @@ def test_relationship(spark):
     }
 
 
+def test_relationship_forms_no_pair_of_strangers(spark):
+    """Many claims on one thing by subjects that do not meet: nothing joins them; counts by severity are those of the rows."""
+    n = 30_000
+    k = F.col("k")
+    bd = spark.range(n).toDF("k").select(k.alias("id"), F.lit("accesses").alias("predicate"), F.concat(F.lit("program/P"), k).alias("subject"), F.lit("dataset/A").alias("object"), F.lit("write").alias("mode"))
+    dd = spark.range(n).toDF("k").select(k.alias("id"), F.lit("accesses").alias("predicate"), F.concat(F.lit("step/J.Q"), k).alias("subject"), F.lit("dd/x/A").alias("object"), F.lit("read").alias("mode"), (k % 3 == 0).alias("definitive"))
+    dd = dd.union(spark.createDataFrame([(n, "accesses", "step/xP77", "dataset/A", "read", True), (n + 1, "accesses", "program/P5", "dataset/A", "read", None), (n + 2, "accesses", None, "dataset/A", "read", True)], "id long, predicate string, subject string, object string, mode string, definitive boolean"))
+    runs = spark.createDataFrame([("step/J.Q9", "program/P8"), ("step/J.Q7", "program/P8")], "step string, program string")
+    rows = reconcile.relationship(bd, dd, runs)
+    assert {(r.id, r.dd_id, r.severity) for r in rows.filter("dd_id is not null").collect()} == {(7, n, "error"), (77, n, "error"), (5, n + 1, "info"), (8, 7, "info"), (8, 9, "error")}
+    counts = {r["severity"]: r["count"] for r in rows.groupBy("severity").count().collect()}
+    assert counts == {"error": 3, "info": n - 4 + 2} == {r.severity: r.n for r in reconcile.relationship_severities(bd, dd, runs).collect()}
+
+
 def test_values_of_three_kinds(spark):
     """Pictures, width relations and DCB clauses; the same parts in another order are the same."""
     schema = "id int, predicate string, subject string, object string, value string, qualifiers map<string,string>"
