@@ -52,6 +52,20 @@ def test_calls(code):
     }
 
 
+def test_classes_of_an_interface_share_targets(spark):
+    """A call on an interface whose classes inherit one method is one edge, not one for each class."""
+    n = 500
+    d = defs(("a.py", "I", "interface", None), ("a.py", "Top", "class", None), ("a.py", "go", "method", "Top"), ("b.py", "go", "method", "K1"), ("u.py", "act", "method", "User"))
+    frames = {
+        "calls": ([(k, "u.py::User.act", "u.py", "self.x", "go", k) for k in range(20)], CALLS), "definitions": (d, DEFS), "imports": ([], IMPORTS), "attributes": ([("u.py", "User", None, "x", "I", False, 0)], ATTRS),
+        "bases": ([(f"k{k}.py", f"K{k}", base, 2 * k + j) for k in range(n) for j, base in enumerate(("I", "Top"))], BASES),
+    }
+    frames = {k: spark.createDataFrame(rows, schema) for k, (rows, schema) in frames.items()}
+    rows = [tuple(r) for r in R.call_edges(**frames).select("call_id", "dst", "confidence").collect()]
+    assert sorted(rows) == sorted((k, dst, 0.15) for k in range(20) for dst in ("a.py::Top.go", "b.py::K1.go"))
+    assert R.symbol_edges(**frames).filter("edge_type = 'calls'").select("dst", "line").distinct().count() == 2
+
+
 def test_all_edges_once(code):
     rows = R.symbol_edges(**code).collect()
     assert len({(r.src, r.dst, r.edge_type, r.confidence >= 0.7) for r in rows}) == len(rows)
