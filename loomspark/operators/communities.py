@@ -26,46 +26,72 @@ def prepared_edges(edges: DataFrame) -> DataFrame:
     return real.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").cast("double").alias("weight"))
 
 
+#: Up to this many nodes, a round sends their labels to all executors (some 100 MB); more are joined by shuffles.
+BROADCAST_NODES = 2_000_000
+
+
 def _moved(both: DataFrame, rounds: int, resolution: float) -> DataFrame:
-    """(node, community) after at most `rounds` rounds of moves over edges (a, b, weight) in both directions; loops count in degrees only."""
-    degree = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")))
-    two_m = degree.agg(F.sum("k").alias("t")).first()["t"]
-    labels = table = checkpoint(degree.select("node", F.col("node").alias("community")))
+    """(node, community) after at most `rounds` rounds of moves over edges (a, b, weight) in both directions; loops count in degrees only.
+
+    Nodes are numbers.  A round reads the edges of the nodes whose turn it is and no others; each edge brings its neighbour's community and
+    that community's total along, so that only sums by node and community are shuffled.
+    """
+    labels = table = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")).withColumn("community", F.col("node")))
+    n, two_m = labels.agg(F.count("*"), F.sum("k")).first()
     if not two_m:
-        return labels
+        return labels.select("node", "community")
+    sent = F.broadcast if n <= BROADCAST_NODES else lambda df: df
     quiet = 0
     for r in range(rounds):
-        near = both.filter("a <> b").join(labels.withColumnsRenamed({"node": "b", "community": "c"}), "b").groupBy(F.col("a").alias("node"), F.col("c")).agg(F.sum("weight").alias("w"))
-        totals = labels.join(degree, "node").groupBy(F.col("community").alias("c")).agg(F.sum("k").alias("total"))
-        gains = near.join(totals, "c").join(degree, "node").join(labels, "node")
-        own_part = F.when(F.col("c") == F.col("community"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("total") - own_part) / two_m, 9)
-        best = gains.withColumn("gain", gain).groupBy("node").agg(F.max_by(F.col("c"), F.struct("gain", F.col("c") == F.col("community"))).alias("c"), F.max("gain").alias("gain"), F.max(F.when(F.col("c") == F.col("community"), F.col("gain"))).alias("stay"))
-        turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        moved = labels.join(best, "node", "left").withColumn("to", F.when(turn & (F.col("gain") > F.coalesce("stay", F.lit(0.0))), F.col("c")).otherwise(F.col("community")))
-        table = checkpoint(moved.select("node", F.col("to").alias("community"), (F.col("to") != F.col("community")).alias("changed")), instead_of=table)
-        labels = table.select("node", "community")
+        totals = labels.groupBy("community").agg(F.sum("k").alias("total"))
+        there = labels.join(totals, "community").select(F.col("node").alias("b"), F.col("community").alias("c"), "total")
+        turn = F.pmod(F.xxhash64("a", F.lit(r)), F.lit(2)) == 0
+        near = both.filter("a <> b").filter(turn).join(sent(there), "b").groupBy(F.col("a").alias("node"), "c").agg(F.sum("weight").alias("w"), F.first("total").alias("total"))
+        own = F.col("c") == F.col("community")
+        gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("total") - F.when(own, F.col("k")).otherwise(0.0)) / two_m, 9)
+        gains = near.join(sent(labels), "node").select("node", "c", gain.alias("gain"), own.alias("own"))
+        best = gains.groupBy("node").agg(F.max(F.struct("gain", "own", (-F.col("c")).alias("c"))).alias("x"), F.max(F.when(F.col("own"), F.col("gain"))).alias("stay"))
+        better = best.filter(F.col("x.gain") > F.coalesce("stay", F.lit(0.0))).select("node", (-F.col("x.c")).alias("to"))
+        moved = labels.join(better, "node", "left").withColumn("to", F.coalesce("to", "community"))
+        table = checkpoint(moved.select("node", "k", F.col("to").alias("community"), (F.col("to") != F.col("community")).alias("changed")), instead_of=table)
+        labels = table.select("node", "k", "community")
         quiet = quiet + 1 if table.filter("changed").isEmpty() else 0
         if quiet >= 2:
             break
-    return labels
+    return labels.select("node", "community")
+
+
+def _numbered(names: DataFrame) -> DataFrame:
+    """(name, number) of distinct names, from 0 without gaps in the order of the names."""
+    # spark's ids hold the partition above 33 bits: gaps between partitions are closed by the counts of those before
+    placed = checkpoint(names.sort("name").select("name", F.monotonically_increasing_id().alias("_i"))).withColumn("_p", F.shiftright("_i", 33))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = placed.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_start", before)  # a row for each partition
+    return checkpoint(placed.join(F.broadcast(starts), "_p").select("name", (F.col("_start") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))).alias("number")))
 
 
 def detect(weighted: DataFrame, rounds: int = 20, resolution: float = RESOLUTION) -> DataFrame:
     """(node, community), small communities absorbed, named by smallest member.
 
     Nodes move to better communities; then communities become the nodes of a smaller graph, whose edges carry their summed
-    weights, and move in turn, until a level joins nothing.
+    weights, and move in turn, until a level joins nothing.  Meanwhile names are numbers in the order of the names.
     """
-    both = checkpoint(weighted.select("a", "b", "weight").union(weighted.select("b", "a", "weight")))
+    weighted = checkpoint(weighted.select("a", "b", "weight"))
+    names = _numbered(weighted.select("a").union(weighted.select("b")).distinct().toDF("name")).withColumnRenamed("number", "node")
+    sent = F.broadcast if names.count() <= BROADCAST_NODES else lambda df: df
+    coded = weighted.join(sent(names.toDF("a", "x")), "a").join(sent(names.toDF("b", "y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"), "weight")
+    # a node's edges lie together, so that they are summed before they are shuffled
+    both = checkpoint(coded.select("a", "b", "weight").union(coded.select("b", "a", "weight")).repartition("a").sortWithinPartitions("a"))
     level, labels = both, None
     while True:
         found = checkpoint(_moved(level, rounds, resolution))
         labels = found if labels is None else checkpoint(labels.join(found.toDF("community", "upper"), "community").select("node", F.col("upper").alias("community")))
-        if found.filter("node <> community").isEmpty():
+        # nodes that only change names, as two that swap theirs, join nothing
+        if found.select("community").distinct().count() == found.count():
             break
-        level = checkpoint(level.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("weight").alias("weight")))
-    return canonical(absorb(both, labels))
+        level = checkpoint(level.join(sent(found.toDF("a", "x")), "a").join(sent(found.toDF("b", "y")), "b").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("weight").alias("weight")))
+    placed = canonical(absorb(both, labels))
+    return placed.join(names, "node").select(F.col("name").alias("_n"), F.col("community").alias("node")).join(names, "node").select(F.col("_n").alias("node"), F.col("name").alias("community"))
 
 
 def absorb(both: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
@@ -103,7 +129,7 @@ def summaries(edges: DataFrame, labels: DataFrame, hubs: int = 3) -> DataFrame:
     """(community, members, internal_edges, hub_nodes, neighbours, neighbour_communities, modularity): hubs by in-degree inside the community."""
     a = labels.withColumnsRenamed({"node": "src", "community": "ca"})
     b = labels.withColumnsRenamed({"node": "dst", "community": "cb"})
-    placed = edges.filter("src <> dst").select("src", "dst").join(a, "src").join(b, "dst")
+    placed = checkpoint(edges.filter("src <> dst").select("src", "dst").join(a, "src").join(b, "dst"))  # read five times
     m = placed.agg(F.count("*").alias("m"))
     inner = placed.filter("ca = cb")
     internal = inner.groupBy(F.col("ca").alias("community")).agg(F.count("*").alias("internal_edges"))

@@ -100,3 +100,20 @@ def test_louvain_joins_levels(spark):
 def test_edge_merge_keeps_first_and_authoritative(spark):
     claims = spark.createDataFrame([(1, "bd", "p", "q", "calls", "", 3, "unverified"), (2, "dd", "p", "q", "calls", "", 5, "corroborating"), (3, "bd", "p", "r", "calls", "", None, "unverified")], "id int, side string, subject string, object string, edge_type string, edge_key string, value int, confidence string")
     assert rows(documents.project_edges(claims), "object", "value", "confidence", "evidence") == [("q", 5, "authoritative", [1, 2]), ("r", None, "unverified", [3])]
+
+
+def test_communities_that_swap_names_end(spark, monkeypatch):
+    """A level whose nodes only change names joins nothing, so that no further level follows; numbers follow the names without gaps."""
+    calls = []
+
+    def swapped(both, rounds, resolution):
+        calls.append(1)
+        assert len(calls) < 3
+        nodes = sorted(r[0] for r in both.select("a").distinct().collect())
+        return spark.createDataFrame(list(zip(nodes, reversed(nodes), strict=True)), "node long, community long")
+
+    monkeypatch.setattr(communities, "_moved", swapped)
+    edges = spark.createDataFrame([("x", "y", 1.0), ("y", "z", 1.0), ("z", "w", 1.0)], "a string, b string, weight double")
+    assert {r.node for r in communities.detect(edges).collect()} == {"w", "x", "y", "z"}
+    names = spark.createDataFrame([(f"n{i:03d}",) for i in range(100)], "name string").repartition(7)
+    assert [tuple(r) for r in communities._numbered(names).sort("name").collect()] == [(f"n{i:03d}", i) for i in range(100)]
