@@ -63,25 +63,26 @@ def index(spark: SparkSession, sf_dir: str) -> bm25.Index:
     return _INDEXES[state]
 
 
-_SCORES: dict[tuple[str, str, str, str], DataFrame] = {}
+#: No query looks further down the ranking of its chunks.
+TOP = 100
+_TOPS: dict[tuple[str, str, str, str], DataFrame] = {}
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bm25.Index, DataFrame]:
-    """Scores at six decimals, so that sums of another order rank alike; the index; the query terms.
+def _tops(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bm25.Index, DataFrame]:
+    """The 100 best chunks of each query with their rank, by scores at six decimals, so that sums of another order rank alike; the index; the query terms.
 
-    The scores of the benchmark are a table like the index: written once for each state of documents and benchmark.
+    They are a table like the index: written once for each state of documents and benchmark.
     """
     i, q = index(spark, sf_dir), terms(spark, sf_dir)
     state = (spark.sparkContext.applicationId, sf_dir, version(read(spark, sf_dir, "documents")), version(read(spark, sf_dir, "benchmark")))
-    if state not in _SCORES:
-        _SCORES[state] = checkpoint(bm25.scores(i, q).withColumn("bm25", F.round("bm25", 6)))
-    return _SCORES[state], i, q
+    if state not in _TOPS:
+        _TOPS[state] = checkpoint(bm25.top_k(bm25.best(i, q, TOP), TOP))
+    return _TOPS[state], i, q
 
 
-def _best(scored: DataFrame, i: bm25.Index, k: int, *columns: str) -> DataFrame:
-    """The k best chunks of each query with more of their columns: cut first, then joined."""
-    top = bm25.small(bm25.top_k(scored, k))
-    return i.chunks.select("chunk_id", *columns).join(top, "chunk_id")
+def _best(tops: DataFrame, i: bm25.Index, k: int, *columns: str) -> DataFrame:
+    """The k best chunks of each query with more of their columns."""
+    return i.chunks.select("chunk_id", *columns).join(bm25.small(tops.filter(F.col("rank") <= k)), "chunk_id")
 
 
 def _six(name: str):
@@ -90,8 +91,8 @@ def _six(name: str):
 
 def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best chunks of every benchmark text."""
-    scored, i, _ = _scored(spark, sf_dir)
-    return _best(scored, i, 10, "rel_path").select("query_id", "rank", "chunk_id", "rel_path", "bm25")
+    tops, i, _ = _tops(spark, sf_dir)
+    return _best(tops, i, 10, "rel_path").select("query_id", "rank", "chunk_id", "rel_path", "bm25")
 
 
 _TOP = _CHUNKS + ", t AS (SELECT query_id, chunk_id, rel_path, content, round(bm25, 6) AS bm25, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, chunk_id) AS INTEGER) AS rank FROM b)"
@@ -99,8 +100,8 @@ _TOP = _CHUNKS + ", t AS (SELECT query_id, chunk_id, rel_path, content, round(bm
 
 def bm25_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks within four fifths of each query's best score."""
-    scored, _, _ = _scored(spark, sf_dir)
-    return bm25.cut_off(scored, 1.0, 0.8).select("query_id", "chunk_id", "bm25")
+    found = bm25.best(index(spark, sf_dir), terms(spark, sf_dir), 1, share=0.8)
+    return bm25.cut_off(found, 1.0, 0.8).select("query_id", "chunk_id", "bm25")
 
 
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,12 +117,9 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 per file fused with the number of query terms that a file holds: the ten best files of each query."""
-    scored, i, q = _scored(spark, sf_dir)
-    files = i.chunks.select("chunk_id", "rel_path")
-    best = scored.join(files, "chunk_id").groupBy("query_id", "rel_path").agg(F.max("bm25").alias("score"))
-    asked = bm25.small(q.distinct())
-    words = i.postings.join(bm25.small(asked.select("term").distinct()), "term").join(files, "chunk_id").select("rel_path", "term").distinct()
-    hits = words.join(asked, "term").groupBy("query_id", "rel_path").agg(F.count("*").alias("score"))
+    i, q = index(spark, sf_dir), terms(spark, sf_dir)
+    best = bm25.best(i, q, 100, "rel_path").withColumnRenamed("bm25", "score")
+    hits = bm25.most_terms(i, q, 100, "rel_path")
     lists = ranking.ranked(best, "score", "rel_path", 100, "bm25").unionByName(ranking.ranked(hits, "score", "rel_path", 100, "terms"))
     fused = ranking.rrf(lists.withColumnRenamed("rel_path", "item")).withColumn("rrf", F.round("rrf", 6))
     flat = fused.withColumn("signals", F.array_join(F.transform("ranks", lambda x: F.concat_ws("=", x["signal"], x["rank"])), ","))
@@ -143,8 +141,8 @@ FROM z QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, rel_p
 
 def budget_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 100 best chunks of each query under a budget of 7,000 tokens; what would overflow is skipped."""
-    scored, i, _ = _scored(spark, sf_dir)
-    rows = _best(scored, i, 100, "content").select("query_id", "rank", "chunk_id", T.token_estimate(F.col("content")).cast("long").alias("tokens"))
+    tops, i, _ = _tops(spark, sf_dir)
+    rows = _best(tops, i, 100, "content").select("query_id", "rank", "chunk_id", T.token_estimate(F.col("content")).cast("long").alias("tokens"))
     return ranking.budget(rows, 7000, [F.col("rank")])
 
 
@@ -160,8 +158,8 @@ SELECT query_id, rank, chunk_id, tokens FROM f WHERE kept
 
 def capped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 100 best chunks of each query, no more of a file than its cap allows."""
-    scored, i, _ = _scored(spark, sf_dir)
-    top, c = _best(scored, i, 100, "rel_path").select("query_id", "rank", "chunk_id", "rel_path"), i.chunks
+    tops, i, _ = _tops(spark, sf_dir)
+    top, c = _best(tops, i, 100, "rel_path").select("query_id", "rank", "chunk_id", "rel_path"), i.chunks
     sizes = c.groupBy("rel_path").agg(F.count("*").alias("n"), F.sum(F.char_length("content")).alias("size"), F.count_if(F.col("chunk_type") == "function").alias("symbols"))
     total = c.agg(F.count("*").alias("total"))
     caps = sizes.join(F.broadcast(total)).select("rel_path", ranking.file_cap(F.col("n"), F.col("total"), F.lit(False), F.col("symbols"), F.col("size")).alias("cap"))
@@ -179,8 +177,8 @@ SELECT query_id, rank, chunk_id FROM y JOIN cap USING (rel_path) WHERE i <= cap
 
 def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage, path entropy and the quality label of each query's ten best chunks."""
-    scored, i, q = _scored(spark, sf_dir)
-    top = checkpoint(_best(scored, i, 10, "rel_path", "content", "chunk_type"))
+    tops, i, q = _tops(spark, sf_dir)
+    top = checkpoint(_best(tops, i, 10, "rel_path", "content", "chunk_type"))
     parts = ranking.coverage(q, top).join(ranking.path_entropy(top), "query_id")
     tops = top.groupBy("query_id").agg(F.max("bm25").alias("best"), F.bool_or(ranking.has_definition(F.col("chunk_type"), F.col("content"))).alias("has_definition"))
     made = parts.join(tops, "query_id").withColumn("q", ranking.quality_label(F.round("coverage", 6), F.round("path_entropy", 6), F.col("has_definition"), F.col("best")))
@@ -216,12 +214,14 @@ SELECT chunk_id, open AND nx IS NOT NULL AND nx <> '' AS expanded, CASE WHEN ope
 
 def mode_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision at 5, hit rate and tokens of BM25 against plain term hits; relevant is a chunk that holds half the terms."""
-    scored, i, q = _scored(spark, sf_dir)
-    hit = checkpoint(i.postings.join(bm25.small(q.distinct()), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits")))
+    tops, i, q = _tops(spark, sf_dir)
     n, c = q.groupBy("query_id").agg(F.count("*").alias("n")), i.chunks
-    a = bm25.top_k(scored, 10).select("query_id", "chunk_id", "rank", F.lit("bm25").alias("mode"))
-    b = bm25.top_k(hit, 10, "hits").select("query_id", "chunk_id", "rank", F.lit("hits").alias("mode"))
-    rows = bm25.small(a.unionByName(b)).join(hit, ["query_id", "chunk_id"]).join(n, "query_id").join(c.select("chunk_id", T.token_estimate(F.col("content")).cast("long").alias("tokens")), "chunk_id")
+    a = tops.filter("rank <= 10").select("query_id", "chunk_id", "rank", F.lit("bm25").alias("mode"))
+    b = bm25.top_k(bm25.most_terms(i, q, 10), 10, "score").select("query_id", "chunk_id", "rank", F.lit("hits").alias("mode"))
+    both = bm25.small(a.unionByName(b))
+    held = i.rows.join(bm25.small(both.select("chunk_id").distinct()), "chunk_id").select("chunk_id", F.explode("terms").alias("term"))
+    hit = held.join(bm25.small(q.distinct()), "term").join(both.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits"))
+    rows = both.join(hit, ["query_id", "chunk_id"]).join(n, "query_id").join(c.select("chunk_id", T.token_estimate(F.col("content")).cast("long").alias("tokens")), "chunk_id")
     out = ranking.mode_metrics(rows.withColumn("relevant", F.col("hits") * 2 >= F.col("n")))
     return out.select("mode", _six("precision_at_5"), _six("hit_rate"), "tokens")
 

@@ -55,8 +55,8 @@ def hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four signals' ranks, and the stage-1 chunks behind them."""
-    scored, i, _ = retrieval._scored(spark, sf_dir)
-    stage1 = checkpoint(retrieval._best(scored, i, 100, "rel_path"))
+    tops, i, _ = retrieval._tops(spark, sf_dir)
+    stage1 = checkpoint(retrieval._best(tops, i, 100, "rel_path"))
     best = stage1.groupBy("query_id", "rel_path").agg(F.max("bm25").alias("score"))
     edges, files = checkpoint(call_edges(spark, sf_dir)), doc_files(spark, sf_dir).drop("text")
     return (
@@ -84,9 +84,7 @@ def final_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused ranks (0.6) with those of a second ranking (0.4), here by the number of query terms: ten files a query."""
     fused = ranking.rrf(_lists(spark, sf_dir).withColumnRenamed("rel_path", "item")).withColumn("rrf", F.round("rrf", 6))
     first = ranking.ranked(fused.withColumnRenamed("item", "rel_path"), "rrf", "rel_path", 100, "fused")
-    i, q = retrieval.index(spark, sf_dir), bm25.small(retrieval.terms(spark, sf_dir).distinct())
-    words = i.postings.join(bm25.small(q.select("term").distinct()), "term").join(i.chunks.select("chunk_id", "rel_path"), "chunk_id").select("rel_path", "term").distinct()
-    hits = words.join(q, "term").groupBy("query_id", "rel_path").agg(F.count("*").alias("score"))
+    hits = bm25.most_terms(retrieval.index(spark, sf_dir), retrieval.terms(spark, sf_dir), 100, "rel_path")
     second = ranking.ranked(hits, "score", "rel_path", 100, "second")
     both = ranking.rrf(first.unionByName(second).withColumnRenamed("rel_path", "item"), {"fused": 0.6, "second": 0.4}).withColumn("rrf", F.round("rrf", 6))
     return bm25.top_k(both.select("query_id", F.col("item").alias("chunk_id"), "rrf"), 10, "rrf").select("query_id", "rank", F.col("chunk_id").alias("rel_path"), "rrf")
@@ -100,8 +98,8 @@ def _ranges(chunks: DataFrame) -> DataFrame:
 
 def second_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second stage's scores of each query's 100 best chunks that reach the floor (or the five best of a query without any)."""
-    scored, i, q = retrieval._scored(spark, sf_dir)
-    top = checkpoint(_ranges(retrieval._best(scored, i, 100, "rel_path", "chunk_index", "content", "chunk_type", "lang", "source")).drop("content"))
+    tops, i, q = retrieval._tops(spark, sf_dir)
+    top = checkpoint(_ranges(retrieval._best(tops, i, 100, "rel_path", "chunk_index", "content", "chunk_type", "lang", "source")).drop("content"))
     seeds = top.filter("rank <= 20")
     edges = call_edges(spark, sf_dir)
     yes = F.lit(True)
@@ -117,15 +115,17 @@ def second_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def single_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best chunks of each query by the single-stage score, in both of its forms."""
     i, q = retrieval.index(spark, sf_dir), retrieval.terms(spark, sf_dir)
-    scored = bm25.scores(i, q, weighted=False).withColumn("bm25", F.round("bm25", 6))
-    files = doc_files(spark, sf_dir).select("rel_path", "category")
+    # what a chunk can gain beside its BM25: a hinted category, the first of the central files, 1.8 and 0.9, and 0.6 for each term in its path
+    scored = checkpoint(bm25.best(i, q, 20, weighted=False, slack=signals.CATEGORY_BONUS + signals.CENTRAL_BONUS + 1.8 + 0.9, path_slack=0.6))
     central = F.broadcast(central_files(call_edges(spark, sf_dir)).withColumnRenamed("rank", "central_rank"))  # 30 rows
-    inside = bm25.path_hits(files, bm25.small(q.distinct()).withColumn("idf", F.lit(0))).groupBy("query_id", "rel_path").agg(F.count("*").alias("path_terms"))
-    marked = scored.join(i.chunks.select("chunk_id", "rel_path", "chunk_index", F.col("lang").alias("category")), "chunk_id")
-    marked = marked.join(hints(spark, sf_dir).withColumn("hinted", F.lit(True)), ["query_id", "category"], "left").join(central, "rel_path", "left").join(inside, ["query_id", "rel_path"], "left")
+    marked = i.chunks.select("chunk_id", "rel_path", "chunk_index", F.col("lang").alias("category")).join(scored, "chunk_id")
+    asked = q.distinct().groupBy("query_id").agg(F.collect_list("term").alias("_terms"))
+    held = F.size(F.filter("_terms", lambda t: F.contains(F.lower("rel_path"), t)))
+    marked = marked.join(asked, "query_id").withColumn("path_terms", held).drop("_terms")
+    marked = marked.join(hints(spark, sf_dir).withColumn("hinted", F.lit(True)), ["query_id", "category"], "left").join(central, "rel_path", "left")
     modes = []
     for mode, vectorless in (("vectorless", True), ("hybrid", False)):
-        score = signals.single_stage_score(F.col("bm25"), F.col("hinted"), F.col("central_rank"), F.col("rel_path"), F.coalesce("path_terms", F.lit(0)), vectorless)
+        score = signals.single_stage_score(F.col("bm25"), F.col("hinted"), F.col("central_rank"), F.col("rel_path"), F.col("path_terms"), vectorless)
         modes.append(marked.select("query_id", "chunk_id", "rel_path", "chunk_index", F.lit(mode).alias("mode"), F.round(score, 6).alias("score")))
     own = W.partitionBy("query_id", "mode").orderBy(F.desc("score"), "rel_path", "chunk_index")
     top = modes[0].unionByName(modes[1]).withColumn("rank", F.row_number().over(own)).filter("rank <= 20")
@@ -148,8 +148,8 @@ def substring_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def best_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best chunk of each file that a query's 100 best chunks lie in: by score, else with a whole symbol, else the first."""
-    scored, i, _ = retrieval._scored(spark, sf_dir)
-    top = checkpoint(retrieval._best(scored, i, 100, "rel_path"))
+    tops, i, _ = retrieval._tops(spark, sf_dir)
+    top = checkpoint(retrieval._best(tops, i, 100, "rel_path"))
     c = _ranges(i.chunks.select("chunk_id", "rel_path", "chunk_index", "content")).withColumnsRenamed({"start": "start_line", "end": "end_line"})
     s = symbols(spark, sf_dir).select("rel_path", F.col("start").alias("line_start"), F.col("end").alias("line_end"))
     # every second query's scores are withheld, so that the other two rules decide
@@ -159,8 +159,8 @@ def best_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def expansion_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files one call away from a query's ten best files that are not among its best 100 themselves, and the rerank target."""
-    scored, i, _ = retrieval._scored(spark, sf_dir)
-    top = checkpoint(retrieval._best(scored, i, 100, "rel_path").groupBy("query_id", "rel_path").agg(F.min("rank").alias("rank")))
+    tops, i, _ = retrieval._tops(spark, sf_dir)
+    top = checkpoint(retrieval._best(tops, i, 100, "rel_path").groupBy("query_id", "rel_path").agg(F.min("rank").alias("rank")))
     files = call_edges(spark, sf_dir).select(T.symbol_file(F.col("src")).alias("src"), T.symbol_file(F.col("dst")).alias("dst"))
     near = graph.undirected(files).withColumnRenamed("src", "rel_path")
     new = top.filter("rank <= 10").select("query_id", "rel_path").join(near, "rel_path").select("query_id", F.col("dst").alias("rel_path")).distinct().join(top.select("query_id", "rel_path"), ["query_id", "rel_path"], "left_anti")
@@ -169,16 +169,16 @@ def expansion_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing parts of split documents of which at least half are among a query's 15 best chunks."""
-    scored, i, _ = retrieval._scored(spark, sf_dir)
+    tops, i, _ = retrieval._tops(spark, sf_dir)
     n = F.count("*").over(W.partitionBy("rel_path", F.floor(F.col("chunk_index") / 3)))
     c = i.chunks.select("chunk_id", "rel_path", "chunk_index").withColumn("split_of", n).withColumn("split_part", F.col("chunk_index") % 3)
-    return ranking.split_completion(bm25.top_k(scored, 15), c).select("query_id", "chunk_id", F.col("split_part").cast("int").alias("split_part"))
+    return ranking.split_completion(tops.filter("rank <= 15"), c).select("query_id", "chunk_id", F.col("split_part").cast("int").alias("split_part"))
 
 
 def function_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of symbols that call, or are called by, the first symbol of each query's five best chunks."""
-    scored, i, _ = retrieval._scored(spark, sf_dir)
-    seeds = checkpoint(bm25.top_k(scored, 5).select("query_id", "chunk_id"))
+    tops, i, _ = retrieval._tops(spark, sf_dir)
+    seeds = checkpoint(tops.filter("rank <= 5").select("query_id", "chunk_id"))
     c = _ranges(i.chunks.select("chunk_id", "rel_path", "chunk_index", "content"))
     s = symbols(spark, sf_dir).select("fqn", "rel_path", "start", "end")
     following = s.withColumn("next", F.lead("fqn").over(W.partitionBy(F.substring("rel_path", 1, 5), F.substring_index("fqn", "::", -1)).orderBy("rel_path", "start")))
