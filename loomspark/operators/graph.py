@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomspark.functions import text as T
+from loomspark.operators.communities import _numbered
 from loomspark.sources.tables import checkpoint
 
 
@@ -92,18 +93,47 @@ def impact_cone(edges: DataFrame, seeds: DataFrame, most: int, limit: int = 500)
     return kept.join(back, ["seed", "node"], "left")
 
 
-def reverse_cone(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
-    """(seed, node, hop): what depends on each seed; the seed itself counts when a cycle leads back to it."""
+#: Numbers of seeds that one group of a cone's hop may bring together before its node is dealt to several groups.
+SEEDS_A_GROUP = 1 << 22
+
+
+def _dealt(rows: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """rows (node, came, old) with a part: 0, or for heavy nodes (node, parts) a seed's number modulo the node's parts."""
+    if heavy is None:
+        return rows.withColumn("part", F.lit(0))
+    k = F.col("parts")
+    split = lambda x: F.filter(x, lambda s: s % k == F.col("part"))
+    dealt = rows.join(heavy, "node", "left").withColumn("part", F.explode(F.when(k.isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), k - 1))))
+    return dealt.select("node", *(F.when(k.isNull(), F.col(x)).otherwise(split(F.col(x))).alias(x) for x in ("came", "old")), "part")
+
+
+def reverse_cone(edges: DataFrame, seeds: DataFrame, most: int, group: int = SEEDS_A_GROUP) -> DataFrame:
+    """(seed, node, hop): what depends on each seed; the seed itself counts when a cycle leads back to it.
+
+    Seeds are numbered, and all hops go together: a row is a node with the seeds that reach it first at one hop, so that an edge carries
+    its seeds at once.  A node with many edges and seeds is dealt to parts by seed, so that no group outgrows `group` by much.
+    """
     steps = checkpoint(reverse(edges).distinct())
-    first = seeds.select(F.col("node").alias("seed")).join(steps, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-    seen = frontier = checkpoint(first.withColumn("hop", F.lit(1)))
-    for hop in range(2, most + 1):
-        reached = frontier.join(steps, frontier["node"] == steps["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = checkpoint(reached.join(seen, ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop)))
-        if frontier.isEmpty():
+    names = _numbered(seeds.filter("node is not null").select(F.col("node").alias("name")).distinct()).select(F.col("name").alias("seed"), F.col("number").cast("int").alias("number"))
+    sizes = steps.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
+    widest = sizes.agg(F.max("n")).first()[0] or 0
+    frontier, seen = names.select(F.col("seed").alias("node"), F.array("number").alias("seeds")), None
+    none = F.lit(None).cast("array<int>")
+    for hop in range(1, most + 1):
+        rows = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node"), F.col("seeds").alias("came"), none.alias("old"))
+        if seen is not None:
+            rows = rows.unionByName(seen.select("node", none.alias("came"), F.col("seeds").alias("old")))
+        longest = 1 if seen is None else frontier.agg(F.max(F.size("seeds"))).first()[0]
+        heavy = None
+        if widest * longest > group:
+            heavy = checkpoint(sizes.filter(F.col("n") * longest > group).select("node", F.ceil(F.col("n") * longest / group).cast("int").alias("parts")))
+        both = _dealt(rows, heavy).groupBy("node", "part").agg(F.flatten(F.collect_list("came")).alias("came"), F.flatten(F.collect_list("old")).alias("old"))
+        reached = both.select("node", F.array_except("came", "old").alias("seeds"), F.lit(hop).alias("hop")).filter(F.size("seeds") > 0)
+        frontier = reached if hop == most and hop > 1 else checkpoint(reached)
+        seen = frontier if seen is None else seen.unionByName(frontier)
+        if hop < most and frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+    return seen.select("node", "hop", F.explode("seeds").alias("number")).join(names, "number").select("seed", "node", "hop")
 
 
 def symbol_cone(edges: DataFrame, seeds: DataFrame, most: int = 6, min_confidence: float = 0.7, kinds: list[str] | None = None, stop_above: int = 500) -> DataFrame:

@@ -63,6 +63,21 @@ def test_reverse_cone_can_hold_its_seed(spark):
     assert {(r.node, r.hop) for r in graph.reverse_cone(edges, seeds, 3).collect()} == {("b", 1), ("c", 1), ("a", 2)}
 
 
+def test_reverse_cone_stores_no_pairs(spark, monkeypatch):
+    """Seeds behind one hub that many nodes lead to: what is stored grows with edges, not with pairs; heavy nodes are dealt to parts."""
+    made, plain = [], graph.checkpoint
+    monkeypatch.setattr(graph, "checkpoint", lambda df, **more: made.append(plain(df, **more)) or made[-1])
+    n = 30
+    pairs = [("hub", f"s{i}") for i in range(n)] + [(f"n{i}", "hub") for i in range(n)] + [("s0", "n0"), ("s1", "hub")]
+    edges, seeds = spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([(f"s{i}",) for i in range(n)], "node string")
+    want = {(f"s{i}", "hub", 1) for i in range(n)} | {(f"s{i}", f"n{j}", 2) for i in range(n) for j in range(n)} | {(f"s{i}", s, h) for i in range(n) for s, h in (("s0", 3), ("s1", 2))}
+    for more in ({}, {"group": 7}):
+        got = [tuple(r) for r in graph.reverse_cone(edges, seeds, 3, **more).collect()]
+        assert len(got) == len(want) and set(got) == want
+        if not more:
+            assert max(df.count() for df in made) <= len(pairs)
+
+
 def test_shortest_path_cases(spark):
     edges = spark.createDataFrame([("a", "c"), ("a", "b"), ("b", "d"), ("c", "d")], "src string, dst string")
     pairs = spark.createDataFrame([("a", "d"), ("a", "a"), ("d", "a")], "src string, dst string")
