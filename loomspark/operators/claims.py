@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from loomspark.functions.text import slugify
 from loomspark.operators.relations import artifact_name
+from loomspark.sources.tables import checkpoint
 
 # Utilities of the system, which are never programs of the code.
 UTILITIES = ["IDCAMS", "SORT", "IEFBR14", "CEE3ABD", "DFSORT", "ICEGENER", "IEBGENER"]
@@ -123,15 +124,62 @@ def _some(*claims: Column) -> Column:
     return F.array_compact(F.array(*claims))
 
 
-def _row_claims(job: str, narrow: tuple[str, str, str, str] | None, programs: str) -> Column:
-    """All claims of a row of the kinds that need nothing but the row."""
-    c = {k: cell(k) for k in HEADERS}
-    own = artifact_name(F.col("artifact"))
+# The cells that claims of a kind read.
+CELLS = {
+    "called": ["called", "sites", "resolved"],
+    "copied": ["member", "source"],
+    "field": ["field", "pic", "notes"],
+    "step": ["step", "program", "parameters"],
+    "dd": ["ddname", "disp", "dcb", "dsn"],
+    "flow": ["input", "output", "process", "stage"],
+    "actor": ["actor", "role"],
+    "dependency": ["dependency", "resolution"],
+}
+
+
+def _parsed(tables: DataFrame) -> DataFrame:
+    """Each row's kind (`_kind`), the cells that its kind reads (`_c_...`, null for other kinds), and the names by which a detailed design is known.
+
+    Stored, as parsing costs more than all that follows and every kind of claim reads it.
+    """
+    kinds = tables.withColumn("_kind", kind_of())
+    needed = {what: [k for k, own in CELLS.items() if what in own] for own in CELLS.values() for what in own}
+    cells = [F.when(F.col("_kind").isin(kinds_), cell(what)).alias(f"_c_{what}") for what, kinds_ in needed.items()]
+    return checkpoint(kinds.select("cluster_id", "doc_id", "doc_kind", artifact_name(F.col("artifact")).alias("_own"), "section_id", "section_title", "line", "_kind", *cells, _known().alias("_known")))
+
+
+def _c() -> dict[str, Column]:
+    return {what: F.col(f"_c_{what}") for own in CELLS.values() for what in own}
+
+
+def _found(rows: DataFrame, job: str, programs: str) -> DataFrame:
+    """Parsed rows with what patterns find in them, each once: names of fields, steps and datasets that claims name repeatedly."""
+    c = _c()
+    of = lambda kind, x: F.when(F.col("_kind") == kind, x)
+    place = F.coalesce(_first(F.upper("section_title"), STEP_TITLE), F.upper(F.element_at(F.split("section_id", "/"), -1)))
+    stage = _first(F.concat_ws(" ", c["process"], c["stage"], "section_id"), STEP_NAME)
+    doer = F.upper(_first(c["process"], rf"(?i)\b({programs}|{'|'.join(UTILITIES)})\b"))
+    return rows.withColumns({
+        "_sites": of("called", F.transform(F.filter(F.split(c["sites"], ","), lambda s: F.trim(s) != ""), lambda s: F.trim(F.regexp_replace(s, r"\s*\(.*?\)", "")))),
+        "_name": of("field", F.trim(F.regexp_replace(F.upper(c["field"]), r"\s*\(L?\d+[-–]?\d*\)$", ""))),
+        "_runs": of("step", _head(c["program"], r"[\s,]")),
+        "_step": of("step", _head(c["step"], r"[\s(@]")),
+        "_guard": of("step", F.upper(_first(c["parameters"], r"(?i)\bCOND=\([^)]+\)"))),
+        "_place": of("dd", place),
+        "_dcb": of("dd", F.nullif(F.trim(F.regexp_replace(c["dcb"], r"\s*\([^)]*\)", "")), F.lit(""))),
+        "_data": of("dd", F.upper(_first(c["dsn"], DSN))),
+        "_subject": of("flow", F.coalesce(F.concat(F.lit(f"step/{job}."), _head(stage, r"[\s(@]")), _typed(doer))),
+    })
+
+
+def _row_claims(narrow: tuple[str, str, str, str] | None) -> Column:
+    """All claims of a row (of _found) of the kinds that need nothing but the row."""
+    c, own = _c(), F.col("_own")
     program, job_node = F.concat(F.lit("program/"), own), F.concat(F.lit("job/"), own)
     concat = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
 
     called, shown = F.upper(c["called"]), F.upper(c["resolved"])
-    sites = F.transform(F.filter(F.split(c["sites"], ","), lambda s: F.trim(s) != ""), lambda s: F.trim(F.regexp_replace(s, r"\s*\(.*?\)", "")))
+    sites = F.col("_sites")
     outside = F.contains(shown, F.lit("EXTERNAL")) | called.isin(UTILITIES)
     unsure = outside | F.contains(c["resolved"], F.lit("✗")) | F.contains(shown, F.lit("UNRESOLVED"))
     calls = _claim("calls", program, concat(F.when(unsure, "extroutine/").otherwise("program/"), called), F.when(c["sites"] == "", 0).otherwise(F.size(sites)).cast("string"), _qualifiers(call_sites=F.array_join(sites, ","), resolution_status=c["resolved"]), F.when(outside, "external").when(unsure, "unresolved").otherwise("asserted"))
@@ -139,7 +187,7 @@ def _row_claims(job: str, narrow: tuple[str, str, str, str] | None, programs: st
     member = F.replace(F.upper(c["member"]), F.lit(".CPY"), F.lit(""))
     copies = _claim("copies", program, concat("copybook/", member), c["source"])
 
-    name, pic = F.trim(F.regexp_replace(F.upper(c["field"]), r"\s*\(L?\d+[-–]?\d*\)$", "")), F.upper(c["pic"])
+    name, pic = F.col("_name"), F.upper(c["pic"])
     fields = [F.when((name != "") & (pic != ""), _claim("field_pic", concat("field/", own, ".", name), None, pic))]
     if narrow:
         dest, dest_pic, source, source_pic = narrow
@@ -147,16 +195,14 @@ def _row_claims(job: str, narrow: tuple[str, str, str, str] | None, programs: st
         widths = _qualifiers(relation=F.lit("narrower_than"), dest_pic=F.lit(dest_pic), src_pic=F.lit(source_pic))
         fields.append(F.when((name != "") & (pic != "") & hit, _claim("field_width_relation", concat("field/", own, f".{dest}"), concat("field/", own, f".{source}"), F.lit("narrower_than"), widths)))
 
-    runs, step = _head(c["program"], r"[\s,]"), concat("step/", own, ".", _head(c["step"], r"[\s(@]"))
-    guard = _qualifiers(cond_guard=F.upper(_first(c["parameters"], r"(?i)\bCOND=\([^)]+\)")))
+    runs, step, guard = F.col("_runs"), concat("step/", own, ".", F.col("_step")), _qualifiers(cond_guard=F.col("_guard"))
     both = (c["step"] != "") & (c["program"] != "")
     steps = [F.when(both, _claim("runs", job_node, step, None, guard)), F.when(both, _claim("runs", step, _typed(runs), None, guard, F.when(runs.isin(UTILITIES), "external").otherwise("asserted")))]
 
-    place = F.coalesce(_first(F.upper("section_title"), STEP_TITLE), F.upper(F.element_at(F.split("section_id", "/"), -1)))
+    place = F.col("_place")
     dd_name, at = F.upper(c["ddname"]), concat("step/", own, ".", place)
     dd = concat("dd/", own, ".", place, ".", dd_name)
-    dcb = F.nullif(F.trim(F.regexp_replace(c["dcb"], r"\s*\([^)]*\)", "")), F.lit(""))
-    data, mode = concat("dataset/", F.upper(_first(c["dsn"], DSN))), F.when(F.rlike(F.upper(c["disp"]), F.lit("NEW|MOD|WRITE")), "write").otherwise("read")
+    dcb, data, mode = F.col("_dcb"), concat("dataset/", F.col("_data")), F.when(F.rlike(F.upper(c["disp"]), F.lit("NEW|MOD|WRITE")), "write").otherwise("read")
     there = (dd_name != "") & data.isNotNull()
     bound = [
         F.when(dd_name != "", _claim("binds_dd", at, dd, None, _qualifiers(dcb=dcb, disp=c["disp"]))),
@@ -164,9 +210,7 @@ def _row_claims(job: str, narrow: tuple[str, str, str, str] | None, programs: st
         F.when(there, _claim("accesses", at, data, None, _qualifiers(mode=mode, ddname=dd_name, disp=c["disp"], dcb=dcb))),
     ]
 
-    stage = _first(F.concat_ws(" ", c["process"], c["stage"], "section_id"), STEP_NAME)
-    doer = F.upper(_first(c["process"], rf"(?i)\b({programs}|{'|'.join(UTILITIES)})\b"))
-    subject = F.coalesce(concat(f"step/{job}.", _head(stage, r"[\s(@]")), _typed(doer))
+    subject = F.col("_subject")
     named = lambda x: F.filter(F.regexp_extract_all(x, F.lit(f"({DSN})"), 1), lambda d: ~F.endswith(d, F.lit(".REPORT.MD")))
     taken = F.lower(F.concat_ws(" ", c["process"], c["input"]))
     wipes = F.lit(False)
@@ -182,20 +226,27 @@ def _row_claims(job: str, narrow: tuple[str, str, str, str] | None, programs: st
     ).cast(f"array<{_CLAIM}>")
 
 
-def known_names(tables: DataFrame) -> DataFrame:
-    """(cluster_id, name, program, copybook, ddname): what the detailed designs of a cluster know a name as."""
+def _known() -> Column:
+    """The names (name, is) that a row of a detailed design makes known."""
     run, member = _head(cell("program"), r"[\s,]"), F.replace(F.upper(cell("member")), F.lit(".CPY"), F.lit(""))
     cobol, jcl = F.col("doc_kind") == "dd_cobol", F.col("doc_kind") == "dd_jcl"
     copies = F.exists("headers", lambda h: F.contains(F.upper(h), F.lit("COPY MEMBER")))
     known = lambda name, kind: F.struct(name.alias("name"), F.lit(kind).alias("is"))
-    found = F.array_compact(F.array(
-        F.when(cobol, known(artifact_name(F.col("artifact")), "program")), F.when(cobol & copies & (member != ""), known(member, "copybook")),
-        F.when(jcl & (cell("program") != "") & ~run.isin(UTILITIES), known(run, "program")), F.when(jcl & (cell("ddname") != ""), known(F.upper(cell("ddname")), "ddname")),
-    ))
-    rows = tables.filter(cobol | jcl).select("cluster_id", F.explode(found).alias("f"))
+    of_cobol = F.array(known(artifact_name(F.col("artifact")), "program"), F.when(copies & (member != ""), known(member, "copybook")))
+    of_jcl = F.array(F.when((cell("program") != "") & ~run.isin(UTILITIES), known(run, "program")), F.when(cell("ddname") != "", known(F.upper(cell("ddname")), "ddname")))
+    return F.when(cobol, F.array_compact(of_cobol)).when(jcl, F.array_compact(of_jcl))
+
+
+def _by_name(found: DataFrame) -> DataFrame:
+    rows = found.select("cluster_id", F.explode("_known").alias("f"))
     return rows.groupBy("cluster_id", F.col("f.name").alias("name")).agg(*(F.bool_or(F.col("f.is") == k).alias(k) for k in ("program", "copybook", "ddname")))
 
 
+def known_names(tables: DataFrame) -> DataFrame:
+    """(cluster_id, name, program, copybook, ddname): what the detailed designs of a cluster know a name as."""
+    return _by_name(tables.select("cluster_id", _known().alias("_known")))
+
+
 def table_claims(tables: DataFrame, job: str, programs: str, narrow: tuple[str, str, str, str] | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """(cluster_id, doc_id, side, line, kind, predicate, subject, object, value, qualifiers, status): what each row of a table claims.
 
@@ -203,21 +254,24 @@ def table_claims(tables: DataFrame, job: str, programs: str, narrow: tuple[str,
     fields of which the first cuts the second off (its name and picture, then the other's), aliases (alias, dsn) other names of
     datasets.  Actors and dependencies are told apart by what the detailed designs of the cluster know.
     """
-    rows = tables.withColumn("_kind", kind_of()).filter("_kind is not null")
+    parsed = _parsed(tables)
+    rows = parsed.filter("_kind is not null")
     base = ["cluster_id", "doc_id", F.when(F.col("doc_kind") == "bd", "bd").otherwise("dd").alias("side"), "line", F.col("_kind").alias("kind")]
-    plain = rows.filter("_kind not in ('actor', 'dependency')").select(*base, F.explode(_row_claims(job, narrow, programs)).alias("_c")).select("cluster_id", "doc_id", "side", "line", "kind", "_c.*")
-    known = known_names(tables)
+    # an outer explode, since for the other Spark infers a filter that works out all claims once more
+    plain = _found(rows.filter("_kind not in ('actor', 'dependency')"), job, programs)
+    plain = plain.select(*base, F.explode_outer(_row_claims(narrow)).alias("_c")).filter("_c is not null").select("cluster_id", "doc_id", "side", "line", "kind", "_c.*")
+    known = checkpoint(_by_name(parsed))
 
     # actors: programs that are known, else persons and systems
-    actor = rows.filter("_kind = 'actor'").select(*base, cell("actor").alias("_actor"), cell("role").alias("_role"))
+    actor = rows.filter("_kind = 'actor'").select(*base, F.col("_c_actor").alias("_actor"), F.col("_c_role").alias("_role"))
     actor = actor.withColumn("name", _first(F.col("_actor"), r"\b[A-Z0-9]{6,8}\b")).join(known.filter("program").select("cluster_id", "name", "program"), ["cluster_id", "name"], "left")
     person = F.replace(F.lower(F.trim(F.regexp_replace("_actor", r"[^\w\s-]", ""))), F.lit(" "), F.lit("_"))
     said = F.when(F.col("program"), _claim("references", F.concat(F.lit("program/"), "name"), qualifiers=_qualifiers(is_actor=F.lit("true"), role=F.col("_role")))).when(person != "", _claim("references", F.concat(F.lit("actor/"), person)))
     actors = actor.select("cluster_id", "doc_id", "side", "line", "kind", said.cast(_CLAIM).alias("_c")).filter("_c is not null").select("cluster_id", "doc_id", "side", "line", "kind", "_c.*")
 
     # dependencies: caller -> callees, each of which is a copybook, a DD name, a program, a utility or nothing
-    part = lambda k: F.regexp_extract(cell("dependency"), ARROW, k)
-    dep = rows.filter("_kind = 'dependency'").select(*base, cell("dependency").alias("_dep"), cell("resolution").alias("_res"), part(1).alias("_from"), F.explode(F.split(part(2), "[,/]")).alias("_to"))
+    part = lambda k: F.regexp_extract("_c_dependency", ARROW, k)
+    dep = rows.filter("_kind = 'dependency'").select(*base, F.col("_c_dependency").alias("_dep"), F.col("_c_resolution").alias("_res"), part(1).alias("_from"), F.explode(F.split(part(2), "[,/]")).alias("_to"))
     dep = dep.filter("_from <> '' and not contains(_from, '.')").withColumns({"_caller": F.upper(F.substring_index("_from", "/", 1)), "name": F.upper(F.regexp_extract("_to", r"^\s*([A-Za-z0-9]+)", 1))}).filter("name <> ''")
     callers = known.filter("program").select("cluster_id", F.col("name").alias("_caller"))
     dep = dep.join(callers, ["cluster_id", "_caller"], "left_semi").join(known, ["cluster_id", "name"], "left")

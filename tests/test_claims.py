@@ -62,6 +62,14 @@ def test_claims_by_kind(spark):
     assert claims.table_claims(tables.limit(0), "NIGHT", "PAY").collect() == []
 
 
+def test_rows_are_parsed_once(spark):
+    """Every kind of claim reads one stored table of parsed cells instead of parsing the tables' rows anew."""
+    tables = spark.createDataFrame([row(1, "dd_cobol", "GEN.DD.COBOL-P.report.md", 1, ["COPY member"], ["a.cpy"]), row(2, "bd", "GEN.BD-X.md", 1, ["Dependency"], ["P -> A"])], TABLES)
+    made = claims.table_claims(tables, "NIGHT", "PAY")
+    assert sorted((r.doc_id, r.predicate, r.object) for r in made.collect()) == [(1, "copies", "copybook/A"), (2, "copies", "copybook/A")]
+    assert "headers" not in made._jdf.queryExecution().toString()
+
+
 def test_citations_of_three_forms(spark):
     r = "GEN.DD.COBOL-A.report.md"
     texts = [f"{r} and {r} §4.2, {r} §9", f"{r} step 4.1/4.9", f"{r} STEP 4.1/5", f"{r} §3 Control-Flow", f"{r} §3 Controls", "GEN.DD.JCL-NO.report.md step 1", f"{r} §Title", None]
