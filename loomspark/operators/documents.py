@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomspark.functions import text as T
+from loomspark.sources.tables import checkpoint
 
 
 def merge_nodes(rows: DataFrame) -> DataFrame:
@@ -41,10 +42,24 @@ def legacy_symbol_edges(edges: DataFrame) -> DataFrame:
     return kept.groupBy("src_symbol", "dst_symbol", "edge_type").agg(F.min_by("confidence_score", "ord").alias("confidence_score"), F.min_by("resolution_method", "ord").alias("resolution_method"), F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-def annotation_edges(notes: DataFrame, entities: DataFrame) -> DataFrame:
-    """(note_id, entity_id): notes (note_id, text) that hold an entity's name as a word, not their own."""
-    words = notes.select("note_id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit("([A-Z0-9_.-]*[A-Z0-9_])"), F.lit(1)))).alias("word"))
-    return words.join(entities.select("entity_id", F.upper("name").alias("word")), "word").filter("note_id <> entity_id").select("note_id", "entity_id").distinct()
+#: Pairs of a note and an entity that a task tells apart.
+PAIRS_A_TASK = 1 << 21
+
+
+def annotation_edges(notes: DataFrame, entities: DataFrame, pairs_a_task: int = PAIRS_A_TASK) -> DataFrame:
+    """(note_id, entity_id): notes (note_id, text) that hold an entity's name as a word, not their own.
+
+    A pair comes up once for each shared name.  Pairs are counted by word first and then dealt to as many tasks as they need before repeats
+    go, so that no task holds the pairs of all notes that it has read.
+    """
+    words = notes.repartition("note_id").select("note_id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit("([A-Z0-9_.-]*[A-Z0-9_])"), F.lit(1)))).alias("word"))
+    names = checkpoint(entities.select("entity_id", F.upper("name").alias("word")).distinct())
+    words = checkpoint(words.join(names.select("word").distinct(), "word", "left_semi"))
+    sizes = names.groupBy("word").agg(F.count("*").alias("n"))
+    pairs = words.groupBy("word").agg(F.count("*").alias("m")).join(sizes, "word").agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0
+    tasks = -(-pairs // pairs_a_task) or 1
+    made = words.join(names, "word").filter("note_id <> entity_id").select("note_id", "entity_id")
+    return made.repartition(tasks, "note_id", "entity_id").distinct()
 
 
 def ancestors(bases: DataFrame, most: int = 20) -> DataFrame:

@@ -60,3 +60,12 @@ def test_symbols_and_barrels(spark):
     assert {(r.key, r.fqn) for r in D.symbol_keys(symbols).collect()} == {("run", "a.py::T.Run"), ("t.run", "a.py::T.Run"), ("a.py::t.run", "a.py::T.Run"), ("main", "a.py::main"), ("a.py::main", "a.py::main")}
     edges = spark.createDataFrame([("a::x", "b::y", 0.9), ("a::x", "b::y", 0.9), ("a::x", "a::z", 1.0), ("c::x", "b::y", 0.5)], "src string, dst string, confidence double")
     assert [tuple(r) for r in D.confident_neighbours(edges, spark.createDataFrame([("a",)], "rel_path string")).collect()] == [("b", 0.9)]
+
+
+def test_annotation_pairs_are_dealt_by_their_number(spark):
+    """Six notes with two words that name five entities each: 60 pairs before repeats go, of which a task gets ten."""
+    notes = spark.createDataFrame([(i, "alpha and beta") for i in range(6)], "note_id long, text string")
+    entities = spark.createDataFrame([(k, w) for k in range(5) for w in ("Alpha", "beta")], "entity_id long, name string")
+    made = D.annotation_edges(notes, entities, 10)
+    assert sorted(map(tuple, made.collect())) == [(i, k) for i in range(6) for k in range(5) if i != k]
+    assert made.rdd.getNumPartitions() == 6
