@@ -74,11 +74,19 @@ def neighbourhood_edges(edges: DataFrame, nodes: DataFrame, most: int, limit: in
     At most `limit` a seed, repeated edges kept: those nearest to the seed first, then by name.
     """
     near = checkpoint(nodes.select("seed", "node", "hop"))
-    left = edges.join(near.select("seed", F.col("node").alias("src"), F.col("hop").alias("_a")), "src")
-    both = left.join(near.select("seed", F.col("node").alias("dst"), F.col("hop").alias("_b")), ["seed", "dst"]).filter(F.least("_a", "_b") < most)
+    names = _numbered(near.select(F.col("seed").alias("name")).distinct()).select(F.col("name").alias("seed"), F.col("number").cast("int").alias("_number"))
+    # seeds are numbers, and a pair of nodes meets all seeds of both ends at once instead of one row a seed
+    rings = checkpoint(near.join(names, "seed").groupBy("node", "hop").agg(F.collect_list("_number").alias("seeds")))
+    end = lambda x, hop, seeds: rings.select(F.col("node").alias(x), F.col("hop").alias(hop), F.col("seeds").alias(seeds))
+    both = edges.select("src", "dst").distinct().join(end("src", "_a", "_s"), "src").join(end("dst", "_b", "_t"), "dst").filter(F.least("_a", "_b") < most)
+    inside = both.select("src", "dst", F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"), F.explode(F.array_intersect("_s", "_t")).alias("_number"))
+    # each pair has an edge at least, so that the first pairs hold the first edges
+    by_pair = W.partitionBy("_number").orderBy("_a", "_b", "src", "dst")
+    first = inside.withColumn("_r", F.row_number().over(by_pair)).filter(F.col("_r") <= limit).drop("_r")
     rest = [c for c in edges.columns if c not in ("src", "dst")]
-    own = W.partitionBy("seed").orderBy(F.least("_a", "_b"), F.greatest("_a", "_b"), "src", "dst", *rest)
-    return both.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= limit).select("seed", "src", "dst", *rest)
+    own = W.partitionBy("_number").orderBy("_a", "_b", "src", "dst", *rest)
+    kept = edges.join(first, ["src", "dst"]).withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= limit)
+    return kept.join(names, "_number").select("seed", "src", "dst", *rest)
 
 
 def reverse(edges: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from loomspark.functions import text as T
 from loomspark.operators import communities, graph
-from loomspark.sources.tables import read
+from loomspark.sources.tables import checkpoint, read
 
 
 def symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def neighbourhood_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neighbourhood_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges of each seed's neighbourhood of two hops and 60 parts, 40 at most."""
     e = symbol_edges(spark, sf_dir)
-    flat = e.select(T.symbol_file(F.col("src")).alias("src"), T.symbol_file(F.col("dst")).alias("dst"), "edge_type", F.round("confidence", 6).alias("confidence"))
+    flat = checkpoint(e.select(T.symbol_file(F.col("src")).alias("src"), T.symbol_file(F.col("dst")).alias("dst"), "edge_type", F.round("confidence", 6).alias("confidence")))
     return graph.neighbourhood_edges(flat, graph.neighbourhood(flat, seeds(spark, sf_dir), 2, 60), 2, 40)
 
 

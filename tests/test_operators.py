@@ -78,6 +78,22 @@ def test_reverse_cone_stores_no_pairs(spark, monkeypatch):
             assert max(df.count() for df in made) <= len(pairs)
 
 
+def test_neighbourhood_edges_keep_seeds_together(spark, monkeypatch):
+    """Seeds around one hub: a node holds its seeds in a row for each hop, not in a row for each seed."""
+    made, plain = [], graph.checkpoint
+    monkeypatch.setattr(graph, "checkpoint", lambda df, **more: made.append(plain(df, **more)) or made[-1])
+    n = 12
+    edges = spark.createDataFrame([(f"s{i:02}", "hub", k) for i in range(n) for k in (1, 2)], "src string, dst string, line int")
+    near = [(f"s{i:02}", f"s{j:02}", 0 if i == j else 2) for i in range(n) for j in range(n)] + [(f"s{i:02}", "hub", 1) for i in range(n)]
+    got = graph.neighbourhood_edges(edges, spark.createDataFrame(near, "seed string, node string, hop int"), 2, 5).collect()
+    want = []
+    for i in range(n):
+        mine, others = f"s{i:02}", [f"s{j:02}" for j in range(n) if j != i]
+        want += [(mine, x, "hub", k) for x, k in [(mine, 1), (mine, 2), (others[0], 1), (others[0], 2), (others[1], 1)]]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert [df.count() for df in made if "seeds" in df.columns] == [2 * n + 1]
+
+
 def test_shortest_path_cases(spark):
     edges = spark.createDataFrame([("a", "c"), ("a", "b"), ("b", "d"), ("c", "d")], "src string, dst string")
     pairs = spark.createDataFrame([("a", "d"), ("a", "a"), ("d", "a")], "src string, dst string")
