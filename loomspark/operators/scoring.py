@@ -11,8 +11,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pairs of rows and queries, and of postings and queries, that are held at a time.
-CELLS, PAIRS = 1 << 18, 1 << 21
+#: Pairs of rows and queries, of postings and queries, and of rows and query terms, that are held at a time.
+CELLS, PAIRS, TERM_CELLS = 1 << 18, 1 << 21, 1 << 22
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -89,12 +89,12 @@ class _Pool:
         self.floor = np.where(full, least, 0.0)
 
 
-def _blocks(pairs: np.ndarray, queries: int) -> Iterator[tuple[int, int]]:
-    """Stretches of rows of at most CELLS cells and PAIRS pairs, a row at least."""
-    done, lo = np.cumsum(pairs), 0
+def _blocks(pairs: np.ndarray, queries: int, terms: int = 1) -> Iterator[tuple[int, int]]:
+    """Stretches of rows of at most CELLS and TERM_CELLS cells and PAIRS pairs, a row at least."""
+    done, lo, most = np.cumsum(pairs), 0, min(CELLS // queries, TERM_CELLS // terms)
     while lo < len(pairs):
         hi = int(np.searchsorted(done, (done[lo - 1] if lo else 0) + PAIRS, "right"))
-        hi = max(lo + 1, min(hi, lo + max(1, CELLS // queries), len(pairs)))
+        hi = max(lo + 1, min(hi, lo + max(1, most), len(pairs)))
         yield lo, hi
         lo = hi
 
@@ -160,3 +160,59 @@ def best_rows(rows: DataFrame, wanted: DataFrame, k: int, value: Column, share:
 
     lean = rows.select("item", F.lower("path").alias("path"), F.col("weight").cast("double").alias("weight"), "terms", value.cast("array<double>").alias("value"))
     return lean.mapInArrow(task, f"query_id {kinds['q_query_id']}, item {kinds['item']}, score double")
+
+
+def _spread(rows: np.ndarray, codes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place): for each row's code the places from its start on, as many as its count."""
+    n = counts[codes]
+    return np.repeat(rows, n), np.repeat(starts[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def best_hits(rows: DataFrame, wanted: DataFrame, k: int, inside: bool) -> DataFrame:
+    """(query_id, item, hits): each query's k best items of every task by occurrences of its terms, ties to the smaller item.
+
+    rows (item, path, words), an item in one row; wanted (query_id, term).  A term counts as often as it is a word, or lies inside the words, and
+    2 if it lies in the path, also alone.  A batch's distinct words meet the terms once; a row's terms are summed before they meet their queries.
+    """
+    sent = send_terms(wanted.withColumn("idf", F.lit(1.0)))
+    kinds = dict(rows.dtypes) | {f"q_{n}": t for n, t in wanted.dtypes}
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, terms, _, _, _, _ = sent.value
+        queries, width, pool, number = len(ids), len(terms), None, {t: i for i, t in enumerate(terms.to_pylist())}
+        lengths = sorted({len(t) for t in number})
+        for batch in batches if queries else ():
+            item_type, items = batch["item"].type, batch["item"].to_numpy(zero_copy_only=False)
+            pool = pool or _Pool(k, queries, items.dtype)
+            words, paths = batch["words"].flatten().dictionary_encode(), batch["path"].dictionary_encode()
+            known = words.dictionary.to_pylist()
+            if inside:
+                w, term = _inside(known, number, lengths)
+                names = terms.to_pylist()
+                amount = np.array([known[a].count(names[b]) for a, b in zip(w.tolist(), term.tolist(), strict=True)], float)
+            else:
+                term = pc.fill_null(pc.index_in(words.dictionary, value_set=terms), -1).to_numpy()
+                w, term = np.nonzero(term >= 0)[0], term[term >= 0]
+                amount = np.ones(len(w))
+            p, p_term = _inside(paths.dictionary.to_pylist(), number, lengths)
+            n, p_n = np.bincount(w, minlength=len(known)), np.bincount(p, minlength=len(paths.dictionary))
+            begin, p_begin = np.cumsum(n) - n, np.cumsum(p_n) - p_n
+            size, code = pc.list_value_length(batch["words"]).to_numpy(), words.indices.to_numpy()
+            row, of = np.repeat(np.arange(len(size)), size), pc.fill_null(paths.indices, -1).to_numpy()
+            has = np.nonzero(of >= 0)[0]
+            for lo, hi in _blocks(np.bincount(row, n[code], len(size)), queries, width):
+                a, b = np.searchsorted(row, [lo, hi])
+                r, at = _spread(row[a:b] - lo, code[a:b], begin, n)
+                own = has[slice(*np.searchsorted(has, [lo, hi]))]
+                r2, at2 = _spread(own - lo, of[own], p_begin, p_n)
+                held = np.bincount(np.r_[r * width + term[at], r2 * width + p_term[at2]], weights=np.r_[amount[at], np.full(len(r2), 2.0)], minlength=(hi - lo) * width)
+                cell = np.flatnonzero(held)
+                hits = _summed(cell // width, cell % width, held[cell], hi - lo, queries, sent.value)
+                r, q = np.nonzero((hits > 0) & (hits >= pool.floor))
+                pool.add(q, r, items[lo:hi], hits[r, q])
+        if pool:
+            pool.cut()
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(pool.query)), pa.array(pool.item, item_type), pa.array(pool.score.astype(int), pa.int64())], ["query_id", "item", "hits"])
+
+    lean = rows.select("item", F.lower("path").alias("path"), "words")
+    return lean.mapInArrow(task, f"query_id {kinds['q_query_id']}, item {kinds['item']}, hits long")

@@ -134,16 +134,14 @@ def single_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best chunks of each query by plain hits of its terms, for a corpus without an index."""
-    c, q = retrieval.chunks(spark, sf_dir), bm25.small(retrieval.terms(spark, sf_dir).distinct())
-    inside = bm25.path_hits(c.select("rel_path").distinct(), q.withColumn("idf", F.lit(0))).drop("idf")
-    return bm25.top_k(signals.lexical_hits(c, q, inside), 10, "hits").select("query_id", "rank", "chunk_id", "hits")
+    found = signals.best_chunk_hits(retrieval.chunks(spark, sf_dir), retrieval.terms(spark, sf_dir), 10, inside=False)
+    return bm25.top_k(found, 10, "hits").select("query_id", "rank", "chunk_id", "hits")
 
 
 def substring_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best chunks of each query by occurrences of its terms anywhere in them."""
-    c, q = retrieval.chunks(spark, sf_dir), bm25.small(retrieval.terms(spark, sf_dir).distinct())
-    inside = bm25.path_hits(c.select("rel_path").distinct(), q.withColumn("idf", F.lit(0))).drop("idf")
-    return bm25.top_k(signals.substring_hits(c, q, inside), 10, "hits").select("query_id", "rank", "chunk_id", "hits")
+    found = signals.best_chunk_hits(retrieval.chunks(spark, sf_dir), retrieval.terms(spark, sf_dir), 10, inside=True)
+    return bm25.top_k(found, 10, "hits").select("query_id", "rank", "chunk_id", "hits")
 
 
 def best_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
