@@ -120,7 +120,7 @@ def merged_symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of the part graph: size, hubs and modularity of each."""
-    e = file_edges(spark, sf_dir)
+    e = checkpoint(file_edges(spark, sf_dir))  # read twice
     labels = communities.detect(communities.prepared_edges(e), resolution=1.0)
     return communities.summaries(e, labels).select("community", "members", "internal_edges", F.array_join("hub_nodes", ",").alias("hub_nodes"), "neighbours", F.array_join("neighbour_communities", ",").alias("neighbour_communities"), F.round("modularity", 6).alias("modularity"))
 

@@ -1,5 +1,8 @@
 """Relations, signals, exports and sources: the cases where a plain reading would go wrong."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +120,29 @@ def test_communities_that_swap_names_end(spark, monkeypatch):
     assert {r.node for r in communities.detect(edges).collect()} == {"w", "x", "y", "z"}
     names = spark.createDataFrame([(f"n{i:03d}",) for i in range(100)], "name string").repartition(7)
     assert [tuple(r) for r in communities._numbered(names).sort("name").collect()] == [(f"n{i:03d}", i) for i in range(100)]
+
+
+def test_moves_over_blocks_are_those_over_rows(spark, monkeypatch):
+    """Edges lie in few rows of arrays, none lost; communities are those of sums over a row for each edge, with weights, loops, ties and lone nodes."""
+    rng = random.Random(11)
+    once = {}
+    for _ in range(400):
+        a, b = rng.randrange(90) * 7, rng.randrange(90) * 7
+        once[min(a, b), max(a, b)] = float(rng.randint(1, 3))
+    once[5000, 5000] = 2.0  # a node of a loop only
+    both = spark.createDataFrame([(*e, w) for (a, b), w in once.items() for e in {(a, b), (b, a)}], "a long, b long, weight double").repartition(3)
+    monkeypatch.setattr(communities, "BLOCK_EDGES", 100)
+    packed = communities._packed(both, 8, 20, "u4").collect()
+    assert len(packed) <= 8 * 3 and {r.block for r in packed} == set(range(8))
+    flat = [x for r in packed for x in zip(np.frombuffer(r.a, "u4").tolist(), np.frombuffer(r.b, "u4").tolist(), np.frombuffer(r.weight).tolist(), np.frombuffer(r.turns, "i4").tolist(), strict=True)]
+    assert sorted(x[:3] for x in flat) == sorted(tuple(r) for r in both.filter("a <> b").collect())
+    for r in (0, 1, 19):
+        now = {x.b for x in both.filter(communities._turn("b", r)).collect()}
+        assert all((turns >> r & 1 == 1) == (b in now) for _, b, _, turns in flat)
+    for edges in (both, both.filter("a = b"), both.filter("a <> b and a < 70 and b < 70")):
+        for resolution in (0.4, 1.0):
+            monkeypatch.setattr(communities, "HUB_EDGES", 4_000_000)
+            found = sorted(map(tuple, communities._moved(edges, 6, resolution).collect()))
+            monkeypatch.setattr(communities, "HUB_EDGES", 0)
+            assert found == sorted(map(tuple, communities._moved(edges, 6, resolution).collect()))
+            assert len(found) == edges.select("a").distinct().count()
