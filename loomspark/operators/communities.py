@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomspark.sources.tables import checkpoint
+from loomspark.sources.tables import bucketed, checkpoint
 
 RESOLUTION = 0.4
 PSEUDO = ("__external__/", "__unresolved__/", "__synthetic__/")
@@ -50,15 +50,17 @@ def _moved(both: DataFrame, rounds: int, resolution: float) -> DataFrame:
 
     Nodes are numbers.  Edges lie in blocks of nodes, as arrays, unless a node has too many of them for one block.
     """
-    degrees = both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k"), F.count("*").alias("edges")).withColumn("community", F.col("node"))
+    degrees = both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k"), F.count("*").alias("edges"), F.max("weight").alias("heaviest"), F.bool_and(F.col("weight") == F.floor("weight")).alias("whole")).withColumn("community", F.col("node"))
     labels = checkpoint(degrees)
-    n, two_m, edges, most, top = labels.agg(F.count("*"), F.sum("k"), F.sum("edges"), F.max("edges"), F.max("node")).first()
+    n, two_m, edges, most, top, heaviest, whole = labels.agg(F.count("*"), F.sum("k"), F.sum("edges"), F.max("edges"), F.max("node"), F.max("heaviest"), F.bool_and("whole")).first()
     labels = labels.select("node", "k", "community")
     if not two_m:
         return labels.select("node", "community")
     if most > HUB_EDGES:
         return _moved_by_rows(both, labels, n, two_m, rounds, resolution)
-    return _moved_by_blocks(both, labels, edges, two_m, top, rounds, resolution)
+    # the shortest numbers that hold nodes, weights and sums of weights exactly
+    kinds = "u4" if top < 1 << 32 else "i8", "u1" if whole and heaviest < 1 << 8 else "f8", "u4" if whole and two_m < 1 << 32 else "f8"
+    return _moved_by_blocks(both, labels, edges, two_m, top, kinds, rounds, resolution)
 
 
 def _arrays(table: pa.Table, **kinds: str) -> list[np.ndarray]:
@@ -81,7 +83,7 @@ def _sorted(table: pa.Table, *names: str) -> list[np.ndarray]:
     return [table[name].to_numpy()[order] for name in names]
 
 
-def _packed(both: DataFrame, blocks: int, rounds: int, number: str) -> DataFrame:
+def _packed(both: DataFrame, blocks: int, rounds: int, number: str, weights: str) -> DataFrame:
     """(block, a, b, weight, turns): the edges as raw arrays by the block of a; turns has a bit for each round that is b's turn."""
     turns = F.lit((1 << min(rounds, TURNS)) - 1).cast("long")
     for r in range(min(rounds, TURNS)):  # as _turn, in few operations
@@ -93,7 +95,7 @@ def _packed(both: DataFrame, blocks: int, rounds: int, number: str) -> DataFrame
         def out() -> pa.RecordBatch:
             a, b, weight, turn = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return pa.RecordBatch.from_arrays(_dealt(a % blocks, blocks, a.astype(number), b.astype(number), weight, turn), ["block", "a", "b", "weight", "turns"])
+            return pa.RecordBatch.from_arrays(_dealt(a % blocks, blocks, a.astype(number), b.astype(number), weight.astype(weights), turn), ["block", "a", "b", "weight", "turns"])
 
         for batch in batches:
             held.append([batch[x].to_numpy() for x in ("a", "b", "weight", "turns")])
@@ -103,30 +105,32 @@ def _packed(both: DataFrame, blocks: int, rounds: int, number: str) -> DataFrame
             yield out()
 
     rows = both.filter("a <> b").select("a", "b", "weight", turns.cast("int").alias("turns"))
-    return checkpoint(rows.mapInArrow(task, "block int, a binary, b binary, weight binary, turns binary"))
+    return rows.mapInArrow(task, "block int, a binary, b binary, weight binary, turns binary")
 
 
-def _moved_by_blocks(both: DataFrame, labels: DataFrame, edges: int, two_m: float, top: int, rounds: int, resolution: float) -> DataFrame:
+def _moved_by_blocks(both: DataFrame, labels: DataFrame, edges: int, two_m: float, top: int, kinds: tuple[str, str, str], rounds: int, resolution: float) -> DataFrame:
     """Rounds over blocks of nodes: a block's edges meet its nodes' communities as arrays and carry them, with the communities' totals, to the
-    blocks of the nodes whose turn it is, which are few thousand rows of arrays instead of a row for each edge."""
-    blocks = max(edges // BLOCK_EDGES + 1, min(4 * both.sparkSession.sparkContext.defaultParallelism, edges // 5000 + 1))
-    number = "u4" if top < 1 << 32 else "i8"
-    packed = _packed(both, blocks, rounds, number)
+    blocks of the nodes whose turn it is, which are few thousand rows of arrays instead of a row for each edge.  Edges stay in their buckets."""
+    spark = both.sparkSession
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    blocks = max(edges // BLOCK_EDGES + 1, min(tasks, edges // 5000 + 1))
+    number, weights, sums = kinds
+    packed, name = bucketed(_packed(both, blocks, rounds, number, weights), min(blocks, max(tasks, blocks // 8)), "block")
 
     def carry(r: int):
         def task(edges: pa.Table, nodes: pa.Table) -> pa.Table:
-            a, b, weight, turns = _arrays(edges, a=number, b=number, weight="f8", turns="i4")
+            a, b, weight, turns = _arrays(edges, a=number, b=number, weight=weights, turns="i4")
             node, community, total = _sorted(nodes, "node", "community", "total")
             some = np.flatnonzero((turns >> r % TURNS) & 1)
             at = np.searchsorted(node, a[some])
-            return pa.table(_dealt(b[some] % blocks, blocks, b[some], community[at].astype(number), weight[some], total[at]), ["block", "node", "c", "weight", "total"])
+            return pa.table(_dealt(b[some] % blocks, blocks, b[some], community[at].astype(number), weight[some], total.astype(sums)[at]), ["block", "node", "c", "weight", "total"])
 
         return task
 
     def settle(sent: pa.Table, nodes: pa.Table) -> pa.Table:
         node, k, community = _sorted(nodes, "node", "k", "community")
         moved = community.copy()
-        b, c, weight, total = _arrays(sent, node=number, c=number, weight="f8", total="f8")
+        b, c, weight, total = _arrays(sent, node=number, c=number, weight=weights, total=sums)
         if len(b):
             key = np.searchsorted(node, b) * (top + 1) + c.astype("i8")
             order = np.argsort(key)
@@ -134,7 +138,7 @@ def _moved_by_blocks(both: DataFrame, labels: DataFrame, edges: int, two_m: floa
             begin = np.flatnonzero(np.r_[True, np.diff(key) != 0])
             at, c = np.divmod(key[begin], top + 1)
             own = c == community[at]
-            w, total = np.add.reduceat(weight[order], begin), total[order][begin]
+            w, total = np.add.reduceat(weight[order].astype("f8"), begin), total[order[begin]].astype("f8")
             gain = np.round(w - resolution * k[at] * (total - np.where(own, k[at], 0.0)) / two_m, 9)
             first = np.flatnonzero(np.r_[True, np.diff(at) != 0])
             best = np.maximum.reduceat(gain, first)
@@ -160,6 +164,7 @@ def _moved_by_blocks(both: DataFrame, labels: DataFrame, edges: int, two_m: floa
         quiet = quiet + 1 if table.filter("changed").isEmpty() else 0
         if quiet >= 2:
             break
+    spark.sql(f"DROP TABLE {name}")
     return labels.select("node", "community")
 
 

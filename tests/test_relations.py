@@ -132,17 +132,19 @@ def test_moves_over_blocks_are_those_over_rows(spark, monkeypatch):
     once[5000, 5000] = 2.0  # a node of a loop only
     both = spark.createDataFrame([(*e, w) for (a, b), w in once.items() for e in {(a, b), (b, a)}], "a long, b long, weight double").repartition(3)
     monkeypatch.setattr(communities, "BLOCK_EDGES", 100)
-    packed = communities._packed(both, 8, 20, "u4").collect()
+    packed = communities._packed(both, 8, 20, "u4", "u1").collect()
     assert len(packed) <= 8 * 3 and {r.block for r in packed} == set(range(8))
-    flat = [x for r in packed for x in zip(np.frombuffer(r.a, "u4").tolist(), np.frombuffer(r.b, "u4").tolist(), np.frombuffer(r.weight).tolist(), np.frombuffer(r.turns, "i4").tolist(), strict=True)]
+    flat = [x for r in packed for x in zip(np.frombuffer(r.a, "u4").tolist(), np.frombuffer(r.b, "u4").tolist(), np.frombuffer(r.weight, "u1").tolist(), np.frombuffer(r.turns, "i4").tolist(), strict=True)]
     assert sorted(x[:3] for x in flat) == sorted(tuple(r) for r in both.filter("a <> b").collect())
     for r in (0, 1, 19):
         now = {x.b for x in both.filter(communities._turn("b", r)).collect()}
         assert all((turns >> r & 1 == 1) == (b in now) for _, b, _, turns in flat)
-    for edges in (both, both.filter("a = b"), both.filter("a <> b and a < 70 and b < 70")):
+    tables = spark.catalog.listTables()
+    for edges in (both, both.withColumn("weight", F.col("weight") * 0.3 + 300), both.filter("a = b"), both.filter("a <> b and a < 70 and b < 70")):
         for resolution in (0.4, 1.0):
             monkeypatch.setattr(communities, "HUB_EDGES", 4_000_000)
             found = sorted(map(tuple, communities._moved(edges, 6, resolution).collect()))
             monkeypatch.setattr(communities, "HUB_EDGES", 0)
             assert found == sorted(map(tuple, communities._moved(edges, 6, resolution).collect()))
             assert len(found) == edges.select("a").distinct().count()
+    assert spark.catalog.listTables() == tables
